@@ -1 +1,268 @@
-"""Registered queries."""
+"""Registered forecasting queries.
+
+Series: one per SKU over the whole retail_sales table (stores pooled, so
+several observations per day; the J1 collapse keeps n and sums exact)."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from shelfline.operators import forecast as J
+from shelfline.operators import reorder as R
+from shelfline.plans.oracle_views import with_views
+from shelfline.plans.registry import register
+from shelfline.session import scratch_dir
+from shelfline.sources import fixtures as V
+
+KEYS = ("sku",)
+PERIODS = 30
+MODEL_DATE = dt.date(2026, 12, 31)
+GENERATED_AT = dt.datetime(2026, 12, 31, 0, 0, 0)
+K8_CFG = R.ReorderConfig(budget=1e12, shelf_space=1e10)
+
+
+def r(df, cols, d=3):
+    return df.withColumns({c: F.round(F.col(c), d) for c in cols})
+
+
+def prepared(spark, sf_dir):
+    return J.series_prepare(V.retail_sales(spark, sf_dir), KEYS)
+
+
+# ---------------------------------------------------------------- oracle text
+O_PREP = """
+select sku, date as ds, count(units_sold) as n, sum(cast(units_sold as double)) as sy,
+       sum(cast(units_sold as double) * units_sold) as syy
+from retail_sales group by sku, date"""
+O_YEARS = f"""
+select unnest(range(min(year(ds)), max(year(ds + {PERIODS})) + 1)) as year from prep"""
+O_FIXED = """
+select make_date(year, 1, 1) as ds, 'New Year''s Day' as holiday from years
+union all select make_date(year, 6, 19), 'Juneteenth National Independence Day' from years where year >= 2021
+union all select make_date(year, 7, 4), 'Independence Day' from years
+union all select make_date(year, 11, 11), 'Veterans Day' from years where year >= 1938
+union all select make_date(year, 12, 25), 'Christmas Day' from years"""
+
+
+def _nth(month: int, target: int, nth: int) -> str:
+    f = f"make_date(year, {month}, 1)"
+    return f"{f} + cast(((({target} - dayofweek({f})) + 7) % 7) + {7 * (nth - 1)} as integer)"
+
+
+O_HOL = f"""
+select ds, holiday from fixed
+union all
+select case when dayofweek(ds) = 6 then ds - 1 else ds + 1 end, holiday || ' (observed)'
+from fixed where dayofweek(ds) in (0, 6)
+union all select {_nth(1, 1, 3)}, 'Martin Luther King Jr. Day' from years
+union all select {_nth(2, 1, 3)}, 'Washington''s Birthday' from years
+union all select {_nth(9, 1, 1)}, 'Labor Day' from years
+union all select {_nth(10, 1, 2)}, 'Columbus Day' from years
+union all select {_nth(11, 4, 4)}, 'Thanksgiving' from years
+union all select make_date(year, 5, 31) - cast(((dayofweek(make_date(year, 5, 31)) - 1) + 7) % 7 as integer),
+                 'Memorial Day' from years"""
+O_FIT = """
+select p.*, cast(p.ds - date '2020-01-01' as double) as t, dayofweek(p.ds) + 1 as w, month(p.ds) as mo,
+       case when hd.ds is not null then 1.0 else 0.0 end as is_holiday
+from prep p left join (select distinct ds from hol) hd on p.ds = hd.ds"""
+O_S1 = """
+select *, min(ds) over (partition by sku) as first_ds, max(ds) over (partition by sku) as last_ds,
+       sum(n * t) over (partition by sku, w) / sum(n) over (partition by sku, w) as tbar,
+       sum(sy) over (partition by sku, w) / sum(n) over (partition by sku, w) as ybar
+from fit"""
+O_S2 = """
+select *, case when sxx > 0 then sxy / sxx else 0.0 end as slope from (
+  select *, sum(t * sy - tbar * sy - ybar * n * t + n * tbar * ybar) over (partition by sku) as sxy,
+            sum(n * (t - tbar) * (t - tbar)) over (partition by sku) as sxx
+  from s1)"""
+O_S3 = """
+select *, sy / n - (a_w + slope * t) as r1 from (
+  select *, ybar - slope * tbar as a_w, (last_ds - first_ds) + 1 as span_days from s2)"""
+O_S4 = """
+select *, r1 - m_row as r2 from (
+  select *, case when span_days >= 730
+                 then sum(n * r1) over (partition by sku, mo) / sum(n) over (partition by sku, mo)
+                 else 0.0 end as m_row
+  from s3)"""
+O_S5 = """
+select *, a_w + slope * t + m_row + h * is_holiday as yfit from (
+  select *, coalesce(sum(is_holiday * n * r2) over (partition by sku)
+                     / sum(case when is_holiday > 0 then n end) over (partition by sku), 0.0) as h
+  from s4)"""
+O_MODELS = """
+select sku, slope, h as holiday_effect,
+       case when nn > 1 then sqrt(greatest((srr - sr * sr / nn) / (nn - 1), 0.0)) else 0.0 end as sigma,
+       cast(nn as bigint) as n_obs, first_ds, last_ds, span_days,
+       """ + ", ".join(f"a{k}" for k in range(1, 8)) + ", " + ", ".join(f"coalesce(m{k}, 0.0) as m{k}" for k in range(1, 13)) + """
+from (
+  select *, sum(n) over (partition by sku) as nn, sum(sy - n * yfit) over (partition by sku) as sr,
+         sum(syy - 2.0 * yfit * sy + n * yfit * yfit) over (partition by sku) as srr,
+         """ + ", ".join(f"max(case when w = {k} then a_w end) over (partition by sku) as a{k}" for k in range(1, 8)) + """,
+         """ + ", ".join(f"max(case when mo = {k} then m_row end) over (partition by sku) as m{k}" for k in range(1, 13)) + """
+  from s5) where ds = last_ds"""
+O_FRAME = f"""
+select sku, ds, false as is_future from prep
+union all
+select sku, cast(unnest(generate_series(last + 1, last + {PERIODS}, interval 1 day)) as date), true
+from (select sku, max(ds) as last from prep group by sku)"""
+_A = "case dayofweek(f.ds) + 1 " + " ".join(f"when {k} then a{k}" for k in range(1, 8)) + " end"
+_MEAN_A = ("((" + " + ".join(f"coalesce(a{k}, 0.0)" for k in range(1, 8)) + ") / greatest(("
+           + " + ".join(f"case when a{k} is not null then 1 else 0 end" for k in range(1, 8)) + "), 1))")
+_M = "case month(f.ds) " + " ".join(f"when {k} then m{k}" for k in range(1, 13)) + " end"
+O_SCORED = f"""
+select f.sku, f.ds, f.is_future,
+       coalesce({_A}, {_MEAN_A}) + slope * cast(f.ds - date '2020-01-01' as double) + {_M}
+         + holiday_effect * (case when hd.ds is not null then 1.0 else 0.0 end) as yhat, sigma
+from frame f join models m on f.sku = m.sku
+left join (select distinct ds from hol) hd on f.ds = hd.ds"""
+FORECAST_CTES = [("prep", O_PREP), ("years", O_YEARS), ("fixed", O_FIXED), ("hol", O_HOL),
+                 ("fit", O_FIT), ("s1", O_S1), ("s2", O_S2), ("s3", O_S3), ("s4", O_S4),
+                 ("s5", O_S5), ("models", O_MODELS), ("frame", O_FRAME), ("scored", O_SCORED)]
+O_FORECAST_SELECT = """
+select sku, ds, is_future, round(yhat, 3) as yhat, round(yhat - 1.2815515655 * sigma, 3) as yhat_lower,
+       round(yhat + 1.2815515655 * sigma, 3) as yhat_upper from scored"""
+
+
+def fsql(body: str) -> str:
+    return with_views(body, "retail_sales", ctes=FORECAST_CTES)
+
+
+def forecast_rows(spark, sf_dir):
+    return J.forecast_trend_season(prepared(spark, sf_dir), KEYS, PERIODS)
+
+
+# ---------------------------------------------------------------- J1
+@register("series_prepare", fsql("select sku, ds, n, sy, syy from prep"))
+def q_series_prepare(spark, sf_dir):
+    return prepared(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- J2
+@register("us_holidays", fsql("select ds, holiday from hol"))
+def q_us_holidays(spark, sf_dir):
+    return J.holidays_for(prepared(spark, sf_dir), PERIODS)
+
+
+# ---------------------------------------------------------------- J3
+@register("future_frame", fsql("select sku, ds, is_future from frame"))
+def q_future_frame(spark, sf_dir):
+    return J.future_frame(prepared(spark, sf_dir), KEYS, PERIODS)
+
+
+# ---------------------------------------------------------------- J4
+@register("forecast_trend_season", fsql(O_FORECAST_SELECT))
+def q_forecast_trend_season(spark, sf_dir):
+    return r(forecast_rows(spark, sf_dir), ["yhat", "yhat_lower", "yhat_upper"])
+
+
+# ---------------------------------------------------------------- J5 (rows only)
+@register("forecast_piecewise")
+def q_forecast_piecewise(spark, sf_dir):
+    return J.forecast_piecewise(prepared(spark, sf_dir), KEYS, PERIODS)
+
+
+# ---------------------------------------------------------------- J6
+O_LAGS = """
+select sku, ds, y, lag(y, 1) over w as y1, lag(y, 12) over w as ym, lag(y, 13) over w as ym1
+from (select sku, ds, sy / n as y from prep) window w as (partition by sku order by ds)"""
+O_ARG = """
+select sku, count(*) as n, var_pop(y - y1) as v_dy,
+       regr_syy(y, y1) as syy1, regr_sxy(y, y1) as sxy1, regr_sxx(y, y1) as sxx1,
+       sum((y - ym) * (y - ym)) as sse_sn,
+       regr_syy(y - ym, y1 - ym1) as syy2, regr_sxy(y - ym, y1 - ym1) as sxy2,
+       regr_sxx(y - ym, y1 - ym1) as sxx2
+from lg where ym1 is not null group by sku"""
+O_CANDS = """
+select sku, n, 'drift' as model, 1 as k, greatest(n * v_dy, 0.0) as sse from g
+union all select sku, n, 'ar1', 2, greatest(case when sxx1 > 0 then syy1 - sxy1 * sxy1 / sxx1 else syy1 end, 0.0) from g
+union all select sku, n, 'seasonal_naive', 0, greatest(sse_sn, 0.0) from g
+union all select sku, n, 'seasonal_diff_ar1', 2, greatest(case when sxx2 > 0 then syy2 - sxy2 * sxy2 / sxx2 else syy2 end, 0.0) from g"""
+
+
+@register("forecast_ar_select", with_views("""
+select sku, n, model, k, round(sse, 3) as sse, round(aic, 3) as aic from (
+  select *, row_number() over (partition by sku order by aic, k, model) as rk from (
+    select *, n * ln(greatest(sse, 1e-12) / n) + 2.0 * k as aic from cands))
+where rk = 1""", "retail_sales", ctes=[("prep", O_PREP), ("lg", O_LAGS), ("g", O_ARG), ("cands", O_CANDS)]))
+def q_forecast_ar_select(spark, sf_dir):
+    return r(J.forecast_ar_select(prepared(spark, sf_dir), KEYS, m=12), ["sse", "aic"])
+
+
+# ---------------------------------------------------------------- J7
+MODEL_COLS = (["sku", "slope", "holiday_effect", "sigma", "n_obs", "first_ds", "last_ds", "span_days"]
+              + [f"a{k}" for k in range(1, 8)] + [f"m{k}" for k in range(1, 13)])
+
+
+def flat_models(models):
+    return models.select(
+        "sku", "slope", "holiday_effect", "sigma", "n_obs", "first_ds", "last_ds", "span_days",
+        *[F.col("weekday_effect")[k - 1].alias(f"a{k}") for k in range(1, 8)],
+        *[F.col("month_effect")[k - 1].alias(f"m{k}") for k in range(1, 13)])
+
+
+def _fit_and_save(spark, sf_dir):
+    prep = prepared(spark, sf_dir)
+    hol = J.holidays_for(prep, PERIODS)
+    models = J.fit_trend_season(prep, KEYS, hol)
+    path = scratch_dir(spark, "models")
+    J.save_models(models, path, MODEL_DATE)
+    return prep, hol, J.load_models(spark, path, MODEL_DATE).drop("model_date")
+
+
+@register("model_table", fsql("select " + ", ".join(
+    c if c in ("sku", "n_obs", "first_ds", "last_ds", "span_days") else f"round({c}, 6) as {c}"
+    for c in MODEL_COLS) + " from models"))
+def q_model_table(spark, sf_dir):
+    _, _, saved = _fit_and_save(spark, sf_dir)
+    flat = flat_models(saved)
+    return r(flat, [c for c in MODEL_COLS if c not in ("sku", "n_obs", "first_ds", "last_ds", "span_days")], 6)
+
+
+# ---------------------------------------------------------------- J8
+@register("score_saved_model", fsql(O_FORECAST_SELECT + " where is_future"))
+def q_score_saved_model(spark, sf_dir):
+    prep, hol, saved = _fit_and_save(spark, sf_dir)
+    fut = J.future_frame(prep, KEYS, PERIODS).filter("is_future")
+    return r(J.score(saved, fut, KEYS, hol), ["yhat", "yhat_lower", "yhat_upper"])
+
+
+# ---------------------------------------------------------------- J9
+@register("forecast_metadata", fsql(f"""
+select sku, ds, is_future, yhat, yhat_lower, yhat_upper, {PERIODS} as horizon,
+       'trend_season' as model_type, timestamp '2026-12-31 00:00:00' as generated_at
+from ({O_FORECAST_SELECT})"""))
+def q_forecast_metadata(spark, sf_dir):
+    fc = r(forecast_rows(spark, sf_dir), ["yhat", "yhat_lower", "yhat_upper"])
+    return J.forecast_metadata(fc, PERIODS, "trend_season", GENERATED_AT)
+
+
+# ---------------------------------------------------------------- P4
+@register("auto_forecast", fsql(O_FORECAST_SELECT))
+def q_auto_forecast(spark, sf_dir):
+    from shelfline.plans.flows import auto_forecast
+    out = auto_forecast(spark, V.retail_sales(spark, sf_dir), KEYS, PERIODS,
+                        scratch_dir(spark, "auto_forecast"), MODEL_DATE)
+    return r(out, ["yhat", "yhat_lower", "yhat_upper"])
+
+
+# ---------------------------------------------------------------- K8
+@register("clearance_plan_from_forecast", with_views("""
+select d.sku, round(d.demand, 3) as demand, l.on_hand, l.price,
+       cast(ceil(greatest(0.0, case when coalesce(p.moq, 0.0) > 0 then p.moq else 0.0 end,
+                          d.demand * 0.95 - l.on_hand) - 1e-6) as bigint) as order_qty,
+       'Optimal' as status
+from (select sku, sum(yhat) as demand from scored where is_future group by sku) d
+join (select sku, on_hand, price from (
+        select sku, on_hand, price,
+               row_number() over (partition by sku order by date desc, store_id desc) as rk
+        from retail_sales) where rk = 1) l on d.sku = l.sku
+left join sku_params p on d.sku = p.sku""", "retail_sales", "sku_params", ctes=FORECAST_CTES))
+def q_clearance_plan_from_forecast(spark, sf_dir):
+    from shelfline.plans.flows import clearance_plan
+    sales = V.retail_sales(spark, sf_dir)
+    fc = forecast_rows(spark, sf_dir)
+    orders, _ = clearance_plan(fc, sales, V.sku_params(spark, sf_dir), K8_CFG, keys=KEYS)
+    return orders.select("sku", F.round("demand", 3).alias("demand"), "on_hand", "price",
+                         "order_qty", "status")

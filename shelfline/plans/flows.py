@@ -30,3 +30,33 @@ def stage_counts(stages: Sequence[tuple[str, DataFrame, DataFrame, int]]) -> Dat
     return g.select("stage", "input_rows", "output_rows",
                     (F.col("input_rows") - F.col("output_rows")).alias("rows_dropped"),
                     F.col("features_added").cast("int").alias("features_added"))
+
+
+def auto_forecast(spark, sales: DataFrame, keys: Sequence[str], periods: int, model_path: str,
+                  model_date, sku: str | None = None, store_id: str | None = None,
+                  region: str | None = None, y: str = "units_sold") -> DataFrame:
+    """Filter (C8) -> collapse (J1) -> fit (J4) -> save model table
+    -> future frame (J3) -> score the saved models (J8)."""
+    from shelfline.operators import forecast as J
+    from shelfline.operators.transform import series_filter
+    data = series_filter(sales, sku=sku, store_id=store_id, region=region)
+    prep = J.series_prepare(data, keys, y=y)
+    hol = J.holidays_for(prep, periods)
+    J.save_models(J.fit_trend_season(prep, keys, hol), model_path, model_date)
+    models = J.load_models(spark, model_path, model_date).drop("model_date")
+    return J.score(models, J.future_frame(prep, keys, periods), keys, hol)
+
+
+def clearance_plan(forecast: DataFrame, sales: DataFrame, params: DataFrame | None, cfg,
+                   keys: Sequence[str] = ("sku",)):
+    """K8: demand over the horizon = Σ future yhat per SKU; latest on_hand
+    and price per SKU (ties on the date broken by store); then the reorder
+    plan (K1-K7).  Returns (orders, summary)."""
+    from shelfline.operators import reorder as R
+    demand = (forecast.filter(F.col("is_future")).groupBy(*keys)
+              .agg(F.sum("yhat").alias("demand")))
+    order = F.struct("date", "store_id")
+    latest = sales.groupBy(*keys).agg(F.max_by("on_hand", order).alias("on_hand"),
+                                      F.max_by("price", order).alias("price"))
+    rows = demand.join(latest, list(keys)).withColumn("units_sold", F.col("demand"))
+    return R.optimize(rows, params, cfg)
