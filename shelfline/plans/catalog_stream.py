@@ -1 +1,131 @@
-"""Registered queries."""
+"""Registered streaming queries.
+
+Each query stages the test table into an input folder as time-ordered file
+batches (a stand-in for files arriving over time), runs the streaming job to
+completion (availableNow) and returns what its sink holds."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfline.operators import jobs as L
+from shelfline.plans.catalog_logs import JOB_COLS, LIMIT_PER_WINDOW, LIMIT_WINDOW_SECONDS
+from shelfline.plans.catalog_quality import AS_OF
+from shelfline.plans.catalog_transform import CLEAN_CTES
+from shelfline.plans.oracle_views import with_views
+from shelfline.plans.registry import register
+from shelfline.schemas import DAILY_SALES
+from shelfline.session import scratch_dir
+from shelfline.sources import fixtures as V
+from shelfline.streaming import ingest as S
+from shelfline.streaming import state as N
+
+CHUNKS = 6
+FILES_PER_CHUNK = 2
+
+
+def stage_in_order(df: DataFrame, ts_col: str, in_dir: str, fmt: str = "parquet",
+                   chunks: int = CHUNKS, files_per_chunk: int = FILES_PER_CHUNK) -> None:
+    """Write `df` as `chunks` consecutive event-time slices, one write per
+    slice so file modification times follow event time (the file source
+    takes the oldest files first)."""
+    t = F.col(ts_col).cast("timestamp")
+    b = df.agg(F.min(F.unix_micros(t)).alias("lo"), F.max(F.unix_micros(t)).alias("hi")).first()
+    lo, hi = int(b["lo"]), int(b["hi"]) + 1
+    step = -(-(hi - lo) // chunks)
+    for i in range(chunks):
+        a, z = lo + i * step, min(lo + (i + 1) * step, hi)
+        part = df.filter((F.unix_micros(t) >= a) & (F.unix_micros(t) < z))
+        w = part.repartitionByRange(files_per_chunk, ts_col).write.mode("append").format(fmt)
+        if fmt == "csv":
+            w = w.option("header", True)
+        w.save(in_dir)
+
+
+def _run(q) -> None:
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+def _stage_sales_csv(spark: SparkSession, sf_dir: str) -> str:
+    in_dir = scratch_dir(spark, "incoming_sales")
+    stage_in_order(V.daily_sales(spark, sf_dir), "date", in_dir, fmt="csv")
+    return in_dir
+
+
+# ---------------------------------------------------------------- A5
+# Files arrive as CSV: an empty id reads as missing and then becomes the
+# text 'nan' (C2), so such rows are kept, as in the reference.
+@register("stream_ingest", with_views("""
+select date, sales, items, coalesce(nullif(store_id, ''), 'nan') as store_id,
+       coalesce(nullif(product_category, ''), 'nan') as product_category, year(date) as year,
+       month(date) as month, day(date) as day, dayofweek(date) in (0, 6) as is_weekend
+from daily_sales
+where date is not null and sales is not null and items is not null""", "daily_sales"))
+def q_stream_ingest(spark, sf_dir):
+    in_dir = _stage_sales_csv(spark, sf_dir)
+    out_dir = scratch_dir(spark, "ingested")
+    _run(S.stream_ingest(spark, in_dir, out_dir, scratch_dir(spark, "ckpt_ingest"),
+                         schema=DAILY_SALES, fmt="csv", max_files_per_trigger=FILES_PER_CHUNK))
+    return spark.read.parquet(out_dir).drop("batch_id")
+
+
+# ---------------------------------------------------------------- N3 (rows only: per-batch metrics)
+@register("stream_quality")
+def q_stream_quality(spark, sf_dir):
+    in_dir = _stage_sales_csv(spark, sf_dir)
+    out_dir = scratch_dir(spark, "stream_quality")
+    _run(S.stream_quality(spark, in_dir, out_dir, scratch_dir(spark, "ckpt_quality"), AS_OF,
+                          schema=DAILY_SALES, fmt="csv", max_files_per_trigger=FILES_PER_CHUNK))
+    return spark.read.parquet(out_dir)
+
+
+def _stage_requests(spark, sf_dir) -> str:
+    in_dir = scratch_dir(spark, "incoming_requests")
+    stage_in_order(V.request_log(spark, sf_dir), "ts", in_dir)
+    return in_dir
+
+
+# ---------------------------------------------------------------- N1 (rows only; equals M3 in tests)
+@register("stream_rate_limit")
+def q_stream_rate_limit(spark, sf_dir):
+    in_dir = _stage_requests(spark, sf_dir)
+    src = (spark.readStream.schema(V.request_log(spark, sf_dir).schema)
+                .option("maxFilesPerTrigger", FILES_PER_CHUNK).parquet(in_dir))
+    out_dir = scratch_dir(spark, "rate_limit")
+    _run(N.write_append(N.stream_rate_limit(src, limit=LIMIT_PER_WINDOW, seconds=LIMIT_WINDOW_SECONDS),
+                        out_dir, scratch_dir(spark, "ckpt_rate")))
+    return spark.read.parquet(out_dir)
+
+
+# ---------------------------------------------------------------- N2 (rows only: closed windows)
+@register("stream_endpoint_metrics")
+def q_stream_endpoint_metrics(spark, sf_dir):
+    in_dir = _stage_requests(spark, sf_dir)
+    src = (spark.readStream.schema(V.request_log(spark, sf_dir).schema)
+                .option("maxFilesPerTrigger", FILES_PER_CHUNK).parquet(in_dir))
+    out_dir = scratch_dir(spark, "endpoint_windows")
+    _run(N.write_append(N.stream_endpoint_metrics(src), out_dir, scratch_dir(spark, "ckpt_endpoint")))
+    return spark.read.parquet(out_dir).select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "endpoint",
+        "request_count", "error_count", "avg", "min", "max")
+
+
+# ---------------------------------------------------------------- N4
+@register("stream_job_state", with_views(
+    "select job_id, user_id, job_type, priority, retry_count, max_retries, created_at, status, updated_at "
+    "from job_log", "job_log"))
+def q_stream_job_state(spark, sf_dir):
+    updates = L.status_updates(V.job_log(spark, sf_dir))
+    in_dir = scratch_dir(spark, "incoming_job_updates")
+    stage_in_order(updates, "updated_at", in_dir)
+    src = (spark.readStream.schema(updates.schema)
+                .option("maxFilesPerTrigger", FILES_PER_CHUNK).parquet(in_dir))
+    out_dir = scratch_dir(spark, "job_state")
+    _run(N.write_batches(N.stream_job_state(src), out_dir, scratch_dir(spark, "ckpt_jobs")))
+    changes = spark.read.parquet(out_dir).drop("batch_id")
+    return L.job_state_fold(changes)
