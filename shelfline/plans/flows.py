@@ -60,3 +60,87 @@ def clearance_plan(forecast: DataFrame, sales: DataFrame, params: DataFrame | No
                                       F.max_by("price", order).alias("price"))
     rows = demand.join(latest, list(keys)).withColumn("units_sold", F.col("demand"))
     return R.optimize(rows, params, cfg)
+
+
+def etl_simple(spark, in_path: str, out_path: str, keys: Sequence[str] = ("store_id", "product_category"),
+               rate: float = 1.2) -> str:
+    """Read (A1) -> coerce (C2) -> one row per (series, day) -> forward-
+    filled daily calendar (D1) -> currency rate (C6) -> date parts (C5) ->
+    Parquet partitioned by year/month (B1)."""
+    from shelfline.operators import transform as X
+    from shelfline.sources.files import read_sales
+    from shelfline.sources.sinks import write_partitioned
+    raw = X.coerce_types(read_sales(spark, in_path))
+    daily = raw.groupBy(*keys, "date").agg(F.sum("sales").alias("sales"), F.sum("items").alias("items"))
+    filled = X.calendar_complete(daily, keys=keys, fill="ffill")
+    out = X.calendar_features(X.currency_normalize(filled, rate=rate))
+    write_partitioned(out, out_path, by=("year", "month"))
+    return out_path
+
+
+def etl_validated(spark, in_path: str, out_path: str, as_of, fail_fast: bool = True,
+                  keys: Sequence[str] = ("store_id", "product_category"), dataset: str = "daily_sales"):
+    """Read (A1) -> validate raw (F10, optional fail-fast gate) ->
+    required columns, types, drop incomplete, date parts (C1-C5) -> z-score
+    (C7) -> daily group (E1) -> per-series calendar pad (D3) -> processed
+    checks (F2) -> save with statistics (B2).
+
+    Returns (raw validation results, processed checks, save stats, stage
+    metrics) as DataFrames; the cleaned data is at `out_path`."""
+    from shelfline.functions.rules import raw_rules
+    from shelfline.operators import quality as Q
+    from shelfline.operators import transform as X
+    from shelfline.schemas import DAILY_SALES_COLUMNS, PROCESSED_REFERENCE
+    from shelfline.sources.files import read_sales
+    from shelfline.sources.sinks import save_with_stats
+    raw = read_sales(spark, in_path)
+    results = Q.validate_all(spark, raw, raw_rules(as_of), dataset=dataset)
+    if fail_fast:
+        Q.fail_fast(results)
+    clean = X.drop_incomplete(X.coerce_types(X.require_columns(raw, DAILY_SALES_COLUMNS)))
+    feat = X.zscore(X.calendar_features(clean))
+    grouped = X.daily_group(feat)
+    completed = X.calendar_complete(grouped, keys=keys, fill="pad")
+    checks = Q.processed_schema_checks(completed, PROCESSED_REFERENCE)
+    stats = save_with_stats(spark, completed, out_path)
+    metrics = stage_counts([("transform", raw, feat, 5), ("group", feat, grouped, 0),
+                            ("complete", grouped, completed, 0)])
+    return results, checks, stats, metrics
+
+
+def etl_zero_fill(spark, in_path: str, out_path: str) -> str:
+    """Read (A1) -> cast to the expected types and zero-fill nulls (C4)
+    -> Parquet."""
+    from shelfline.operators import transform as X
+    from shelfline.sources.files import read_sales
+    out = X.fill_zero(read_sales(spark, in_path), expected={"date": "date", "sales": "double"})
+    out.write.mode("overwrite").parquet(out_path)
+    return out_path
+
+
+def contract_run(spark, sales: DataFrame, typed_path: str, as_of, threshold: int = 50) -> DataFrame:
+    """P5: typed Parquet (A4) -> trim strings (C9) -> record contract
+    with quarantine (F6) -> revenue / stock features (C10) -> batch summary
+    (E2) and range profile (E3) of the valid records, in one aggregate."""
+    from shelfline.functions.rules import contract_rules
+    from shelfline.operators import quality as Q
+    from shelfline.operators import transform as X
+    from shelfline.sources.files import typed_convert, write_typed_parquet
+    write_typed_parquet(typed_convert(sales), typed_path)
+    typed = spark.read.parquet(typed_path)
+    tagged = Q.tag_quarantine(X.trim_strings(typed), contract_rules(as_of))
+    feat = X.revenue_stock_features(tagged, threshold)
+    v = F.col("is_valid")
+    on_valid = lambda c: F.when(v, c)
+    return feat.agg(
+        F.sum(F.when(v, 1).otherwise(0)).cast("bigint").alias("valid_records"),
+        F.sum(F.when(v, 0).otherwise(1)).cast("bigint").alias("invalid_records"),
+        F.round(F.sum(on_valid(F.col("daily_revenue"))), 2).alias("total_revenue"),
+        F.sum(on_valid(F.col("units_sold"))).cast("bigint").alias("total_units_sold"),
+        F.count_distinct(on_valid(F.col("store_id"))).alias("unique_stores"),
+        F.count_distinct(on_valid(F.col("sku"))).alias("unique_skus"),
+        F.min(on_valid(F.col("date"))).alias("min_date"), F.max(on_valid(F.col("date"))).alias("max_date"),
+        F.sum(F.when(v & F.col("is_low_stock"), 1).otherwise(0)).cast("bigint").alias("low_stock_count"),
+        F.min(on_valid(F.col("price"))).alias("min_price"), F.max(on_valid(F.col("price"))).alias("max_price"),
+        F.min(on_valid(F.col("on_hand"))).alias("min_on_hand"),
+        F.max(on_valid(F.col("on_hand"))).alias("max_on_hand"))
