@@ -33,6 +33,9 @@ T_ORIGIN = dt.date(2020, 1, 1)      # day 0 of the trend variable
 Z80 = 1.2815515655                  # two-sided 80 % normal quantile
 YEARLY_MIN_DAYS = 730               # yearly effect only with >= 2 years
 DEFAULT_PERIODS = 30
+# Span of the holiday calendar joined to the series: a fixed, data-free
+# table of ~22 rows per year (~6.6k rows), so its broadcast size is proven.
+HOLIDAY_YEARS = (1900, 2199)
 
 # US federal holiday rules (public calendar).
 FIXED_DATE_HOLIDAYS = [
@@ -98,13 +101,19 @@ def us_holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFra
 
 
 def holidays_for(prepared: DataFrame, periods: int = DEFAULT_PERIODS) -> DataFrame:
-    """Holiday calendar covering the history and the horizon; the year span
-    comes from a one-row aggregate, so the table is ~22 rows per year:
-    a proven small size, safe to broadcast."""
+    """J2 as reported: the holidays of the years from the first history date
+    to the end of the horizon (the span is one scalar aggregate)."""
     span = prepared.agg(F.min(F.year("ds")).alias("lo"),
-                        F.max(F.year(F.date_add("ds", periods))).alias("hi"))
-    years = span.select(F.explode(F.sequence("lo", "hi")).alias("year"))
-    return us_holidays_for_years(years)
+                        F.max(F.year(F.date_add("ds", periods))).alias("hi")).first()
+    if span["lo"] is None:
+        return us_holidays(prepared.sparkSession, 1, 0)
+    return us_holidays(prepared.sparkSession, int(span["lo"]), int(span["hi"]))
+
+
+def default_holidays(spark: SparkSession) -> DataFrame:
+    """Holiday calendar used for fitting and scoring (fixed span, no data
+    lineage, so it adds no pass over the input)."""
+    return us_holidays(spark, *HOLIDAY_YEARS)
 
 
 # ---------------------------------------------------------------- J3
@@ -201,7 +210,7 @@ def score(models: DataFrame, frame: DataFrame, keys: Sequence[str], holidays: Da
 def forecast_trend_season(prepared: DataFrame, keys: Sequence[str], periods: int = DEFAULT_PERIODS,
                           holidays: DataFrame | None = None) -> DataFrame:
     """J4 end to end: fit every series, score history + horizon."""
-    hol = holidays if holidays is not None else holidays_for(prepared, periods)
+    hol = holidays if holidays is not None else default_holidays(prepared.sparkSession)
     models = fit_trend_season(prepared, keys, hol)
     return score(models, future_frame(prepared, keys, periods), keys, hol)
 
@@ -230,7 +239,7 @@ def forecast_piecewise(prepared: DataFrame, keys: Sequence[str], periods: int =
     most one row per calendar day of that series, so group size is bounded
     by the history span, not by the data volume."""
     keys = list(keys)
-    hol = holidays if holidays is not None else holidays_for(prepared, periods)
+    hol = holidays if holidays is not None else default_holidays(prepared.sparkSession)
     frame = _with_holiday_flag(future_frame(prepared, keys, periods), hol)
     data = _with_holiday_flag(prepared, hol)
     both = (frame.join(data.select(*keys, "ds", "n", "sy"), keys + ["ds"], "left")

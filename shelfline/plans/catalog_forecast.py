@@ -204,7 +204,7 @@ def flat_models(models):
 
 def _fit_and_save(spark, sf_dir):
     prep = prepared(spark, sf_dir)
-    hol = J.holidays_for(prep, PERIODS)
+    hol = J.default_holidays(spark)
     models = J.fit_trend_season(prep, KEYS, hol)
     path = scratch_dir(spark, "models")
     J.save_models(models, path, MODEL_DATE)

@@ -41,7 +41,7 @@ def auto_forecast(spark, sales: DataFrame, keys: Sequence[str], periods: int, mo
     from shelfline.operators.transform import series_filter
     data = series_filter(sales, sku=sku, store_id=store_id, region=region)
     prep = J.series_prepare(data, keys, y=y)
-    hol = J.holidays_for(prep, periods)
+    hol = J.default_holidays(spark)
     J.save_models(J.fit_trend_season(prep, keys, hol), model_path, model_date)
     models = J.load_models(spark, model_path, model_date).drop("model_date")
     return J.score(models, J.future_frame(prep, keys, periods), keys, hol)
@@ -59,6 +59,9 @@ def clearance_plan(forecast: DataFrame, sales: DataFrame, params: DataFrame | No
     latest = sales.groupBy(*keys).agg(F.max_by("on_hand", order).alias("on_hand"),
                                       F.max_by("price", order).alias("price"))
     rows = demand.join(latest, list(keys)).withColumn("units_sold", F.col("demand"))
+    # One row per SKU behind an expensive forecast lineage: materialise it
+    # once in the shared checkpoint folder so the plan's two passes reuse it.
+    rows = rows.checkpoint(eager=True)
     return R.optimize(rows, params, cfg)
 
 
