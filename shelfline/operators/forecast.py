@@ -346,4 +346,4 @@ def forecast_metadata(forecast: DataFrame, horizon: int, model_type: str,
                       generated_at: dt.datetime) -> DataFrame:
     """Request metadata beside every forecast row."""
     return forecast.withColumns({"horizon": F.lit(horizon), "model_type": F.lit(model_type),
-                                 "generated_at": F.lit(generated_at)})
+                                 "generated_at": F.lit(generated_at).cast("timestamp_ntz")})

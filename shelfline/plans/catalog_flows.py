@@ -31,7 +31,7 @@ def _stage_csv(spark, sf_dir) -> str:
 # ---------------------------------------------------------------- P1
 @register("etl_simple", with_views("""
 select date, store_id, product_category, round(sales * 1.2, 6) as sales, items,
-       year(date) as year, month(date) as month, day(date) as day, dayofweek(date) in (0, 6) as is_weekend
+       cast(year(date) as integer) as year, cast(month(date) as integer) as month, cast(day(date) as integer) as day, dayofweek(date) in (0, 6) as is_weekend
 from (
   select c.store_id, c.product_category, c.date,
          last_value(g.sales ignore nulls) over w as sales, last_value(g.items ignore nulls) over w as items
@@ -42,7 +42,7 @@ from (
   window w as (partition by c.store_id, c.product_category order by c.date
                rows between unbounded preceding and current row))""",
     "daily_sales", ctes=[("raw", O_RAW_CSV), ("g", """
-select store_id, product_category, date, sum(sales) as sales, sum(items) as items
+select store_id, product_category, date, sum(sales) as sales, cast(sum(items) as bigint) as items
 from raw group by store_id, product_category, date""")]))
 def q_etl_simple(spark, sf_dir):
     out = P.etl_simple(spark, _stage_csv(spark, sf_dir), scratch_dir(spark, "silver"))
@@ -63,12 +63,12 @@ asof left join grp g
 O_P2_CTES = [
     ("clean", O_RAW_CSV.replace("from daily_sales", "from daily_sales where date is not null and sales is not null and items is not null")),
     ("feat", """
-select c.*, year(date) as year, month(date) as month, day(date) as day,
+select c.*, cast(year(date) as integer) as year, cast(month(date) as integer) as month, cast(day(date) as integer) as day,
        dayofweek(date) in (0, 6) as is_weekend,
        case when st.s > 0 then (c.sales - st.m) / st.s else 0.0 end as sales_normalized
 from clean c, (select avg(sales) as m, stddev_samp(sales) as s from clean) st"""),
     ("grp", """
-select date, store_id, product_category, sum(sales) as sales, sum(items) as items,
+select date, store_id, product_category, sum(sales) as sales, cast(sum(items) as bigint) as items,
        any_value(year) as year, any_value(month) as month, any_value(day) as day,
        any_value(is_weekend) as is_weekend, avg(sales_normalized) as sales_normalized
 from feat group by date, store_id, product_category"""),

@@ -79,7 +79,7 @@ select *, case when sxx > 0 then sxy / sxx else 0.0 end as slope from (
   from s1)"""
 O_S3 = """
 select *, sy / n - (a_w + slope * t) as r1 from (
-  select *, ybar - slope * tbar as a_w, (last_ds - first_ds) + 1 as span_days from s2)"""
+  select *, ybar - slope * tbar as a_w, cast((last_ds - first_ds) + 1 as integer) as span_days from s2)"""
 O_S4 = """
 select *, r1 - m_row as r2 from (
   select *, case when span_days >= 730

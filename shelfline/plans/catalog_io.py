@@ -107,7 +107,7 @@ def q_output_format(spark, sf_dir):
 
 # ---------------------------------------------------------------- B5
 REPORT_SCHEMA = ("section string, name string, `column` string, observed double, success boolean, "
-                 "report_time timestamp")
+                 "report_time timestamp_ntz")
 
 
 @register("validation_report", with_views(f"""

@@ -58,7 +58,7 @@ def q_job_state_fold(spark, sf_dir):
 # ---------------------------------------------------------------- L4
 @register("retryable_jobs", jsql("""
 select job_id, user_id, job_type, 'queued' as status, created_at, updated_at, priority,
-       retry_count + 1 as retry_count, max_retries, cast(null as varchar) as error_message, 0.0 as progress
+       retry_count + 1 as retry_count, max_retries, cast(null as varchar) as error_message, cast(0.0 as double) as progress
 from job_log where status = 'failed' and retry_count < max_retries"""))
 def q_retryable_jobs(spark, sf_dir):
     return L.retryable_jobs(V.job_log(spark, sf_dir))

@@ -91,7 +91,8 @@ def metrics_sql(table: str, cols, business=True) -> str:
                         ("extreme_sales_count", "sales > 100000"), ("negative_items_count", "items < 0"),
                         ("zero_items_count", "items = 0"), ("extreme_items_count", "items > 1000")]:
             rows.append((name, f"cast((select count(*) from {table} where {p}) as double)"))
-    return "\nunion all\n".join(f"select '{m}' as metric, round({v}, 6) as value" for m, v in rows)
+    return "\nunion all\n".join(f"select '{m}' as metric, cast(round({v}, 6) as double) as value"
+                                 for m, v in rows)
 
 
 # ---------------------------------------------------------------- E2
@@ -304,12 +305,12 @@ def q_dtype_match(spark, sf_dir):
 # ---------------------------------------------------------------- F9
 @register("threshold_gate", with_views("""
 select gate, observed, "limit", passed from (
-  select 'null_ratio' as gate, value as observed, 0.1 as "limit", value <= 0.1 as passed
+  select 'null_ratio' as gate, value as observed, cast(0.1 as double) as "limit", value <= 0.1 as passed
   from m where metric = 'overall_null_ratio'
   union all
-  select 'duplicate_ratio', value, 0.05, value <= 0.05 from m where metric = 'duplicate_ratio'
+  select 'duplicate_ratio', value, cast(0.05 as double), value <= 0.05 from m where metric = 'duplicate_ratio'
   union all
-  select 'row_count', value, 1000000.0, value between 1 and 1000000 from m where metric = 'total_rows')""",
+  select 'row_count', value, cast(1000000.0 as double), value between 1 and 1000000 from m where metric = 'total_rows')""",
     "daily_sales", ctes=[("m", metrics_sql("daily_sales", DS_COLS))]))
 def q_threshold_gate(spark, sf_dir):
     return Q.threshold_gate(r6(Q.quality_metrics(V.daily_sales(spark, sf_dir)), ["value"]))

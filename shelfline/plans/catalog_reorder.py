@@ -39,7 +39,7 @@ from lk group by {keys}"""
 def o_terms(by: str) -> str:
     join = f"l.{by} = q.{by} and l.sku = q.sku" if by else "l.sku = q.sku"
     return f"""
-select l.*, q.order_qty, 0.0 as discount,
+select l.*, q.order_qty, cast(0.0 as double) as discount,
        1.0 * q.order_qty + l.shortage_cost as row_cost,
        l.unit_cost * (1.0 - 0.0) * q.order_qty as order_value,
        l.space_per_unit * q.order_qty as space_used,

@@ -62,8 +62,8 @@ def _stage_sales_csv(spark: SparkSession, sf_dir: str) -> str:
 # text 'nan' (C2), so such rows are kept, as in the reference.
 @register("stream_ingest", with_views("""
 select date, sales, items, coalesce(nullif(store_id, ''), 'nan') as store_id,
-       coalesce(nullif(product_category, ''), 'nan') as product_category, year(date) as year,
-       month(date) as month, day(date) as day, dayofweek(date) in (0, 6) as is_weekend
+       coalesce(nullif(product_category, ''), 'nan') as product_category, cast(year(date) as integer) as year,
+       cast(month(date) as integer) as month, cast(day(date) as integer) as day, dayofweek(date) in (0, 6) as is_weekend
 from daily_sales
 where date is not null and sales is not null and items is not null""", "daily_sales"))
 def q_stream_ingest(spark, sf_dir):

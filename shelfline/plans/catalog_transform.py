@@ -17,12 +17,12 @@ select date, sales, items, coalesce(store_id, 'nan') as store_id,
 from daily_sales
 where date is not null and sales is not null and items is not null"""
 O_FEAT = """
-select c.*, year(date) as year, month(date) as month, day(date) as day,
+select c.*, cast(year(date) as integer) as year, cast(month(date) as integer) as month, cast(day(date) as integer) as day,
        dayofweek(date) in (0, 6) as is_weekend,
        case when st.s > 0 then (c.sales - st.m) / st.s else 0.0 end as sales_normalized
 from clean c, (select avg(sales) as m, stddev_samp(sales) as s from clean) st"""
 O_GROUP = """
-select date, store_id, product_category, sum(sales) as sales, sum(items) as items,
+select date, store_id, product_category, sum(sales) as sales, cast(sum(items) as bigint) as items,
        any_value(year) as year, any_value(month) as month, any_value(day) as day,
        any_value(is_weekend) as is_weekend, avg(sales_normalized) as sales_normalized
 from feat group by date, store_id, product_category"""
@@ -133,7 +133,7 @@ def q_parse_payload(spark, sf_dir):
 
 # ---------------------------------------------------------------- D1 / D2 (one series)
 O_DAY_TOTALS = """
-select date, sum(sales) as sales, sum(items) as items from clean group by date"""
+select date, sum(sales) as sales, cast(sum(items) as bigint) as items from clean group by date"""
 O_SINGLE_PAD = """
 select cal.date, round(t.sales, 6) as sales, t.items
 from (select cast(unnest(generate_series(min(date), max(date), interval 1 day)) as date) as date

@@ -71,11 +71,12 @@ def source_bytes(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def typed_convert(df: DataFrame) -> DataFrame:
-    """A4: date -> timestamp, ids -> string, counts -> int32, price -> double."""
+    """A4: date -> timestamp (without time zone, like the reference's naive
+    datetime64), ids -> string, counts -> int32, price -> double."""
     return df.select(
         F.col("store_id").cast("string").alias("store_id"),
         F.col("sku").cast("string").alias("sku"),
-        F.col("date").cast("timestamp").alias("date"),
+        F.col("date").cast("timestamp_ntz").alias("date"),
         F.col("units_sold").cast("int").alias("units_sold"),
         F.col("price").cast("double").alias("price"),
         F.col("on_hand").cast("int").alias("on_hand"),

@@ -68,7 +68,8 @@ def write_as(df: DataFrame, path: str, fmt: str = "parquet", compression: str =
 def write_report(results: DataFrame, path: str, dataset: str, as_of: dt.datetime) -> None:
     """Timestamped validation report as JSON lines (one object per
     result row with the report metadata), appended under dataset=<name>."""
-    rep = results.withColumns({"dataset": F.lit(dataset), "report_time": F.lit(as_of)})
+    rep = results.withColumns({"dataset": F.lit(dataset),
+                               "report_time": F.lit(as_of).cast("timestamp_ntz")})
     (rep.select("dataset", F.to_json(F.struct(*[c for c in rep.columns if c != "dataset"])).alias("value"))
         .write.mode("append").partitionBy("dataset").text(path))
 
