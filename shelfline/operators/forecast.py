@@ -135,10 +135,11 @@ def _with_holiday_flag(df: DataFrame, holidays: DataFrame) -> DataFrame:
               .withColumn("is_holiday", F.coalesce(F.col("_hol"), F.lit(0.0))).drop("_hol"))
 
 
-def fit_trend_season(prepared: DataFrame, keys: Sequence[str], holidays: DataFrame) -> DataFrame:
-    """J4 fit -> model table, one row per series:
-    keys, slope, a (7 weekday intercepts), m (12 month effects), h, sigma,
-    n_obs, first_ds, last_ds, span_days."""
+def _fit_rows(prepared: DataFrame, keys: Sequence[str], holidays: DataFrame) -> DataFrame:
+    """Every (series, ds) row with its fitted value `yfit` and its series'
+    coefficients, computed by window aggregates after ONE repartition on the
+    series keys (all window specs are the keys or keys + weekday / month, so
+    no further exchange is planned)."""
     keys = list(keys)
     rows = (_with_holiday_flag(prepared, holidays)
             .repartition(*keys)
@@ -178,41 +179,69 @@ def fit_trend_season(prepared: DataFrame, keys: Sequence[str], holidays: DataFra
         **{f"m{k}": F.max(F.when(F.col("mo") == k, F.col("m_row"))).over(ws) for k in range(1, 13)},
     })
     var = (F.col("Srr") - F.col("Sr") * F.col("Sr") / F.col("N")) / (F.col("N") - 1)
-    models = rows.filter(F.col("ds") == F.col("last_ds")).select(
+    return rows.withColumn("sigma", F.when(F.col("N") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(0.0))
+
+
+def _model_cols(keys: Sequence[str]) -> list[Column]:
+    return [
         *keys,
         F.col("slope"),
         F.array(*[F.col(f"a{k}") for k in range(1, 8)]).alias("weekday_effect"),
         F.array(*[F.coalesce(F.col(f"m{k}"), F.lit(0.0)) for k in range(1, 13)]).alias("month_effect"),
         F.col("h").alias("holiday_effect"),
-        F.when(F.col("N") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(0.0).alias("sigma"),
-        F.col("N").cast("bigint").alias("n_obs"), "first_ds", "last_ds", "span_days")
-    return models
+        F.col("sigma"),
+        F.col("N").cast("bigint").alias("n_obs"), "first_ds", "last_ds", "span_days"]
+
+
+def fit_trend_season(prepared: DataFrame, keys: Sequence[str], holidays: DataFrame) -> DataFrame:
+    """J4 fit -> model table, one row per series:
+    keys, slope, weekday_effect (7), month_effect (12), holiday_effect,
+    sigma, n_obs, first_ds, last_ds, span_days."""
+    rows = _fit_rows(prepared, keys, holidays)
+    return rows.filter(F.col("ds") == F.col("last_ds")).select(*_model_cols(keys))
 
 
 def score(models: DataFrame, frame: DataFrame, keys: Sequence[str], holidays: DataFrame) -> DataFrame:
-    """Evaluate a model table on (keys, ds) rows.  A weekday never seen
-    in history falls back to the mean of the seen weekday intercepts."""
+    """Evaluate a saved model table on (keys, ds) rows.  A weekday never
+    seen in history falls back to the mean of the seen weekday intercepts."""
     keys = list(keys)
-    f = _with_holiday_flag(frame, holidays)
-    j = f.join(models, keys)
+    j = _with_holiday_flag(frame, holidays).join(models, keys)
+    yhat = _yhat(j)
+    band = F.lit(Z80) * F.col("sigma")
+    extra = [c for c in frame.columns if c not in keys and c != "ds"]
+    return j.select(*keys, "ds", *extra, yhat.alias("yhat"), (yhat - band).alias("yhat_lower"),
+                    (yhat + band).alias("yhat_upper"))
+
+
+def _yhat(models_like: DataFrame) -> Column:
     seen = F.filter("weekday_effect", lambda x: x.isNotNull())
     fallback = F.aggregate(seen, F.lit(0.0), lambda acc, x: acc + x) / F.greatest(F.size(seen), F.lit(1))
     a = F.coalesce(F.element_at("weekday_effect", F.dayofweek("ds")), fallback)
     m = F.element_at("month_effect", F.month("ds"))
     t = F.datediff("ds", F.lit(T_ORIGIN)).cast("double")
-    yhat = a + F.col("slope") * t + m + F.col("holiday_effect") * F.col("is_holiday")
-    band = F.lit(Z80) * F.col("sigma")
-    extra = [c for c in frame.columns if c not in keys and c != "ds"]
-    return j.select(*keys, "ds", *extra, yhat.alias("yhat"), (yhat - band).alias("yhat_lower"),
-                    (yhat + band).alias("yhat_upper"))
+    return a + F.col("slope") * t + m + F.col("holiday_effect") * F.col("is_holiday")
 
 
 def forecast_trend_season(prepared: DataFrame, keys: Sequence[str], periods: int = DEFAULT_PERIODS,
                           holidays: DataFrame | None = None) -> DataFrame:
-    """J4 end to end: fit every series, score history + horizon."""
+    """J4 end to end: history rows take their fitted value from the fit
+    pass itself; the horizon is exploded from each series' last row, which
+    carries the series' coefficients.  No model-table join, no extra
+    shuffle: J1's aggregate and the fit's repartition are the only ones."""
+    if not 1 <= periods <= 365:
+        raise ValueError("periods must be in 1..365")
+    keys = list(keys)
     hol = holidays if holidays is not None else default_holidays(prepared.sparkSession)
-    models = fit_trend_season(prepared, keys, hol)
-    return score(models, future_frame(prepared, keys, periods), keys, hol)
+    rows = _fit_rows(prepared, keys, hol)
+    hist = rows.select(*keys, "ds", F.lit(False).alias("is_future"), F.col("yfit").alias("yhat"), "sigma")
+    last = rows.filter(F.col("ds") == F.col("last_ds")).select(*_model_cols(keys))
+    fut = last.withColumn("ds", F.explode(F.sequence(F.date_add("last_ds", 1), F.date_add("last_ds", periods))))
+    fut = _with_holiday_flag(fut, hol).select(*keys, "ds", F.lit(True).alias("is_future"),
+                                              _yhat(fut).alias("yhat"), "sigma")
+    band = F.lit(Z80) * F.col("sigma")
+    return hist.unionByName(fut).select(*keys, "ds", "is_future", "yhat",
+                                        (F.col("yhat") - band).alias("yhat_lower"),
+                                        (F.col("yhat") + band).alias("yhat_upper"))
 
 
 # ---------------------------------------------------------------- J5
