@@ -70,17 +70,26 @@ def two_decimals(column: str) -> Rule:
     return Rule(column, "two_decimals", _skip_null(column, c * 100 == F.floor(c * 100)))
 
 
+def rule_aggs(rules: Sequence[Rule], prefix: str = "_r") -> list[Column]:
+    """count_if(!rule) per rule, to be placed in a shared aggregate."""
+    return [count_if(~r.predicate).alias(f"{prefix}{i}") for i, r in enumerate(rules)]
+
+
+def rule_structs(rules: Sequence[Rule], prefix: str = "_r") -> list[Column]:
+    """(rule_order, column, check, failures) structs over the aggregate row."""
+    return [F.struct(F.lit(i).alias("rule_order"), F.lit(r.column).alias("column"),
+                     F.lit(r.check).alias("check"), F.col(f"{prefix}{i}").alias("failures"))
+            for i, r in enumerate(rules)]
+
+
 def run_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Evaluate every rule in one pass: a single global aggregate of
     count_if(!rule) (partial per task, one tiny final merge), then the wide
     row is stacked to (column, check, failures, passed, rule_order)."""
     if not rules:
         raise ValueError("no rules")
-    wide = df.agg(*[count_if(~r.predicate).alias(f"_r{i}") for i, r in enumerate(rules)])
-    long = wide.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("rule_order"), F.lit(r.column).alias("column"),
-                 F.lit(r.check).alias("check"), F.col(f"_r{i}").alias("failures"))
-        for i, r in enumerate(rules)])))
+    wide = df.agg(*rule_aggs(rules))
+    long = wide.select(F.inline(F.array(*rule_structs(rules))))
     return long.withColumn("passed", F.col("failures") == 0)
 
 

@@ -207,17 +207,15 @@ def processed_schema_checks(df: DataFrame, expected: dict[str, str]) -> DataFram
 
 
 # ---------------------------------------------------------------- F3
-def expectation_suite(df: DataFrame) -> DataFrame:
-    """the 18 expectations of the retail suite.  Table-, column-map- and
-    aggregate-expectations share one global aggregate; bounds are inclusive.
-    Output (expectation, column, observed, success), observed being the
-    unexpected-row count for row expectations."""
+def expectation_parts(df: DataFrame, prefix: str = "_e") -> tuple[list[Column], list[Column]]:
+    """The 18 expectations as (aggregate columns, result structs over the
+    aggregate row), so they can share one aggregate with other checks."""
     cols = df.columns
     expected_cols = ["date", "sales", "items", "store_id", "product_category"]
-    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs = [F.count(F.lit(1)).alias(f"{prefix}n")]
     present = [c for c in expected_cols if c in cols]
     for c in present:
-        aggs.append(count_if(F.col(c).isNull()).alias(f"null_{c}"))
+        aggs.append(count_if(F.col(c).isNull()).alias(f"{prefix}null_{c}"))
     checks: list[tuple[str, str, Column]] = []
     if "sales" in cols:
         checks.append(("expect_column_values_to_be_between", "sales",
@@ -233,35 +231,43 @@ def expectation_suite(df: DataFrame) -> DataFrame:
         checks.append(("expect_column_values_to_match_regex", "store_id",
                        F.col("store_id").isNotNull() & ~F.col("store_id").rlike(STORE_ID_PATTERN)))
     for i, (_, _, bad) in enumerate(checks):
-        aggs.append(count_if(bad).alias(f"bad_{i}"))
+        aggs.append(count_if(bad).alias(f"{prefix}bad_{i}"))
     if "sales" in cols:
-        aggs += [F.avg("sales").alias("mean_sales"), F.stddev_samp("sales").alias("std_sales")]
-    row = df.agg(*aggs)
+        aggs += [F.avg("sales").alias(f"{prefix}mean_sales"), F.stddev_samp("sales").alias(f"{prefix}std_sales")]
+    c = lambda name: F.col(f"{prefix}{name}")
     items = [
-        ("expect_table_row_count_to_be_between", None, F.col("n").cast("double"),
-         F.col("n").between(MIN_ROWS, MAX_ROWS)),
+        ("expect_table_row_count_to_be_between", None, c("n").cast("double"), c("n").between(MIN_ROWS, MAX_ROWS)),
         ("expect_table_columns_to_match_ordered_list", None, F.lit(None).cast("double"),
          F.lit(cols == expected_cols)),
     ]
-    for c in expected_cols:
-        items.append(("expect_column_to_exist", c, F.lit(None).cast("double"), F.lit(c in cols)))
-    for c in expected_cols:
-        if c in present:
-            items.append(("expect_column_values_to_not_be_null", c, F.col(f"null_{c}").cast("double"),
-                          F.col(f"null_{c}") == 0))
+    for col in expected_cols:
+        items.append(("expect_column_to_exist", col, F.lit(None).cast("double"), F.lit(col in cols)))
+    for col in expected_cols:
+        if col in present:
+            items.append(("expect_column_values_to_not_be_null", col, c(f"null_{col}").cast("double"),
+                          c(f"null_{col}") == 0))
         else:
-            items.append(("expect_column_values_to_not_be_null", c, F.lit(None).cast("double"), F.lit(False)))
-    for i, (name, c, _) in enumerate(checks):
-        items.append((name, c, F.col(f"bad_{i}").cast("double"), F.col(f"bad_{i}") == 0))
+            items.append(("expect_column_values_to_not_be_null", col, F.lit(None).cast("double"), F.lit(False)))
+    for i, (name, col, _) in enumerate(checks):
+        items.append((name, col, c(f"bad_{i}").cast("double"), c(f"bad_{i}") == 0))
     if "sales" in cols:
-        items.append(("expect_column_mean_to_be_between", "sales", F.col("mean_sales"),
-                      F.coalesce(F.col("mean_sales").between(0, 50000), F.lit(False))))
-        items.append(("expect_column_stdev_to_be_between", "sales", F.col("std_sales"),
-                      F.coalesce(F.col("std_sales").between(0, 100000), F.lit(False))))
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("expectation_order"), F.lit(name).alias("expectation"),
-                 F.lit(c).cast("string").alias("column"), obs.alias("observed"), ok.alias("success"))
-        for i, (name, c, obs, ok) in enumerate(items)])))
+        items.append(("expect_column_mean_to_be_between", "sales", c("mean_sales"),
+                      F.coalesce(c("mean_sales").between(0, 50000), F.lit(False))))
+        items.append(("expect_column_stdev_to_be_between", "sales", c("std_sales"),
+                      F.coalesce(c("std_sales").between(0, 100000), F.lit(False))))
+    structs = [F.struct(F.lit(i).alias("expectation_order"), F.lit(name).alias("expectation"),
+                        F.lit(col).cast("string").alias("column"), obs.alias("observed"), ok.alias("success"))
+               for i, (name, col, obs, ok) in enumerate(items)]
+    return aggs, structs
+
+
+def expectation_suite(df: DataFrame) -> DataFrame:
+    """the 18 expectations of the retail suite.  Table-, column-map- and
+    aggregate-expectations share one global aggregate; bounds are inclusive.
+    Output (expectation, column, observed, success), observed being the
+    unexpected-row count for row expectations."""
+    aggs, structs = expectation_parts(df)
+    return df.agg(*aggs).select(F.inline(F.array(*structs)))
 
 
 # ---------------------------------------------------------------- F6
@@ -337,21 +343,30 @@ def threshold_gate(metrics: DataFrame) -> DataFrame:
 def validate_all(spark: SparkSession, df: DataFrame, rules: Sequence[Rule],
                  dataset: str = "retail_sales") -> DataFrame:
     """metrics + schema rules + expectation suite + drift stacked into
-    one long frame (section, name, column, observed, success, dataset)."""
+    one long frame (section, name, column, observed, success, dataset).
+
+    Two passes over the input: the metrics' group-by-all-columns aggregate
+    (duplicates, null and business counts) and ONE global aggregate shared
+    by every schema rule and every expectation; drift reads the schema only."""
+    from shelfline.functions.rules import rule_aggs, rule_structs
     metrics = quality_metrics(df).select(
         F.lit("metrics").alias("section"), F.col("metric").alias("name"),
         F.lit(None).cast("string").alias("column"), F.col("value").alias("observed"),
         F.lit(None).cast("boolean").alias("success"))
-    schema = schema_checks(df, rules).select(
-        F.lit("schema").alias("section"), F.col("check").alias("name"), "column",
-        F.col("failures").cast("double").alias("observed"), F.col("passed").alias("success"))
-    suite = expectation_suite(df).select(
-        F.lit("expectations").alias("section"), F.col("expectation").alias("name"), "column",
-        "observed", "success")
+    e_aggs, e_structs = expectation_parts(df)
+    wide = df.agg(*rule_aggs(rules), *e_aggs)
+    as_item = lambda section, name, column, observed, success: F.struct(
+        F.lit(section).alias("section"), name.alias("name"), column.cast("string").alias("column"),
+        observed.cast("double").alias("observed"), success.alias("success"))
+    items = [as_item("schema", s_.getField("check"), s_.getField("column"), s_.getField("failures"),
+                     s_.getField("failures") == 0) for s_ in rule_structs(rules)]
+    items += [as_item("expectations", s_.getField("expectation"), s_.getField("column"),
+                      s_.getField("observed"), s_.getField("success")) for s_ in e_structs]
+    checks = wide.select(F.inline(F.array(*items)))
     drift = schema_drift(spark, df).select(
         F.lit("drift").alias("section"), F.col("kind").alias("name"), "column",
         F.lit(None).cast("double").alias("observed"), F.lit(False).alias("success"))
-    return (metrics.unionByName(schema).unionByName(suite).unionByName(drift)
+    return (metrics.unionByName(checks).unionByName(drift)
             .withColumn("dataset", F.lit(dataset)))
 
 

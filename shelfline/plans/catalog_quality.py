@@ -165,7 +165,7 @@ select count(*) as n from (
 
 
 @register("pipeline_metrics", with_views("""
-select 'clean' as stage, (select count(*) from daily_sales) as input_rows,
+select 'transform' as stage, (select count(*) from daily_sales) as input_rows,
        (select count(*) from clean) as output_rows,
        (select count(*) from daily_sales) - (select count(*) from clean) as rows_dropped,
        5 as features_added
@@ -177,13 +177,16 @@ select 'complete', (select count(*) from grp), (select n from completed),
        (select count(*) from grp) - (select n from completed), 0""",
     "daily_sales", ctes=CLEAN_CTES + [("grp", O_GROUP), ("completed", O_COMPLETED_COUNT)]))
 def q_pipeline_metrics(spark, sf_dir):
-    from shelfline.plans.flows import stage_counts
-    raw = V.daily_sales(spark, sf_dir)
-    feat = featured_sales(spark, sf_dir)
-    grouped = X.daily_group(feat)
-    completed = X.calendar_complete(grouped, keys=("store_id", "product_category"), fill="pad")
-    return stage_counts([("clean", raw, feat, 5), ("group", feat, grouped, 0),
-                         ("complete", grouped, completed, 0)])
+    """Stage counts observed while the validated ETL flow (P2) writes its
+    output (the raw file is the daily_sales table staged as CSV)."""
+    from shelfline.plans.flows import etl_validated
+    from shelfline.session import scratch_dir
+    from shelfline.sources import sinks as B
+    import os
+    path = os.path.join(scratch_dir(spark, "bronze"), "daily_sales.csv")
+    B.write_as(V.daily_sales(spark, sf_dir), path, fmt="csv", compression="none")
+    _, _, _, metrics = etl_validated(spark, path, scratch_dir(spark, "validated"), AS_OF, fail_fast=False)
+    return metrics
 
 
 # ---------------------------------------------------------------- F1

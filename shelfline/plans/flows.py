@@ -88,8 +88,11 @@ def etl_validated(spark, in_path: str, out_path: str, as_of, fail_fast: bool = T
     (C7) -> daily group (E1) -> per-series calendar pad (D3) -> processed
     checks (F2) -> save with statistics (B2).
 
-    Returns (raw validation results, processed checks, save stats, stage
-    metrics) as DataFrames; the cleaned data is at `out_path`."""
+    Stage row counts (E8) are Observations on the stage frames, filled while
+    the final write runs: no extra pass per stage.  Returns (raw validation
+    results, processed checks, save stats, stage metrics); the cleaned data
+    is at `out_path`."""
+    from pyspark.sql import Observation
     from shelfline.functions.rules import raw_rules
     from shelfline.operators import quality as Q
     from shelfline.operators import transform as X
@@ -100,14 +103,22 @@ def etl_validated(spark, in_path: str, out_path: str, as_of, fail_fast: bool = T
     results = Q.validate_all(spark, raw, raw_rules(as_of), dataset=dataset)
     if fail_fast:
         Q.fail_fast(results)
-    clean = X.drop_incomplete(X.coerce_types(X.require_columns(raw, DAILY_SALES_COLUMNS)))
-    feat = X.zscore(X.calendar_features(clean))
-    grouped = X.daily_group(feat)
+    obs = {n: Observation(f"stage_{n}") for n in ("raw", "features", "grouped")}
+    count = F.count(F.lit(1)).alias("rows")
+    raw_o = raw.observe(obs["raw"], count)
+    clean = X.drop_incomplete(X.coerce_types(X.require_columns(raw_o, DAILY_SALES_COLUMNS)))
+    feat = X.zscore(X.calendar_features(clean)).observe(obs["features"], count)
+    grouped = X.daily_group(feat).observe(obs["grouped"], count)
     completed = X.calendar_complete(grouped, keys=keys, fill="pad")
     checks = Q.processed_schema_checks(completed, PROCESSED_REFERENCE)
     stats = save_with_stats(spark, completed, out_path)
-    metrics = stage_counts([("transform", raw, feat, 5), ("group", feat, grouped, 0),
-                            ("complete", grouped, completed, 0)])
+    n = {k: int(o.get["rows"]) for k, o in obs.items()}
+    n_out = int(stats.first()["rows_saved"])
+    metrics = spark.createDataFrame(
+        [("transform", n["raw"], n["features"], n["raw"] - n["features"], 5),
+         ("group", n["features"], n["grouped"], n["features"] - n["grouped"], 0),
+         ("complete", n["grouped"], n_out, n["grouped"] - n_out, 0)],
+        "stage string, input_rows bigint, output_rows bigint, rows_dropped bigint, features_added int")
     return results, checks, stats, metrics
 
 

@@ -81,3 +81,24 @@ def test_batch_summary_empty_raises(spark):
                                       "price decimal(10,2), on_hand int")
     with pytest.raises(Exception):
         Q.batch_summary(empty).collect()
+
+
+def test_validate_all_sections_and_gate(spark):
+    import pytest
+    res = Q.validate_all(spark, _invalid(spark), RL.raw_rules(AS_OF), dataset="t")
+    sections = {r["section"] for r in res.collect()}
+    assert {"metrics", "schema", "expectations"} <= sections
+    assert Q.overall_success(res).first()["overall_success"] is False
+    with pytest.raises(ValueError):
+        Q.fail_fast(res)
+    ok = Q.validate_all(spark, _valid(spark), RL.raw_rules(AS_OF))
+    assert Q.overall_success(ok).first()["overall_success"] is True
+
+
+def test_presets_merge():
+    from shelfline.plans.presets import settings_for
+    dev = settings_for("development", base="s3a://bucket/root")
+    assert dev.fail_fast_on_validation is False and dev.max_retries == 1
+    assert dev.output_root == "s3a://bucket/root/processed-dev"
+    prod = settings_for("production", compression="zstd")
+    assert prod.fail_fast_on_validation is True and prod.compression == "zstd"
