@@ -46,3 +46,22 @@ def one_row(agg_df: DataFrame) -> Row:
 
 def round_cols(df: DataFrame, cols: Iterable[str], digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
+
+
+def ntz_literal(value) -> Column:
+    """A wall-clock timestamp literal (timestamp_ntz): independent of the
+    session and the driver's time zones."""
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def epoch_micros(df: DataFrame, name: str) -> Column:
+    """Microseconds since the epoch of a timestamp column.  For a
+    timestamp_ntz column the wall clock is read as UTC, so no session time
+    zone (and no DST jump) enters the arithmetic."""
+    dt_ = df.schema[name].dataType
+    if isinstance(dt_, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), F.col(name))
+    return F.unix_micros(F.col(name).cast("timestamp"))

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfline.functions.columns import ntz_literal
+
 T_ORIGIN = dt.date(2020, 1, 1)      # day 0 of the trend variable
 Z80 = 1.2815515655                  # two-sided 80 % normal quantile
 YEARLY_MIN_DAYS = 730               # yearly effect only with >= 2 years
@@ -375,4 +377,4 @@ def forecast_metadata(forecast: DataFrame, horizon: int, model_type: str,
                       generated_at: dt.datetime) -> DataFrame:
     """Request metadata beside every forecast row."""
     return forecast.withColumns({"horizon": F.lit(horizon), "model_type": F.lit(model_type),
-                                 "generated_at": F.lit(generated_at).cast("timestamp_ntz")})
+                                 "generated_at": ntz_literal(generated_at)})

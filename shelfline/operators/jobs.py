@@ -9,6 +9,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfline.functions.columns import ntz_literal
+
 MAX_PAGE_SIZE = 100
 
 
@@ -92,12 +94,12 @@ def queue_statistics(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- L6
 def expired_jobs(df: DataFrame, as_of: dt.datetime, days: int = 30) -> DataFrame:
     """Jobs created more than `days` before `as_of`."""
-    cutoff = F.lit(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
+    cutoff = ntz_literal(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
     return df.filter(F.col("created_at") < cutoff)
 
 
 def retained_jobs(df: DataFrame, as_of: dt.datetime, days: int = 30) -> DataFrame:
-    cutoff = F.lit(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
+    cutoff = ntz_literal(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
     return df.filter(~(F.col("created_at") < cutoff) | F.col("created_at").isNull())
 
 

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfline.functions.columns import epoch_micros
+
 # Fixed values of the reference's request middleware.
 HEALTH_PATHS = ["/health", "/health/liveness", "/health/readiness"]
 RATE_LIMIT_PER_MINUTE = 60
@@ -88,7 +90,7 @@ def client_rate(requests: DataFrame, seconds: int = RATE_WINDOW_SECONDS, bucket_
     its bucket start finds the earlier rows among the context copies."""
     if bucket_seconds < seconds:
         raise ValueError("bucket_seconds must be >= seconds")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = epoch_micros(requests, "ts")
     b_us = bucket_seconds * 1_000_000
     base = requests.withColumns({"_us": us, "_bucket": F.floor(us / F.lit(b_us)), "_ctx": F.lit(False)})
     ctx = (base.filter(F.col("_us") - F.col("_bucket") * b_us >= b_us - seconds * 1_000_000)
@@ -135,7 +137,7 @@ def rate_limit_decisions(requests: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE
     in (ts, request_id) order; only accepted requests are remembered; health
     paths are exempt and not remembered."""
     cols = ["request_id", "ts", "client_id", "path"]
-    r = requests.select(*cols).withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    r = requests.select(*cols).withColumn("_us", epoch_micros(requests, "ts"))
     ordered = r.repartition("client_id").sortWithinPartitions("client_id", "_us", "request_id")
     schema = T.StructType([f for f in r.schema.fields if f.name != "_us"]
                           + [T.StructField("allowed", T.BooleanType())])

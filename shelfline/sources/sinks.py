@@ -10,6 +10,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from shelfline.functions.columns import ntz_literal
+
 ZONES = ("bronze", "silver", "gold")
 
 
@@ -69,7 +71,7 @@ def write_report(results: DataFrame, path: str, dataset: str, as_of: dt.datetime
     """Timestamped validation report as JSON lines (one object per
     result row with the report metadata), appended under dataset=<name>."""
     rep = results.withColumns({"dataset": F.lit(dataset),
-                               "report_time": F.lit(as_of).cast("timestamp_ntz")})
+                               "report_time": ntz_literal(as_of)})
     (rep.select("dataset", F.to_json(F.struct(*[c for c in rep.columns if c != "dataset"])).alias("value"))
         .write.mode("append").partitionBy("dataset").text(path))
 
