@@ -118,6 +118,16 @@ def default_holidays(spark: SparkSession) -> DataFrame:
     return us_holidays(spark, *HOLIDAY_YEARS)
 
 
+def with_holidays(df: DataFrame, holidays: DataFrame, date: str = "ds") -> DataFrame:
+    """Dates matched to the holiday calendar (left join; names of
+    holidays falling on the same day joined with ", ").  The calendar side
+    is one row per date of a fixed small table, so it is broadcast."""
+    names = holidays.groupBy(F.col("ds").alias("_hd")).agg(
+        F.array_join(F.array_sort(F.collect_list("holiday")), ", ").alias("holiday"))
+    return (df.join(F.broadcast(names), F.col(date) == F.col("_hd"), "left").drop("_hd")
+              .withColumn("is_holiday", F.col("holiday").isNotNull()))
+
+
 # ---------------------------------------------------------------- J3
 def future_frame(prepared: DataFrame, keys: Sequence[str], periods: int = DEFAULT_PERIODS) -> DataFrame:
     """History dates of each series plus `periods` further days."""

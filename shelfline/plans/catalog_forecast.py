@@ -145,6 +145,16 @@ def q_us_holidays(spark, sf_dir):
     return J.holidays_for(prepared(spark, sf_dir), PERIODS)
 
 
+# ---------------------------------------------------------------- G3
+@register("holiday_join", fsql("""
+select p.sku, p.ds, h.holiday, h.holiday is not null as is_holiday
+from prep p left join (select ds, string_agg(holiday, ', ' order by holiday) as holiday
+                       from hol group by ds) h on p.ds = h.ds"""))
+def q_holiday_join(spark, sf_dir):
+    prep = prepared(spark, sf_dir).select("sku", "ds")
+    return J.with_holidays(prep, J.default_holidays(spark))
+
+
 # ---------------------------------------------------------------- J3
 @register("future_frame", fsql("select sku, ds, is_future from frame"))
 def q_future_frame(spark, sf_dir):
