@@ -72,29 +72,27 @@ def series_prepare(df: DataFrame, keys: Sequence[str], date: str = "date", y: st
 # ---------------------------------------------------------------- J2
 def us_holidays_for_years(years: DataFrame) -> DataFrame:
     """(ds, holiday) for every year in the one-column frame `years`,
-    including weekend-observed days (Saturday -> Friday, Sunday -> Monday)."""
+    including weekend-observed days (Saturday -> Friday, Sunday -> Monday).
+    One projection: every rule is a (date, name) struct of the year, the
+    array is exploded and rules that do not apply (null date) dropped."""
     y = F.col("year")
-    parts = []
+    items = []
     for name, month, day, first in FIXED_DATE_HOLIDAYS:
-        d = F.make_date(y, F.lit(month), F.lit(day))
-        base = years.filter(y >= first).select(d.alias("ds"), F.lit(name).alias("holiday"))
-        parts.append(base)
-        dow = F.dayofweek("ds")
-        parts.append(base.filter(dow.isin(1, 7)).select(
-            F.when(dow == 7, F.date_sub("ds", 1)).otherwise(F.date_add("ds", 1)).alias("ds"),
-            F.concat(F.col("holiday"), F.lit(" (observed)")).alias("holiday")))
+        d = F.when(y >= first, F.make_date(y, F.lit(month), F.lit(day)))
+        dow = F.dayofweek(d)
+        observed = (F.when(dow == 7, F.date_sub(d, 1)).when(dow == 1, F.date_add(d, 1)))
+        items.append(F.struct(d.alias("ds"), F.lit(name).alias("holiday")))
+        items.append(F.struct(observed.alias("ds"), F.lit(name + " (observed)").alias("holiday")))
     for name, month, wd, nth in NTH_WEEKDAY_HOLIDAYS:
         first_day = F.make_date(y, F.lit(month), F.lit(1))
         d = F.date_add(F.next_day(F.date_sub(first_day, 1), wd), 7 * (nth - 1))
-        parts.append(years.select(d.alias("ds"), F.lit(name).alias("holiday")))
+        items.append(F.struct(d.alias("ds"), F.lit(name).alias("holiday")))
     for name, month, wd in LAST_WEEKDAY_HOLIDAYS:
         last_day = F.last_day(F.make_date(y, F.lit(month), F.lit(1)))
         d = F.date_sub(F.next_day(last_day, wd), 7)
-        parts.append(years.select(d.alias("ds"), F.lit(name).alias("holiday")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        items.append(F.struct(d.alias("ds"), F.lit(name).alias("holiday")))
+    return (years.select(F.inline(F.array(*items)))
+                 .filter(F.col("ds").isNotNull()))
 
 
 def us_holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
@@ -236,24 +234,27 @@ def _yhat(models_like: DataFrame) -> Column:
 
 def forecast_trend_season(prepared: DataFrame, keys: Sequence[str], periods: int = DEFAULT_PERIODS,
                           holidays: DataFrame | None = None) -> DataFrame:
-    """J4 end to end: history rows take their fitted value from the fit
-    pass itself; the horizon is exploded from each series' last row, which
-    carries the series' coefficients.  No model-table join, no extra
-    shuffle: J1's aggregate and the fit's repartition are the only ones."""
+    """J4 end to end in one pass over the fitted rows: every history row
+    emits itself with its fitted value, and each series' last row also emits
+    the `periods` horizon days (it carries the series' coefficients, which
+    are window aggregates present on every row).  No model-table join and
+    no second evaluation of the fit: J1's aggregate and the fit's
+    repartition are the only shuffles."""
     if not 1 <= periods <= 365:
         raise ValueError("periods must be in 1..365")
     keys = list(keys)
     hol = holidays if holidays is not None else default_holidays(prepared.sparkSession)
     rows = _fit_rows(prepared, keys, hol)
-    hist = rows.select(*keys, "ds", F.lit(False).alias("is_future"), F.col("yfit").alias("yhat"), "sigma")
-    last = rows.filter(F.col("ds") == F.col("last_ds")).select(*_model_cols(keys))
-    fut = last.withColumn("ds", F.explode(F.sequence(F.date_add("last_ds", 1), F.date_add("last_ds", periods))))
-    fut = _with_holiday_flag(fut, hol).select(*keys, "ds", F.lit(True).alias("is_future"),
-                                              _yhat(fut).alias("yhat"), "sigma")
+    days = F.when(F.col("ds") == F.col("last_ds"),
+                  F.sequence(F.col("ds"), F.date_add("ds", periods))).otherwise(F.array(F.col("ds")))
+    out = rows.select(*_model_cols(keys), F.col("ds").alias("_obs"), "yfit", days.alias("_days"))
+    out = out.select("*", F.explode("_days").alias("ds")).drop("_days")
+    out = _with_holiday_flag(out, hol)
+    is_future = F.col("ds") > F.col("_obs")
+    yhat = F.when(is_future, _yhat(out)).otherwise(F.col("yfit"))
     band = F.lit(Z80) * F.col("sigma")
-    return hist.unionByName(fut).select(*keys, "ds", "is_future", "yhat",
-                                        (F.col("yhat") - band).alias("yhat_lower"),
-                                        (F.col("yhat") + band).alias("yhat_upper"))
+    return out.select(*keys, "ds", is_future.alias("is_future"), yhat.alias("yhat"),
+                      (yhat - band).alias("yhat_lower"), (yhat + band).alias("yhat_upper"))
 
 
 # ---------------------------------------------------------------- J5
