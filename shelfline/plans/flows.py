@@ -59,9 +59,11 @@ def clearance_plan(forecast: DataFrame, sales: DataFrame, params: DataFrame | No
     latest = sales.groupBy(*keys).agg(F.max_by("on_hand", order).alias("on_hand"),
                                       F.max_by("price", order).alias("price"))
     rows = demand.join(latest, list(keys)).withColumn("units_sold", F.col("demand"))
-    # One row per SKU behind an expensive forecast lineage: materialise it
-    # once in the shared checkpoint folder so the plan's two passes reuse it.
-    rows = rows.checkpoint(eager=True)
+    # One row per SKU behind an expensive forecast lineage: write it once to
+    # the shared folder so the plan's two passes read it instead of
+    # re-running the forecast.
+    from shelfline.session import materialize
+    rows = materialize(rows, "reorder_rows")
     return R.optimize(rows, params, cfg)
 
 

@@ -83,3 +83,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     intermediate tables (never a machine-local path on a cluster)."""
     root = ensure_checkpoint_dir(spark)
     return os.path.join(root.rstrip("/"), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing `df` as a Parquet table in the shared scratch
+    folder and reading it back: one computation of the plan (a reliable
+    `checkpoint()` computes it once more to write the files) and the result
+    survives executor loss."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
