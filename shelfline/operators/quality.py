@@ -19,7 +19,7 @@ from shelfline.functions.columns import count_if
 from shelfline.functions.rules import (
     SALES_CATEGORIES, STORE_ID_PATTERN, Rule, failure_reasons, run_rules,
 )
-from shelfline.schemas import DRIFT_REFERENCE, type_family
+from shelfline.schemas import type_family
 
 # Pandas dtype names the reference's drift report compares.
 PANDAS_DTYPE = {

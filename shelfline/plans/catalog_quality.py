@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfline.functions import rules as RL
 from shelfline.operators import quality as Q
-from shelfline.operators import transform as X
-from shelfline.plans.catalog_transform import CLEAN_CTES, O_GROUP, clean_sales, featured_sales
+from shelfline.plans.catalog_transform import CLEAN_CTES, O_GROUP, featured_sales
 from shelfline.plans.oracle_views import with_views
 from shelfline.plans.registry import register
 from shelfline.sources import fixtures as V

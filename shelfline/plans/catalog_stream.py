@@ -6,15 +6,12 @@ completion (availableNow) and returns what its sink holds."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.operators import jobs as L
-from shelfline.plans.catalog_logs import JOB_COLS, LIMIT_PER_WINDOW, LIMIT_WINDOW_SECONDS
+from shelfline.plans.catalog_logs import LIMIT_PER_WINDOW, LIMIT_WINDOW_SECONDS
 from shelfline.plans.catalog_quality import AS_OF
-from shelfline.plans.catalog_transform import CLEAN_CTES
 from shelfline.plans.oracle_views import with_views
 from shelfline.plans.registry import register
 from shelfline.schemas import DAILY_SALES
