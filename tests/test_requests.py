@@ -126,3 +126,38 @@ def test_paging(spark):
     assert c[0]["has_more"] is True and c[0]["next_cursor"] == 4
     with pytest.raises(ValueError):
         L.page_offset(df, ["k"], page=0)
+
+
+def test_stream_endpoint_windows_equal_batch(spark):
+    df, rows = _requests(spark, n=300, seed=5)
+    in_dir = scratch_dir(spark, "t_req2")
+    stage_in_order(df, "ts", in_dir, chunks=4, files_per_chunk=1)
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(in_dir)
+    out = scratch_dir(spark, "t_win")
+    N.write_append(N.stream_endpoint_metrics(src, window="10 minutes", watermark="10 minutes"),
+                   out, scratch_dir(spark, "t_ck3")).awaitTermination()
+    got = {(r["w"]["start"], r["endpoint"]): (r["request_count"], r["error_count"], r["min"], r["max"])
+           for r in spark.read.parquet(out).collect()}
+    assert got, "no window was closed by the watermark"
+    batch = (M.endpoint_key(df).groupBy(F.window("ts", "10 minutes").alias("w"), "endpoint")
+             .agg(F.count(F.lit(1)).alias("n"),
+                  F.sum(F.when(F.col("status_code") >= 400, 1).otherwise(0)).alias("e"),
+                  F.min("processing_time").alias("mn"), F.max("processing_time").alias("mx")).collect())
+    want = {(r["w"]["start"], r["endpoint"]): (r["n"], r["e"], r["mn"], r["mx"]) for r in batch}
+    for k, v in got.items():
+        assert want[k] == v
+
+
+def test_stream_quality_batches_cover_input(spark):
+    from shelfline.streaming import ingest as S
+    rows = [(T0.date() + dt.timedelta(days=i % 20), float(i), i % 7, f"S{i % 3}", "Food") for i in range(120)]
+    df = spark.createDataFrame(rows, "date date, sales double, items bigint, store_id string, product_category string")
+    in_dir = scratch_dir(spark, "t_sales")
+    stage_in_order(df, "date", in_dir, fmt="csv", chunks=3, files_per_chunk=1)
+    out = scratch_dir(spark, "t_q")
+    S.stream_quality(spark, in_dir, out, scratch_dir(spark, "t_ck4"), dt.date(2026, 12, 31),
+                     max_files_per_trigger=1).awaitTermination()
+    m = spark.read.parquet(out)
+    total = m.filter("kind = 'metric' and name = 'total_rows'").agg(F.sum("value")).first()[0]
+    assert total == 120 and m.select("batch_id").distinct().count() == 3
+    assert m.filter("kind = 'rule'").count() == 3 * 15
