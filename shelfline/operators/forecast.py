@@ -332,28 +332,32 @@ def forecast_piecewise(prepared: DataFrame, keys: Sequence[str], periods: int =
 AR_CANDIDATES = ("drift", "ar1", "seasonal_naive", "seasonal_diff_ar1")
 
 
-def forecast_ar_select(prepared: DataFrame, keys: Sequence[str], m: int = 12) -> DataFrame:
-    """Choose per series among drift, AR(1), seasonal naive (lag m) and
-    AR(1) on lag-m differences by AIC = n ln(SSE/n) + 2k, all candidates
-    scored on the same rows (those with m+1 lags available).  Lags come
-    from one ordered window per series (bounded by its days), parameters
-    and SSE from built-in regression aggregates in one grouped pass."""
-    keys = list(keys)
+def _ar_lags(prepared: DataFrame, keys: Sequence[str], m: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("ds")
     y = (F.col("sy") / F.col("n"))
-    r = prepared.select(*keys, "ds", y.alias("y")).withColumns({
-        "y1": F.lag("y", 1).over(w), "ym": F.lag("y", m).over(w), "ym1": F.lag("y", m + 1).over(w)})
+    return prepared.select(*keys, "ds", y.alias("y")).withColumns({
+        "y1": F.lag("y", 1).over(w), "ym": F.lag("y", m).over(w), "ym1": F.lag("y", m + 1).over(w),
+        "_last": F.array(*[F.lag("y", m - 1 - i).over(w) for i in range(m - 1)], F.col("y")),
+        "_is_last": F.lead("ds").over(w).isNull()})
+
+
+def _ar_fit(r: DataFrame, keys: Sequence[str]) -> DataFrame:
     r = r.filter(F.col("ym1").isNotNull()).withColumns({
         "dy": F.col("y") - F.col("y1"),
         "dm": F.col("y") - F.col("ym"), "dm1": F.col("y1") - F.col("ym1")})
-    g = r.groupBy(*keys).agg(
+    return r.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.var_pop("dy").alias("v_dy"),
+        F.var_pop("dy").alias("v_dy"), F.avg("dy").alias("c_drift"),
         F.regr_syy("y", "y1").alias("syy1"), F.regr_sxy("y", "y1").alias("sxy1"),
         F.regr_sxx("y", "y1").alias("sxx1"),
+        F.regr_intercept("y", "y1").alias("a1"), F.regr_slope("y", "y1").alias("b1"),
         F.sum(F.col("dm") * F.col("dm")).alias("sse_sn"),
         F.regr_syy("dm", "dm1").alias("syy2"), F.regr_sxy("dm", "dm1").alias("sxy2"),
-        F.regr_sxx("dm", "dm1").alias("sxx2"))
+        F.regr_sxx("dm", "dm1").alias("sxx2"),
+        F.regr_intercept("dm", "dm1").alias("a2"), F.regr_slope("dm", "dm1").alias("b2"))
+
+
+def _ar_choose(g: DataFrame, keys: Sequence[str]) -> DataFrame:
     nn = F.col("n").cast("double")
 
     def ols_sse(syy: str, sxy: str, sxx: str) -> Column:
@@ -372,6 +376,52 @@ def forecast_ar_select(prepared: DataFrame, keys: Sequence[str], m: int = 12) ->
     return best.select(*keys, "n", "b.model", "b.k", "b.sse", "b.aic")
 
 
+def forecast_ar_select(prepared: DataFrame, keys: Sequence[str], m: int = 12) -> DataFrame:
+    """Choose per series among drift, AR(1), seasonal naive (lag m) and
+    AR(1) on lag-m differences by AIC = n ln(SSE/n) + 2k, all candidates
+    scored on the same rows (those with m+1 lags available).  Lags come
+    from one ordered window per series (bounded by its days), parameters
+    and SSE from built-in regression aggregates in one grouped pass."""
+    keys = list(keys)
+    return _ar_choose(_ar_fit(_ar_lags(prepared, keys, m), keys), keys)
+
+
+def forecast_ar(prepared: DataFrame, keys: Sequence[str], m: int = 12,
+                periods: int = DEFAULT_PERIODS) -> DataFrame:
+    """J6 horizon: `periods` steps ahead of each series' last observation
+    with its AIC-chosen model.  The recursion runs in the `aggregate`
+    higher-order function over sequence(1..periods), seeded with the
+    series' last m values (bounded state, JVM-side, no Python)."""
+    if not 1 <= periods <= 365:
+        raise ValueError("periods must be in 1..365")
+    keys = list(keys)
+    r = _ar_lags(prepared, keys, m)
+    g = _ar_fit(r, keys)
+    chosen = _ar_choose(g, keys).select(*keys, "model")
+    last = r.filter("_is_last").select(*keys, F.col("ds").alias("last_ds"), F.col("y").alias("y_t"),
+                                       (F.col("y") - F.col("ym")).alias("d_t"), "_last")
+    st = last.join(g.select(*keys, "c_drift", "a1", "b1", "a2", "b2"), keys).join(chosen, keys)
+
+    def d_hat(h: Column) -> Column:      # closed form of d_{T+h} = a2 + b2 d_{T+h-1}
+        b2, a2 = F.col("b2"), F.col("a2")
+        return F.when(b2 == 1.0, F.col("d_t") + h * a2).otherwise(
+            a2 * (F.lit(1.0) - F.pow(b2, h)) / (F.lit(1.0) - b2) + F.pow(b2, h) * F.col("d_t"))
+
+    def step(acc: Column, h: Column) -> Column:
+        hd = h.cast("double")
+        back_m = F.element_at(acc, F.size(acc) - m + 1)          # value m steps before the next one
+        pred = (F.when(F.col("model") == "drift", F.col("y_t") + hd * F.col("c_drift"))
+                 .when(F.col("model") == "ar1", F.col("a1") + F.col("b1") * F.element_at(acc, -1))
+                 .when(F.col("model") == "seasonal_naive", back_m)
+                 .otherwise(back_m + d_hat(hd)))
+        return F.concat(acc, F.array(pred))
+
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(periods)), F.col("_last").cast("array<double>"), step)
+    fc = st.select(*keys, "model", "last_ds", F.slice(path, m + 1, periods).alias("_f"))
+    return fc.select(*keys, "model", "last_ds", F.posexplode("_f").alias("_h", "yhat")).withColumn(
+        "ds", F.date_add(F.col("last_ds"), F.col("_h") + 1)).select(*keys, "ds", "model", "yhat")
+
+
 # ---------------------------------------------------------------- J7 / J9
 def save_models(models: DataFrame, path: str, model_date: dt.date) -> None:
     """Model table as Parquet partitioned by model_date (one directory

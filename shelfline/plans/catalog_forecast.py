@@ -200,6 +200,13 @@ def q_forecast_ar_select(spark, sf_dir):
     return r(J.forecast_ar_select(prepared(spark, sf_dir), KEYS, m=12), ["sse", "aic"])
 
 
+# ---------------------------------------------------------------- J6 horizon (rows only; recursion tested
+# against a Python reference in tests/test_forecast.py)
+@register("forecast_ar_horizon")
+def q_forecast_ar_horizon(spark, sf_dir):
+    return J.forecast_ar(prepared(spark, sf_dir), KEYS, m=12, periods=PERIODS)
+
+
 # ---------------------------------------------------------------- J7
 MODEL_COLS = (["sku", "slope", "holiday_effect", "sigma", "n_obs", "first_ds", "last_ds", "span_days"]
               + [f"a{k}" for k in range(1, 8)] + [f"m{k}" for k in range(1, 13)])

@@ -1,7 +1,9 @@
 """Forecast fit quality on the reference's synthetic series, holidays, J6."""
 
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 
 from shelfline.operators import forecast as J
@@ -66,3 +68,50 @@ def test_piecewise_runs_per_series(spark):
                                + 10 * (((r["ds"] - dt.date(2023, 1, 1)).days) % 7)))
               for r in out.filter("sku = 'S' and not is_future").collect())
     assert err < 2.0
+
+
+def _py_ar_forecast(y, model, m, periods):
+    y = np.asarray(y, dtype=float)
+    t = np.arange(m + 1, len(y))                     # rows with m+1 lags
+    y0, y1, ym, ym1 = y[t], y[t - 1], y[t - m], y[t - m - 1]
+
+    def ols(a, b):
+        bb = np.mean((b - b.mean()) * (a - a.mean())) / np.var(b)
+        return a.mean() - bb * b.mean(), bb
+    hist = list(y[-m:])
+    out = []
+    for h in range(1, periods + 1):
+        if model == "drift":
+            p = y[-1] + h * np.mean(y0 - y1)
+        elif model == "ar1":
+            a, b = ols(y0, y1)
+            p = a + b * hist[-1]
+        elif model == "seasonal_naive":
+            p = hist[-m]
+        else:
+            a, b = ols(y0 - ym, y1 - ym1)
+            d = y[-1] - y[-1 - m]
+            for _ in range(h):
+                d = a + b * d
+            p = hist[-m] + d
+        hist.append(p)
+        out.append(p)
+    return out
+
+
+def test_ar_horizon_matches_python_recursion(spark):
+    rnd = random.Random(11)
+    start = dt.date(2023, 1, 1)
+    series = {
+        "P": [float([5, 9, 2, 7, 1, 8, 3, 6, 4, 0, 2, 5][i % 12]) for i in range(80)],
+        "R": [10.0 + 0.8 * i + rnd.gauss(0, 2) for i in range(80)],
+        "Q": [50.0 + 10 * ((i % 12) > 5) + rnd.gauss(0, 1) + 0.1 * i for i in range(80)],
+    }
+    rows = [(k, start + dt.timedelta(days=i), v) for k, ys in series.items() for i, v in enumerate(ys)]
+    prep = J.series_prepare(spark.createDataFrame(rows, "sku string, date date, units_sold double"), ["sku"])
+    fc = J.forecast_ar(prep, ["sku"], m=12, periods=15).collect()
+    for k, ys in series.items():
+        got = sorted((r["ds"], r["yhat"], r["model"]) for r in fc if r["sku"] == k)
+        assert len(got) == 15 and got[0][0] == start + dt.timedelta(days=80)
+        want = _py_ar_forecast(ys, got[0][2], 12, 15)
+        np.testing.assert_allclose([g[1] for g in got], want, rtol=1e-7, atol=1e-7)
