@@ -39,3 +39,24 @@ def test_sample_against_oracle(spark):
         sdf = q[key](spark, SF_SMALL)
         cols, res = _oracle(o[key])
         assert rows_of(sdf.columns, [tuple(r) for r in sdf.collect()]) == rows_of(cols, res), key
+
+
+def test_entry_loaded_by_path_runs_pandas_udfs(tmp_path):
+    """The driver may load the entry module by file path from another
+    directory; grouped-map functions must still import on the workers."""
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import importlib.util
+spec = importlib.util.spec_from_file_location('entry_mod', {os.path.join(repo, '__spark_entry__.py')!r})
+m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()
+print('ROWS', m.queries()['forecast_piecewise'](s, {SF_SMALL!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), env=env,
+                         capture_output=True, text=True, timeout=600)
+    assert "ROWS " in out.stdout, out.stderr[-2000:]
+    assert int(out.stdout.split("ROWS ")[1].split()[0]) > 0
