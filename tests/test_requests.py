@@ -161,3 +161,14 @@ def test_stream_quality_batches_cover_input(spark):
     total = m.filter("kind = 'metric' and name = 'total_rows'").agg(F.sum("value")).first()[0]
     assert total == 120 and m.select("batch_id").distinct().count() == 3
     assert m.filter("kind = 'rule'").count() == 3 * 15
+
+
+def test_exactly_sixty_seconds_apart(spark):
+    rows = [(0, T0, "c", "GET", "/a", 1.0, 200), (1, T0 + dt.timedelta(seconds=60), "c", "GET", "/a", 1.0, 200),
+            (2, T0 + dt.timedelta(seconds=120, microseconds=1), "c", "GET", "/a", 1.0, 200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    allowed = {r["request_id"]: r["allowed"] for r in M.rate_limit_decisions(df, limit=1, seconds=60).collect()}
+    # the entry 60 s old is not yet evicted (only strictly older ones are)
+    assert allowed == {0: True, 1: False, 2: True}
+    counts = {r["request_id"]: r["requests_in_window"] for r in M.client_rate(df, seconds=60).collect()}
+    assert counts == {0: 1, 1: 2, 2: 1}
