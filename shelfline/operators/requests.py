@@ -102,28 +102,54 @@ def client_rate(requests: DataFrame, seconds: int = RATE_WINDOW_SECONDS, bucket_
 
 
 # ---------------------------------------------------------------- M3
+def limit_segment(ts, accepted: deque, limit: int, window_us: int):
+    """Limiter decisions for one client's non-exempt requests `ts` (int64
+    microseconds, sorted), given the accepted timestamps still in `accepted`
+    (updated in place).  Returns a boolean numpy array.
+
+    Only accepted requests change the state, so when the state is full every
+    request up to the expiry of the oldest accepted one is rejected at once
+    (one `searchsorted`); Python steps run per accepted request and per
+    rejected run, so a hot client costs O(accepted) steps, and accepted
+    requests are bounded by limit x time span / window, not by volume."""
+    import numpy as np
+    n = len(ts)
+    allowed = np.zeros(n, dtype=bool)
+    i = 0
+    while i < n:
+        t = int(ts[i])
+        while accepted and accepted[0] < t - window_us:     # evict strictly older
+            accepted.popleft()
+        if len(accepted) < limit:
+            accepted.append(t)
+            allowed[i] = True
+            i += 1
+        else:
+            # rejected until a request later than accepted[0] + window
+            i = max(i + 1, int(np.searchsorted(ts, accepted[0] + window_us, side="right")))
+    return allowed
+
+
 def _limiter(limit: int, seconds: int, exempt: Sequence[str]):
+    import numpy as np
     window_us = seconds * 1_000_000
-    exempt = set(exempt)
+    exempt = list(exempt)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, accepted = None, deque()
         for pdf in batches:
-            allowed = []
-            for cl, t, path in zip(pdf["client_id"], pdf["_us"], pdf["path"]):
-                if cl != current:
-                    current, accepted = cl, deque()
-                if path in exempt:
-                    allowed.append(True)
-                    continue
-                lo = t - window_us
-                while accepted and accepted[0] < lo:   # evict strictly older
-                    accepted.popleft()
-                if len(accepted) >= limit:
-                    allowed.append(False)
-                else:
-                    accepted.append(t)
-                    allowed.append(True)
+            allowed = np.ones(len(pdf), dtype=bool)          # exempt paths are allowed
+            clients = pdf["client_id"].to_numpy()
+            us = pdf["_us"].to_numpy(dtype="int64")
+            limited = ~pdf["path"].isin(exempt).to_numpy()
+            # rows arrive sorted by (client, ts, id): walk the client segments
+            starts = np.flatnonzero(np.r_[True, clients[1:] != clients[:-1]])
+            ends = np.r_[starts[1:], len(pdf)]
+            for a, b in zip(starts, ends):
+                if clients[a] != current:
+                    current, accepted = clients[a], deque()
+                idx = np.flatnonzero(limited[a:b]) + a
+                allowed[idx] = limit_segment(us[idx], accepted, limit, window_us)
             out = pdf.drop(columns=["_us"])
             out["allowed"] = allowed
             yield out

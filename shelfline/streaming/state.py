@@ -15,8 +15,10 @@
 from __future__ import annotations
 
 import os
+from collections import deque
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from shelfline.operators.requests import HEALTH_PATHS, RATE_LIMIT_PER_MINUTE, RATE_WINDOW_SECONDS
+from shelfline.operators.requests import (
+    HEALTH_PATHS, RATE_LIMIT_PER_MINUTE, RATE_WINDOW_SECONDS, limit_segment,
+)
 
 LIMITER_OUT = T.StructType([
     T.StructField("request_id", T.LongType()), T.StructField("ts", T.TimestampType()),
@@ -40,25 +44,15 @@ def _limiter_state_fn(limit: int, seconds: int, exempt: frozenset):
         if state.hasTimedOut:
             state.remove()
             return
-        accepted = list(state.get[0]) if state.exists else []
+        accepted = deque(state.get[0]) if state.exists else deque()
         pdf = pd.concat(list(pdfs), ignore_index=True)
         us = pdf["ts"].astype("datetime64[us]").astype("int64")
         pdf = pdf.assign(_us=us).sort_values(["_us", "request_id"], kind="stable")
-        allowed = []
-        for t, path in zip(pdf["_us"], pdf["path"]):
-            if path in exempt:
-                allowed.append(True)
-                continue
-            lo = t - window_us
-            while accepted and accepted[0] < lo:
-                accepted.pop(0)
-            if len(accepted) >= limit:
-                allowed.append(False)
-            else:
-                accepted.append(int(t))
-                allowed.append(True)
+        allowed = np.ones(len(pdf), dtype=bool)               # exempt paths are allowed
+        idx = np.flatnonzero(~pdf["path"].isin(list(exempt)).to_numpy())
+        allowed[idx] = limit_segment(pdf["_us"].to_numpy(dtype="int64")[idx], accepted, limit, window_us)
         last_us = int(pdf["_us"].max())
-        state.update((accepted,))
+        state.update((list(accepted),))
         # idle clients expire once event time passes their last request + window
         state.setTimeoutTimestamp(last_us // 1000 + seconds * 1000 + 1)
         out = pdf[["request_id", "ts", "client_id", "path"]].copy()

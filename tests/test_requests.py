@@ -172,3 +172,17 @@ def test_exactly_sixty_seconds_apart(spark):
     assert allowed == {0: True, 1: False, 2: True}
     counts = {r["request_id"]: r["requests_in_window"] for r in M.client_rate(df, seconds=60).collect()}
     assert counts == {0: 1, 1: 2, 2: 1}
+
+
+def test_limiter_hot_client_dense(spark):
+    rnd = random.Random(17)
+    rows, t = [], T0
+    for i in range(1500):                      # one client holds most requests, many per second
+        t = t + dt.timedelta(milliseconds=rnd.choice([0, 5, 50, 400, 2000]))
+        cl = "hot" if rnd.random() < 0.8 else rnd.choice(["x", "y"])
+        rows.append((i, t, cl, "GET", rnd.choice(["/a", "/a", "/health"]), 1.0, 200))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["request_id"]: r["allowed"] for r in M.rate_limit_decisions(df, limit=5, seconds=10).collect()}
+    want = _brute_limiter(rows, 5, 10)
+    assert got == want
+    assert sum(not v for v in want.values()) > 300          # the jump path is exercised
