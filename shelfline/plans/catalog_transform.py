@@ -156,7 +156,8 @@ def q_calendar_complete_ffill(spark, sf_dir):
 @register("calendar_complete_pad", with_views(
     O_SINGLE_PAD, "daily_sales", ctes=CLEAN_CTES[:1] + [("totals", O_DAY_TOTALS)]))
 def q_calendar_complete_pad(spark, sf_dir):
-    out = X.calendar_complete(day_totals(spark, sf_dir), keys=(), fill="pad")
+    out = X.calendar_complete(day_totals(spark, sf_dir), keys=(), fill="pad",
+                              on_duplicate="raise")  # one row per date by construction
     return rounded(out, ["sales"])
 
 
@@ -175,7 +176,8 @@ asof left join grp g
     O_SERIES_PAD, "daily_sales", ctes=CLEAN_CTES + [("grp", O_GROUP)]))
 def q_calendar_complete_by_series(spark, sf_dir):
     grouped = X.daily_group(featured_sales(spark, sf_dir))
-    out = X.calendar_complete(grouped, keys=("store_id", "product_category"), fill="pad")
+    out = X.calendar_complete(grouped, keys=("store_id", "product_category"), fill="pad",
+                                   on_duplicate="raise")  # E1 output is unique per key and date
     return rounded(out, ["sales", "sales_normalized"])
 
 

@@ -111,7 +111,7 @@ def etl_validated(spark, in_path: str, out_path: str, as_of, fail_fast: bool = T
     clean = X.drop_incomplete(X.coerce_types(X.require_columns(raw_o, DAILY_SALES_COLUMNS)))
     feat = X.zscore(X.calendar_features(clean)).observe(obs["features"], count)
     grouped = X.daily_group(feat).observe(obs["grouped"], count)
-    completed = X.calendar_complete(grouped, keys=keys, fill="pad")
+    completed = X.calendar_complete(grouped, keys=keys, fill="pad", on_duplicate="raise")  # E1 output is unique per key and date
     checks = Q.processed_schema_checks(completed, PROCESSED_REFERENCE)
     stats = save_with_stats(spark, completed, out_path)
     n = {k: int(o.get["rows"]) for k, o in obs.items()}
