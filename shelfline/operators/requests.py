@@ -3,9 +3,9 @@
 Hot keys are expected (one endpoint or client may carry a third of all
 requests), so nothing here sorts a whole key in one task:
 
-* H1 keeps the last N per key by a two-level top-k: first per (key, salt),
-  then per key over at most N x salts candidates; Catalyst's window-group
-  limit also prunes each level before its shuffle.
+* H1 keeps the last N per key by a two-level tree merge of per-task top-N
+  lists (salt = input partition id), with Catalyst's window-group limit
+  pruning every task before each shuffle.
 * M2 counts a client's trailing 60 s per request inside time buckets; the
   last 60 s of each bucket are copied into the next as context rows, so a
   window partition is one client-bucket, not one client.
@@ -40,11 +40,18 @@ def endpoint_key(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- H1
 def latest_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = LAST_N_TIMES,
-             salts: int = 16, salt_col: str | None = None) -> DataFrame:
+             salts: int = 32, salt_col: str | None = None) -> DataFrame:
     """H1: the first n rows per key under `order` (a unique order: add a
-    tie-break).  Two levels: per (keys, salt) then per keys."""
+    tie-break), as a two-level tree merge of per-task top-n lists.
+
+    Catalyst's window-group limit keeps at most n rows per window group in
+    every map task before each shuffle.  Level 1 groups by (keys, salt) with
+    salt = input partition id mod `salts`, so one level-1 task merges the
+    top-n lists of about (map tasks / salts) tasks; level 2 merges at most
+    salts x n rows per key.  A hot key therefore never funnels n x (all map
+    tasks) rows into one task.  `salt_col` salts by a column hash instead."""
     keys = list(keys)
-    salt = (F.abs(F.xxhash64(F.col(salt_col))) % salts) if salt_col else (F.abs(F.xxhash64(*order)) % salts)
+    salt = (F.abs(F.xxhash64(F.col(salt_col))) % salts) if salt_col else (F.spark_partition_id() % salts)
     level1 = (df.withColumn("_salt", salt)
                 .withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)))
                 .filter(F.col("_rn") <= n).drop("_rn", "_salt"))
@@ -54,7 +61,7 @@ def latest_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
 
 def latest_response_times(requests: DataFrame, n: int = LAST_N_TIMES) -> DataFrame:
     r = endpoint_key(requests)
-    return latest_n(r, ["endpoint"], [F.desc("ts"), F.desc("request_id")], n, salt_col="request_id")
+    return latest_n(r, ["endpoint"], [F.desc("ts"), F.desc("request_id")], n)
 
 
 # ---------------------------------------------------------------- M1
@@ -68,7 +75,7 @@ def endpoint_metrics(requests: DataFrame, last_n: int = LAST_N_TIMES) -> DataFra
     counts = r.groupBy("endpoint").agg(
         F.count(F.lit(1)).alias("request_count"),
         F.sum(F.when(F.col("status_code") >= 400, 1).otherwise(0)).cast("bigint").alias("error_count"))
-    last = latest_n(r, ["endpoint"], [F.desc("ts"), F.desc("request_id")], last_n, salt_col="request_id")
+    last = latest_n(r, ["endpoint"], [F.desc("ts"), F.desc("request_id")], last_n)
     stats = last.groupBy("endpoint").agg(
         F.count("processing_time").alias("count"), F.avg("processing_time").alias("avg"),
         F.min("processing_time").alias("min"), F.max("processing_time").alias("max"),

@@ -186,3 +186,13 @@ def test_limiter_hot_client_dense(spark):
     want = _brute_limiter(rows, 5, 10)
     assert got == want
     assert sum(not v for v in want.values()) > 300          # the jump path is exercised
+
+
+def test_latest_n_tree_merge_over_many_partitions(spark):
+    df, rows = _requests(spark, n=600, seed=9)
+    out = M.latest_n(M.endpoint_key(df.repartition(13)), ["endpoint"], [F.desc("ts"), F.desc("request_id")],
+                     n=25, salts=4)
+    by = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[0]), reverse=True):
+        by.setdefault("GET " + r[4], []).append(r[0])
+    assert {r["request_id"] for r in out.collect()} == {rid for ids in by.values() for rid in ids[:25]}
