@@ -191,3 +191,18 @@ def q_plan_actuals_lookup(spark, sf_dir):
 def q_optimize(spark, sf_dir):
     orders, _ = R.optimize(_rows(spark, sf_dir), V.sku_params(spark, sf_dir), GLOBAL_CFG)
     return orders.select("store_id", "sku", "date", "order_qty", "discount", "status")
+
+
+# ---------------------------------------------------------------- P6 per SKU (one input pass)
+@register("plan_by_sku", _oracle_plan_sql(
+    """select q.sku, q.order_qty, cast(0.0 as double) as discount, 'Optimal' as status
+       from qty q, summ s where s.ok""", summary=True))
+def q_plan_by_sku(spark, sf_dir):
+    orders, _ = R.plan_by_sku(_rows(spark, sf_dir), V.sku_params(spark, sf_dir), GLOBAL_CFG)
+    return orders
+
+
+@register("plan_by_sku_summary", _oracle_plan_sql(O_SUMMARY_SELECT.format(sel=""), summary=True))
+def q_plan_by_sku_summary(spark, sf_dir):
+    _, summary = R.plan_by_sku(_rows(spark, sf_dir), V.sku_params(spark, sf_dir), GLOBAL_CFG)
+    return summary_cols(summary)
