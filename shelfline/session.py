@@ -66,24 +66,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, durable folder and
-    is used as is.  Only when it is unset (local tests) a fresh folder under
-    the system temp dir is created and registered.
+    is used as is; a cluster session without it is refused, since a local
+    folder would be invisible to the other machines.  Only on a local master
+    (tests) a fresh folder under the system temp dir is created and set.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="shelfline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return spark.conf.get("spark.checkpoint.dir", d) or d
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new, unique folder below the shared checkpoint location for written
-    intermediate tables (never a machine-local path on a cluster)."""
+    intermediate tables (never a machine-local path on a cluster).  It is
+    deleted when the application ends."""
     root = ensure_checkpoint_dir(spark)
-    return os.path.join(root.rstrip("/"), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(root.rstrip("/"), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
 
 
 def materialize(df, name: str):
