@@ -11,6 +11,8 @@ texts that share a hash become two links of that key's chain.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,28 +26,40 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", "")
 
 
-def directory(freq: DataFrame, capacity: int, max_depth: int) -> DataFrame:
-    """Directory of the index over distinct keys (column `h`): one row per
-    used slot (the first `max_depth` bits) with its bucket (the bucket's
-    first slot) and the bucket's depth.
+def directory(freq: DataFrame, capacity: int, max_depth: int) -> tuple[DataFrame, int]:
+    """Directory of the index over distinct keys (column `h`), and its depth:
+    one row per used slot (the key's first bits) with its bucket (the bucket's
+    first slot) and the bucket's own depth.
 
-    Node (depth, prefix) of the split tree is a bucket when it fits (or is at
-    full depth) and its parent does not.  At most 2**max_depth slots exist.
+    The directory starts at the depth that the number of keys asks for and is
+    doubled while a bucket overflows.  Slots are counted a few bits deeper, so
+    a doubling regroups those counts; hash bits are even, so one or two
+    doublings do.  At `max_depth` (at most 2**max_depth slots) buckets may
+    stay overfull.
     """
-    slot = F.shiftrightunsigned("h", 64 - max_depth)
-    slots = freq.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("keys"))
-    paths = (slots.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(max_depth))))
-             .withColumn("bucket", F.expr(
-                 f"shiftleft(shiftright(slot, {max_depth} - depth), {max_depth} - depth)")))
-    nodes = paths.groupBy("depth", "bucket").agg(F.sum("keys").alias("held"))
-    walk = (paths.join(nodes, ["depth", "bucket"])
-            .withColumn("fits", (F.col("held") <= capacity) | (F.col("depth") == max_depth)))
-    first = F.min(F.when(F.col("fits"), F.struct("depth", "bucket")))
-    return walk.groupBy("slot").agg(first.alias("b")).select("slot", "b.bucket", "b.depth")
+    keys = freq.count()
+    start = min(max_depth, max(0, math.ceil(math.log2(max(1, keys) / capacity))))
+    fine = min(max_depth, start + 6)
+    slots = materialize(freq.groupBy(F.shiftrightunsigned("h", 64 - fine).alias("fine") if fine
+                                     else F.lit(0).cast("long").alias("fine"))
+                        .agg(F.count(F.lit(1)).alias("keys")), "dedup-slots")
+    depth, leaves = start, None
+    open_slots = slots
+    while True:
+        bucket = F.shiftright("fine", fine - depth)
+        held = open_slots.groupBy(bucket.alias("prefix")).agg(F.sum("keys").alias("held"))
+        fits = held.where(F.col("held") <= capacity) if depth < fine else held
+        level = (open_slots.withColumn("prefix", bucket).join(fits, "prefix")
+                 .select("fine", F.shiftleft("prefix", fine - depth).alias("bucket"), F.lit(depth).alias("depth")))
+        leaves = level if leaves is None else leaves.unionByName(level)
+        if depth == fine or not held.where(F.col("held") > capacity).head(1):
+            return leaves.withColumnRenamed("fine", "slot"), fine
+        open_slots = materialize(open_slots.join(leaves, "fine", "left_anti"), "dedup-split")
+        depth += 1
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                capacity: int = 8192, max_depth: int = 20) -> DataFrame:
+                capacity: int = 1 << 16, max_depth: int = 20) -> DataFrame:
     """One row per input row: `row_id`, the id, `keep_id` (id of the row that
     stays), `group_size`, `kept` and `text_sha256` of the normalised text.
 
@@ -54,7 +68,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one row of each group.  Null texts count as empty, and all empty texts are
     one group.  Other columns of `docs` are not read.  An empty table gives an
     empty result.  `max_depth` (at most 24) bounds the directory and with it
-    the broadcast; it does not bound the number of keys.
+    the broadcast (16 bytes a slot); it does not bound the number of keys.
     """
     rows = with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "row_id")
     rows = (rows.withColumn("norm", normalized(F.col("text")))
@@ -62,11 +76,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .withColumn("chars", F.length(F.coalesce("text", F.lit("")))))
     keys = materialize(rows.select("row_id", "doc_id", "h", F.sha2("norm", 256).alias("text_sha256")), "dedup-keys")
     freq = materialize(keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "dedup-frequencies")
-    slots = materialize(directory(freq, capacity, max_depth), "dedup-directory")
+    slots, depth = directory(freq, capacity, max_depth)
+    slots = materialize(slots, "dedup-directory")
     shared = materialize(freq.where("n > 1").select("h"), "dedup-shared")
 
     # Owners compare bytes; copies meet in a partial aggregate before the shuffle.
-    slot = F.shiftrightunsigned("h", 64 - max_depth)
+    slot = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
     order = F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("z"),
                      F.col("doc_id").alias("doc_id"), F.col("row_id").alias("row_id"))
     # The semi join is salted: a hot key spreads over tasks even when it shuffles.

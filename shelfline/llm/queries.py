@@ -3,13 +3,17 @@ parameters, and the equivalent SQL where SQL can express it."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shelfline.llm.exact_dedup import exact_dedup
 from shelfline.llm.mixing import mix_sources
+from shelfline.llm.packing import pack_documents
 from shelfline.llm.quality_rules import quality_rules
+from shelfline.llm.token_files import read_tokens, write_tokens
+from shelfline.llm.warc import read_warc, write_warc
 from shelfline.plans.registry import register
+from shelfline.session import scratch_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,3 +126,38 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents on an extendible-hash index."""
     return exact_dedup(_table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@register("op4_pack_documents")
+def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op9_token_files")
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as Simple-8b token files and read back."""
+    out = scratch_dir(spark, "token-files")
+    write_tokens(_table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_tokens(spark, out)
+
+
+OP2_SQL = r"""
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+@register("op2_warc", OP2_SQL)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back."""
+    out = scratch_dir(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), out)
+    return read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
