@@ -87,14 +87,15 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def plan_cascade(rows: DataFrame, rules: list[Rule], sample_rows: int) -> list[str]:
+def plan_cascade(docs: DataFrame, rules: list[Rule], text_col: str, sample_rows: int) -> list[str]:
     """Names of the rules in cascade order, from a sample of about
-    `sample_rows` rows of `rows` (with base statistics).  Only the joint
-    counts of the rule outcomes (at most 2**len(rules) rows) are collected."""
-    total = rows.count()
+    `sample_rows` rows of `docs`.  Only the joint counts of the rule outcomes
+    (at most 2**len(rules) rows) are collected."""
+    total = docs.count()
     if not total:
         return [r.name for r in rules]
-    sample = materialize(rows.sample(min(1.0, sample_rows / total), seed=17).drop("_part"), "quality-sample")
+    sample = docs.select(text_col).sample(min(1.0, sample_rows / total), seed=17)
+    sample = materialize(base_statistics(sample, text_col), "quality-sample")
 
     def seconds(*columns: Column) -> float:
         began = time.perf_counter()
@@ -131,10 +132,11 @@ def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, text_col: st
     rules = default_rules() if rules is None else rules
     kept_columns = [c for c in docs.columns if c not in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")]
-    rows = base_statistics(docs.select(*kept_columns), text_col)
+    docs = docs.select(*kept_columns)
+    rows = base_statistics(docs, text_col)
     by_name = {r.name: r for r in rules}
     verdict = F.when(F.col("base_failed"), F.lit("base"))
-    for name in plan_cascade(rows, rules, sample_rows):
+    for name in plan_cascade(docs, rules, text_col, sample_rows):
         verdict = verdict.when(by_name[name].rejects, F.lit(name))
     return (rows.withColumn("rejected_by", verdict)
             .withColumn("kept", F.col("rejected_by").isNull())

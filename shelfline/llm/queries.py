@@ -5,11 +5,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfline.llm.exact_dedup import exact_dedup
 from shelfline.llm.mixing import mix_sources
 from shelfline.llm.packing import pack_documents
+from shelfline.llm.quality_model import fold, scorer, train_on_labels
 from shelfline.llm.quality_rules import quality_rules
+from shelfline.llm.substring_dedup import remove_repeats
 from shelfline.llm.token_files import read_tokens, write_tokens
 from shelfline.llm.warc import read_warc, write_warc
 from shelfline.plans.registry import register
@@ -161,3 +164,18 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_dir(spark, "warc")
     write_warc(_table(spark, sf_dir, "pages"), out)
     return read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op3_substring_dedup")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words under repeated 35-word windows removed from all documents."""
+    return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@register("op7_quality_model")
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by naive Bayes support vectors."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    score = scorer(train_on_labels(docs, _table(spark, sf_dir, "labels")))
+    return docs.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), score(F.col("text")).alias("score")
+                       ).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
