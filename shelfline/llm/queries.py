@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.llm.exact_dedup import exact_dedup
+from shelfline.llm.jaccard_join import near_duplicates
 from shelfline.llm.mixing import mix_sources
 from shelfline.llm.packing import pack_documents
 from shelfline.llm.quality_model import fold, scorer, train_on_labels
 from shelfline.llm.quality_rules import quality_rules
 from shelfline.llm.substring_dedup import remove_repeats
+from shelfline.llm.token_counts import count_tokens
 from shelfline.llm.token_files import read_tokens, write_tokens
 from shelfline.llm.warc import read_warc, write_warc
 from shelfline.plans.registry import register
@@ -179,3 +181,16 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = scorer(train_on_labels(docs, _table(spark, sf_dir, "labels")))
     return docs.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), score(F.col("text")).alias("score")
                        ).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@register("op10_jaccard_join")
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents that link at a Jaccard similarity of 0.9
+    or more on 3-word shingles."""
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@register("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of all documents."""
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
