@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import with_row_id, words_of
+from shelfline.llm.common import stable, with_row_id, words_of
 from shelfline.llm.exact_dedup import exact_dedup
 from shelfline.llm.jaccard_join import near_duplicates
 from shelfline.llm.mixing import mix_sources
@@ -44,12 +44,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     _prepared(spark)
+    docs = stable(docs)
     return _only(docs, exact_dedup(docs).where("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates."""
     _prepared(spark)
+    docs = stable(docs)
     return _only(docs, near_duplicates(docs).where("first"))
 
 
@@ -58,6 +60,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     inside a document, that copy is cut to its first words, joined by one
     space.  Documents without words are not taken."""
     _prepared(spark)
+    docs = stable(docs)
     taken = mix_sources(docs).where("taken > 0").select(F.col("row_id").alias("_row"), "taken", "size")
     rows = with_row_id(docs, "_row").join(taken.select(
         "_row", F.col("taken").alias("_taken"), F.col("size").alias("_size")), "_row")

@@ -29,11 +29,18 @@ def count_words(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """`df` with rows in an order that every evaluation repeats, whatever
+    columns it needs: a plain scan of files is; anything else is written."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return df if "FileScan" in plan and "Exchange" not in plan else materialize(df, "rows")
+
+
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """Add a row identity that is unique even if ids repeat or are null.  It
-    follows the input's partitions, so a recomputed task gives the same ids;
-    the input should be a table on files, not a frame of random order."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    follows the partitions of the files, so a recomputed task gives the same
+    ids, and so does another scan of the same frame."""
+    return stable(df).withColumn(name, F.monotonically_increasing_id())
 
 
 def running_sum(df: DataFrame, order: list[str], value: str, out: str,

@@ -8,17 +8,15 @@ encoded once and kept in a bounded cache, so common words cost a lookup.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 from array import array
 
-import regex
-
-UNITS_HELD = 400_000             # cached units, and cached words, per worker process
-WORDS_HELD = 500_000
+UNITS_HELD = 300_000             # cached units, and cached words, per worker process
+WORDS_HELD = 700_000
 _SPACES = re.compile(r"\s\s")
-# Letters and then ASCII marks are two pre-tokens of either kind.
-_MARKED = regex.compile(r"(\p{L}+)([!-/:-@\[-`{-~]+)")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _spaced_units(text: str) -> tuple[str, list[str]]:
@@ -57,24 +55,39 @@ class Encoder:
         self.words: dict[str, bytes] = {"": b""}
 
     def _learn(self, units: set[str], lead: str) -> None:
-        """Put all of `units` into the cache for `lead`."""
+        """Put all of `units` into the cache for `lead`.  After a letter, ASCII
+        marks up to the end are a pre-token of their own in either kind, so a
+        unit's word and marks are looked up apart."""
         cache, words = self.later if lead == self.lead else self.first, self.words
-        if len(cache) + len(units - cache.keys()) > UNITS_HELD:
+        todo = units.difference(cache)
+        if len(cache) + len(todo) > UNITS_HELD:
             cache.clear()
+            todo = units
         if len(words) > WORDS_HELD:
             words.clear()
             words[""] = b""
-        todo = [u for u in units if u not in cache]
-        cut = [m.groups() if (m := _MARKED.fullmatch(u)) else (u, "") for u in todo]
-        new = list({lead + w for w, _ in cut} - words.keys() | {m for _, m in cut} - words.keys())
+        cut = {}
+        for u in todo:
+            w = u.rstrip(_MARKS)
+            cut[u] = len(w) if w and w[-1] < "\u0250" and w[-1].isalpha() else len(u)
+        new = {lead + u[:n] for u, n in cut.items()}
+        new.update([u[n:] for u, n in cut.items()])
+        new = list(new.difference(words))
         for i in range(0, len(new), 20_000):
             some = new[i:i + 20_000]
             for w, c in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 words[w] = array("I", c.ids).tobytes()
-        for u, (w, m) in zip(todo, cut):
-            cache[u] = words[lead + w] + words[m]
+        for u, n in cut.items():
+            cache[u] = words[lead + u[:n]] + words[u[n:]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        gc.disable()                 # the caches hold no cycles, and walking them is slow
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         if self.spaced:
             cut = [_spaced_units(t or "") for t in texts]
             self._learn({f for f, _ in cut}, "")
