@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.llm.common import with_row_id
-from shelfline.llm.tokenize import encoder, text_batches
+from shelfline.llm.tokenize import append_end, encoder, text_batches
 
-BLOCK_IDS = 1 << 20              # ids that one dynamic program spans
+BLOCK_BYTES = 8 << 20            # text that one dynamic program spans
 SPACED = ("Ġ", "Ċ")    # fixed by byte-level vocabularies: space, line end
 
 
@@ -109,12 +109,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, most:
     Every document is its ids and `end_id`; each id lies in exactly one piece.
     Null and empty texts are the end id alone; repeated ids and rows are
     packed like any others; null ids come last.  An empty table gives no
-    pieces.  Each range of documents is packed in blocks of about `BLOCK_IDS`
-    ids whose last window stays open for the next block, so memory is bounded
+    pieces.  Each range of documents is packed in blocks of about `BLOCK_BYTES`
+    of text whose last window stays open for the next block, so memory is bounded
     and only the last sequence of a range is cut short.  `sequence_id` is the
     range's number (high bits) and a counter.
     """
-    end = np.array([end_id], dtype="<u4").tobytes()
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
               ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
     fields += [("ids", pa.binary())] * with_ids
@@ -123,49 +122,47 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, most:
     def task(batches):
         encode, marks = encoder(tokenizer_path, True).encode, sentence_marks(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 32
-        # Open parts of documents: id, ids of it before this part, its bytes, all its ids.
-        parts: list[tuple] = []
-        size = 0
-
-        def close(last: bool):
-            """Pack what is held; keep the last window open unless `last`."""
-            nonlocal parts, size, sequence
-            data = b"".join(p[2] for p in parts)
-            ends = np.cumsum([len(p[2]) // 4 for p in parts])
-            cuts = choose_cuts(*boundaries(np.frombuffer(data, "<u4"), ends, marks, most, penalty, truncation), most)
+
+        def close(ids, docs, last: bool):
+            """Pieces of the ids held, and what stays open: unless `last`, the
+            last window.  `docs` has, by document or what is left of one, its
+            id, the ids before, those here, and all of them."""
+            nonlocal sequence
+            names, before, here, total = docs
+            ends = np.cumsum(here)
+            firsts = ends - here
+            cuts = np.array(choose_cuts(*boundaries(ids, ends, marks, most, penalty, truncation), most))
             if not last:
                 cuts = cuts[:-1]
-            firsts = np.concatenate([[0], ends[:-1]])
             edges = np.unique(np.concatenate([cuts, ends[ends < cuts[-1]]]))
-            lows, highs = edges[:-1], edges[1:]
+            lows, sizes = edges[:-1], np.diff(edges)
             owner = np.searchsorted(ends, lows, side="right")
             window = np.searchsorted(cuts, lows, side="right") - 1
-            starts = np.array([p[1] for p in parts], dtype=np.int64)[owner] + lows - firsts[owner]
-            view = memoryview(data)
-            pieces = [view[4 * a:4 * b] for a, b in zip(lows.tolist(), highs.tolist())]
-            columns = [pa.array([parts[o][0] for o in owner.tolist()], pa.int64()), starts, highs - lows,
-                       [zlib.crc32(p) for p in pieces], [parts[o][3] for o in owner.tolist()],
-                       window + sequence, lows - np.asarray(cuts)[window]]
-            columns += [pa.array([bytes(p) for p in pieces], pa.binary())] * with_ids
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c
+            view = memoryview(ids.astype("<u4").tobytes())
+            pieces = [view[4 * a:4 * (a + n)] for a, n in zip(lows.tolist(), sizes.tolist())]
+            columns = [names.take(pa.array(owner)), before[owner] + lows - firsts[owner], sizes,
+                       [zlib.crc32(p) for p in pieces], total[owner], window + sequence, lows - cuts[window]]
+            columns += [[bytes(p) for p in pieces]] * with_ids
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c
                                               for c, (_, t) in zip(columns, fields)], schema=pa.schema(fields))
             sequence += len(cuts) - 1
-            cut, kept = cuts[-1], []
-            for p, a, b in zip(parts, firsts.tolist(), ends.tolist()):
-                if b > cut:
-                    skip = max(0, cut - a)
-                    kept.append((p[0], p[1] + skip, p[2][4 * skip:], p[3]))
-            parts, size = kept, int(ends[-1]) - cut
+            cut = cuts[-1]
+            first = int(np.searchsorted(ends, cut, side="right"))
+            skip = np.maximum(0, cut - firsts[first:])
+            return out, ids[cut:], (names.slice(first), before[first:] + skip, here[first:] - skip, total[first:])
 
+        ids, docs = np.zeros(0, "<u4"), (pa.array([], pa.int64()), *([np.zeros(0, np.int64)] * 3))
         for batch in batches:
-            for some in text_batches(batch, 1):
-                for name, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
-                    parts.append((name, 0, ids + end, len(ids) // 4 + 1))
-                    size += len(ids) // 4 + 1
-                    if size >= BLOCK_IDS:
-                        yield from close(False)
-        if parts:
-            yield from close(True)
+            for some in text_batches(batch, 1, BLOCK_BYTES):
+                flat, sizes = append_end(*encode(some.column(1)), end_id)
+                ids = np.concatenate([ids, flat])
+                docs = (pa.concat_arrays([docs[0], some.column(0)]), np.append(docs[1], np.zeros_like(sizes)),
+                        np.append(docs[2], sizes), np.append(docs[3], sizes))
+                if len(ids) > 4 * most:
+                    out, ids, docs = close(ids, docs, False)
+                    yield out
+        if len(ids):
+            yield close(ids, docs, True)[0]
 
     rows = with_row_id(docs.select(F.col(id_col).cast("long").alias("doc_id"),
                                    F.col(text_col).alias("text")), "row_id")

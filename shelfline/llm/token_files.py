@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shelfline.llm import simple8b
 from shelfline.llm.common import running_sum, with_row_id
-from shelfline.llm.tokenize import encoder, text_batches
+from shelfline.llm.tokenize import append_end, encoder, text_batches
 
 # Fixed by the file format: magic, documents, ids, blocks, words.
 HEADER = struct.Struct("<8sQQQQ")
@@ -29,12 +29,12 @@ SEGMENT_IDS = 1 << 21            # ids after which a segment is closed
 MANIFEST = "part long, segment long, path string, first_byte long, n_bytes long, n_docs long, n_ids long"
 
 
-def pack_segment(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
+def pack_segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
     words, blocks = simple8b.encode(ids)
     known = np.array([x is not None for x in doc_ids], dtype=np.uint8)
     names = np.array([0 if x is None else x for x in doc_ids], dtype="<i8")
     return b"".join([HEADER.pack(MAGIC, len(doc_ids), len(ids), len(blocks) - 1, len(words)),
-                     np.array(counts, dtype="<u8").tobytes(), names.tobytes(), known.tobytes(),
+                     counts.astype("<u8").tobytes(), names.tobytes(), known.tobytes(),
                      blocks.astype("<u8").tobytes(), words.astype("<u8").tobytes()])
 
 
@@ -70,8 +70,6 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
     renames it at the end, so retried and speculative tasks are harmless.
     `tokenizer_path` must exist on every executor.
     """
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def task(batches):
         context = TaskContext.get()
         part = context.partitionId()
@@ -79,28 +77,28 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
         fs, path = _filesystem(target)
         draft = f"{path}.attempt-{context.taskAttemptId()}"
         encode, out, first_byte = encoder(tokenizer_path, spaced).encode, None, 0
-        names, counts, held, size = [], [], [], 0
+        names, counts, ids = [], [], []
 
         def close_segment():
-            nonlocal out, first_byte, size
-            data = pack_segment(names, counts, np.frombuffer(b"".join(held), "<u4"))
+            nonlocal out, first_byte
+            flat, sizes = np.concatenate(ids), np.concatenate(counts)
+            data = pack_segment(names, sizes, flat)
             if out is None:
                 out = fs.open_output_stream(draft)
             out.write(data)
-            rows.append((part, len(rows), target, first_byte, len(data), len(names), size))
-            first_byte, size = first_byte + len(data), 0
-            for x in (names, counts, held):
+            rows.append((part, len(rows), target, first_byte, len(data), len(names), len(flat)))
+            first_byte += len(data)
+            for x in (names, counts, ids):
                 x.clear()
 
         for batch in batches:
             for some in text_batches(batch, 1):
-                for name, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
-                    names.append(name)
-                    counts.append(len(ids) // 4 + 1)
-                    held += (ids, end)
-                    size += counts[-1]
-                    if size >= SEGMENT_IDS:
-                        close_segment()
+                flat, sizes = append_end(*encode(some.column(1)), end_id)
+                names += some.column(0).to_pylist()
+                counts.append(sizes)
+                ids.append(flat)
+                if sum(map(len, ids)) >= SEGMENT_IDS:
+                    close_segment()
         if names:
             close_segment()
         if out is not None:

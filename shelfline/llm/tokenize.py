@@ -1,8 +1,10 @@
 """Token ids of many texts with the tokenizers library, one process at a time.
 
 White-space rules of the two kinds of pre-tokenizer allow a text to be cut
-into units whose ids do not depend on their neighbours; each distinct unit is
-encoded once and kept in a bounded cache, so common words cost a lookup.
+into units whose ids do not depend on their neighbours.  Arrow kernels cut the
+texts of a batch, find the distinct units and take their trailing marks off;
+only the distinct words left are looked up in a bounded cache or encoded, and
+the ids of all texts are then gathered by array indexing.
 """
 
 from __future__ import annotations
@@ -10,38 +12,52 @@ from __future__ import annotations
 import functools
 import gc
 import os
-import re
 from array import array
 
-UNITS_HELD = 300_000             # cached units, and cached words, per worker process
-WORDS_HELD = 700_000
-_SPACES = re.compile(r"\s\s")
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-def _spaced_units(text: str) -> tuple[str, list[str]]:
-    """A first unit, and later units that each follow one space.  A cut is
-    made only at a space between two characters that are not white space; no
-    pre-token of the byte-level pattern crosses such a place."""
-    parts = text.split(" ")
-    if not _SPACES.search(text):
-        return parts[0], parts[1:]
-    out, now = [], parts[0]
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+WORDS_HELD = 900_000             # cached words per worker process
+# Fixed by the pre-tokenizers: ASCII marks after a letter, up to the unit's
+# end, are a pre-token of their own; letters are taken from Latin blocks only.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTER_AT_END = "[A-Za-zÀ-ÖØ-öø-ɏ]$"
+TWO_SPACES = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}"
+WORD_END = "</w>"
+LONGEST_TAIL = 8                 # bytes of marks that are taken off
+
+
+def spaced_units(text: str) -> list[str]:
+    """Units of a text with runs of white space: the first, and later ones
+    that each follow one space.  A cut is made only at a space between two
+    characters that are not white space; no pre-token crosses such a place."""
+    out, parts = [], text.split(" ")
+    now = parts[0]
     for p in parts[1:]:
         if p and now and not p[0].isspace() and not now[-1].isspace():
             out.append(now)
             now = p
         else:
             now = f"{now} {p}"
-    out.append(now)
-    return out[0], out[1:]
+    return [*out, now]
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The slices of `flat` (by `starts` and `sizes`) that `parts` names, end to end."""
+    n = sizes[parts]
+    at = np.cumsum(n)
+    return flat[np.repeat(starts[parts] - at + n, n) + np.arange(at[-1] if len(at) else 0)]
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes.  `spaced` says that a
-    space belongs to the token after it (byte-level pre-tokens); otherwise
-    white space only separates tokens.  Names of special tokens inside a text
-    are ordinary text."""
+    """`spaced` says that a space belongs to the token after it (byte-level
+    pre-tokens); otherwise white space only separates tokens.  Names of
+    special tokens inside a text are ordinary text."""
 
     def __init__(self, path: str, spaced: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # Spark runs a process per core
@@ -49,53 +65,107 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.lead = " " if spaced else ""
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _learn(self, units: set[str], lead: str) -> None:
-        """Put all of `units` into the cache for `lead`.  After a letter, ASCII
-        marks up to the end are a pre-token of their own in either kind, so a
-        unit's word and marks are looked up apart."""
-        cache, words = self.later if lead == self.lead else self.first, self.words
-        todo = units.difference(cache)
-        if len(cache) + len(todo) > UNITS_HELD:
-            cache.clear()
-            todo = units
-        if len(words) > WORDS_HELD:
-            words.clear()
-            words[""] = b""
-        cut = {}
-        for u in todo:
-            w = u.rstrip(_MARKS)
-            cut[u] = len(w) if w and w[-1] < "\u0250" and w[-1].isalpha() else len(u)
-        new = {lead + u[:n] for u, n in cut.items()}
-        new.update([u[n:] for u, n in cut.items()])
-        new = list(new.difference(words))
-        for i in range(0, len(new), 20_000):
-            some = new[i:i + 20_000]
+        # What a normaliser does to A-Z anyway is done before words are looked up.
+        self.lower = "Lowercase" in str(self.tokenizer.normalizer)
+        # Vocabularies of this kind mark the last token of every pre-token.
+        ends = [] if spaced else [i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.ends[ends] = True
+        self.words: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words that are not cached.  Where tokens mark word ends, words
+        of letters go together: the marks give them their ids back, and as
+        every word has at least one, equal numbers mean one each."""
+        for i in range(0, len(words), 2000):
+            some = words[i:i + 2000]
+            if not self.spaced:
+                plain = [w for w in some if w.isalpha()]
+                ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                if len(ends) == len(plain):
+                    data, last = ids.tobytes(), 0
+                    for w, e in zip(plain, (4 * ends).tolist()):
+                        self.words[w] = data[last:e]
+                        last = e
+                    some = [w for w in some if not w.isalpha()]
             for w, c in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                words[w] = array("I", c.ids).tobytes()
-        for u, n in cut.items():
-            cache[u] = words[lead + u[:n]] + words[u[n:]]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        gc.disable()                 # the caches hold no cycles, and walking them is slow
+                self.words[w] = array("I", c.ids).tobytes()
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words end to end, and how many each has."""
+        held = self.words
+        if len(held) > WORDS_HELD:
+            held.clear()
+        self._learn([w for w in words if w not in held])
+        found = [held[w] for w in words]
+        return (np.frombuffer(b"".join(found), "<u4"),
+                np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4)
+
+    def _units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct units, the unit at each place, and units per text."""
+        if not self.spaced:
+            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            coded = lists.flatten().dictionary_encode()
+            return coded.dictionary, coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
+        wide = pc.match_substring_regex(texts, TWO_SPACES).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(texts, " ")
+        if wide.any():
+            apart = pa.array([spaced_units(t) for t in texts.filter(pa.array(wide)).to_pylist()], lists.type)
+            lists = pc.if_else(pa.array(wide), apart.take(pa.array(np.cumsum(wide) - 1).cast(pa.int64())), lists) \
+                if wide.all() else pa.concat_arrays([lists, apart]).take(
+                    pa.array(np.where(wide, len(lists) + np.cumsum(wide) - 1, np.arange(len(lists)))))
+        sizes = pc.list_value_length(lists).to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        at, n = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        firsts = _starts(sizes)
+        at[firsts] += n                                          # a first unit has no space before it
+        led = pc.binary_join_element_wise(pa.scalar(" "), coded.dictionary, "")
+        return pa.concat_arrays([led, coded.dictionary.cast(led.type)]), at, sizes
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each text has; a null
+        text has those of an empty one."""
+        gc.disable()                 # the cache holds no cycles, and walking it is slow
         try:
-            return self._encode(texts)
+            return self._encode(pc.fill_null(texts, ""))
         finally:
             gc.enable()
 
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        if self.spaced:
-            cut = [_spaced_units(t or "") for t in texts]
-            self._learn({f for f, _ in cut}, "")
-            self._learn(set().union(*(r for _, r in cut)), " ")
-            return [self.first[f] + b"".join([self.later[u] for u in r]) for f, r in cut]
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self._learn(set().union(*cut), "")
-        return [b"".join([self.later[u] for u in r]) for r in cut]
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        units, at, per_text = self._units(texts)
+        used = np.bincount(at, minlength=len(units)) > 0          # of both kinds of a spaced unit
+        if not used.all():
+            units, at = units.filter(pa.array(used)), (np.cumsum(used) - 1)[at]
+        words = pc.utf8_rtrim(units, characters=MARKS)
+        size = pc.binary_length(units).to_numpy().astype(np.int64)
+        tail = size - pc.binary_length(words).to_numpy()
+        whole = (tail == 0) | (tail > LONGEST_TAIL) | ~pc.match_substring_regex(
+            words, LETTER_AT_END).to_numpy(zero_copy_only=False)
+        words = pc.if_else(pa.array(whole), units, words)
+        words = (pc.ascii_lower(words) if self.lower else words).dictionary_encode()
+        tail[whole] = 0
+        # Tails of up to 8 bytes, as numbers read backwards from the units' ends.
+        _, offsets, data = units.buffers()
+        ends = np.frombuffer(offsets, np.int32)[units.offset + 1:units.offset + 1 + len(units)].astype(np.int64)
+        marked = np.flatnonzero(tail)
+        padded = np.concatenate([np.zeros(8, np.uint8), np.frombuffer(data, np.uint8)])
+        last = np.lib.stride_tricks.sliding_window_view(padded, 8)[ends[marked]]
+        key = last.copy().view("<u8").ravel() >> ((LONGEST_TAIL - tail[marked]) * 8).astype(np.uint64)
+        tails, which = np.unique(key, return_inverse=True)
+        names = [int(k).to_bytes(8, "little").rstrip(b"\0").decode() for k in tails]
+
+        flat, sizes = self._ids_of(words.dictionary.to_pylist() + names + [""])
+        n_words = len(words.dictionary)
+        second = np.full(len(units), len(sizes) - 1)             # no tail: no ids
+        second[marked] = n_words + which
+        parts = np.column_stack([words.indices.to_numpy(), second]).ravel()
+        flat, sizes = gather(flat, _starts(sizes), sizes, parts), sizes[parts].reshape(-1, 2).sum(axis=1)
+        ids = gather(flat, _starts(sizes), sizes, at)
+        edges = np.concatenate([[0], np.cumsum(sizes[at])])[np.concatenate([[0], np.cumsum(per_text)])]
+        return ids, np.diff(edges)
 
 
 @functools.lru_cache(maxsize=4)
@@ -103,14 +173,17 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return Encoder(path, spaced)
 
 
+def append_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with `end_id` after each text's ids."""
+    out = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
+    return out, counts + 1
+
+
 def text_batches(batch, text_index: int, most_bytes: int = 8 << 20):
     """Slices of an Arrow batch with at most about `most_bytes` of text."""
-    column = batch.column(text_index)
-    start, held = 0, 0
-    for i in range(batch.num_rows):
-        held += len(column[i].as_buffer() or b"") if column[i].is_valid else 0
-        if held >= most_bytes:
-            yield batch.slice(start, i + 1 - start)
-            start, held = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_index)), 0).to_numpy().astype(np.int64)
+    part = np.cumsum(sizes) // most_bytes
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(sizes)]]).tolist()
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)

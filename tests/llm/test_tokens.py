@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -15,7 +16,7 @@ from shelfline.llm import packing, simple8b
 from shelfline.llm.packing import boundaries, choose_cuts, pack_documents, padded
 from shelfline.llm.token_counts import START, UnigramCounter, count_tokens, counter
 from shelfline.llm.token_files import read_tokens, write_tokens
-from shelfline.llm.tokenize import Encoder
+from shelfline.llm.tokenize import Encoder, append_end
 
 from .data import awkward_texts, frame, prose, words
 
@@ -36,14 +37,21 @@ def crc(ids):
 def test_cached_encoding_equals_the_library(path, spaced, monkeypatch):
     rng = random.Random(5)
     texts = [t for _, t in awkward_texts()]
-    texts += ["".join(rng.choice("aBé '.,!12\n\t  ̸́=<ſ²½—  　漢\x1c\x85Σ") for _ in range(40))
-              for _ in range(2000)]
-    monkeypatch.setattr("shelfline.llm.tokenize.UNITS_HELD", 500)
+    texts += ["ab½$$ c²! x2&& É!!! e\u0301!! don't, John's. abc' =\u0338 a=\u0338", "foo!!!!!!!!!! bar!!!!!!!! x×! y÷÷!"]
+    for alphabet in ("aBé '.,!12\n\t  \u0338\u0301=<ſ²½—\xa0\u2003\u3000漢\x1c\x85Σ", "aBé '.,!12=é$ "):
+        texts += ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(2000)]
     monkeypatch.setattr("shelfline.llm.tokenize.WORDS_HELD", 300)
     encoder = Encoder(path, spaced)
-    got = sum((encoder.encode(texts[i:i + 100]) for i in range(0, len(texts), 100)), [])
-    want = [np.array(x, dtype="<u4").tobytes() for x in plain_ids(path, texts)]
-    assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+    for some in ([texts[i:i + 100] for i in range(0, len(texts), 100)] + [[None], ["a  b"], []]):
+        ids, counts = encoder.encode(pa.array(some, pa.string()))
+        want = plain_ids(path, some)
+        assert counts.tolist() == list(map(len, want))
+        assert ids.tolist() == sum(want, [])
+
+
+def test_end_ids_follow_every_text():
+    ids, counts = append_end(np.array([5, 6, 7], dtype="<u4"), np.array([0, 2, 0, 1]), 9)
+    assert ids.tolist() == [9, 5, 6, 9, 9, 7, 9] and counts.tolist() == [1, 3, 1, 2]
 
 
 @pytest.mark.parametrize("values", [
@@ -107,11 +115,13 @@ def check_packing(rows, pieces, most=1024):
     return total, waste
 
 
-def test_packing(spark, monkeypatch):
+@pytest.mark.parametrize("block", [8 << 20, 6000])
+def test_packing(spark, monkeypatch, block):
+    monkeypatch.setattr(packing, "BLOCK_BYTES", block)
     rows = awkward_texts()
     pieces = pack_documents(frame(spark, rows), BYTES).collect()
     total, waste = check_packing(rows, pieces)
-    assert waste < 0.01 * total + 1024
+    assert waste < 0.01 * total + 3 * 1024
     assert pack_documents(frame(spark, rows).limit(0), BYTES).count() == 0
 
 
