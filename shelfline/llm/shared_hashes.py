@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,24 +29,36 @@ def chunk_count(docs: DataFrame, text_col: str) -> int:
     return max(1, -(-total // size))
 
 
-def distinct_counts(a: np.ndarray, b: np.ndarray | None = None, counts: np.ndarray | None = None):
-    """Distinct values of `a` (or pairs of `a` and `b`), ascending, with the
-    sums of their counts (1 each if not given)."""
-    if not len(a):
-        return a, b, np.zeros(0, dtype=np.uint32)
-    order = np.argsort(a, kind="stable") if b is None else np.lexsort((b, a))
-    a = a[order]
-    new = np.concatenate([[True], a[1:] != a[:-1]])
-    if b is not None:
-        b = b[order]
-        new[1:] |= b[1:] != b[:-1]
-        b = b[new]
-    at = np.flatnonzero(new)
-    if counts is None:
-        n = np.diff(np.append(at, len(a)))
-    else:
-        n = np.add.reduceat(counts[order].astype(np.int64), at)
-    return a[new], b, np.minimum(n, 0xFFFFFFFF).astype(np.uint32)
+def _groups(a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal values (or pairs) together, ascending in
+    `a`, and the places in it where a new one starts."""
+    order = np.argsort(a)
+    new = np.concatenate([[True], a[order[1:]] != a[order[:-1]]]) if len(a) else np.zeros(0, dtype=bool)
+    if b is not None and len(a) and (~new[1:] & (b[order[1:]] != b[order[:-1]])).any():
+        order = np.lexsort((b, a))                   # some first halves collide
+        new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+    return order, np.flatnonzero(new)
+
+
+def distinct_counts(a: np.ndarray, b: np.ndarray | None = None):
+    """Distinct values of `a` (or pairs of `a` and `b`), ascending, and how
+    often each occurs."""
+    order, at = _groups(a, b)
+    n = np.diff(np.append(at, len(a)))
+    return a[order[at]], None if b is None else b[order[at]], np.minimum(n, 0xFFFFFFFF).astype(np.uint32)
+
+
+def find_pairs(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs (x, y) are among the pairs (a, b), `a` ascending."""
+    hit = np.zeros(len(x), dtype=bool)
+    at = np.searchsorted(a, x)
+    open_ = np.flatnonzero(at < len(a))
+    while len(open_):
+        open_ = open_[a[at[open_]] == x[open_]]
+        hit[open_] |= b[at[open_]] == y[open_]
+        at[open_] += 1
+        open_ = open_[(at[open_] < len(a)) & ~hit[open_]]
+    return hit
 
 
 def report(chunk: int, buckets: int, a: np.ndarray, b: np.ndarray | None = None) -> dict[str, list]:
@@ -73,37 +86,26 @@ def joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
 
 def _answer(table: pa.Table) -> pa.Table:
     a, n = joined(table["hashes"], np.uint64), joined(table["counts"], np.uint32)
-    paired = table["seconds"].null_count == 0
-    b = joined(table["seconds"], np.uint64) if paired else None
-    ua, ub, total = distinct_counts(a, b, n)
-    many = total > 1
-    ua, total = ua[many], total[many]
-    if paired:
-        ub = ub[many]
-        both = _pair_key(ua, ub)
+    b = joined(table["seconds"], np.uint64) if table["seconds"].null_count == 0 else None
+    order, at = _groups(a, b)
+    sums = np.add.reduceat(n[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+    total = np.empty(len(a), dtype=np.int64)
+    total[order] = np.repeat(sums, np.diff(np.append(at, len(a))))
     out: dict[str, list] = {"chunk": [], "hashes": [], "seconds": [], "counts": []}
-    for chunk, x, y in zip(table["chunk"].to_pylist(), table["hashes"].to_pylist(), table["seconds"].to_pylist()):
-        own = np.frombuffer(x, np.uint64)
-        if paired:
-            hit = np.isin(both, _pair_key(own, np.frombuffer(y, np.uint64)))
-        else:
-            hit = np.isin(ua, own, assume_unique=True)
-        if hit.any():
+    start = 0
+    for chunk, size in zip(table["chunk"].to_pylist(), pc.binary_length(table["hashes"]).to_pylist()):
+        end = start + size // 8
+        hit = start + np.flatnonzero(total[start:end] > 1)
+        start = end
+        if len(hit):
             out["chunk"].append(chunk)
-            out["hashes"].append(ua[hit].tobytes())
-            out["seconds"].append(ub[hit].tobytes() if paired else None)
-            out["counts"].append(total[hit].tobytes())
+            out["hashes"].append(a[hit].tobytes())
+            out["seconds"].append(None if b is None else b[hit].tobytes())
+            out["counts"].append(np.minimum(total[hit], 0xFFFFFFFF).astype(np.uint32).tobytes())
     return pa.table({"chunk": pa.array(out["chunk"], pa.int64()),
                      **{k: pa.array(out[k], pa.binary()) for k in ("hashes", "seconds", "counts")}})
 
 
-def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """128-bit values as one array that compares exactly."""
-    out = np.empty((len(a), 2), dtype=np.uint64)
-    out[:, 0], out[:, 1] = a, b
-    return out.view("V16").ravel() if not len(a) else np.frombuffer(out.tobytes(), dtype="S16")
-
-
 def shared_hashes(reports: DataFrame) -> DataFrame:
     """From the chunks' reports (REPORT) the answers to them (ANSWER): the
     hashes with a total count of two or more, ascending within a row."""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.llm.common import with_row_id
-from shelfline.llm.shared_hashes import REPORT, chunk_count, joined, report, shared_hashes
+from shelfline.llm.shared_hashes import REPORT, chunk_count, find_pairs, joined, report, shared_hashes
 from shelfline.llm.texthash import run_hashes, split_words, word_hashes
 from shelfline.session import materialize
 
@@ -135,15 +135,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def remove(own: pa.Table, repeated: pa.Table) -> pa.Table:
         a, b = joined(repeated["hashes"], np.uint64), joined(repeated["seconds"], np.uint64)
-        known = set(zip(a.tolist(), b.tolist()))
-        firsts = np.sort(a)
+        order = np.argsort(a)
+        a, b = a[order], b[order]
         out = []
         for i, words in enumerate(texts(own)):
             hashes = word_hashes(words)
             one = run_hashes(hashes, length, 1)
-            at = np.flatnonzero(_contains(firsts, one))
+            at = np.flatnonzero(_contains(a, one))
             two = run_hashes(hashes, length, 2)[at]
-            hit = at[[x in known for x in zip(one[at].tolist(), two.tolist())]] if len(at) else at
+            hit = at[find_pairs(a, b, one[at], two)] if len(at) else at
             mark = np.zeros(len(words) + 1, dtype=np.int32)
             np.add.at(mark, hit, 1)
             np.add.at(mark, hit + length, -1)

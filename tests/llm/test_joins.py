@@ -11,7 +11,7 @@ from shelfline.llm import jaccard_join
 from shelfline.llm.components import components
 from shelfline.llm.jaccard_join import Region, near_duplicates
 from shelfline.llm.mixing import mix_sources, source_targets
-from shelfline.llm.shared_hashes import distinct_counts
+from shelfline.llm.shared_hashes import distinct_counts, find_pairs
 from shelfline.llm.substring_dedup import COVER, PERIOD, remove_repeats
 
 from .data import awkward_texts, frame, prose, table, words
@@ -159,8 +159,19 @@ def test_distinct_counts():
     b = np.array([1, 2, 1, 7, 2], dtype=np.uint64)
     u, _, n = distinct_counts(a)
     assert u.tolist() == [3, 5] and n.tolist() == [2, 3]
-    u, v, n = distinct_counts(a, b, np.array([1, 1, 4, 1, 1], dtype=np.uint32))
-    assert list(zip(u.tolist(), v.tolist(), n.tolist())) == [(3, 2, 2), (5, 1, 5), (5, 7, 1)]
+    u, v, n = distinct_counts(a, b)
+    assert list(zip(u.tolist(), v.tolist(), n.tolist())) == [(3, 2, 2), (5, 1, 2), (5, 7, 1)]
+    u, v, n = distinct_counts(a[:0], b[:0])
+    assert len(u) == len(v) == len(n) == 0
+
+
+def test_pairs_are_found_when_first_halves_collide():
+    rng = np.random.default_rng(2)
+    a, b, x, y = (rng.integers(0, 6, 40).astype(np.uint64) for _ in range(4))
+    a.sort()
+    known = set(zip(a.tolist(), b.tolist()))
+    assert find_pairs(a, b, x, y).tolist() == [p in known for p in zip(x.tolist(), y.tolist())]
+    assert not find_pairs(a[:0], b[:0], x, y).any()
 
 
 def plain_targets(sizes, weights=(5, 2, 1), share=1.5):
