@@ -21,7 +21,7 @@ from shelfline.llm.texthash import mix, run_hashes, split_words, word_hashes
 from shelfline.session import materialize
 
 BITS = 18                        # n-grams hash to 2**BITS features
-SAMPLE_ROWS = 12_000             # bound on the labelled rows that the hinge loss is fitted on
+SAMPLE_ROWS = 4_000              # bound on the labelled rows that the hinge loss is fitted on
 
 
 def features(text: str | None) -> np.ndarray:
@@ -99,7 +99,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality
           sample_rows: int = SAMPLE_ROWS, cost: float = 1.0, smoothing: float = 1.0) -> Model:
     """Fit on all rows of `labelled` with a label of 0 or 1 (others, null
     included, are left out).  The log-count ratios use every row; the hinge
-    loss uses at most about `sample_rows` rows, drawn by a hash of the text.
+    loss uses at most `sample_rows` rows, drawn by a hash of the text.
     Without rows of both classes the model scores every text the same."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where(
         F.col("label").isin(0, 1))
@@ -132,23 +132,23 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality
     smooth = counts + smoothing
     ratios = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
 
-    draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 20)) < int(1.5 * share * (1 << 20)) + 1
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: features(t).astype("<u4").tobytes())
 
     sample = rows.where(draw).select("label", packed("text").alias("f"), F.xxhash64("text").alias("h"))
-    sample = sample.orderBy("h", "label").limit(2 * sample_rows).toPandas()
-    found = [np.frombuffer(b, "<u4").astype(np.int64) for b in sample["f"]]
+    sample = sample.orderBy("h", "label").limit(sample_rows).toPandas()
+    found = [np.frombuffer(b, "<u4") for b in sample["f"]]
     y = np.where(sample["label"].to_numpy() == 1, 1.0, -1.0)
     bias_at = 1 << BITS
     index, values = [], []
     for f in found:
         v = ratios[f]
         length = np.sqrt(np.square(v).sum())
-        index.append(np.append(f, bias_at))
-        values.append(np.append(v / length if length else v, 1.0))
+        index.append(np.append(f, np.uint32(bias_at)))
+        values.append(np.append(v / length if length else v, 1.0).astype(np.float32))
     share_of = np.bincount((y > 0).astype(int), minlength=2) / len(y)
     costs = np.where(y > 0, cost / max(2 * share_of[1], 1e-9), cost / max(2 * share_of[0], 1e-9))
     w = fit_hinge(index, values, y, costs, bias_at + 1)
