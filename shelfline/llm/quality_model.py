@@ -21,7 +21,7 @@ from shelfline.llm.texthash import mix, run_hashes, split_words, word_hashes
 from shelfline.session import materialize
 
 BITS = 18                        # n-grams hash to 2**BITS features
-SAMPLE_ROWS = 4_000              # bound on the labelled rows that the hinge loss is fitted on
+SAMPLE_ROWS = 3_000              # bound on the labelled rows that the hinge loss is fitted on
 
 
 def features(text: str | None) -> np.ndarray:
@@ -142,6 +142,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality
     sample = sample.orderBy("h", "label").limit(sample_rows).toPandas()
     found = [np.frombuffer(b, "<u4") for b in sample["f"]]
     y = np.where(sample["label"].to_numpy() == 1, 1.0, -1.0)
+    del sample
     bias_at = 1 << BITS
     index, values = [], []
     for f in found:
@@ -198,6 +199,7 @@ def fold(doc_id: Column) -> Column:
 def train_on_labels(docs: DataFrame, labels: DataFrame, held_out_fold: int = 2, **options) -> Model:
     """Fit on the documents that have a label, without those whose id falls
     into the held-out fold.  A document with several label rows counts once
-    for each."""
+    for each.  Labels grow with the corpus, so the join is a merge join at
+    every size."""
     train_docs = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != held_out_fold)
-    return train(train_docs.join(labels.select("doc_id", "quality"), "doc_id"), **options)
+    return train(train_docs.join(labels.select("doc_id", "quality").hint("merge"), "doc_id"), **options)
