@@ -2,11 +2,12 @@
 
 Documents are laid end to end in id order.  Cuts fall at document and sentence
 boundaries or, at a higher penalty, one full sequence after such a boundary; a
-dynamic program over these places chooses the windows that minimise padding
+dynamic program over the boundaries chooses the windows that minimise padding
 plus a penalty for every cut inside a document (more inside a sentence).
-The best predecessor of a boundary is either the smallest `cost + position`
-in the reach of one sequence, kept in a monotone queue, or a boundary at an
-exact power of two before it, where a sequence needs no padding.
+The best predecessor of a boundary is the smallest `cost + position` in the
+reach of one sequence, or of two with a cut inside between them, each kept in a
+monotone queue, or a boundary at an exact power of two before it, where a
+sequence needs no padding.
 """
 
 from __future__ import annotations
@@ -46,58 +47,85 @@ def padded(length: int, most: int) -> int:
     return length if length & (length - 1) == 0 else most
 
 
-def choose_cuts(at: np.ndarray, penalty: np.ndarray, most: int) -> list[int]:
-    """Cuts (positions from `at`, first and last included) whose windows of at
-    most `most` ids have the least padding plus penalties.  `at` ascends with
-    gaps of at most `most`."""
+def choose_cuts(at: np.ndarray, penalty: np.ndarray, most: int, truncation: float, least: int = 64) -> list[int]:
+    """The cuts (first and last included) with the least padding plus
+    penalties.  `at` holds the boundaries, ascending, with gaps of at most
+    `most`; a window between two boundaries has at most `most` ids.  Two
+    windows may also meet inside a sentence, for `truncation`: a full one and
+    what is left of up to `most`.  Unpadded windows of a power of two count
+    from `least` on."""
     n = len(at)
-    exact: list[list[int]] = [[] for _ in range(n)]
-    size = 1
-    while size <= most:
-        j = np.searchsorted(at, at - size)
-        for i in np.flatnonzero((at[j] == at - size) & (at >= size + at[0])).tolist():
-            exact[i].append(int(j[i]))
+    exact: list[list[int] | None] = [None] * n
+    size = least
+    while size < most:                               # a full window has no padding anyway
+        j = np.minimum(np.searchsorted(at, at - size), n - 1)
+        for i, k in zip(hits := np.flatnonzero(at[j] == at - size).tolist(), j[hits].tolist()):
+            if exact[i] is None:
+                exact[i] = [k]
+            else:
+                exact[i].append(k)
         size *= 2
     places, costs = at.tolist(), penalty.tolist()
     cost, back = [0.0] * n, [0] * n
-    queue = deque([(places[0], 0, 0)])               # (cost + position, position, index), rising
+    near = deque([(places[0], places[0], 0)])        # (cost + position, position, index), rising
+    far: deque = deque()                             # the same, for predecessors beyond one window
+    waiting = deque(near)                            # not yet that far
     for i in range(1, n):
         p = places[i]
-        while queue[0][1] < p - most:
-            queue.popleft()
-        best, _, prior = queue[0]
+        low = p - most
+        while near[0][1] < low:
+            near.popleft()
+        best, _, prior = near[0]
         best += most - p
-        for j in exact[i]:
-            if cost[j] < best:
-                best, prior = cost[j], j
-        cost[i] = best = best + costs[i]
-        back[i] = prior
-        key = best + p
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, p, i))
-    cuts = [n - 1]
-    while cuts[-1]:
-        cuts.append(back[cuts[-1]])
-    return [places[i] for i in reversed(cuts)]
+        if exact[i] is not None:
+            for j in exact[i]:
+                if cost[j] < best:
+                    best, prior = cost[j], j
+        while waiting and waiting[0][1] < low:
+            x = waiting.popleft()
+            while far and far[-1][0] >= x[0]:
+                far.pop()
+            far.append(x)
+        while far and far[0][1] < low - most:
+            far.popleft()
+        if far:
+            two = far[0][0] + 2 * most - p + truncation
+            if two < best:
+                best, prior = two, -far[0][2] - 1    # by way of a cut inside
+        best += costs[i]
+        cost[i], back[i] = best, prior
+        x = (best + p, p, i)
+        while near and near[-1][0] >= x[0]:
+            near.pop()
+        near.append(x)
+        waiting.append(x)
+    cuts, i = [places[-1]], n - 1
+    while i:
+        i = back[i]
+        if i < 0:
+            i = -i - 1
+            cuts.append(places[i] + most)
+        cuts.append(places[i])
+    return cuts[::-1]
 
 
 def boundaries(ids: np.ndarray, doc_ends: np.ndarray, marks, most: int, penalty: float, truncation: float):
-    """Positions where a cut may fall and their penalties: document ends
-    (free), sentence ends (`penalty`), and, inside a sentence (`truncation`),
-    the places one full sequence after any of these or after each other where
-    they lie too far apart."""
+    """Boundaries and the penalties of a cut there: document ends (free),
+    sentence ends (`penalty`), and, where these lie more than `most` apart,
+    places in between (`truncation`)."""
     ends, opens = marks
     here = np.minimum(ids, len(ends) - 1)
     inside = np.flatnonzero(ends[here[:-1]] & opens[here[1:]]) + 1
-    at = np.unique(np.concatenate([[0], inside, doc_ends]))
+    mark = np.zeros(len(ids) + 1, dtype=bool)
+    mark[0] = mark[inside] = mark[doc_ends] = True
+    at = np.flatnonzero(mark)
     gaps = np.flatnonzero(np.diff(at) > most)
-    forced = [np.arange(at[g] + most, at[g + 1], most) for g in gaps]
-    full = np.unique(np.concatenate([at, at[at + most < at[-1]] + most, *forced]))
-    price = np.full(len(full), truncation)
-    price[np.searchsorted(full, inside)] = penalty
-    price[np.searchsorted(full, doc_ends)] = 0
-    return full, price
+    if len(gaps):
+        at = np.sort(np.concatenate([at, *(np.arange(at[g] + most, at[g + 1], most) for g in gaps)]))
+    price = np.full(len(at), truncation)
+    price[np.searchsorted(at, inside)] = penalty
+    price[np.searchsorted(at, doc_ends)] = 0
+    return at, price
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, most: int = 1024, penalty: float = 2.0,
@@ -131,7 +159,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, most:
             names, before, here, total = docs
             ends = np.cumsum(here)
             firsts = ends - here
-            cuts = np.array(choose_cuts(*boundaries(ids, ends, marks, most, penalty, truncation), most))
+            cuts = np.array(choose_cuts(*boundaries(ids, ends, marks, most, penalty, truncation), most, truncation))
             if not last:
                 cuts = cuts[:-1]
             edges = np.unique(np.concatenate([cuts, ends[ends < cuts[-1]]]))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WORDS_HELD = 900_000             # cached words per worker process
+WORDS_HELD = 1_200_000             # cached words per worker process
 # Fixed by the pre-tokenizers: ASCII marks after a letter, up to the unit's
 # end, are a pre-token of their own; letters are taken from Latin blocks only.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -67,28 +67,42 @@ class Encoder:
         self.spaced = spaced
         # What a normaliser does to A-Z anyway is done before words are looked up.
         self.lower = "Lowercase" in str(self.tokenizer.normalizer)
-        # Vocabularies of this kind mark the last token of every pre-token.
-        ends = [] if spaced else [i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)]
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
-        self.ends[ends] = True
+        # Bytes of each token, where tokens spell the text byte by byte.
+        names = sorted(((i, t) for t, i in self.tokenizer.get_vocab().items()))
+        self.sizes = np.zeros(names[-1][0] + 1, dtype=np.int64)
+        # Vocabularies of the other kind mark the last token of every pre-token.
+        self.ends = np.zeros(names[-1][0] + 1, dtype=bool)
+        for i, t in names:
+            self.sizes[i], self.ends[i] = len(t), t.endswith(WORD_END)
         self.words: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words that are not cached.  Where tokens mark word ends, words
-        of letters go together: the marks give them their ids back, and as
-        every word has at least one, equal numbers mean one each."""
+        """Encode words that are not cached, many in one call: words of letters
+        (with the space before them) do not touch each other, and the tokens'
+        sizes or end marks tell where each word's ids end."""
         for i in range(0, len(words), 2000):
-            some = words[i:i + 2000]
-            if not self.spaced:
-                plain = [w for w in some if w.isalpha()]
-                ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
-                ends = np.flatnonzero(self.ends[ids]) + 1
-                if len(ends) == len(plain):
-                    data, last = ids.tobytes(), 0
-                    for w, e in zip(plain, (4 * ends).tolist()):
-                        self.words[w] = data[last:e]
-                        last = e
-                    some = [w for w in some if not w.isalpha()]
+            some, plain = [], []
+            for w in words[i:i + 2000]:
+                (plain if (w[1:] if self.spaced and w[:1] == " " else w).isalpha()
+                 and (w[0] == " ") == self.spaced else some).append(w)
+            text = ("" if self.spaced else " ").join(plain)
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            if self.spaced:
+                last = np.cumsum([len(w.encode()) for w in plain])
+                reach = np.cumsum(self.sizes[ids])
+                ends = np.searchsorted(reach, last) + 1
+                whole = len(plain) == 0 or bool((ends <= len(reach)).all() and (reach[ends - 1] == last).all()
+                                                and reach[-1] == last[-1])
+            else:
+                ends = np.flatnonzero(self.ends[ids]) + 1    # every word has one at least: equal numbers mean one each
+                whole = len(ends) == len(plain)
+            if whole:
+                data, start = ids.tobytes(), 0
+                for w, e in zip(plain, (4 * ends).tolist()):
+                    self.words[w] = data[start:e]
+                    start = e
+            else:
+                some += plain
             for w, c in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self.words[w] = array("I", c.ids).tobytes()
 

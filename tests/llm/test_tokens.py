@@ -125,34 +125,53 @@ def test_packing(spark, monkeypatch, block):
     assert pack_documents(frame(spark, rows).limit(0), BYTES).count() == 0
 
 
-def test_blocks_continue_each_other(spark):
+def test_long_gaps_get_places_to_cut():
     rows = awkward_texts()
-    texts = [t for _, t in rows]
-    docs = [np.array(x + [0], dtype="<u4") for x in plain_ids(BYTES, texts)]
+    docs = [np.array(x + [0], dtype="<u4") for x in plain_ids(BYTES, [t for _, t in rows])]
     ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
     at, price = boundaries(ids, ends, packing.sentence_marks(BYTES), 64, 2.0, 8.0)
-    cuts = choose_cuts(at, price, 64)
-    assert cuts[0] == 0 and cuts[-1] == len(ids) and max(np.diff(cuts)) <= 64
+    assert max(np.diff(at)) <= 64 and set(ends) <= set(at) and (price[np.searchsorted(at, ends)] == 0).all()
+    cuts = choose_cuts(at, price, 64, 8.0)
+    assert cuts[0] == 0 and cuts[-1] == len(ids) and 0 < min(np.diff(cuts)) and max(np.diff(cuts)) <= 64
 
 
 def test_cuts_are_the_best_there_are():
     rng = random.Random(8)
-    for _ in range(60):
-        most, n = 16, rng.randint(2, 14)
-        at = np.unique([0] + [rng.randrange(1, 60) for _ in range(n)])
+    tried = 0
+    for _ in range(300):
+        most, least, extra = 16, rng.choice([1, 4]), rng.choice([2.0, 3.0])
+        at = np.unique([0] + [rng.randrange(1, 90) for _ in range(rng.randint(2, 20))])
         if len(at) < 2 or max(np.diff(at)) > most:
             continue
-        price = np.array([rng.choice([0.0, 2.0, 5.0]) for _ in at])
+        tried += 1
+        price = np.array([rng.choice([0.0, 1.0, 2.0]) for _ in at])
 
-        def cost(cuts):
-            return sum(padded(b - a, most) - (b - a) for a, b in zip(cuts, cuts[1:])) + sum(
-                price[np.searchsorted(at, c)] for c in cuts[1:])
+        def waste(n):
+            return 0 if n >= least and n & (n - 1) == 0 else most - n
 
         best = {0: 0.0}
         for j in range(1, len(at)):
-            best[j] = price[j] + min(best[i] + padded(int(at[j] - at[i]), most) - (at[j] - at[i])
-                                     for i in range(j) if at[j] - at[i] <= most)
-        assert math.isclose(cost(choose_cuts(at, price, most)), best[len(at) - 1])
+            options = []
+            for i in range(j):
+                n = int(at[j] - at[i])
+                if n <= most:
+                    options.append(best[i] + waste(n))
+                elif n <= 2 * most:
+                    options.append(best[i] + 2 * most - n + extra)
+            best[j] = price[j] + min(options)
+        cuts = choose_cuts(at, price, most, extra, least)
+        known = {int(x): p for x, p in zip(at, price)}
+        got = 0.0
+        for a, b, c in zip([None] + cuts, cuts, cuts[1:] + [None]):
+            if b not in known:
+                got += extra
+                assert b - a == most
+            elif b:
+                got += known[b]
+            if c is not None:
+                got += most - (c - b) if b not in known else waste(c - b)
+        assert math.isclose(got, best[len(at) - 1])
+    assert tried > 30
 
 
 def plain_count(model, word):
