@@ -8,10 +8,10 @@ projection of that row.
 
 from __future__ import annotations
 
-import datetime as dt
+from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,10 +31,26 @@ DRIFT_REFERENCE_DTYPES = {
     "date": "datetime64[ns]", "sales": "float64", "items": "int64",
     "store_id": "object", "product_category": "object",
 }
-# Fixed limits of the configured quality gate.
+# Fixed default limits of the quality gate and of the expectations; every one
+# is an argument, so a run of any size can set its own.
 MAX_NULL_RATIO = 0.1
 MAX_DUPLICATE_RATIO = 0.05
 MIN_ROWS, MAX_ROWS = 1, 1_000_000
+MAX_SALES, MAX_ITEMS = 1_000_000, 10_000
+MAX_MEAN_SALES, MAX_STDEV_SALES = 50_000, 100_000
+EXTREME_SALES, EXTREME_ITEMS = 100_000, 1_000
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Limits of the quality gate; `max_rows` None means no upper bound."""
+    max_null_ratio: float = MAX_NULL_RATIO
+    max_duplicate_ratio: float = MAX_DUPLICATE_RATIO
+    min_rows: int = MIN_ROWS
+    max_rows: int | None = MAX_ROWS
+
+    def rows_ok(self, n: Column) -> Column:
+        return (n >= self.min_rows) if self.max_rows is None else n.between(self.min_rows, self.max_rows)
 
 
 def _long(row_df: DataFrame, names: Sequence[str], name_col: str = "metric",
@@ -116,10 +132,10 @@ def _business_preds(df: DataFrame) -> dict[str, Column]:
     p = {}
     if "sales" in df.columns:
         s = F.col("sales")
-        p.update(negative_sales_count=s < 0, zero_sales_count=s == 0, extreme_sales_count=s > 100000)
+        p.update(negative_sales_count=s < 0, zero_sales_count=s == 0, extreme_sales_count=s > EXTREME_SALES)
     if "items" in df.columns:
         i = F.col("items")
-        p.update(negative_items_count=i < 0, zero_items_count=i == 0, extreme_items_count=i > 1000)
+        p.update(negative_items_count=i < 0, zero_items_count=i == 0, extreme_items_count=i > EXTREME_ITEMS)
     return p
 
 
@@ -152,18 +168,6 @@ def series_distribution(df: DataFrame, col: str = "sales") -> DataFrame:
     return df.agg(F.avg(col).alias(f"{col}_mean"), F.stddev_samp(col).alias(f"{col}_stdev"))
 
 
-# ---------------------------------------------------------------- E8
-def pipeline_metrics(stages: dict[str, tuple[int, int, int]]) -> list[dict]:
-    """Per stage input_rows, output_rows, rows_dropped, features_added,
-    from counts gathered with `DataFrame.observe` while the stage ran."""
-    out = []
-    for stage, (n_in, n_out, features) in stages.items():
-        out.append({"stage": stage, "input_rows": int(n_in), "output_rows": int(n_out),
-                    "rows_dropped": int(n_in - n_out), "features_added": int(features),
-                    "success": 1})
-    return out
-
-
 # ---------------------------------------------------------------- F1 / F4 / F5
 def schema_checks(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """every rule counted in one scan; all failures reported (lazy
@@ -207,7 +211,7 @@ def processed_schema_checks(df: DataFrame, expected: dict[str, str]) -> DataFram
 
 
 # ---------------------------------------------------------------- F3
-def expectation_parts(df: DataFrame, prefix: str = "_e") -> tuple[list[Column], list[Column]]:
+def expectation_parts(df: DataFrame, prefix: str = "_e", limits: Limits = Limits()) -> tuple[list[Column], list[Column]]:
     """The 18 expectations as (aggregate columns, result structs over the
     aggregate row), so they can share one aggregate with other checks."""
     cols = df.columns
@@ -219,10 +223,10 @@ def expectation_parts(df: DataFrame, prefix: str = "_e") -> tuple[list[Column],
     checks: list[tuple[str, str, Column]] = []
     if "sales" in cols:
         checks.append(("expect_column_values_to_be_between", "sales",
-                       F.col("sales").isNotNull() & ~F.col("sales").between(0, 1000000)))
+                       F.col("sales").isNotNull() & ~F.col("sales").between(0, MAX_SALES)))
     if "items" in cols:
         checks.append(("expect_column_values_to_be_between", "items",
-                       F.col("items").isNotNull() & ~F.col("items").between(0, 10000)))
+                       F.col("items").isNotNull() & ~F.col("items").between(0, MAX_ITEMS)))
     if "product_category" in cols:
         checks.append(("expect_column_values_to_be_in_set", "product_category",
                        F.col("product_category").isNotNull()
@@ -236,7 +240,7 @@ def expectation_parts(df: DataFrame, prefix: str = "_e") -> tuple[list[Column],
         aggs += [F.avg("sales").alias(f"{prefix}mean_sales"), F.stddev_samp("sales").alias(f"{prefix}std_sales")]
     c = lambda name: F.col(f"{prefix}{name}")
     items = [
-        ("expect_table_row_count_to_be_between", None, c("n").cast("double"), c("n").between(MIN_ROWS, MAX_ROWS)),
+        ("expect_table_row_count_to_be_between", None, c("n").cast("double"), limits.rows_ok(c("n"))),
         ("expect_table_columns_to_match_ordered_list", None, F.lit(None).cast("double"),
          F.lit(cols == expected_cols)),
     ]
@@ -252,21 +256,21 @@ def expectation_parts(df: DataFrame, prefix: str = "_e") -> tuple[list[Column],
         items.append((name, col, c(f"bad_{i}").cast("double"), c(f"bad_{i}") == 0))
     if "sales" in cols:
         items.append(("expect_column_mean_to_be_between", "sales", c("mean_sales"),
-                      F.coalesce(c("mean_sales").between(0, 50000), F.lit(False))))
+                      F.coalesce(c("mean_sales").between(0, MAX_MEAN_SALES), F.lit(False))))
         items.append(("expect_column_stdev_to_be_between", "sales", c("std_sales"),
-                      F.coalesce(c("std_sales").between(0, 100000), F.lit(False))))
+                      F.coalesce(c("std_sales").between(0, MAX_STDEV_SALES), F.lit(False))))
     structs = [F.struct(F.lit(i).alias("expectation_order"), F.lit(name).alias("expectation"),
                         F.lit(col).cast("string").alias("column"), obs.alias("observed"), ok.alias("success"))
                for i, (name, col, obs, ok) in enumerate(items)]
     return aggs, structs
 
 
-def expectation_suite(df: DataFrame) -> DataFrame:
+def expectation_suite(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """the 18 expectations of the retail suite.  Table-, column-map- and
     aggregate-expectations share one global aggregate; bounds are inclusive.
     Output (expectation, column, observed, success), observed being the
     unexpected-row count for row expectations."""
-    aggs, structs = expectation_parts(df)
+    aggs, structs = expectation_parts(df, limits=limits)
     return df.agg(*aggs).select(F.inline(F.array(*structs)))
 
 
@@ -290,71 +294,83 @@ def _dtype_name(dt_: T.DataType) -> str:
     return PANDAS_DTYPE.get(dt_.simpleString(), dt_.simpleString())
 
 
-def schema_drift(spark: SparkSession, df: DataFrame,
-                 reference: dict[str, str] = DRIFT_REFERENCE_DTYPES) -> DataFrame:
-    """missing columns, extra columns and dtype changes against a
-    reference schema; reads only the schema (no data scan)."""
+def drift_parts(df: DataFrame, reference: dict[str, str], prefix: str = "_d") -> tuple[list[Column], list[Column]]:
+    """The drift rows as (aggregate columns, result structs over the
+    aggregate row): missing columns, extra columns and dtype changes against
+    a reference schema, each with the rows that it touches (all rows for a
+    missing column, else those with a value)."""
     actual = {f.name: _dtype_name(f.dataType) for f in df.schema.fields}
-    rows = []
-    for c in reference:
-        if c not in actual:
-            rows.append(("missing_column", c, reference[c], None))
-    for c in actual:
-        if c not in reference:
-            rows.append(("extra_column", c, None, actual[c]))
-    for c in reference:
-        if c in actual and actual[c] != reference[c]:
-            rows.append(("dtype_change", c, reference[c], actual[c]))
-    has_drift = bool(rows)
-    schema = "kind string, column string, expected string, actual string"
-    out = spark.createDataFrame(rows, schema)
-    return out.withColumn("has_drift", F.lit(has_drift))
-
-
-def dtype_match(spark: SparkSession, df: DataFrame,
-                reference: dict[str, str] = DRIFT_REFERENCE_DTYPES) -> DataFrame:
-    """F8: 1 when a present expected column has the expected dtype, else 0."""
+    found = [("missing_column", c, t, None) for c, t in reference.items() if c not in actual]
+    found += [("extra_column", c, None, t) for c, t in actual.items() if c not in reference]
+    found += [("dtype_change", c, t, actual[c]) for c, t in reference.items() if actual.get(c, t) != t]
+    aggs, structs = [], []
+    for i, (kind, c, expected, got) in enumerate(found):
+        aggs.append(F.count(F.col(c) if c in actual else F.lit(1)).alias(f"{prefix}{i}"))
+        structs.append(F.struct(
+            F.lit(kind).alias("kind"), F.lit(c).alias("column"), F.lit(expected).cast("string").alias("expected"),
+            F.lit(got).cast("string").alias("actual"), F.col(f"{prefix}{i}").alias("rows")))
+    return aggs, structs
+
+
+def schema_drift(df: DataFrame, reference: dict[str, str] = DRIFT_REFERENCE_DTYPES) -> DataFrame:
+    """kind, column, expected, actual, rows (touched) and has_drift, in
+    one aggregate over the data; no rows without drift."""
+    aggs, structs = drift_parts(df, reference)
+    if not structs:
+        return df.sparkSession.createDataFrame(
+            [], "kind string, column string, expected string, actual string, rows bigint, has_drift boolean")
+    return df.agg(*aggs).select(F.inline(F.array(*structs))).withColumn("has_drift", F.lit(True))
+
+
+def dtype_match(df: DataFrame, reference: dict[str, str] = DRIFT_REFERENCE_DTYPES) -> DataFrame:
+    """F8: per present expected column 1 when its dtype is the expected one,
+    else 0, and the number of values that this holds for."""
     actual = {f.name: _dtype_name(f.dataType) for f in df.schema.fields}
-    rows = [(f"{c}_dtype_match", 1 if actual.get(c) == t else 0) for c, t in reference.items()
-            if c in actual]
-    return spark.createDataFrame(rows, "metric string, value int")
+    present = [c for c in reference if c in actual]
+    return df.agg(*[F.count(c).alias(c) for c in present]).select(F.inline(F.array(*[
+        F.struct(F.lit(f"{c}_dtype_match").alias("metric"), F.lit(int(actual[c] == reference[c])).alias("value"),
+                 F.col(c).alias("rows")) for c in present])))
 
 
 # ---------------------------------------------------------------- F9
-def threshold_gate(metrics: DataFrame) -> DataFrame:
-    """null ratio, duplicate ratio and row count against the configured
-    limits, from the long metrics of `quality_metrics`."""
+def threshold_gate(metrics: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """null ratio, duplicate ratio and row count against `limits`, from
+    the long metrics of `quality_metrics`."""
     m = metrics.groupBy().pivot("metric", ["overall_null_ratio", "duplicate_ratio", "total_rows"]).agg(
         F.first("value"))
+
+    def gate(name: str, observed: str, limit: float | None, passed: Column) -> Column:
+        return F.struct(F.lit(name).alias("gate"), F.col(observed).alias("observed"),
+                        F.lit(limit).cast("double").alias("limit"), passed.alias("passed"))
+
     return m.select(F.inline(F.array(
-        F.struct(F.lit("null_ratio").alias("gate"), F.col("overall_null_ratio").alias("observed"),
-                 F.lit(float(MAX_NULL_RATIO)).alias("limit"),
-                 (F.col("overall_null_ratio") <= MAX_NULL_RATIO).alias("passed")),
-        F.struct(F.lit("duplicate_ratio").alias("gate"), F.col("duplicate_ratio").alias("observed"),
-                 F.lit(float(MAX_DUPLICATE_RATIO)).alias("limit"),
-                 (F.col("duplicate_ratio") <= MAX_DUPLICATE_RATIO).alias("passed")),
-        F.struct(F.lit("row_count").alias("gate"), F.col("total_rows").alias("observed"),
-                 F.lit(float(MAX_ROWS)).alias("limit"),
-                 F.col("total_rows").between(MIN_ROWS, MAX_ROWS).alias("passed")),
-    )))
+        gate("null_ratio", "overall_null_ratio", limits.max_null_ratio,
+             F.col("overall_null_ratio") <= limits.max_null_ratio),
+        gate("duplicate_ratio", "duplicate_ratio", limits.max_duplicate_ratio,
+             F.col("duplicate_ratio") <= limits.max_duplicate_ratio),
+        gate("row_count", "total_rows", limits.max_rows, limits.rows_ok(F.col("total_rows"))))))
 
 
 # ---------------------------------------------------------------- F10
-def validate_all(spark: SparkSession, df: DataFrame, rules: Sequence[Rule],
-                 dataset: str = "retail_sales") -> DataFrame:
+def validate_all(df: DataFrame, rules: Sequence[Rule],
+                 dataset: str = "retail_sales", limits: Limits = Limits(), check_drift: bool = True) -> DataFrame:
     """metrics + schema rules + expectation suite + drift stacked into
-    one long frame (section, name, column, observed, success, dataset).
+    one long frame (section, name, column, observed, success, dataset,
+    overall_success).  A schema rule or expectation that fails fails the
+    whole, and so does any drift row; metrics only inform.
 
     Two passes over the input: the metrics' group-by-all-columns aggregate
     (duplicates, null and business counts) and ONE global aggregate shared
-    by every schema rule and every expectation; drift reads the schema only."""
+    by every schema rule, expectation and drift row.
+    The window for the overall result spans these few dozen result rows."""
     from shelfline.functions.rules import rule_aggs, rule_structs
     metrics = quality_metrics(df).select(
         F.lit("metrics").alias("section"), F.col("metric").alias("name"),
         F.lit(None).cast("string").alias("column"), F.col("value").alias("observed"),
         F.lit(None).cast("boolean").alias("success"))
-    e_aggs, e_structs = expectation_parts(df)
-    wide = df.agg(*rule_aggs(rules), *e_aggs)
+    e_aggs, e_structs = expectation_parts(df, limits=limits)
+    d_aggs, d_structs = drift_parts(df, DRIFT_REFERENCE_DTYPES) if check_drift else ([], [])
+    wide = df.agg(*rule_aggs(rules), *e_aggs, *d_aggs)
     as_item = lambda section, name, column, observed, success: F.struct(
         F.lit(section).alias("section"), name.alias("name"), column.cast("string").alias("column"),
         observed.cast("double").alias("observed"), success.alias("success"))
@@ -362,20 +378,16 @@ def validate_all(spark: SparkSession, df: DataFrame, rules: Sequence[Rule],
                      s_.getField("failures") == 0) for s_ in rule_structs(rules)]
     items += [as_item("expectations", s_.getField("expectation"), s_.getField("column"),
                       s_.getField("observed"), s_.getField("success")) for s_ in e_structs]
-    checks = wide.select(F.inline(F.array(*items)))
-    drift = schema_drift(spark, df).select(
-        F.lit("drift").alias("section"), F.col("kind").alias("name"), "column",
-        F.lit(None).cast("double").alias("observed"), F.lit(False).alias("success"))
-    return (metrics.unionByName(checks).unionByName(drift)
-            .withColumn("dataset", F.lit(dataset)))
+    items += [as_item("drift", s_.getField("kind"), s_.getField("column"), s_.getField("rows"), F.lit(False))
+              for s_ in d_structs]
+    out = metrics.unionByName(wide.select(F.inline(F.array(*items))))
+    overall = F.coalesce(F.min("success").over(Window.partitionBy()), F.lit(True))
+    return out.withColumns({"dataset": F.lit(dataset), "overall_success": overall})
 
 
 def overall_success(results: DataFrame) -> DataFrame:
-    """One row: every schema rule and expectation passed (drift and metrics
-    are informational)."""
-    return results.agg(F.coalesce(F.bool_and(F.when(F.col("section").isin("schema", "expectations"),
-                                                    F.col("success"))), F.lit(True))
-                       .alias("overall_success"))
+    """One row: no schema rule, expectation or drift row failed."""
+    return results.agg(F.coalesce(F.bool_and("success"), F.lit(True)).alias("overall_success"))
 
 
 def fail_fast(results: DataFrame) -> None:
@@ -386,10 +398,11 @@ def fail_fast(results: DataFrame) -> None:
 
 # ---------------------------------------------------------------- B6
 def metrics_long(metrics: DataFrame, dataset: str, unit_rule: str = "quality",
-                 name_col: str = "metric", value_col: str = "value") -> DataFrame:
-    """Metric rows with unit and dimensions.  quality: Count when the
-    name contains "count" else Percent; etl: Count / Seconds (name contains
-    "time") / None."""
+                 name_col: str = "metric", value_col: str = "value",
+                 dims: dict[str, str] | None = None) -> DataFrame:
+    """Metric rows with unit and dimensions (the dataset and any further
+    `dims`, as a map).  quality: Count when the name contains "count" else
+    Percent; etl: Count / Seconds (name contains "time") / None."""
     name = F.lower(F.col(name_col))
     if unit_rule == "quality":
         unit = F.when(name.contains("count"), "Count").otherwise("Percent")
@@ -398,9 +411,9 @@ def metrics_long(metrics: DataFrame, dataset: str, unit_rule: str = "quality",
                  .when(name.contains("time"), "Seconds").otherwise("None"))
     else:
         raise ValueError(unit_rule)
-    return metrics.select(F.col(name_col).alias("metric_name"), F.col(value_col).cast("double").alias("value"),
-                          unit.alias("unit"), F.lit(dataset).alias("dataset"))
-
-
-def as_of_default() -> dt.date:
-    return dt.date(2026, 12, 31)
+    out = metrics.select(F.col(name_col).alias("metric_name"), F.col(value_col).cast("double").alias("value"),
+                         unit.alias("unit"), F.lit(dataset).alias("dataset"))
+    if dims is None:
+        return out
+    pairs = [F.lit(x) for kv in {"dataset": dataset, **dims}.items() for x in kv]
+    return out.withColumn("dimensions", F.create_map(*pairs))

@@ -8,9 +8,11 @@ import os
 from pyspark.sql import functions as F
 
 from shelfline.plans import flows as P
-from shelfline.plans.catalog_quality import AS_OF
+from shelfline.plans.catalog_quality import AS_OF, DS_COLS, metrics_sql, validate_sql
 from shelfline.plans.oracle_views import with_views
+from shelfline.plans.presets import settings_for
 from shelfline.plans.registry import register
+from shelfline.schemas import PROCESSED_REFERENCE
 from shelfline.session import scratch_dir
 from shelfline.sources import fixtures as V
 from shelfline.sources import sinks as B
@@ -21,6 +23,10 @@ select date, sales, items, coalesce(nullif(store_id, ''), 'nan') as store_id,
        coalesce(nullif(product_category, ''), 'nan') as product_category
 from daily_sales"""
 
+O_READ_CSV = """
+select date, sales, items, nullif(store_id, '') as store_id, nullif(product_category, '') as product_category
+from daily_sales"""
+
 
 def _stage_csv(spark, sf_dir) -> str:
     path = os.path.join(scratch_dir(spark, "bronze"), "daily_sales.csv")
@@ -75,15 +81,41 @@ from feat group by date, store_id, product_category"""),
 ]
 
 
+def run_validated(spark, sf_dir):
+    """P2 over the staged file with the settings that let it go on after a
+    failed raw validation; (stage metrics, settings)."""
+    settings = settings_for("development", scratch_dir(spark, "validated"))
+    return P.etl_validated(spark, _stage_csv(spark, sf_dir), settings, AS_OF), settings
+
+
 @register("etl_validated", with_views(O_P2, "daily_sales", ctes=O_P2_CTES))
 def q_etl_validated(spark, sf_dir):
-    out_path = scratch_dir(spark, "validated")
-    P.etl_validated(spark, _stage_csv(spark, sf_dir), out_path, AS_OF, fail_fast=False)
-    back = spark.read.parquet(out_path)
+    _, settings = run_validated(spark, sf_dir)
+    back = spark.read.parquet(settings.data_path)
     return back.withColumns({"sales": F.round("sales", 6),
                              "sales_normalized": F.round("sales_normalized", 6)})
 
 
+@register("etl_validation_report", with_views(f"""
+select 'raw' as phase, section, name, "column", round(observed, 6) as observed, success from ({validate_sql("", "raw_csv", "rm")})
+union all
+select 'processed', 'schema', 'type ' || f, c, cast(n as double), n = 0
+from (select {", ".join(f"count(*) filter (where {c} is null) as n{i}" for i, c in enumerate(PROCESSED_REFERENCE))}
+      from done),
+     lateral (values {", ".join(f"('{c}', '{t}', n{i})" for i, (c, t) in enumerate(PROCESSED_REFERENCE.items()))}) v(c, f, n)
+union all
+select 'processed', 'metrics', metric, null, round(value, 6), null from pm""",
+    "daily_sales", ctes=O_P2_CTES + [
+        ("raw_csv", O_READ_CSV), ("rm", metrics_sql("raw_csv", DS_COLS)),
+        ("done", O_P2.replace("round(g.sales, 6)", "g.sales").replace("round(g.sales_normalized, 6)", "g.sales_normalized")),
+        ("pm", metrics_sql("done", list(PROCESSED_REFERENCE)))]))
+def q_etl_validation_report(spark, sf_dir):
+    """What the saved report of the validated flow (P2) holds: raw validation
+    with drift, processed checks and metrics of the written data."""
+    _, settings = run_validated(spark, sf_dir)
+    return spark.read.parquet(settings.report_path).withColumn("observed", F.round("observed", 6))
+
+
 # ---------------------------------------------------------------- P3
 @register("etl_zero_fill", with_views("""
 select date, coalesce(sales, 0.0) as sales, coalesce(items, 0) as items, nullif(store_id, '') as store_id,

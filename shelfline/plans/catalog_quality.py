@@ -164,28 +164,26 @@ select count(*) as n from (
 
 
 @register("pipeline_metrics", with_views("""
-select 'transform' as stage, (select count(*) from daily_sales) as input_rows,
-       (select count(*) from clean) as output_rows,
-       (select count(*) from daily_sales) - (select count(*) from clean) as rows_dropped,
-       5 as features_added
-union all
-select 'group', (select count(*) from feat), (select count(*) from grp),
-       (select count(*) from feat) - (select count(*) from grp), 0
-union all
-select 'complete', (select count(*) from grp), (select n from completed),
-       (select count(*) from grp) - (select n from completed), 0""",
+select stage, input_rows, output_rows, greatest(input_rows - output_rows, 0) as rows_dropped,
+       greatest(output_rows - input_rows, 0) as rows_added, features_added, success from (
+  select 'validate' as stage, (select count(*) from daily_sales) as input_rows,
+         (select count(*) from daily_sales) as output_rows, 0 as features_added, false as success
+  union all
+  select 'transform', (select count(*) from daily_sales), (select count(*) from clean), 5, true
+  union all
+  select 'group', (select count(*) from feat), (select count(*) from grp), 0, true
+  union all
+  select 'complete', (select count(*) from grp), (select n from completed), 0, true
+  union all
+  select 'check', (select n from completed), (select n from completed), 0, true)""",
     "daily_sales", ctes=CLEAN_CTES + [("grp", O_GROUP), ("completed", O_COMPLETED_COUNT)]))
 def q_pipeline_metrics(spark, sf_dir):
-    """Stage counts observed while the validated ETL flow (P2) writes its
-    output (the raw file is the daily_sales table staged as CSV)."""
-    from shelfline.plans.flows import etl_validated
-    from shelfline.session import scratch_dir
-    from shelfline.sources import sinks as B
-    import os
-    path = os.path.join(scratch_dir(spark, "bronze"), "daily_sales.csv")
-    B.write_as(V.daily_sales(spark, sf_dir), path, fmt="csv", compression="none")
-    _, _, _, metrics = etl_validated(spark, path, scratch_dir(spark, "validated"), AS_OF, fail_fast=False)
-    return metrics
+    """Stage rows and success of the validated ETL flow (P2); the raw file is
+    the daily_sales table staged as CSV, whose planted faults fail the raw
+    validation.  Seconds differ from run to run and are left out."""
+    from shelfline.plans.catalog_flows import run_validated
+    metrics, _ = run_validated(spark, sf_dir)
+    return metrics.drop("seconds")
 
 
 # ---------------------------------------------------------------- F1
@@ -284,24 +282,32 @@ def q_quarantine_split(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- F7
-@register("schema_drift", """
-select * from (values
-  ('extra_column', 'year', cast(null as varchar), 'int32', true),
-  ('extra_column', 'month', null, 'int32', true),
-  ('extra_column', 'day', null, 'int32', true),
-  ('extra_column', 'is_weekend', null, 'bool', true),
-  ('extra_column', 'sales_normalized', null, 'float64', true)
-) t(kind, "column", expected, actual, has_drift)""")
+@register("schema_drift", with_views("""
+select 'extra_column' as kind, c as "column", cast(null as varchar) as expected, t as actual, n as "rows",
+       true as has_drift
+from (select count(year) as n1, count(month) as n2, count(day) as n3, count(is_weekend) as n4,
+             count(sales_normalized) as n5 from feat),
+     lateral (values ('year', 'int32', n1), ('month', 'int32', n2), ('day', 'int32', n3),
+                     ('is_weekend', 'bool', n4), ('sales_normalized', 'float64', n5)) v(c, t, n)
+union all
+select 'dtype_change', 'items', 'int64', 'int32', count(items), true from feat""",
+    "daily_sales", ctes=CLEAN_CTES))
 def q_schema_drift(spark, sf_dir):
-    return Q.schema_drift(spark, featured_sales(spark, sf_dir))
+    df = featured_sales(spark, sf_dir)
+    return Q.schema_drift(df.withColumn("items", F.col("items").cast("int")))
 
 
 # ---------------------------------------------------------------- F8
-@register("dtype_match", """
-select * from (values ('date_dtype_match', 1), ('sales_dtype_match', 1), ('items_dtype_match', 1),
-  ('store_id_dtype_match', 1), ('product_category_dtype_match', 1)) t(metric, value)""")
+@register("dtype_match", with_views("""
+select metric, value, n as "rows"
+from (select count(date) as n1, count(sales) as n2, count(items) as n3, count(store_id) as n4,
+             count(product_category) as n5 from daily_sales),
+     lateral (values ('date_dtype_match', 1, n1), ('sales_dtype_match', 1, n2), ('items_dtype_match', 0, n3),
+                     ('store_id_dtype_match', 1, n4), ('product_category_dtype_match', 1, n5)) v(metric, value, n)""",
+    "daily_sales"))
 def q_dtype_match(spark, sf_dir):
-    return Q.dtype_match(spark, V.daily_sales(spark, sf_dir))
+    df = V.daily_sales(spark, sf_dir)
+    return Q.dtype_match(df.withColumn("items", F.col("items").cast("int")))
 
 
 # ---------------------------------------------------------------- F9
@@ -319,17 +325,37 @@ def q_threshold_gate(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- F10
-@register("validate_all", with_views(f"""
-select 'metrics' as section, metric as name, cast(null as varchar) as "column", value as observed,
-       cast(null as boolean) as success, 'daily_sales' as dataset from m
-union all
-select 'schema', "check", "column", cast(failures as double), passed, 'daily_sales' from ({rules_sql("daily_sales", RAW_RULES_SQL)})
-union all
-select 'expectations', expectation, "column", observed, success, 'daily_sales' from ({_suite_sql("daily_sales")})""",
-    "daily_sales", ctes=[("m", metrics_sql("daily_sales", DS_COLS))]))
+def validate_sql(drift: str = "", t: str = "daily_sales", m: str = "m") -> str:
+    return f"""
+select *, coalesce(bool_and(success) over (), true) as overall_success from (
+  select 'metrics' as section, metric as name, cast(null as varchar) as "column", value as observed,
+         cast(null as boolean) as success, 'daily_sales' as dataset from {m}
+  union all
+  select 'schema', "check", "column", cast(failures as double), passed, 'daily_sales'
+  from ({rules_sql(t, RAW_RULES_SQL)})
+  union all
+  select 'expectations', expectation, "column", observed, success, 'daily_sales'
+  from ({_suite_sql(t)}){drift})"""
+
+
+VALIDATE_CTES = [("m", metrics_sql("daily_sales", DS_COLS))]
+
+
+@register("validate_all", with_views(validate_sql(), "daily_sales", ctes=VALIDATE_CTES))
 def q_validate_all(spark, sf_dir):
-    out = Q.validate_all(spark, V.daily_sales(spark, sf_dir), RL.raw_rules(AS_OF), dataset="daily_sales")
-    return r6(out, ["observed"])
+    df = V.daily_sales(spark, sf_dir)
+    return r6(Q.validate_all(df, RL.raw_rules(AS_OF), dataset="daily_sales"), ["observed"])
+
+
+@register("validate_all_drift", with_views(validate_sql("""
+  union all
+  select 'drift', 'dtype_change', 'items', cast(count(items) as double), false, 'daily_sales' from daily_sales"""),
+    "daily_sales", ctes=VALIDATE_CTES))
+def q_validate_all_drift(spark, sf_dir):
+    """The same rows with `items` narrowed to 32 bits: drift fails the whole."""
+    df = V.daily_sales(spark, sf_dir).withColumn("items", F.col("items").cast("int"))
+    return r6(Q.validate_all(df, RL.raw_rules(AS_OF), dataset="daily_sales"), ["observed"])
+
 
 
 # ---------------------------------------------------------------- B6

@@ -9,29 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def stage_counts(stages: Sequence[tuple[str, DataFrame, DataFrame, int]]) -> DataFrame:
-    """Per stage input_rows, output_rows, rows_dropped, features_added.
-
-    Each count is a one-row global aggregate; the rows are unioned and
-    folded per stage (a few rows), so no data reaches the driver."""
-    parts = []
-    for name, df_in, df_out, features in stages:
-        parts.append(df_in.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(name).alias("stage"), F.lit("in").alias("kind"), "n", F.lit(features).alias("f")))
-        parts.append(df_out.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(name).alias("stage"), F.lit("out").alias("kind"), "n", F.lit(features).alias("f")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    g = u.groupBy("stage").agg(
-        F.max(F.when(F.col("kind") == "in", F.col("n"))).alias("input_rows"),
-        F.max(F.when(F.col("kind") == "out", F.col("n"))).alias("output_rows"),
-        F.max("f").alias("features_added"))
-    return g.select("stage", "input_rows", "output_rows",
-                    (F.col("input_rows") - F.col("output_rows")).alias("rows_dropped"),
-                    F.col("features_added").cast("int").alias("features_added"))
-
-
 def auto_forecast(spark, sales: DataFrame, keys: Sequence[str], periods: int, model_path: str,
                   model_date, sku: str | None = None, store_id: str | None = None,
                   region: str | None = None, y: str = "units_sold") -> DataFrame:
@@ -49,22 +26,26 @@ def auto_forecast(spark, sales: DataFrame, keys: Sequence[str], periods: int, mo
 
 def clearance_plan(forecast: DataFrame, sales: DataFrame, params: DataFrame | None, cfg,
                    keys: Sequence[str] = ("sku",)):
-    """K8: demand over the horizon = Σ future yhat per SKU; latest on_hand
-    and price per SKU (ties on the date broken by store); then the reorder
-    plan (K1-K7).  Returns (orders, summary)."""
+    """K8: demand over the horizon = Σ future yhat per series; on_hand = the
+    latest stock of every (store, SKU) added up over the series' stores;
+    price = that of the latest row (ties on the date broken by store); then
+    the reorder plan (K1-K7).  Returns (orders, summary)."""
     from shelfline.operators import reorder as R
+    from shelfline.session import materialize
+    keys = list(keys)
     demand = (forecast.filter(F.col("is_future")).groupBy(*keys)
               .agg(F.sum("yhat").alias("demand")))
-    order = F.struct("date", "store_id")
-    latest = sales.groupBy(*keys).agg(F.max_by("on_hand", order).alias("on_hand"),
-                                      F.max_by("price", order).alias("price"))
-    rows = demand.join(latest, list(keys)).withColumn("units_sold", F.col("demand"))
-    # One row per SKU behind an expensive forecast lineage: write it once to
-    # the shared folder so the plan's two passes read it instead of
+    per_store = sales.groupBy(*dict.fromkeys([*keys, "store_id"])).agg(
+        F.max_by(F.struct("on_hand", "price"), "date").alias("last"), F.max("date").alias("date"))
+    latest = per_store.groupBy(*keys).agg(
+        F.sum("last.on_hand").alias("on_hand"),
+        F.max_by("last.price", F.struct("date", "store_id")).alias("price"))
+    rows = demand.join(latest, keys).withColumn("units_sold", F.col("demand"))
+    # One row per series behind an expensive forecast lineage: write it once
+    # to the shared folder so the plan's two passes read it instead of
     # re-running the forecast.
-    from shelfline.session import materialize
     rows = materialize(rows, "reorder_rows")
-    return R.optimize(rows, params, cfg)
+    return R.optimize(rows, params, cfg, by=tuple(k for k in keys if k != "sku"))
 
 
 def etl_simple(spark, in_path: str, out_path: str, keys: Sequence[str] = ("store_id", "product_category"),
@@ -83,28 +64,45 @@ def etl_simple(spark, in_path: str, out_path: str, keys: Sequence[str] = ("store
     return out_path
 
 
-def etl_validated(spark, in_path: str, out_path: str, as_of, fail_fast: bool = True,
-                  keys: Sequence[str] = ("store_id", "product_category"), dataset: str = "daily_sales"):
-    """Read (A1) -> validate raw (F10, optional fail-fast gate) ->
-    required columns, types, drop incomplete, date parts (C1-C5) -> z-score
-    (C7) -> daily group (E1) -> per-series calendar pad (D3) -> processed
-    checks (F2) -> save with statistics (B2).
-
-    Stage row counts (E8) are Observations on the stage frames, filled while
-    the final write runs: no extra pass per stage.  Returns (raw validation
-    results, processed checks, save stats, stage metrics); the cleaned data
-    is at `out_path`."""
+def etl_validated(spark, in_path: str, settings, as_of, keys: Sequence[str] = ("store_id", "product_category"),
+                  dataset: str = "daily_sales") -> DataFrame:
+    """Read (A1) -> validate raw (F10 with drift) and stop there if that
+    fails and the settings say so -> required columns, types, drop
+    incomplete, date parts (C1-C5) -> z-score (C7) -> daily group (E1) ->
+    per-series calendar pad (D3) -> save with statistics (B2) -> processed
+    checks (F2) and metrics (E4) of the written data.
+
+    Data goes to `settings.data_path`, everything found to
+    `settings.report_path` (also when the run stops), with one row per
+    result: phase, section, name, column, observed, success.  Row counts of
+    the stages (E8) are Observations filled while the data is written, so
+    they cost no pass.  Returns the stage metrics: stage, input_rows,
+    output_rows, rows_dropped, rows_added, features_added, success, seconds
+    (of the write for the stages that run in it)."""
+    import time
     from pyspark.sql import Observation
     from shelfline.functions.rules import raw_rules
     from shelfline.operators import quality as Q
     from shelfline.operators import transform as X
     from shelfline.schemas import DAILY_SALES_COLUMNS, PROCESSED_REFERENCE
+    from shelfline.session import materialize
     from shelfline.sources.files import read_sales
     from shelfline.sources.sinks import save_with_stats
+    result = ["phase", "section", "name", "column", "observed", "success"]
+
+    def as_report(phase: str, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("phase", F.lit(phase)).select(*result)
+
+    began = time.monotonic()
     raw = read_sales(spark, in_path)
-    results = Q.validate_all(spark, raw, raw_rules(as_of), dataset=dataset)
-    if fail_fast:
-        Q.fail_fast(results)
+    results = materialize(Q.validate_all(raw, raw_rules(as_of), dataset, settings.limits, settings.check_drift), "validation")
+    validated = bool(Q.overall_success(results).first()["overall_success"])
+    report = as_report("raw", results)
+    report.write.mode("overwrite").parquet(settings.report_path)
+    if settings.stop_on_failure and not validated:
+        raise ValueError(f"{dataset}: validation failed, see {settings.report_path}")
+    checked = time.monotonic()
+
     obs = {n: Observation(f"stage_{n}") for n in ("raw", "features", "grouped")}
     count = F.count(F.lit(1)).alias("rows")
     raw_o = raw.observe(obs["raw"], count)
@@ -112,16 +110,36 @@ def etl_validated(spark, in_path: str, out_path: str, as_of, fail_fast: bool = T
     feat = X.zscore(X.calendar_features(clean)).observe(obs["features"], count)
     grouped = X.daily_group(feat).observe(obs["grouped"], count)
     completed = X.calendar_complete(grouped, keys=keys, fill="pad", on_duplicate="raise")  # E1 output is unique per key and date
-    checks = Q.processed_schema_checks(completed, PROCESSED_REFERENCE)
-    stats = save_with_stats(spark, completed, out_path)
+    stats = save_with_stats(spark, completed, settings.data_path)
     n = {k: int(o.get["rows"]) for k, o in obs.items()}
     n_out = int(stats.first()["rows_saved"])
-    metrics = spark.createDataFrame(
-        [("transform", n["raw"], n["features"], n["raw"] - n["features"], 5),
-         ("group", n["features"], n["grouped"], n["features"] - n["grouped"], 0),
-         ("complete", n["grouped"], n_out, n["grouped"] - n_out, 0)],
-        "stage string, input_rows bigint, output_rows bigint, rows_dropped bigint, features_added int")
-    return results, checks, stats, metrics
+    written = time.monotonic()
+
+    data = spark.read.parquet(settings.data_path)
+    checks = materialize(Q.processed_schema_checks(data, PROCESSED_REFERENCE).select(
+        F.lit("schema").alias("section"), F.concat(F.lit("type "), F.col("expected_type")).alias("name"), "column",
+        F.col("null_count").cast("double").alias("observed"), F.col("passed").alias("success")), "processed_checks")
+    metrics = Q.quality_metrics(data).select(
+        F.lit("metrics").alias("section"), F.col("metric").alias("name"), F.lit(None).cast("string").alias("column"),
+        F.col("value").alias("observed"), F.lit(None).cast("boolean").alias("success"))
+    report = as_report("raw", results).unionByName(as_report("processed", checks.unionByName(metrics)))
+    report.write.mode("overwrite").parquet(settings.report_path)
+    processed_ok = checks.where(~F.col("success")).isEmpty()
+    ended = time.monotonic()
+
+    def stage(name, rows_in, rows_out, features, success, seconds):
+        return (name, rows_in, rows_out, max(rows_in - rows_out, 0), max(rows_out - rows_in, 0), features, success,
+                round(seconds, 3))
+
+    write = written - checked
+    return spark.createDataFrame(
+        [stage("validate", n["raw"], n["raw"], 0, validated, checked - began),
+         stage("transform", n["raw"], n["features"], 5, True, write),
+         stage("group", n["features"], n["grouped"], 0, True, write),
+         stage("complete", n["grouped"], n_out, 0, True, write),
+         stage("check", n_out, n_out, 0, processed_ok, ended - written)],
+        "stage string, input_rows bigint, output_rows bigint, rows_dropped bigint, rows_added bigint, "
+        "features_added int, success boolean, seconds double")
 
 
 def etl_zero_fill(spark, in_path: str, out_path: str) -> str:

@@ -1,45 +1,40 @@
-"""ETL settings and per-environment presets (a plain parameter merge that
-the flows take as arguments; output roots are paths on the cluster's shared
-storage instead of cloud bucket names)."""
+"""Settings of the validated ETL flow and what the environments change."""
 
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
+
+from shelfline.operators.quality import Limits
 
 
 @dataclass(frozen=True)
 class EtlSettings:
-    fail_fast_on_validation: bool = True
-    enable_schema_drift_detection: bool = True
-    max_null_ratio: float = 0.1
-    max_duplicate_ratio: float = 0.05
-    min_rows: int = 1
-    max_rows: int = 1_000_000
-    output_format: str = "parquet"
-    compression: str = "snappy"
-    max_retries: int = 3
-    output_root: str = "processed"
-    validation_root: str = "validation-reports"
-
-
-# Fixed values of the reference's environment presets.
-ENVIRONMENTS = {
-    "development": {"fail_fast_on_validation": False, "max_retries": 1,
-                    "output_root": "processed-dev", "validation_root": "validation-reports-dev"},
-    "staging": {"fail_fast_on_validation": True, "max_retries": 2,
-                "output_root": "processed-staging", "validation_root": "validation-reports-staging"},
-    "production": {"fail_fast_on_validation": True, "max_retries": 3,
-                   "output_root": "processed-prod", "validation_root": "validation-reports-prod"},
-}
-
-
-def settings_for(env: str = "development", base: str = "", **overrides) -> EtlSettings:
-    """Base settings merged with the environment preset, then overrides;
-    output roots are placed below `base` (a shared-storage URI)."""
-    s = replace(EtlSettings(), **ENVIRONMENTS.get(env, {}))
-    s = replace(s, **overrides)
-    if base:
-        s = replace(s, output_root=os.path.join(base, s.output_root),
-                    validation_root=os.path.join(base, s.validation_root))
-    return s
+    """`base` is a folder on shared storage; data and reports of an
+    environment are written below `<base>/<environment>`."""
+    base: str
+    environment: str = "production"
+    stop_on_failure: bool = True
+    check_drift: bool = True
+    retries: int = 3
+    limits: Limits = field(default_factory=Limits)
+
+    @property
+    def data_path(self) -> str:
+        return os.path.join(self.base, self.environment, "sales")
+
+    @property
+    def report_path(self) -> str:
+        return os.path.join(self.base, self.environment, "report")
+
+
+# Whether a failed validation stops the run, and retries.
+STOP_AND_RETRIES = {"development": (False, 1), "staging": (True, 2), "production": (True, 3)}
+
+
+def settings_for(environment: str, base: str, **changes) -> EtlSettings:
+    """Settings of a named environment; `changes` come last."""
+    if environment not in STOP_AND_RETRIES:
+        raise ValueError(f"no such environment: {environment}")
+    stop, retries = STOP_AND_RETRIES[environment]
+    return replace(EtlSettings(base, environment, stop, retries=retries), **changes)

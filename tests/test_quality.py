@@ -70,7 +70,7 @@ def test_empty_frame_metrics(spark):
 
 def test_schema_drift(spark):
     df = spark.createDataFrame([(1, "x", 2.0)], "date int, store_id string, extra double")
-    rows = {(r["kind"], r["column"]) for r in Q.schema_drift(spark, df).collect()}
+    rows = {(r["kind"], r["column"]) for r in Q.schema_drift(df).collect()}
     assert ("missing_column", "sales") in rows and ("extra_column", "extra") in rows
     assert ("dtype_change", "date") in rows
 
@@ -85,20 +85,73 @@ def test_batch_summary_empty_raises(spark):
 
 def test_validate_all_sections_and_gate(spark):
     import pytest
-    res = Q.validate_all(spark, _invalid(spark), RL.raw_rules(AS_OF), dataset="t")
+    res = Q.validate_all(_invalid(spark), RL.raw_rules(AS_OF), dataset="t")
     sections = {r["section"] for r in res.collect()}
     assert {"metrics", "schema", "expectations"} <= sections
     assert Q.overall_success(res).first()["overall_success"] is False
     with pytest.raises(ValueError):
         Q.fail_fast(res)
-    ok = Q.validate_all(spark, _valid(spark), RL.raw_rules(AS_OF))
+    ok = Q.validate_all(_valid(spark), RL.raw_rules(AS_OF))
     assert Q.overall_success(ok).first()["overall_success"] is True
 
 
-def test_presets_merge():
+def test_settings_of_environments():
     from shelfline.plans.presets import settings_for
-    dev = settings_for("development", base="s3a://bucket/root")
-    assert dev.fail_fast_on_validation is False and dev.max_retries == 1
-    assert dev.output_root == "s3a://bucket/root/processed-dev"
-    prod = settings_for("production", compression="zstd")
-    assert prod.fail_fast_on_validation is True and prod.compression == "zstd"
+    import pytest
+    dev = settings_for("development", "s3a://bucket/root")
+    assert dev.stop_on_failure is False and dev.retries == 1
+    assert dev.data_path == "s3a://bucket/root/development/sales"
+    assert settings_for("production", "/b", retries=7).stop_on_failure and settings_for("staging", "/b").retries == 2
+    with pytest.raises(ValueError):
+        settings_for("elsewhere", "/b")
+
+
+def test_drift_fails_the_whole(spark):
+    df = _valid(spark)
+    drifted = df.withColumn("items", df["items"].cast("int"))
+    rows = Q.validate_all(drifted, RL.raw_rules(AS_OF)).collect()
+    drift = [r for r in rows if r["section"] == "drift"]
+    assert [(r["name"], r["column"], r["observed"]) for r in drift] == [("dtype_change", "items", df.count())]
+    assert not any(r["overall_success"] for r in rows)
+    assert all(r["overall_success"] for r in Q.validate_all(drifted, RL.raw_rules(AS_OF), check_drift=False).collect())
+
+
+def test_row_limit_is_an_argument(spark):
+    df = _valid(spark)
+    few = Q.Limits(max_rows=1)
+    assert Q.overall_success(Q.validate_all(df, RL.raw_rules(AS_OF), limits=few)).first()[0] is (df.count() <= 1)
+    assert Q.overall_success(Q.validate_all(df, RL.raw_rules(AS_OF), limits=Q.Limits(max_rows=None))).first()[0]
+    gate = Q.threshold_gate(Q.quality_metrics(df), Q.Limits(min_rows=10 ** 6, max_rows=None)).collect()
+    assert {r["gate"]: r["passed"] for r in gate}["row_count"] is False
+
+
+def _csv(df, path):
+    df.coalesce(1).write.option("header", True).csv(path)
+    return path
+
+
+def test_validated_flow_stops_on_bad_input_and_reports(spark, tmp_path):
+    import os
+    import pytest
+    from shelfline.plans.flows import etl_validated
+    from shelfline.plans.presets import settings_for
+    bad = _csv(_invalid(spark), f"{tmp_path}/bad.csv")
+    strict = settings_for("production", f"{tmp_path}/strict")
+    with pytest.raises(ValueError, match="validation failed"):
+        etl_validated(spark, bad, strict, AS_OF)
+    report = spark.read.parquet(strict.report_path)
+    assert report.where("phase = 'raw' and not success").count() > 0 and not os.path.exists(strict.data_path)
+    good = _csv(_valid(spark), f"{tmp_path}/good.csv")
+    stages = {r["stage"]: r for r in etl_validated(spark, good, settings_for("production", f"{tmp_path}/g"),
+                                                   AS_OF).collect()}
+    assert all(r["success"] and r["seconds"] >= 0 and r["rows_dropped"] >= 0 for r in stages.values())
+    assert spark.read.parquet(f"{tmp_path}/g/production/sales").count() == stages["complete"]["output_rows"]
+    phases = {r["phase"] for r in spark.read.parquet(f"{tmp_path}/g/production/report").collect()}
+    assert phases == {"raw", "processed"}
+
+
+def test_etl_units_and_dimensions(spark):
+    m = spark.createDataFrame([("row_count", 3.0), ("load_time", 2.0), ("ratio", 0.5)], "metric string, value double")
+    rows = {r["metric_name"]: r for r in Q.metrics_long(m, "d", "etl", dims={"region": "x"}).collect()}
+    assert [rows[k]["unit"] for k in ("row_count", "load_time", "ratio")] == ["Count", "Seconds", "None"]
+    assert rows["ratio"]["dimensions"] == {"dataset": "d", "region": "x"}
