@@ -112,7 +112,8 @@ def holidays_for(prepared: DataFrame, periods: int = DEFAULT_PERIODS) -> DataFra
 
 def default_holidays(spark: SparkSession) -> DataFrame:
     """Holiday calendar used for fitting and scoring (fixed span, no data
-    lineage, so it adds no pass over the input)."""
+    lineage, so it adds no pass over the input).  Dates outside the span are
+    refused where the calendar is joined (`_with_holiday_flag`)."""
     return us_holidays(spark, *HOLIDAY_YEARS)
 
 
@@ -139,10 +140,18 @@ def future_frame(prepared: DataFrame, keys: Sequence[str], periods: int = DEFAUL
 
 
 # ---------------------------------------------------------------- J4
+def _known_year(date: str, value: Column) -> Column:
+    """`value`, or an error for a date whose holidays no calendar here has."""
+    known = F.year(date).between(*HOLIDAY_YEARS)
+    return F.when(known | F.col(date).isNull(), value).otherwise(F.raise_error(F.concat(
+        F.lit(f"holidays are known for {HOLIDAY_YEARS[0]}-{HOLIDAY_YEARS[1]}, not for "), F.col(date).cast("string")
+    )).cast("double"))
+
+
 def _with_holiday_flag(df: DataFrame, holidays: DataFrame) -> DataFrame:
     hol = holidays.select("ds").distinct().withColumn("_hol", F.lit(1.0))
     return (df.join(F.broadcast(hol), "ds", "left")
-              .withColumn("is_holiday", F.coalesce(F.col("_hol"), F.lit(0.0))).drop("_hol"))
+              .withColumn("is_holiday", _known_year("ds", F.coalesce(F.col("_hol"), F.lit(0.0)))).drop("_hol"))
 
 
 def _fit_rows(prepared: DataFrame, keys: Sequence[str], holidays: DataFrame) -> DataFrame:
@@ -341,49 +350,82 @@ def _ar_lags(prepared: DataFrame, keys: Sequence[str], m: int) -> DataFrame:
         "_is_last": F.lead("ds").over(w).isNull()})
 
 
+def _line(y: str, x: str, intercept: str, slope: str) -> list[Column]:
+    """Least-squares line; a constant regressor gives the mean and slope 0."""
+    flat = (F.regr_sxx(y, x) == 0) & (F.regr_count(y, x) > 0)
+    return [F.when(flat, F.avg(F.when(F.col(x).isNotNull(), F.col(y)))).otherwise(F.regr_intercept(y, x)).alias(intercept),
+            F.when(flat, 0.0).otherwise(F.regr_slope(y, x)).alias(slope)]
+
+
 def _ar_fit(r: DataFrame, keys: Sequence[str]) -> DataFrame:
-    r = r.filter(F.col("ym1").isNotNull()).withColumns({
-        "dy": F.col("y") - F.col("y1"),
-        "dm": F.col("y") - F.col("ym"), "dm1": F.col("y1") - F.col("ym1")})
+    """Regression sums of every candidate, in one grouped pass.  Series with
+    lags of a season score all candidates on the rows that have them; a
+    shorter series has no such rows and scores drift and AR(1) on the rows
+    that have one lag (suffix 0)."""
+    full = F.col("ym1").isNotNull()
+    r = r.withColumns({
+        "dy0": F.col("y") - F.col("y1"), "x0": F.when(F.col("y1").isNotNull(), F.col("y")), "y10": F.col("y1"),
+        "fy": F.when(full, F.col("y")), "fy1": F.when(full, F.col("y1")),
+        "dy": F.when(full, F.col("y") - F.col("y1")),
+        "dm": F.when(full, F.col("y") - F.col("ym")), "dm1": F.when(full, F.col("y1") - F.col("ym1"))})
     return r.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.var_pop("dy").alias("v_dy"), F.avg("dy").alias("c_drift"),
-        F.regr_syy("y", "y1").alias("syy1"), F.regr_sxy("y", "y1").alias("sxy1"),
-        F.regr_sxx("y", "y1").alias("sxx1"),
-        F.regr_intercept("y", "y1").alias("a1"), F.regr_slope("y", "y1").alias("b1"),
+        F.count(F.when(full, 1)).alias("n_full"), F.count("dy0").alias("n_short"),
+        F.var_pop("dy").alias("v_dy"), F.avg("dy").alias("c_dy"),
+        F.regr_syy("fy", "fy1").alias("syy1"), F.regr_sxy("fy", "fy1").alias("sxy1"),
+        F.regr_sxx("fy", "fy1").alias("sxx1"),
+        *_line("fy", "fy1", "i1", "s1"),
         F.sum(F.col("dm") * F.col("dm")).alias("sse_sn"),
         F.regr_syy("dm", "dm1").alias("syy2"), F.regr_sxy("dm", "dm1").alias("sxy2"),
         F.regr_sxx("dm", "dm1").alias("sxx2"),
-        F.regr_intercept("dm", "dm1").alias("a2"), F.regr_slope("dm", "dm1").alias("b2"))
+        *_line("dm", "dm1", "a2", "b2"),
+        F.var_pop("dy0").alias("v_dy0"), F.avg("dy0").alias("c_dy0"),
+        F.regr_syy("x0", "y10").alias("syy0"), F.regr_sxy("x0", "y10").alias("sxy0"),
+        F.regr_sxx("x0", "y10").alias("sxx0"),
+        *_line("x0", "y10", "i0", "s0"),
+        F.max_by(F.struct("ds", "y", "ym", "_last"), "ds").alias("end"))
 
 
 def _ar_choose(g: DataFrame, keys: Sequence[str]) -> DataFrame:
-    nn = F.col("n").cast("double")
+    """Add n (rows scored), model, k, sse, aic and the chosen parameters c_drift,
+    a1, b1, a2, b2.  A candidate with k parameters competes only with at least
+    k + 2 scored rows; drift needs none: it is the fallback of every series
+    (a single observation repeats itself)."""
+    is_full = F.col("n_full") >= 2
+    n = F.when(is_full, F.col("n_full")).otherwise(F.col("n_short"))
+    nn = n.cast("double")
 
     def ols_sse(syy: str, sxy: str, sxx: str) -> Column:
         return F.when(F.col(sxx) > 0, F.col(syy) - F.col(sxy) * F.col(sxy) / F.col(sxx)).otherwise(F.col(syy))
 
-    def aic(sse: Column, k: int) -> Column:
-        return nn * F.log(F.greatest(sse, F.lit(1e-12)) / nn) + F.lit(2.0 * k)
+    def either(full: Column, short: Column) -> Column:
+        return F.when(is_full, full).otherwise(short)
 
-    cands = [("drift", 1, nn * F.col("v_dy")), ("ar1", 2, ols_sse("syy1", "sxy1", "sxx1")),
-             ("seasonal_naive", 0, F.col("sse_sn")), ("seasonal_diff_ar1", 2, ols_sse("syy2", "sxy2", "sxx2"))]
-    long = g.select(*keys, "n", F.inline(F.array(*[
-        F.struct(F.lit(name).alias("model"), F.lit(k).alias("k"), F.greatest(sse, F.lit(0.0)).alias("sse"),
-                 aic(sse, k).alias("aic")) for name, k, sse in cands])))
-    best = long.groupBy(*keys, "n").agg(
-        F.min_by(F.struct("model", "k", "sse", "aic"), F.struct("aic", "k", "model")).alias("b"))
-    return best.select(*keys, "n", "b.model", "b.k", "b.sse", "b.aic")
+    cands = [("drift", 1, F.lit(True), nn * either(F.col("v_dy"), F.col("v_dy0"))),
+             ("ar1", 2, n >= 4, either(ols_sse("syy1", "sxy1", "sxx1"), ols_sse("syy0", "sxy0", "sxx0"))),
+             ("seasonal_naive", 0, is_full, F.col("sse_sn")),
+             ("seasonal_diff_ar1", 2, is_full & (n >= 4), ols_sse("syy2", "sxy2", "sxx2"))]
+    scored = [F.when(ok, F.struct(
+        F.when(n > 0, nn * F.log(F.greatest(sse, F.lit(1e-12)) / nn) + F.lit(2.0 * k)).alias("aic"),
+        F.lit(k).alias("k"), F.lit(name).alias("model"),
+        F.greatest(F.coalesce(sse, F.lit(0.0)), F.lit(0.0)).alias("sse"))) for name, k, ok, sse in cands]
+    best = F.array_min(F.filter(F.array(*scored), lambda x: x.isNotNull()))
+    return g.withColumn("_best", best).withColumns({
+        "n": n, "model": F.col("_best.model"), "k": F.col("_best.k"), "sse": F.col("_best.sse"),
+        "aic": F.col("_best.aic"), "c_drift": F.coalesce(either(F.col("c_dy"), F.col("c_dy0")), F.lit(0.0)),
+        "a1": either(F.col("i1"), F.col("i0")), "b1": either(F.col("s1"), F.col("s0"))}).drop("_best")
 
 
 def forecast_ar_select(prepared: DataFrame, keys: Sequence[str], m: int = 12) -> DataFrame:
     """Choose per series among drift, AR(1), seasonal naive (lag m) and
     AR(1) on lag-m differences by AIC = n ln(SSE/n) + 2k, all candidates
-    scored on the same rows (those with m+1 lags available).  Lags come
-    from one ordered window per series (bounded by its days), parameters
-    and SSE from built-in regression aggregates in one grouped pass."""
+    scored on the same rows (those with m+1 lags available; a series with
+    fewer than two such rows has drift and AR(1) on its rows with one lag).
+    Every series gets a model.  Lags come from one ordered window per series
+    (bounded by its days), parameters and SSE from built-in regression
+    aggregates in one grouped pass."""
     keys = list(keys)
-    return _ar_choose(_ar_fit(_ar_lags(prepared, keys, m), keys), keys)
+    return _ar_choose(_ar_fit(_ar_lags(prepared, keys, m), keys), keys).select(
+        *keys, "n", "model", "k", "sse", "aic")
 
 
 def forecast_ar(prepared: DataFrame, keys: Sequence[str], m: int = 12,
@@ -391,16 +433,16 @@ def forecast_ar(prepared: DataFrame, keys: Sequence[str], m: int = 12,
     """J6 horizon: `periods` steps ahead of each series' last observation
     with its AIC-chosen model.  The recursion runs in the `aggregate`
     higher-order function over sequence(1..periods), seeded with the
-    series' last m values (bounded state, JVM-side, no Python)."""
+    series' last m values (bounded state, JVM-side, no Python).  The last
+    values come out of the same grouped pass as the fit, so the input is
+    read once."""
     if not 1 <= periods <= 365:
         raise ValueError("periods must be in 1..365")
     keys = list(keys)
-    r = _ar_lags(prepared, keys, m)
-    g = _ar_fit(r, keys)
-    chosen = _ar_choose(g, keys).select(*keys, "model")
-    last = r.filter("_is_last").select(*keys, F.col("ds").alias("last_ds"), F.col("y").alias("y_t"),
-                                       (F.col("y") - F.col("ym")).alias("d_t"), "_last")
-    st = last.join(g.select(*keys, "c_drift", "a1", "b1", "a2", "b2"), keys).join(chosen, keys)
+    st = _ar_choose(_ar_fit(_ar_lags(prepared, keys, m), keys), keys).select(
+        *keys, "model", "c_drift", "a1", "b1", "a2", "b2", F.col("end.ds").alias("last_ds"),
+        F.col("end.y").alias("y_t"), (F.col("end.y") - F.col("end.ym")).alias("d_t"),
+        F.col("end._last").alias("_last"))
 
     def d_hat(h: Column) -> Column:      # closed form of d_{T+h} = a2 + b2 d_{T+h-1}
         b2, a2 = F.col("b2"), F.col("a2")

@@ -177,25 +177,44 @@ def q_forecast_piecewise(spark, sf_dir):
 O_LAGS = """
 select sku, ds, y, lag(y, 1) over w as y1, lag(y, 12) over w as ym, lag(y, 13) over w as ym1
 from (select sku, ds, sy / n as y from prep) window w as (partition by sku order by ds)"""
-O_ARG = """
-select sku, count(*) as n, var_pop(y - y1) as v_dy,
-       regr_syy(y, y1) as syy1, regr_sxy(y, y1) as sxy1, regr_sxx(y, y1) as sxx1,
-       sum((y - ym) * (y - ym)) as sse_sn,
-       regr_syy(y - ym, y1 - ym1) as syy2, regr_sxy(y - ym, y1 - ym1) as sxy2,
-       regr_sxx(y - ym, y1 - ym1) as sxx2
-from lg where ym1 is not null group by sku"""
-O_CANDS = """
-select sku, n, 'drift' as model, 1 as k, greatest(n * v_dy, 0.0) as sse from g
-union all select sku, n, 'ar1', 2, greatest(case when sxx1 > 0 then syy1 - sxy1 * sxy1 / sxx1 else syy1 end, 0.0) from g
-union all select sku, n, 'seasonal_naive', 0, greatest(sse_sn, 0.0) from g
-union all select sku, n, 'seasonal_diff_ar1', 2, greatest(case when sxx2 > 0 then syy2 - sxy2 * sxy2 / sxx2 else syy2 end, 0.0) from g"""
-
-
-@register("forecast_ar_select", with_views("""
+_FULL = ("case when ym1 is not null then y end", "case when ym1 is not null then y1 end")
+_ONE = ("case when y1 is not null then y end", "y1")
+_SEASON = ("case when ym1 is not null then y - ym end", "case when ym1 is not null then y1 - ym1 end")
+
+
+def _ols(pair, tag: str) -> str:
+    return ", ".join(f"regr_{f}({pair[0]}, {pair[1]}) as {f}{tag}" for f in ("syy", "sxy", "sxx"))
+
+
+O_ARG = f"""
+select sku, count(ym1) as n_full, count(y1) as n_short,
+       var_pop(case when ym1 is not null then y - y1 end) as v_full, var_pop(y - y1) as v_short,
+       {_ols(_FULL, "1")}, {_ols(_ONE, "0")}, {_ols(_SEASON, "2")},
+       sum(case when ym1 is not null then (y - ym) * (y - ym) end) as sse_sn
+from lg group by sku"""
+
+
+def _residual(tag: str) -> str:
+    return f"case when sxx{tag} > 0 then syy{tag} - sxy{tag} * sxy{tag} / sxx{tag} else syy{tag} end"
+
+
+O_CANDS = f"""
+select sku, n, model, k, greatest(coalesce(sse, 0.0), 0.0) as sse,
+       case when n > 0 then n * ln(greatest(sse, 1e-12) / n) + 2.0 * k end as aic
+from (select *, case when n_full >= 2 then n_full else n_short end as n, n_full >= 2 as long from g),
+     lateral (values ('drift', 1, true, n * case when long then v_full else v_short end),
+                     ('ar1', 2, n >= 4, case when long then {_residual("1")} else {_residual("0")} end),
+                     ('seasonal_naive', 0, long, sse_sn),
+                     ('seasonal_diff_ar1', 2, long and n >= 4, {_residual("2")})) v(model, k, fits, sse)
+where fits"""
+O_AR_CTES = [("prep", O_PREP), ("lg", O_LAGS), ("g", O_ARG), ("cands", O_CANDS)]
+O_AR_SELECT = """
 select sku, n, model, k, round(sse, 3) as sse, round(aic, 3) as aic from (
-  select *, row_number() over (partition by sku order by aic, k, model) as rk from (
-    select *, n * ln(greatest(sse, 1e-12) / n) + 2.0 * k as aic from cands))
-where rk = 1""", "retail_sales", ctes=[("prep", O_PREP), ("lg", O_LAGS), ("g", O_ARG), ("cands", O_CANDS)]))
+  select *, row_number() over (partition by sku order by aic nulls first, k, model) as rk from cands)
+where rk = 1"""
+
+
+@register("forecast_ar_select", with_views(O_AR_SELECT, "retail_sales", ctes=O_AR_CTES))
 def q_forecast_ar_select(spark, sf_dir):
     return r(J.forecast_ar_select(prepared(spark, sf_dir), KEYS, m=12), ["sse", "aic"])
 
@@ -265,21 +284,84 @@ def q_auto_forecast(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- K8
-@register("clearance_plan_from_forecast", with_views("""
+def o_clearance(latest: str, params_key: str) -> str:
+    return f"""
 select d.sku, round(d.demand, 3) as demand, l.on_hand, l.price,
        cast(ceil(greatest(0.0, case when coalesce(p.moq, 0.0) > 0 then p.moq else 0.0 end,
                           d.demand * 0.95 - l.on_hand) - 1e-6) as bigint) as order_qty,
        'Optimal' as status
 from (select sku, sum(yhat) as demand from scored where is_future group by sku) d
-join (select sku, on_hand, price from (
-        select sku, on_hand, price,
-               row_number() over (partition by sku order by date desc, store_id desc) as rk
-        from retail_sales) where rk = 1) l on d.sku = l.sku
-left join sku_params p on d.sku = p.sku""", "retail_sales", "sku_params", ctes=FORECAST_CTES))
-def q_clearance_plan_from_forecast(spark, sf_dir):
+join ({latest}) l on d.sku = l.sku
+left join sku_params p on {params_key} = p.sku"""
+
+
+O_STOCK = """
+select sku, cast(sum(on_hand) as bigint) as on_hand, max_by(price, (date, store_id)) as price
+from (select sku, store_id, max(date) as date, max_by(on_hand, date) as on_hand, max_by(price, date) as price
+      from retail_sales group by sku, store_id)
+group by sku"""
+
+
+def _orders(fc, spark, sf_dir, keys):
     from shelfline.plans.flows import clearance_plan
-    sales = V.retail_sales(spark, sf_dir)
-    fc = forecast_rows(spark, sf_dir)
-    orders, _ = clearance_plan(fc, sales, V.sku_params(spark, sf_dir), K8_CFG, keys=KEYS)
-    return orders.select("sku", F.round("demand", 3).alias("demand"), "on_hand", "price",
-                         "order_qty", "status")
+    orders, _ = clearance_plan(fc, V.retail_sales(spark, sf_dir), V.sku_params(spark, sf_dir), K8_CFG, keys=keys)
+    return orders.select(*keys, F.round("demand", 3).alias("demand"), F.col("on_hand").cast("bigint").alias("on_hand"),
+                         "price", "order_qty", "status")
+
+
+@register("clearance_plan_from_forecast", with_views(
+    o_clearance(O_STOCK, "d.sku"), "retail_sales", "sku_params", ctes=FORECAST_CTES))
+def q_clearance_plan_from_forecast(spark, sf_dir):
+    return _orders(forecast_rows(spark, sf_dir), spark, sf_dir, KEYS)
+
+
+# ---------------------------------------------------------------- per store and SKU
+# The oracle names a series 'store|sku' and runs the texts above over it.
+STORE_KEYS = ("store_id", "sku")
+O_BY_STORE = """
+select store_id || '|' || sku as sku, date, units_sold, price, on_hand from retail_sales"""
+
+
+def _store_ctes(ctes):
+    return [("series", O_BY_STORE)] + [(n, t.replace("from retail_sales", "from series")) for n, t in ctes]
+
+
+def _named(df):
+    return df.withColumn("sku", F.concat_ws("|", "store_id", "sku")).drop("store_id")
+
+
+def prepared_by_store(spark, sf_dir):
+    return J.series_prepare(V.retail_sales(spark, sf_dir), STORE_KEYS)
+
+
+@register("forecast_by_store", with_views(O_FORECAST_SELECT, "retail_sales", ctes=_store_ctes(FORECAST_CTES)))
+def q_forecast_by_store(spark, sf_dir):
+    fc = J.forecast_trend_season(prepared_by_store(spark, sf_dir), STORE_KEYS, PERIODS)
+    return r(_named(fc), ["yhat", "yhat_lower", "yhat_upper"])
+
+
+@register("model_table_by_store", with_views("select " + ", ".join(
+    c if c in ("sku", "n_obs", "first_ds", "last_ds", "span_days") else f"round({c}, 6) as {c}"
+    for c in MODEL_COLS) + " from models", "retail_sales", ctes=_store_ctes(FORECAST_CTES)))
+def q_model_table_by_store(spark, sf_dir):
+    path = scratch_dir(spark, "models")
+    prep = prepared_by_store(spark, sf_dir)
+    J.save_models(J.fit_trend_season(prep, STORE_KEYS, J.default_holidays(spark)), path, MODEL_DATE)
+    saved = _named(J.load_models(spark, path, MODEL_DATE).drop("model_date"))
+    return r(flat_models(saved), [c for c in MODEL_COLS if c not in (
+        "sku", "n_obs", "first_ds", "last_ds", "span_days")], 6)
+
+
+@register("forecast_ar_select_by_store", with_views(O_AR_SELECT, "retail_sales", ctes=_store_ctes(O_AR_CTES)))
+def q_forecast_ar_select_by_store(spark, sf_dir):
+    """At this grain half of the series are too short for seasonal lags."""
+    return r(_named(J.forecast_ar_select(prepared_by_store(spark, sf_dir), STORE_KEYS, m=12)), ["sse", "aic"])
+
+
+@register("clearance_plan_by_store", with_views(o_clearance(
+    """select sku, cast(max_by(on_hand, date) as bigint) as on_hand, max_by(price, date) as price
+from series group by sku""", "split_part(d.sku, '|', 2)"), "retail_sales", "sku_params",
+    ctes=_store_ctes(FORECAST_CTES)))
+def q_clearance_plan_by_store(spark, sf_dir):
+    fc = J.forecast_trend_season(prepared_by_store(spark, sf_dir), STORE_KEYS, PERIODS)
+    return _named(_orders(fc, spark, sf_dir, STORE_KEYS))

@@ -115,3 +115,38 @@ def test_ar_horizon_matches_python_recursion(spark):
         assert len(got) == 15 and got[0][0] == start + dt.timedelta(days=80)
         want = _py_ar_forecast(ys, got[0][2], 12, 15)
         np.testing.assert_allclose([g[1] for g in got], want, rtol=1e-7, atol=1e-7)
+
+
+def test_short_series_keep_a_model_and_a_horizon(spark):
+    start = dt.date(2023, 1, 1)
+    rows = [(f"S{n}", start + dt.timedelta(days=i), float(3 * i + (i % 2))) for n in (1, 2, 3, 5, 13, 14, 15, 40)
+            for i in range(n)]
+    prep = J.series_prepare(spark.createDataFrame(rows, "sku string, date date, units_sold double"), ["sku"])
+    best = {r["sku"]: r for r in J.forecast_ar_select(prep, ["sku"]).collect()}
+    assert set(best) == {f"S{n}" for n in (1, 2, 3, 5, 13, 14, 15, 40)}
+    assert best["S1"]["model"] == best["S2"]["model"] == best["S3"]["model"] == "drift"
+    assert best["S15"]["n"] == 2 and best["S15"]["model"] not in ("ar1", "seasonal_diff_ar1")
+    out = J.forecast_ar(prep, ["sku"], periods=5).collect()
+    assert len(out) == 8 * 5 and all(r["yhat"] is not None for r in out)
+    assert {r["yhat"] for r in out if r["sku"] == "S1"} == {0.0}
+
+
+def test_dates_without_known_holidays_are_refused(spark):
+    prep = J.series_prepare(spark.createDataFrame([("S", dt.date(2250, 1, 1), 1.0)],
+                                                  "sku string, date date, units_sold double"), ["sku"])
+    with pytest.raises(Exception, match="holidays are known"):
+        J.forecast_trend_season(prep, ["sku"], 3).collect()
+
+
+def test_stock_of_all_stores_meets_demand_of_all_stores(spark):
+    from shelfline.operators import reorder as R
+    from shelfline.plans.flows import clearance_plan
+    d = dt.date(2024, 1, 1)
+    sales = spark.createDataFrame(
+        [("A", "x", d, 5, 2.0, 100), ("A", "x", d + dt.timedelta(days=1), 5, 3.0, 40), ("B", "x", d, 5, 4.0, 30)],
+        "store_id string, sku string, date date, units_sold int, price double, on_hand int")
+    fc = spark.createDataFrame([("x", True, 100.0)], "sku string, is_future boolean, yhat double")
+    cfg = R.ReorderConfig(budget=1e9, shelf_space=1e9, min_service_level=0.9)
+    orders, _ = clearance_plan(fc, sales, None, cfg)
+    row = orders.first()
+    assert (row["on_hand"], row["price"], row["order_qty"]) == (70, 3.0, 20)
