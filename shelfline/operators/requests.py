@@ -17,6 +17,7 @@ requests), so nothing here sorts a whole key in one task:
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from typing import Iterator, Sequence
 
@@ -39,18 +40,31 @@ def endpoint_key(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- H1
+def _limit_groups(spark, n: int) -> None:
+    """Let Spark prune each task's window groups to `n` rows before a shuffle
+    also where n is above its default threshold."""
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if n > int(spark.conf.get(name, "1000")):
+        spark.conf.set(name, str(n))
+
+
 def latest_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = LAST_N_TIMES,
-             salts: int = 32, salt_col: str | None = None) -> DataFrame:
+             salts: int | None = None, salt_col: str | None = None) -> DataFrame:
     """H1: the first n rows per key under `order` (a unique order: add a
     tie-break), as a two-level tree merge of per-task top-n lists.
 
     Catalyst's window-group limit keeps at most n rows per window group in
-    every map task before each shuffle.  Level 1 groups by (keys, salt) with
-    salt = input partition id mod `salts`, so one level-1 task merges the
-    top-n lists of about (map tasks / salts) tasks; level 2 merges at most
-    salts x n rows per key.  A hot key therefore never funnels n x (all map
-    tasks) rows into one task.  `salt_col` salts by a column hash instead."""
+    every map task before each shuffle, whatever n is.  Level 1 groups by
+    (keys, salt) with salt = input partition id mod `salts` (by default the
+    root of the number of shuffle partitions), so one level-1 task merges
+    the top-n lists of about (map tasks / salts) tasks; level 2 merges at
+    most salts x n rows per key.  A hot key therefore never funnels n x (all
+    map tasks) rows into one task.  `salt_col` salts by a column hash
+    instead."""
     keys = list(keys)
+    spark = df.sparkSession
+    _limit_groups(spark, n)
+    salts = salts or max(4, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     salt = (F.abs(F.xxhash64(F.col(salt_col))) % salts) if salt_col else (F.spark_partition_id() % salts)
     level1 = (df.withColumn("_salt", salt)
                 .withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)))
@@ -137,27 +151,23 @@ def limit_segment(ts, accepted: deque, limit: int, window_us: int):
     return allowed
 
 
-def _limiter(limit: int, seconds: int, exempt: Sequence[str]):
+def _limiter(limit: int, seconds: int):
     import numpy as np
     window_us = seconds * 1_000_000
-    exempt = list(exempt)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, accepted = None, deque()
         for pdf in batches:
-            allowed = np.ones(len(pdf), dtype=bool)          # exempt paths are allowed
-            clients = pdf["client_id"].to_numpy()
+            allowed = np.zeros(len(pdf), dtype=bool)
+            # rows arrive sorted by (client, run, time, id): walk the runs
+            clients, runs = pdf["client_id"].to_numpy(), pdf["_run"].to_numpy()
             us = pdf["_us"].to_numpy(dtype="int64")
-            limited = ~pdf["path"].isin(exempt).to_numpy()
-            # rows arrive sorted by (client, ts, id): walk the client segments
-            starts = np.flatnonzero(np.r_[True, clients[1:] != clients[:-1]])
-            ends = np.r_[starts[1:], len(pdf)]
-            for a, b in zip(starts, ends):
-                if clients[a] != current:
-                    current, accepted = clients[a], deque()
-                idx = np.flatnonzero(limited[a:b]) + a
-                allowed[idx] = limit_segment(us[idx], accepted, limit, window_us)
-            out = pdf.drop(columns=["_us"])
+            starts = np.flatnonzero(np.r_[True, (clients[1:] != clients[:-1]) | (runs[1:] != runs[:-1])])
+            for a, b in zip(starts, np.r_[starts[1:], len(pdf)]):
+                if (clients[a], runs[a]) != current:
+                    current, accepted = (clients[a], runs[a]), deque()
+                allowed[a:b] = limit_segment(us[a:b], accepted, limit, window_us)
+            out = pdf.drop(columns=["_us", "_run"])
             out["allowed"] = allowed
             yield out
     return run
@@ -168,13 +178,41 @@ def rate_limit_decisions(requests: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE
                          exempt: Sequence[str] = tuple(HEALTH_PATHS)) -> DataFrame:
     """M3: sliding-window limiter decision per request, processed per client
     in (ts, request_id) order; only accepted requests are remembered; health
-    paths are exempt and not remembered."""
+    paths are exempt and not remembered.
+
+    Exempt rows never enter the sort.  Of the others, a quiet spell longer
+    than the window empties a client's state, so the runs between such
+    spells (`quiet_runs`) are decided independently: a client's day is many
+    pieces, and only one that never rests stays whole."""
     cols = ["request_id", "ts", "client_id", "path"]
     r = requests.select(*cols).withColumn("_us", epoch_micros(requests, "ts"))
-    ordered = r.repartition("client_id").sortWithinPartitions("client_id", "_us", "request_id")
+    is_exempt = F.col("path").isin(list(exempt))
+    free = r.where(is_exempt).drop("_us").withColumn("allowed", F.lit(True))
+    limited = r.where(~is_exempt | F.col("path").isNull())
     schema = T.StructType([f for f in r.schema.fields if f.name != "_us"]
                           + [T.StructField("allowed", T.BooleanType())])
-    return ordered.mapInPandas(_limiter(limit, seconds, exempt), schema=schema)
+    runs = quiet_runs(limited, seconds * 1_000_000)
+    ordered = runs.repartition("client_id", "_run").sortWithinPartitions("client_id", "_run", "_us", "request_id")
+    decided = ordered.mapInPandas(_limiter(limit, seconds), schema=schema)
+    return decided.unionByName(free)
+
+
+def quiet_runs(requests: DataFrame, window_us: int) -> DataFrame:
+    """Add `_run`, the start of the client's run of active time slots that a
+    request lies in.  Slots are one window long, so between two slots with
+    an empty slot in between lies more than a window.  Only the distinct
+    (client, slot) pairs, at most one per window of time, are ordered."""
+    slot = F.floor(F.col("_us") / F.lit(window_us))
+    slotted = requests.withColumn("_slot", slot)
+    slots = slotted.select("client_id", "_slot").distinct()
+    by_time = Window.partitionBy("client_id").orderBy("_slot")
+    gap = F.col("_slot") - F.lag("_slot").over(by_time) > 1
+    first = F.last(F.when(F.coalesce(gap, F.lit(True)), F.col("_slot")), ignorenulls=True).over(
+        by_time.rowsBetween(Window.unboundedPreceding, 0))
+    runs = slots.withColumn("_run", first).withColumnRenamed("client_id", "_client")
+    return slotted.join(runs.withColumnRenamed("_slot", "_at"),
+                        F.col("client_id").eqNullSafe(F.col("_client")) & (F.col("_slot") == F.col("_at"))
+                        ).drop("_client", "_at", "_slot")
 
 
 # ---------------------------------------------------------------- M4

@@ -155,11 +155,50 @@ def q_client_rate(spark, sf_dir):
     return M.client_rate(V.request_log(spark, sf_dir), seconds=60)
 
 
-# ---------------------------------------------------------------- M3 (rows only; brute-force test)
-@register("rate_limit_decisions")
+# ---------------------------------------------------------------- M3
+def limiter_ctes(log: str) -> list[tuple[str, str]]:
+    """The limiter as recursive SQL: one step per request of a client, in
+    order, carrying the accepted times of the window."""
+    exempt = "o.path in ('/health', '/health/liveness', '/health/readiness')"
+    live = f"list_filter(s.acc, lambda x: x >= o.us - {LIMIT_WINDOW_SECONDS * 1_000_000})"
+    return [
+        ("lim_o", f"""
+select request_id, ts, client_id, path, epoch_us(ts) as us,
+       row_number() over (partition by client_id order by ts, request_id) as rn from {log}"""),
+        ("lim_s", f"""
+select o.client_id, o.rn, o.request_id, o.ts, o.path, true as allowed,
+       case when {exempt} then cast([] as bigint[]) else [o.us] end as acc
+from lim_o o where rn = 1
+union all
+select o.client_id, o.rn, o.request_id, o.ts, o.path, {exempt} or len({live}) < {LIMIT_PER_WINDOW},
+       case when {exempt} then s.acc when len({live}) < {LIMIT_PER_WINDOW} then list_append({live}, o.us)
+            else {live} end
+from lim_s s join lim_o o on o.client_id = s.client_id and o.rn = s.rn + 1"""),
+    ]
+
+
+O_LIMITED = "select request_id, ts, client_id, path, allowed from lim_s"
+O_HEALTH_LOG = """
+select * replace (case when request_id % 6 = 0 then '/health' when request_id % 6 = 1 then '/health/readiness'
+                       else path end as path) from request_log"""
+
+
+def _limited(log):
+    return M.rate_limit_decisions(log, limit=LIMIT_PER_WINDOW, seconds=LIMIT_WINDOW_SECONDS)
+
+
+@register("rate_limit_decisions", rsql(O_LIMITED, ctes=limiter_ctes("request_log")))
 def q_rate_limit_decisions(spark, sf_dir):
-    return M.rate_limit_decisions(V.request_log(spark, sf_dir), limit=LIMIT_PER_WINDOW,
-                                  seconds=LIMIT_WINDOW_SECONDS)
+    return _limited(V.request_log(spark, sf_dir))
+
+
+@register("rate_limit_health_paths", rsql(
+    O_LIMITED, ctes=[("health_log", O_HEALTH_LOG), *limiter_ctes("health_log")]))
+def q_rate_limit_health_paths(spark, sf_dir):
+    """A third of the requests ask for health paths, which are exempt."""
+    k = F.col("request_id") % 6
+    return _limited(V.request_log(spark, sf_dir).withColumn("path", F.when(k == 0, "/health").when(
+        k == 1, "/health/readiness").otherwise(F.col("path"))))
 
 
 # ---------------------------------------------------------------- M4

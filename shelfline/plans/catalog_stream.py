@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.operators import jobs as L
-from shelfline.plans.catalog_logs import LIMIT_PER_WINDOW, LIMIT_WINDOW_SECONDS
+from shelfline.plans.catalog_logs import LIMIT_PER_WINDOW, LIMIT_WINDOW_SECONDS, O_LIMITED, limiter_ctes
 from shelfline.plans.catalog_quality import AS_OF
 from shelfline.plans.oracle_views import with_views
 from shelfline.plans.registry import register
@@ -28,14 +28,17 @@ def stage_in_order(df: DataFrame, ts_col: str, in_dir: str, fmt: str = "parquet"
                    chunks: int = CHUNKS, files_per_chunk: int = FILES_PER_CHUNK) -> None:
     """Write `df` as `chunks` consecutive event-time slices, one write per
     slice so file modification times follow event time (the file source
-    takes the oldest files first)."""
-    t = F.col(ts_col).cast("timestamp")
-    b = df.agg(F.min(F.unix_micros(t)).alias("lo"), F.max(F.unix_micros(t)).alias("hi")).first()
-    lo, hi = int(b["lo"]), int(b["hi"]) + 1
-    step = -(-(hi - lo) // chunks)
+    takes the oldest files first).  The input is scanned for its time span
+    and to be laid out by slice; each slice is then read by itself."""
+    spark = df.sparkSession
+    t = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    b = df.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
+    step = max(1, -(-(int(b["hi"]) + 1 - int(b["lo"])) // chunks))
+    laid = scratch_dir(spark, "slices")
+    (df.withColumn("slice", F.least(F.floor((t - int(b["lo"])) / step), F.lit(chunks - 1)).cast("int"))
+     .where(F.col("slice").isNotNull()).write.mode("overwrite").partitionBy("slice").parquet(laid))
     for i in range(chunks):
-        a, z = lo + i * step, min(lo + (i + 1) * step, hi)
-        part = df.filter((F.unix_micros(t) >= a) & (F.unix_micros(t) < z))
+        part = spark.read.parquet(laid).where(F.col("slice") == i).drop("slice")
         w = part.repartitionByRange(files_per_chunk, ts_col).write.mode("append").format(fmt)
         if fmt == "csv":
             w = w.option("header", True)
@@ -87,9 +90,12 @@ def _stage_requests(spark, sf_dir) -> str:
     return in_dir
 
 
-# ---------------------------------------------------------------- N1 (rows only; equals M3 in tests)
-@register("stream_rate_limit")
+# ---------------------------------------------------------------- N1
+@register("stream_rate_limit", with_views(
+    "select *, false as late from (" + O_LIMITED + ")", "request_log",
+    ctes=limiter_ctes("request_log")))
 def q_stream_rate_limit(spark, sf_dir):
+    """Requests arrive in event-time order, so every decision is M3's."""
     in_dir = _stage_requests(spark, sf_dir)
     src = (spark.readStream.schema(V.request_log(spark, sf_dir).schema)
                 .option("maxFilesPerTrigger", FILES_PER_CHUNK).parquet(in_dir))
@@ -99,17 +105,24 @@ def q_stream_rate_limit(spark, sf_dir):
     return spark.read.parquet(out_dir)
 
 
-# ---------------------------------------------------------------- N2 (rows only: closed windows)
-@register("stream_endpoint_metrics")
+# ---------------------------------------------------------------- N2
+@register("stream_endpoint_metrics", with_views("""
+select time_bucket(interval 1 hour, ts) as window_start, time_bucket(interval 1 hour, ts) + interval 1 hour as window_end,
+       method || ' ' || path as endpoint, count(*) as request_count,
+       cast(sum(case when status_code >= 400 then 1 else 0 end) as bigint) as error_count,
+       round(avg(processing_time), 6) as avg, min(processing_time) as "min", max(processing_time) as "max"
+from request_log group by all""", "request_log"))
 def q_stream_endpoint_metrics(spark, sf_dir):
+    """The last state of every window, those still open included."""
     in_dir = _stage_requests(spark, sf_dir)
     src = (spark.readStream.schema(V.request_log(spark, sf_dir).schema)
                 .option("maxFilesPerTrigger", FILES_PER_CHUNK).parquet(in_dir))
     out_dir = scratch_dir(spark, "endpoint_windows")
-    _run(N.write_append(N.stream_endpoint_metrics(src), out_dir, scratch_dir(spark, "ckpt_endpoint")))
-    return spark.read.parquet(out_dir).select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "endpoint",
-        "request_count", "error_count", "avg", "min", "max")
+    _run(N.write_batches(N.stream_endpoint_metrics(src), out_dir, scratch_dir(spark, "ckpt_endpoint")))
+    return N.latest_changes(spark, out_dir, ["w", "endpoint"]).select(
+        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+        F.col("w.end").cast("timestamp_ntz").alias("window_end"), "endpoint",
+        "request_count", "error_count", F.round("avg", 6).alias("avg"), "min", "max")
 
 
 # ---------------------------------------------------------------- N4

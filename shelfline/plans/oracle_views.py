@@ -50,4 +50,5 @@ def with_views(sql: str, *names: str, ctes: list[tuple[str, str]] | None = None)
     extra (name, text) CTEs."""
     parts = [f"{n} as ({VIEWS[n]}\n)" for n in names]
     parts += [f"{n} as (\n{body}\n)" for n, body in (ctes or [])]
-    return ("with " + ",\n".join(parts) + "\n" + sql) if parts else sql
+    recursive = "recursive " if any(n == "lim_s" for n, _ in ctes or []) else ""
+    return (f"with {recursive}" + ",\n".join(parts) + "\n" + sql) if parts else sql
