@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def col_or_lit(c) -> Column:
-    return c if isinstance(c, Column) else F.col(c)
-
-
 def safe_div(num: Column, den: Column) -> Column:
     """num / den, null when den is 0 or null."""
     return F.when(den != 0, num / den)
@@ -23,11 +19,6 @@ def count_if(cond: Column) -> Column:
     return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
 
 
-def empty_to_null(c: Column) -> Column:
-    t = F.trim(c)
-    return F.when(t == "", F.lit(None).cast("string")).otherwise(t)
-
-
 def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
@@ -44,10 +35,6 @@ def one_row(agg_df: DataFrame) -> Row:
     return agg_df.first()
 
 
-def round_cols(df: DataFrame, cols: Iterable[str], digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
-
-
 def ntz_literal(value) -> Column:
     """A wall-clock timestamp literal (timestamp_ntz): independent of the
     session and the driver's time zones."""

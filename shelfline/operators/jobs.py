@@ -44,27 +44,36 @@ def jobs_list(df: DataFrame, user_id: str | None = None, status: str | None = No
 # ---------------------------------------------------------------- L2
 def job_metrics(df: DataFrame) -> DataFrame:
     """L2: per job status, retries, priority and, for completed jobs, the
-    execution time in seconds (updated - created)."""
-    secs = F.timestamp_diff("SECOND", F.col("created_at"), F.col("updated_at")).cast("double")
-    return df.select("job_id", "job_type", "status", "created_at", "updated_at", "retry_count", "priority",
+    execution time in seconds (updated - created, fractions included); the
+    progress too where the log has it."""
+    secs = F.timestamp_diff("MICROSECOND", F.col("created_at"), F.col("updated_at")) / F.lit(1e6)
+    progress = ["progress"] if "progress" in df.columns else []
+    return df.select("job_id", "job_type", "status", "created_at", "updated_at", "retry_count", "priority", *progress,
                      F.when(F.col("status") == "completed", secs).alias("execution_time_seconds"))
 
 
 # ---------------------------------------------------------------- L3
-def job_state_fold(updates: DataFrame, key: str = "job_id", ts: str = "updated_at") -> DataFrame:
-    """L3: current state per job = the latest update (max_by is a partial
-    aggregate, so a job with very many updates is folded map-side)."""
+def job_state_fold(updates: DataFrame, key: str = "job_id", ts: str = "updated_at",
+                   sequence: str | None = "update_seq") -> DataFrame:
+    """L3: current state per job = the latest update; of updates at the same
+    instant the one with the highest `sequence` (when the log has that
+    column), then the greatest row, so the result never depends on input
+    order.  max_by is a partial aggregate: a job with very many updates is
+    folded map-side."""
     cols = [c for c in updates.columns if c != key]
-    latest = updates.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(ts)).alias("s"))
-    return latest.select(key, *[F.col(f"s.{c}").alias(c) for c in cols])
+    ties = [sequence] if sequence in updates.columns else []
+    order = F.struct(ts, *ties, *[c for c in cols if c not in (ts, *ties)])
+    latest = updates.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("s"))
+    return latest.select(key, *[F.col(f"s.{c}").alias(c) for c in cols if c not in ties])
 
 
 def status_updates(jobs: DataFrame) -> DataFrame:
     """Updates implied by a job table: a 'queued' event at creation and the
     current status at the last update."""
     base = ["job_id", "user_id", "job_type", "priority", "retry_count", "max_retries", "created_at"]
-    created = jobs.select(*base, F.lit("queued").alias("status"), F.col("created_at").alias("updated_at"))
-    current = jobs.select(*base, "status", "updated_at")
+    created = jobs.select(*base, F.lit("queued").alias("status"), F.col("created_at").alias("updated_at"),
+                          F.lit(0).alias("update_seq"))
+    current = jobs.select(*base, "status", "updated_at", F.lit(1).alias("update_seq"))
     return created.unionByName(current)
 
 
@@ -98,11 +107,6 @@ def expired_jobs(df: DataFrame, as_of: dt.datetime, days: int = 30) -> DataFrame
     return df.filter(F.col("created_at") < cutoff)
 
 
-def retained_jobs(df: DataFrame, as_of: dt.datetime, days: int = 30) -> DataFrame:
-    cutoff = ntz_literal(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
-    return df.filter(~(F.col("created_at") < cutoff) | F.col("created_at").isNull())
-
-
 # ---------------------------------------------------------------- H2 / H3
 def page_offset(df: DataFrame, order: Sequence[str | Column], page: int = 1,
                 page_size: int = 20) -> DataFrame:

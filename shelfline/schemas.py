@@ -23,23 +23,6 @@ DAILY_SALES = T.StructType([
 ])
 DAILY_SALES_COLUMNS = ["date", "sales", "items", "store_id", "product_category"]
 
-PROCESSED_SALES = T.StructType(DAILY_SALES.fields + [
-    T.StructField("year", T.IntegerType(), False),
-    T.StructField("month", T.IntegerType(), False),
-    T.StructField("day", T.IntegerType(), False),
-    T.StructField("is_weekend", T.BooleanType(), False),
-    T.StructField("sales_normalized", T.DoubleType(), False),
-])
-
-# Reference schema for drift detection: column -> expected type family.
-DRIFT_REFERENCE = {
-    "date": "timestamp",
-    "sales": "float",
-    "items": "integer",
-    "store_id": "string",
-    "product_category": "string",
-}
-
 # Processed columns and their expected type family (F2).
 PROCESSED_REFERENCE = {
     "date": "timestamp", "sales": "float", "items": "integer",
@@ -48,36 +31,6 @@ PROCESSED_REFERENCE = {
     "is_weekend": "boolean", "sales_normalized": "float",
 }
 
-SKU_PARAMS = T.StructType([
-    T.StructField("sku", T.StringType(), False),
-    T.StructField("moq", T.DoubleType(), True),
-    T.StructField("unit_cost", T.DoubleType(), True),
-    T.StructField("space_per_unit", T.DoubleType(), True),
-])
-
-JOB_LOG = T.StructType([
-    T.StructField("job_id", T.LongType(), False),
-    T.StructField("user_id", T.StringType(), True),
-    T.StructField("job_type", T.StringType(), True),
-    T.StructField("status", T.StringType(), True),
-    T.StructField("created_at", T.TimestampType(), True),
-    T.StructField("updated_at", T.TimestampType(), True),
-    T.StructField("priority", T.IntegerType(), True),
-    T.StructField("retry_count", T.IntegerType(), True),
-    T.StructField("max_retries", T.IntegerType(), True),
-])
-
-REQUEST_LOG = T.StructType([
-    T.StructField("request_id", T.LongType(), False),
-    T.StructField("ts", T.TimestampType(), False),
-    T.StructField("client_id", T.StringType(), True),
-    T.StructField("method", T.StringType(), True),
-    T.StructField("path", T.StringType(), True),
-    T.StructField("processing_time", T.DoubleType(), True),
-    T.StructField("status_code", T.IntegerType(), True),
-])
-
-
 def type_family(dt: T.DataType) -> str:
     """Map a Spark type to the coarse family used by schema checks
     (int32 and int64 are both "integer")."""

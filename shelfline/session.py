@@ -9,6 +9,14 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+# Keyed streaming state (limiter, job state) lives in RocksDB with changelog
+# checkpoints instead of executor heap.
+STATE_STORE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 # Settings every job relies on: UTC day boundaries, AQE for runtime
 # re-planning (partition coalescing, skew-join splitting, size-checked
 # broadcast), no UI server.
@@ -20,11 +28,7 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # keyed streaming state (limiter, job state) lives in RocksDB with
-    # changelog checkpoints instead of executor heap
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    **STATE_STORE_CONF,
 }
 
 

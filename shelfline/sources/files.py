@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,30 +42,25 @@ def read_sales(spark: SparkSession, path: str, fmt: str | None = None,
 
 
 def read_remote_sales(spark: SparkSession, uri: str, fmt: str | None = None,
-                      schema: T.StructType | None = None) -> DataFrame:
+                      schema: T.StructType = DAILY_SALES) -> DataFrame:
     """A2: read any Hadoop-compatible URI (s3a://, hdfs://, file://) with
-    the format chosen by suffix; the per-row source file is kept."""
+    the format chosen by suffix and a given schema (never inferred); the
+    per-row source file is kept."""
     fmt = fmt or format_of(uri)
-    reader = spark.read.schema(schema) if schema is not None else spark.read
+    reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
     df = reader.format(fmt).load(uri)
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
-def list_source_files(spark: SparkSession, glob: str, limit: int = 1000) -> DataFrame:
-    """A3: list files under a glob, first `limit` by path; the binaryFile
-    source is used for its listing only (content is never selected, so no
-    file is read)."""
-    files = spark.read.format("binaryFile").load(glob)
-    return (files.select("path", "length", "modificationTime")
-                 .orderBy("path").limit(limit))
-
-
-def source_bytes(spark: SparkSession, glob: str) -> DataFrame:
-    """A2: total bytes and file count under a glob (listing only)."""
-    files = spark.read.format("binaryFile").load(glob).select("path", "length")
-    return files.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+def list_source_files(spark: SparkSession, glob: str, limit: int | None = None) -> DataFrame:
+    """A3: the files under a glob by path (the first `limit`, if given); the
+    binaryFile source is used for its listing only (content is never
+    selected, so no file is read)."""
+    files = (spark.read.format("binaryFile").load(glob)
+             .select("path", "length", "modificationTime").orderBy("path"))
+    return files if limit is None else files.limit(limit)
 
 
 def typed_convert(df: DataFrame) -> DataFrame:
@@ -86,7 +79,3 @@ def typed_convert(df: DataFrame) -> DataFrame:
 def write_typed_parquet(df: DataFrame, path: str) -> None:
     """A4 sink: snappy Parquet."""
     df.write.mode("overwrite").option("compression", "snappy").parquet(path)
-
-
-def file_listing_path(path: str) -> str:
-    return os.path.join(path, "*")
