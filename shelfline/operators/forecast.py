@@ -128,18 +128,30 @@ def with_holidays(df: DataFrame, holidays: DataFrame, date: str = "ds") -> DataF
 
 
 # ---------------------------------------------------------------- J3
-def future_frame(prepared: DataFrame, keys: Sequence[str], periods: int = DEFAULT_PERIODS) -> DataFrame:
-    """History dates of each series plus `periods` further days."""
+def future_frame(prepared: DataFrame, keys: Sequence[str], periods: int = DEFAULT_PERIODS,
+                 keep: Sequence[str] = ()) -> DataFrame:
+    """History dates of each series plus `periods` further days, which
+    its last row emits, so the input is read once; `keep` columns stay on the
+    history rows and are null on the others."""
     if not 1 <= periods <= 365:
         raise ValueError("periods must be in 1..365")
-    hist = prepared.select(*keys, "ds", F.lit(False).alias("is_future"))
-    last = prepared.groupBy(*keys).agg(F.max("ds").alias("_last"))
-    fut = last.select(*keys, F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", periods)))
-                      .alias("ds"), F.lit(True).alias("is_future"))
-    return hist.unionByName(fut)
+    last = F.max("ds").over(Window.partitionBy(*keys)) == F.col("ds")
+    days = F.when(F.col("_is_end"), F.sequence(F.col("ds"), F.date_add("ds", periods))).otherwise(F.array("ds"))
+    rows = (prepared.select(*keys, *keep, "ds", last.alias("_is_end"))
+            .select(*keys, *keep, F.col("ds").alias("_seen"), F.explode(days).alias("ds")))
+    ahead = F.col("ds") > F.col("_seen")
+    return rows.select(*keys, "ds", ahead.alias("is_future"), *(F.when(~ahead, F.col(c)).alias(c) for c in keep))
+
+
+def horizon_frame(models: DataFrame, keys: Sequence[str], periods: int = DEFAULT_PERIODS) -> DataFrame:
+    """J3 from a model table, which holds each series' last day: the
+    `periods` days after it, without reading any history."""
+    if not 1 <= periods <= 365:
+        raise ValueError("periods must be in 1..365")
+    days = F.sequence(F.date_add("last_ds", 1), F.date_add("last_ds", periods))
+    return models.select(*keys, F.explode(days).alias("ds"), F.lit(True).alias("is_future"))
 
 
-# ---------------------------------------------------------------- J4
 def _known_year(date: str, value: Column) -> Column:
     """`value`, or an error for a date whose holidays no calendar here has."""
     known = F.year(date).between(*HOLIDAY_YEARS)
@@ -291,12 +303,10 @@ def forecast_piecewise(prepared: DataFrame, keys: Sequence[str], periods: int =
     by the history span, not by the data volume."""
     keys = list(keys)
     hol = holidays if holidays is not None else default_holidays(prepared.sparkSession)
-    frame = _with_holiday_flag(future_frame(prepared, keys, periods), hol)
-    data = _with_holiday_flag(prepared, hol)
-    both = (frame.join(data.select(*keys, "ds", "n", "sy"), keys + ["ds"], "left")
-                 .withColumn("t", F.datediff("ds", F.lit(T_ORIGIN)).cast("double"))
-                 .withColumn("dow", F.dayofweek("ds").cast("double"))
-                 .withColumn("doy", F.dayofyear("ds").cast("double")))
+    both = (_with_holiday_flag(future_frame(prepared, keys, periods, keep=("n", "sy")), hol)
+            .withColumn("t", F.datediff("ds", F.lit(T_ORIGIN)).cast("double"))
+            .withColumn("dow", F.dayofweek("ds").cast("double"))
+            .withColumn("doy", F.dayofyear("ds").cast("double")))
     key_fields = [f for f in both.schema.fields if f.name in keys]
     out_schema = T.StructType(key_fields + [
         T.StructField("ds", T.DateType()), T.StructField("is_future", T.BooleanType()),

@@ -219,11 +219,44 @@ def q_forecast_ar_select(spark, sf_dir):
     return r(J.forecast_ar_select(prepared(spark, sf_dir), KEYS, m=12), ["sse", "aic"])
 
 
-# ---------------------------------------------------------------- J6 horizon (rows only; recursion tested
-# against a Python reference in tests/test_forecast.py)
-@register("forecast_ar_horizon")
+# ---------------------------------------------------------------- J6 horizon
+def _line(pair, a: str, b: str) -> str:
+    y, x = pair
+    flat = f"regr_sxx({y}, {x}) = 0"
+    return (f"case when {flat} then avg(case when {x} is not null then {y} end) else regr_intercept({y}, {x}) end as {a}, "
+            f"case when {flat} then 0.0 else regr_slope({y}, {x}) end as {b}")
+
+
+O_PARAMS = f"""
+select sku, avg(case when ym1 is not null then y - y1 end) as c_full, avg(y - y1) as c_short,
+       {_line(_FULL, "i1", "s1")}, {_line(_ONE, "i0", "s0")}, {_line(_SEASON, "a2", "b2")},
+       max(ds) as last_ds, max_by(y, ds) as y_t, max_by(y - ym, ds) as d_t, list(y order by ds)[-12:] as tail
+from lg group by sku"""
+O_AR_START = """
+select p.sku, b.model, last_ds, y_t, d_t, tail, a2, b2,
+       coalesce(case when n_full >= 2 then c_full else c_short end, 0.0) as c,
+       case when n_full >= 2 then i1 else i0 end as a1, case when n_full >= 2 then s1 else s0 end as b1
+from params p join g on p.sku = g.sku
+join (select *, row_number() over (partition by sku order by aic nulls first, k, model) as rk from cands) b
+  on b.sku = p.sku and rk = 1"""
+O_AR_PATH = f"""
+select sku, 0 as h, tail as path from ar_start
+union all
+select r.sku, r.h + 1, list_append(r.path, case s.model
+         when 'drift' then y_t + (r.h + 1) * c
+         when 'ar1' then a1 + b1 * r.path[-1]
+         when 'seasonal_naive' then r.path[-12]
+         else r.path[-12] + case when b2 = 1.0 then d_t + (r.h + 1) * a2
+                                 else a2 * (1.0 - b2 ** (r.h + 1)) / (1.0 - b2) + b2 ** (r.h + 1) * d_t end end)
+from ar_path r join ar_start s on r.sku = s.sku where r.h < {PERIODS}"""
+
+
+@register("forecast_ar_horizon", with_views("""
+select r.sku, cast(last_ds + r.h as date) as ds, s.model, round(path[-1], 3) as yhat
+from ar_path r join ar_start s on r.sku = s.sku where r.h > 0""", "retail_sales", ctes=[
+    *O_AR_CTES, ("params", O_PARAMS), ("ar_start", O_AR_START), ("ar_path", O_AR_PATH)]))
 def q_forecast_ar_horizon(spark, sf_dir):
-    return J.forecast_ar(prepared(spark, sf_dir), KEYS, m=12, periods=PERIODS)
+    return r(J.forecast_ar(prepared(spark, sf_dir), KEYS, m=12, periods=PERIODS), ["yhat"])
 
 
 # ---------------------------------------------------------------- J7
@@ -259,8 +292,8 @@ def q_model_table(spark, sf_dir):
 # ---------------------------------------------------------------- J8
 @register("score_saved_model", fsql(O_FORECAST_SELECT + " where is_future"))
 def q_score_saved_model(spark, sf_dir):
-    prep, hol, saved = _fit_and_save(spark, sf_dir)
-    fut = J.future_frame(prep, KEYS, PERIODS).filter("is_future")
+    _, hol, saved = _fit_and_save(spark, sf_dir)
+    fut = J.horizon_frame(saved, KEYS, PERIODS)
     return r(J.score(saved, fut, KEYS, hol), ["yhat", "yhat_lower", "yhat_upper"])
 
 

@@ -82,6 +82,10 @@ def _plan(spark, sf_dir, cfg, by=()):
     return R.build_plan(_rows(spark, sf_dir), V.sku_params(spark, sf_dir), cfg, by=by)
 
 
+def _summary(spark, sf_dir, cfg, by=()):
+    return R.sku_plan(_rows(spark, sf_dir), V.sku_params(spark, sf_dir), cfg, by=by)[1]
+
+
 def _oracle_plan_sql(body: str, by: str = "", budget: float = 1e12, space: float = 1e10,
                      summary: bool = False) -> str:
     ctes = [("lk", O_LOOKUP), ("qty", o_qty(by)), ("terms", o_terms(by))]
@@ -127,16 +131,14 @@ def q_reorder_quantity(spark, sf_dir):
 @register("budget_space_check", _oracle_plan_sql(
     O_SUMMARY_SELECT.format(sel="store_id, "), by="store_id", budget=5e7, space=1e10, summary=True))
 def q_budget_space_check(spark, sf_dir):
-    plan = _plan(spark, sf_dir, STORE_CFG, by=("store_id",))
-    return summary_cols(R.budget_space_check(plan, STORE_CFG, by=("store_id",)))
+    return summary_cols(_summary(spark, sf_dir, STORE_CFG, by=("store_id",)))
 
 
 # ---------------------------------------------------------------- K4 infeasible
 @register("budget_infeasible", _oracle_plan_sql(
     O_SUMMARY_SELECT.format(sel=""), budget=1e6, space=1e10, summary=True))
 def q_budget_infeasible(spark, sf_dir):
-    plan = _plan(spark, sf_dir, TIGHT_CFG)
-    return summary_cols(R.budget_space_check(plan, TIGHT_CFG))
+    return summary_cols(_summary(spark, sf_dir, TIGHT_CFG))
 
 
 # ---------------------------------------------------------------- K5
@@ -150,8 +152,7 @@ def q_discount_schedule(spark, sf_dir):
 @register("plan_summary", _oracle_plan_sql(
     O_SUMMARY_SELECT.format(sel=""), summary=True))
 def q_plan_summary(spark, sf_dir):
-    plan = _plan(spark, sf_dir, GLOBAL_CFG)
-    return summary_cols(R.budget_space_check(plan, GLOBAL_CFG))
+    return summary_cols(_summary(spark, sf_dir, GLOBAL_CFG))
 
 
 # ---------------------------------------------------------------- K7
@@ -176,12 +177,9 @@ def q_plan_metrics(spark, sf_dir):
     by="store_id", budget=5e7, space=1e10, summary=True))
 def q_plan_actuals_lookup(spark, sf_dir):
     rows = _rows(spark, sf_dir)
-    plan = R.build_plan(rows, V.sku_params(spark, sf_dir), STORE_CFG, by=("store_id",))
-    summary = R.budget_space_check(plan, STORE_CFG, by=("store_id",))
+    plan, summary = R.sku_plan(rows, V.sku_params(spark, sf_dir), STORE_CFG, by=("store_id",))
     feasible = R.attach_status(plan, summary, by=("store_id",))
-    out = R.with_plan(rows.select("store_id", "sku", "date"), feasible,
-                      keys=("store_id", "sku", "date"))
-    return out
+    return R.with_plan(rows.select("store_id", "sku", "date"), feasible, keys=("store_id", "sku"))
 
 
 # ---------------------------------------------------------------- P6

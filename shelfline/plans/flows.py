@@ -13,11 +13,14 @@ def auto_forecast(spark, sales: DataFrame, keys: Sequence[str], periods: int, mo
                   model_date, sku: str | None = None, store_id: str | None = None,
                   region: str | None = None, y: str = "units_sold") -> DataFrame:
     """Filter (C8) -> collapse (J1) -> fit (J4) -> save model table
-    -> future frame (J3) -> score the saved models (J8)."""
+    -> future frame (J3) -> score the saved models (J8).  The collapsed
+    series (one row per series and day) are written once, so the sales are
+    read once."""
     from shelfline.operators import forecast as J
+    from shelfline.session import materialize
     from shelfline.operators.transform import series_filter
     data = series_filter(sales, sku=sku, store_id=store_id, region=region)
-    prep = J.series_prepare(data, keys, y=y)
+    prep = materialize(J.series_prepare(data, keys, y=y), "series")
     hol = J.default_holidays(spark)
     J.save_models(J.fit_trend_season(prep, keys, hol), model_path, model_date)
     models = J.load_models(spark, model_path, model_date).drop("model_date")

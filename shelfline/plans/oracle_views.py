@@ -45,10 +45,13 @@ from orders""",
 }
 
 
+RECURSIVE = ("lim_s", "ar_path")     # CTEs that refer to themselves
+
+
 def with_views(sql: str, *names: str, ctes: list[tuple[str, str]] | None = None) -> str:
     """Prefix `sql` with the CTEs of the named fixture views, followed by any
     extra (name, text) CTEs."""
     parts = [f"{n} as ({VIEWS[n]}\n)" for n in names]
     parts += [f"{n} as (\n{body}\n)" for n, body in (ctes or [])]
-    recursive = "recursive " if any(n == "lim_s" for n, _ in ctes or []) else ""
+    recursive = "recursive " if any(n in RECURSIVE for n, _ in ctes or []) else ""
     return (f"with {recursive}" + ",\n".join(parts) + "\n" + sql) if parts else sql

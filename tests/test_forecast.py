@@ -150,3 +150,31 @@ def test_stock_of_all_stores_meets_demand_of_all_stores(spark):
     orders, _ = clearance_plan(fc, sales, None, cfg)
     row = orders.first()
     assert (row["on_hand"], row["price"], row["order_qty"]) == (70, 3.0, 20)
+
+
+def test_piecewise_equals_a_plain_ridge_solve(spark):
+    from shelfline.sources import fixtures as V
+    sales = V.retail_sales(spark, "/root/testdata/sf0.001")
+    one = sales.groupBy("sku").count().orderBy("count", ascending=False).first()["sku"]
+    prep = J.series_prepare(sales.where(sales["sku"] == one), ["sku"])
+    rows = sorted((r["ds"], r["n"], r["sy"]) for r in prep.collect())
+    holidays = {r["ds"] for r in J.us_holidays(spark, rows[0][0].year, rows[-1][0].year + 1).collect()}
+    days = [d for d, _, _ in rows] + [rows[-1][0] + dt.timedelta(days=i) for i in range(1, 11)]
+    t = np.array([(d - rows[0][0]).days for d in days], dtype=float)
+    t /= max(t[len(rows) - 1], 1.0)
+    cuts = np.linspace(0, 0.8, min(25, len(rows) - 1) + 2)[1:-1]
+    dow = np.array([(d.weekday() + 1) % 7 + 1 for d in days], dtype=float)
+    doy = np.array([d.timetuple().tm_yday for d in days], dtype=float)
+    waves = [f(2 * np.pi * k * x / p) for x, p, top in ((doy, 365.25, 10), (dow, 7.0, 3))
+             for k in range(1, top + 1) for f in (np.sin, np.cos)]
+    X = np.column_stack([np.ones(len(days)), t, *(np.maximum(0, t - c) for c in cuts), *waves,
+                         [float(d in holidays) for d in days]])
+    n, y = np.array([x[1] for x in rows], dtype=float), np.array([x[2] / x[1] for x in rows])
+    root = np.sqrt(n)[:, None]
+    shrink = np.sqrt(np.array([1e-9, 1e-9] + [1.0] * (X.shape[1] - 2)))
+    # ridge as ordinary least squares on an extended system
+    beta = np.linalg.lstsq(np.vstack([X[:len(rows)] * root, np.diag(shrink)]),
+                           np.concatenate([y * root[:, 0], np.zeros(X.shape[1])]), rcond=None)[0]
+    got = {r["ds"]: r["yhat"] for r in J.forecast_piecewise(prep, ["sku"], 10).collect()}
+    assert len(got) == len(days)
+    assert np.allclose([got[d] for d in days], X @ beta, rtol=1e-5, atol=1e-4)
