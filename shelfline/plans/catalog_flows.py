@@ -8,7 +8,9 @@ import os
 from pyspark.sql import functions as F
 
 from shelfline.plans import flows as P
-from shelfline.plans.catalog_quality import AS_OF, DS_COLS, metrics_sql, validate_sql
+from shelfline.plans.catalog_quality import (
+    AS_OF, CONTRACT_RULES_SQL, DS_COLS, O_BROKEN, broken_sales, metrics_sql, validate_sql,
+)
 from shelfline.plans.oracle_views import with_views
 from shelfline.plans.presets import settings_for
 from shelfline.plans.registry import register
@@ -137,3 +139,24 @@ select count(*) as valid_records, cast(0 as bigint) as invalid_records,
 from retail_sales""", "retail_sales"))
 def q_contract_run(spark, sf_dir):
     return P.contract_run(spark, V.retail_sales(spark, sf_dir), scratch_dir(spark, "typed_contract"), AS_OF)
+
+
+O_VALID = " and ".join(f"({p})" for _, _, p in CONTRACT_RULES_SQL)
+
+
+@register("contract_run_broken", with_views("""
+select count(*) filter (where ok) as valid_records, count(*) filter (where not ok) as invalid_records,
+       round(sum(cast(price as double) * units_sold) filter (where ok), 2) as total_revenue,
+       cast(sum(units_sold) filter (where ok) as bigint) as total_units_sold,
+       count(distinct store_id) filter (where ok) as unique_stores, count(distinct sku) filter (where ok) as unique_skus,
+       cast(min(date) filter (where ok) as timestamp) as min_date,
+       cast(max(date) filter (where ok) as timestamp) as max_date,
+       count(*) filter (where ok and on_hand < 50) as low_stock_count,
+       min(cast(price as double)) filter (where ok) as min_price,
+       max(cast(price as double)) filter (where ok) as max_price,
+       min(on_hand) filter (where ok) as min_on_hand, max(on_hand) filter (where ok) as max_on_hand
+from checked""", "retail_sales", ctes=[
+    ("broken", O_BROKEN), ("checked", f"select *, {O_VALID} as ok from broken")]))
+def q_contract_run_broken(spark, sf_dir):
+    """P5 on rows of which some break the contract."""
+    return P.contract_run(spark, broken_sales(spark, sf_dir), scratch_dir(spark, "typed_contract"), AS_OF)

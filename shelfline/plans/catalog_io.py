@@ -34,14 +34,15 @@ def q_read_sales(spark, sf_dir):
     return A.read_sales(spark, path, schema=DAILY_SALES)
 
 
-# ---------------------------------------------------------------- A2 (rows only: byte sizes)
-@register("read_remote_sales")
+# ---------------------------------------------------------------- A2
+@register("read_remote_sales", """
+select 'lineitem.parquet' as file, count(*) as rows, count(l_orderkey) as orders from lineitem""")
 def q_read_remote_sales(spark, sf_dir):
-    uri = "file://" + os.path.join(os.path.abspath(sf_dir), "lineitem.parquet")
-    rows = A.read_remote_sales(spark, uri).groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))
-    listing = spark.read.format("binaryFile").load(uri).select(
-        F.col("path").alias("source_file"), F.col("length").alias("bytes"))
-    return rows.join(listing, "source_file", "left")
+    path = os.path.join(sf_dir, "lineitem.parquet")
+    uri = path if "://" in path else "file://" + os.path.abspath(path)
+    rows = A.read_remote_sales(spark, uri, schema="l_orderkey bigint, l_quantity double")
+    return rows.groupBy(F.element_at(F.split("source_file", "/"), -1).alias("file")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("l_orderkey").alias("orders"))
 
 
 # ---------------------------------------------------------------- A3 (rows only: listing)
@@ -73,10 +74,13 @@ def q_write_partitioned(spark, sf_dir):
                                              F.round(F.sum("sales"), 4).alias("sales"))
 
 
-# ---------------------------------------------------------------- B2 (rows only: file size)
-@register("save_with_stats")
+# ---------------------------------------------------------------- B2
+@register("save_with_stats", with_views("""
+select count(*) as rows_saved, 6 as columns_saved, true as success, true as has_bytes from retail_sales""",
+    "retail_sales"))
 def q_save_with_stats(spark, sf_dir):
-    return B.save_with_stats(spark, V.retail_sales(spark, sf_dir), scratch_dir(spark, "saved"))
+    stats = B.save_with_stats(spark, V.retail_sales(spark, sf_dir), scratch_dir(spark, "saved"))
+    return stats.select("rows_saved", "columns_saved", "success", (F.col("file_size") > 0).alias("has_bytes"))
 
 
 # ---------------------------------------------------------------- B3

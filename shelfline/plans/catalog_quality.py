@@ -259,6 +259,30 @@ def q_contract_checks(spark, sf_dir):
     return Q.schema_checks(V.retail_sales(spark, sf_dir), RL.contract_rules(AS_OF))
 
 
+# Rows that break the contract in several ways.
+O_BROKEN = """
+select * replace (
+  case when on_hand % 13 = 0 then -price else price end as price,
+  case when units_sold % 17 = 0 then null else store_id end as store_id,
+  case when on_hand % 19 = 0 then 5000 else units_sold end as units_sold,
+  case when on_hand % 23 = 0 then null else sku end as sku) from retail_sales"""
+
+
+def broken_sales(spark, sf_dir):
+    c = F.col
+    return V.retail_sales(spark, sf_dir).select(
+        F.when(c("units_sold") % 17 != 0, c("store_id")).alias("store_id"),
+        F.when(c("on_hand") % 23 != 0, c("sku")).alias("sku"), "date",
+        F.when(c("on_hand") % 19 == 0, F.lit(5000)).otherwise(c("units_sold")).cast("int").alias("units_sold"),
+        F.when(c("on_hand") % 13 == 0, -c("price")).otherwise(c("price")).alias("price"), "on_hand")
+
+
+@register("contract_checks_broken", with_views(
+    rules_sql("broken", CONTRACT_RULES_SQL), "retail_sales", ctes=[("broken", O_BROKEN)]))
+def q_contract_checks_broken(spark, sf_dir):
+    return Q.schema_checks(broken_sales(spark, sf_dir), RL.contract_rules(AS_OF))
+
+
 # ---------------------------------------------------------------- F5
 @register("documented_contract_checks", with_views(
     rules_sql("retail_sales", DOC_RULES_SQL) + """

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfline.operators import jobs as L
 from shelfline.plans.catalog_logs import LIMIT_PER_WINDOW, LIMIT_WINDOW_SECONDS, O_LIMITED, limiter_ctes
-from shelfline.plans.catalog_quality import AS_OF
+from shelfline.plans.catalog_quality import AS_OF, DS_COLS, RAW_RULES_SQL, rules_sql
 from shelfline.plans.oracle_views import with_views
 from shelfline.plans.registry import register
 from shelfline.schemas import DAILY_SALES
@@ -74,14 +74,31 @@ def q_stream_ingest(spark, sf_dir):
     return spark.read.parquet(out_dir).drop("batch_id")
 
 
-# ---------------------------------------------------------------- N3 (rows only: per-batch metrics)
-@register("stream_quality")
+# ---------------------------------------------------------------- N3
+# The counts of all batches added up are those of the whole table.
+O_N3 = [(f"{c}_null_count", f"{c} is null") for c in DS_COLS] + [
+    ("negative_sales_count", "sales < 0"), ("zero_sales_count", "sales = 0"), ("extreme_sales_count", "sales > 100000"),
+    ("negative_items_count", "items < 0"), ("zero_items_count", "items = 0"), ("extreme_items_count", "items > 1000")]
+
+
+@register("stream_quality", with_views(
+    "select 'metric' as kind, 'total_rows' as name, cast(count(*) as double) as value from csv\nunion all\n"
+    + "\nunion all\n".join(
+        f"select 'metric', '{n}', cast(count(*) filter (where {p}) as double) from csv" for n, p in O_N3)
+    + """
+union all
+select 'rule', "column" || ':' || "check", cast(failures as double) from (""" + rules_sql("csv", RAW_RULES_SQL) + ")",
+    "daily_sales", ctes=[("csv", """
+select date, sales, items, nullif(store_id, '') as store_id, nullif(product_category, '') as product_category
+from daily_sales where date is not null""")]))
 def q_stream_quality(spark, sf_dir):
     in_dir = _stage_sales_csv(spark, sf_dir)
     out_dir = scratch_dir(spark, "stream_quality")
     _run(S.stream_quality(spark, in_dir, out_dir, scratch_dir(spark, "ckpt_quality"), AS_OF,
                           schema=DAILY_SALES, fmt="csv", max_files_per_trigger=FILES_PER_CHUNK))
-    return spark.read.parquet(out_dir)
+    counts = spark.read.parquet(out_dir).where((F.col("kind") == "rule") | F.col("name").isin(
+        "total_rows", *(n for n, _ in O_N3)))
+    return counts.groupBy("kind", "name").agg(F.sum("value").alias("value"))
 
 
 def _stage_requests(spark, sf_dir) -> str:

@@ -161,6 +161,38 @@ def q_calendar_complete_pad(spark, sf_dir):
     return rounded(out, ["sales"])
 
 
+# The same on days with gaps and with nulls that were there before: D1 fills
+# those nulls too, D2 leaves them.
+O_GAP_TOTALS = """
+select date, case when day(date) % 7 = 0 then null else sales end as sales,
+       case when day(date) % 7 = 3 then null else items end as items
+from totals where day(date) % 5 <> 0"""
+GAP_CTES = CLEAN_CTES[:1] + [("totals", O_DAY_TOTALS), ("gaps", O_GAP_TOTALS)]
+
+
+def gap_totals(spark, sf_dir):
+    day = F.dayofmonth("date")
+    return day_totals(spark, sf_dir).where(day % 5 != 0).withColumns({
+        "sales": F.when(day % 7 != 0, F.col("sales")), "items": F.when(day % 7 != 3, F.col("items"))})
+
+
+@register("calendar_complete_ffill_gaps", with_views("""
+select date, round(last_value(sales ignore nulls) over w, 6) as sales, last_value(items ignore nulls) over w as items
+from (select c.date, g.sales, g.items
+      from (select cast(unnest(generate_series(min(date), max(date), interval 1 day)) as date) as date from gaps) c
+      left join gaps g on c.date = g.date)
+window w as (order by date rows between unbounded preceding and current row)""", "daily_sales", ctes=GAP_CTES))
+def q_calendar_complete_ffill_gaps(spark, sf_dir):
+    return rounded(X.calendar_complete(gap_totals(spark, sf_dir), keys=(), fill="ffill"), ["sales"])
+
+
+@register("calendar_complete_pad_gaps", with_views(
+    O_SINGLE_PAD.replace("totals", "gaps"), "daily_sales", ctes=GAP_CTES))
+def q_calendar_complete_pad_gaps(spark, sf_dir):
+    out = X.calendar_complete(gap_totals(spark, sf_dir), keys=(), fill="pad", on_duplicate="raise")
+    return rounded(out, ["sales"])
+
+
 # ---------------------------------------------------------------- D3 (per series)
 O_SERIES_PAD = """
 select cal.date, cal.store_id, cal.product_category, round(g.sales, 6) as sales, g.items,
