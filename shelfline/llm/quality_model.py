@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from shelfline.llm.texthash import mix, run_hashes, split_words, word_hashes
 from shelfline.session import materialize
 
 BITS = 18                        # n-grams hash to 2**BITS features
+SLICE_BITS = 6                   # of a feature, that name the array it is counted in
 SAMPLE_ROWS = 3_000              # bound on the labelled rows that the hinge loss is fitted on
 
 
@@ -117,18 +119,27 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality
             yield pd.DataFrame({"label": label, "feature": used, "n": counts[label, used]})
             yield pd.DataFrame({"label": [label], "feature": [-1], "n": [docs[label]]})
 
-    # At most 2 * (2**BITS + 1) sums, however many rows there are.
+    def pack(table: pa.Table) -> pa.Table:
+        slice_ = table["slice"][0].as_py()
+        held = np.zeros((2, 1 << BITS - SLICE_BITS), dtype=np.int64)
+        held[table["label"].to_numpy(), table["feature"].to_numpy() >> SLICE_BITS] = table["n"].to_numpy()
+        return pa.table({"slice": pa.array([slice_], pa.int64()), "counts": pa.array([held.tobytes()], pa.binary())})
+
+    # At most 2 * (2**BITS + 1) sums, however many rows there are; the driver
+    # gets them as a few arrays (4 MB).
     sums = (rows.mapInPandas(count, "label int, feature long, n long")
             .groupBy("label", "feature").agg(F.sum("n").alias("n")))
-    sums = materialize(sums, "quality-counts").toPandas()
-    counts, docs = np.zeros((2, 1 << BITS)), np.zeros(2)
-    grams = sums[sums["feature"] >= 0]
-    counts[grams["label"], grams["feature"]] = grams["n"]
-    heads = sums[sums["feature"] < 0]
-    docs[heads["label"]] = heads["n"]
+    sums = materialize(sums, "quality-counts")
+    docs = np.zeros(2)
+    for x in sums.where("feature < 0").collect():
+        docs[x.label] = x.n
     if not docs.all():
         only = float(np.argmax(docs)) if docs.any() else 0.5
         return Model(np.zeros(1 << BITS), np.ones(1 << BITS), 0.0, 0.0, (only - 0.5) * 20)
+    counts = np.zeros((2, 1 << BITS))
+    slices = sums.where("feature >= 0").withColumn("slice", F.col("feature") % (1 << SLICE_BITS))
+    for x in slices.groupBy("slice").applyInArrow(pack, "slice long, counts binary").collect():
+        counts[:, x.slice::1 << SLICE_BITS] = np.frombuffer(x.counts, np.int64).reshape(2, -1)
     smooth = counts + smoothing
     ratios = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
 
@@ -138,24 +149,29 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality
     def packed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: features(t).astype("<u4").tobytes())
 
+    def fit(table: pa.Table) -> pa.Table:
+        """The model of the bounded sample, fitted in one task."""
+        bias_at = 1 << BITS
+        y = np.where(table["label"].to_numpy() == 1, 1.0, -1.0)
+        index, values = [], []
+        for f in table["f"].to_pylist():
+            f = np.frombuffer(f, "<u4")
+            v = ratios[f]
+            length = np.sqrt(np.square(v).sum())
+            index.append(np.append(f, np.uint32(bias_at)))
+            values.append(np.append(v / length if length else v, 1.0).astype(np.float32))
+        share_of = np.bincount((y > 0).astype(int), minlength=2) / len(y)
+        costs = np.where(y > 0, cost / max(2 * share_of[1], 1e-9), cost / max(2 * share_of[0], 1e-9))
+        w = fit_hinge(index, values, y, costs, bias_at + 1)
+        margins = np.array([w[i] @ v for i, v in zip(index, values)])
+        slope, offset = calibrate(margins, y > 0)
+        return pa.table({"w": pa.array([w.tobytes()], pa.binary()), "slope": [slope], "offset": [offset]})
+
     sample = rows.where(draw).select("label", packed("text").alias("f"), F.xxhash64("text").alias("h"))
-    sample = sample.orderBy("h", "label").limit(sample_rows).toPandas()
-    found = [np.frombuffer(b, "<u4") for b in sample["f"]]
-    y = np.where(sample["label"].to_numpy() == 1, 1.0, -1.0)
-    del sample
-    bias_at = 1 << BITS
-    index, values = [], []
-    for f in found:
-        v = ratios[f]
-        length = np.sqrt(np.square(v).sum())
-        index.append(np.append(f, np.uint32(bias_at)))
-        values.append(np.append(v / length if length else v, 1.0).astype(np.float32))
-    share_of = np.bincount((y > 0).astype(int), minlength=2) / len(y)
-    costs = np.where(y > 0, cost / max(2 * share_of[1], 1e-9), cost / max(2 * share_of[0], 1e-9))
-    w = fit_hinge(index, values, y, costs, bias_at + 1)
-    margins = np.array([w[i] @ v for i, v in zip(index, values)])
-    slope, offset = calibrate(margins, y > 0)
-    return Model((w[:-1] * ratios), ratios, float(w[-1]), slope, offset)
+    sample = sample.orderBy("h", "label").limit(sample_rows).withColumn("all", F.lit(0))
+    found = sample.groupBy("all").applyInArrow(fit, "w binary, slope double, offset double").first()
+    w = np.frombuffer(found.w, np.float64)
+    return Model(w[:-1] * ratios, ratios, float(w[-1]), found.slope, found.offset)
 
 
 def calibrate(margins: np.ndarray, positive: np.ndarray, steps: int = 200) -> tuple[float, float]:
