@@ -10,6 +10,7 @@ the region of its first common pivot.  Size is the distance to the empty set
 and gives a second window.  Regions that overlap are joined as one; within
 them documents serve as pivots, regions are split again by the nearest pivot
 with windows of twice the radius, and what is left is compared exactly.
+Groups too large for a task are first cut down by pivots over all their blocks.
 
 Documents taken as first pivots do not work on text: nearly all distances are
 close to 1, so windows replicate every document everywhere.
@@ -33,6 +34,7 @@ from shelfline.session import materialize
 SAMPLE = np.uint64(3)            # shingles whose low bits are 0 are counted; a quarter
 LEAF = 512                       # documents of a region that are compared at once
 MOST_DOCS, MOST_BYTES = 1024, 64 << 20   # of a group that one task joins
+PIVOTS = 32                      # expected documents of a larger group that serve as pivots
 
 
 def shingles(text: bytes | None, words: int) -> np.ndarray:
@@ -152,6 +154,61 @@ class Region:
 FOUND = "row_id long, n_shingles long, text string, region long, size long"
 
 
+def _large_groups(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Join groups that are too large for a task: (links found, tasks left).
+
+    A few documents of each group serve as pivots, and all others, in blocks,
+    are compared with them.  Documents within the radius of connected pivots
+    are connected, so of the links that are left only those with a document
+    outside the group's main component matter: its blocks are joined with each
+    other and with every block of the main component.  A group of copies of
+    one text is thus done after one pass, whatever its size.
+    """
+    texts = texts.withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")))
+    pivots = (texts.where(F.pmod(F.xxhash64("row_id", F.lit(7)), F.col("n")) < PIVOTS)
+              .select("root", "row_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+                      .alias("block")))
+    pivots = materialize(pivots, "jaccard-large")
+
+    def near(own: pa.Table, pivots: pa.Table) -> pa.Table:
+        tables = [t.select(["row_id", "text"]).combine_chunks() for t in (pivots, own)]
+        ids = sum((t["row_id"].to_pylist() for t in tables), [])
+        sets = [shingles(t.as_buffer().to_pybytes(), words) for x in tables for t in x["text"]]
+        u, v = [], []
+        if sets:
+            region, every = Region(sets, percent), np.arange(len(sets))
+            for p in range(pivots.num_rows):
+                inter = region.overlap(every, p)
+                union = region.sizes + region.sizes[p] - inter
+                for i in np.flatnonzero(100 * inter >= percent * union).tolist():
+                    if ids[i] != ids[p]:
+                        u.append(ids[i])
+                        v.append(ids[p])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    found = materialize(texts.select("root", "block", "row_id", "text").groupBy("root", "block").cogroup(
+        pivots.groupBy("root", "block")).applyInArrow(near, "u long, v long"), "jaccard-pivots")
+    parts = components(found).withColumnRenamed("root", "part")
+    placed = materialize(texts.select("row_id", "root", "blocks").join(
+        parts, F.col("row_id") == F.col("node"), "left").select(
+        "row_id", "root", F.coalesce("part", "row_id").alias("part")), "jaccard-parts")
+    main = placed.groupBy("root", "part").count().groupBy("root").agg(
+        F.max_by("part", F.struct("count", "part")).alias("main"), F.sum("count").alias("all"),
+        F.max("count").alias("held"))
+    main = materialize(main.select("root", "main", F.ceil((F.col("all") - F.col("held")) / MOST_DOCS).alias("rests")),
+                       "jaccard-main")
+    known = placed.join(main, "root").select("row_id", "rests", (F.col("part") == F.col("main")).alias("core"))
+    rows = texts.select("root", "row_id", "text", "block", "blocks").join(known, "row_id").where("rests > 0")
+    rest = F.pmod(F.xxhash64("row_id"), F.col("rests"))
+    rows = rows.withColumn("mine", F.when(F.col("core"), F.col("rests") + F.col("block")).otherwise(rest))
+    # Blocks 0 to rests - 1 hold the rest, those from `rests` on the core.
+    others = F.expr("case when core then sequence(0L, rests - 1) "
+                    "else filter(sequence(0L, rests + blocks - 1), x -> x <> mine) end")
+    tasks = rows.withColumn("other", F.explode(others))
+    return found, tasks.select("root", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"),
+                               "row_id", "text")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
                     percent: int = 90) -> DataFrame:
     """One row per input row: `row_id`, `doc_id`, `n_shingles`, `component_id`
@@ -223,19 +280,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meets = members.join(regions, ["region", "band"]).select(F.col("row_id").alias("u"), F.col("head").alias("v"))
     groups = materialize(components(meets), "jaccard-groups")
 
-    # A group that is too large for a task is joined as all pairs of its blocks.
     texts = found.where("text is not null").select("row_id", "text").join(
         groups, F.col("row_id") == F.col("node")).drop("node")
     weights = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    blocks = weights.select("root", F.greatest(F.ceil(F.col("n") / MOST_DOCS),
-                                               F.ceil(F.col("bytes") / MOST_BYTES)).alias("blocks"))
-    block = F.pmod(F.xxhash64("row_id"), F.col("blocks"))
-    others = F.expr("case when blocks = 1 then array(0L) "
-                    "else filter(sequence(0L, blocks - 1), x -> x <> block) end")
-    tasks = (texts.join(materialize(blocks, "jaccard-blocks"), "root").withColumn("block", block)
-             .withColumn("other", F.explode(others))
-             .select("root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"),
-                     "row_id", "text"))
+    blocks = weights.select("root", "n", F.greatest(F.ceil(F.col("n") / MOST_DOCS),
+                                                    F.ceil(F.col("bytes") / MOST_BYTES)).alias("blocks"))
+    blocks = materialize(blocks, "jaccard-blocks")
 
     def link(table: pa.Table) -> pa.Table:
         ids = table["row_id"].to_pylist()
@@ -244,7 +294,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table({"u": pa.array([ids[i] for i, _ in links], pa.int64()),
                          "v": pa.array([ids[r] for _, r in links], pa.int64())})
 
-    links = tasks.groupBy("root", "a", "b").applyInArrow(link, "u long, v long")
+    pairs = "u long, v long"
+    links = texts.join(blocks.where("blocks = 1"), "root", "left_semi").groupBy("root").applyInArrow(link, pairs)
+    if blocks.where("blocks > 1").head(1):
+        near, tasks = _large_groups(texts.join(blocks.where("blocks > 1"), "root"), words, percent)
+        links = links.unionByName(near).unionByName(tasks.groupBy("root", "a", "b").applyInArrow(link, pairs))
     parts = materialize(components(links), "jaccard-components")
 
     sizes = found.where("n_shingles is not null").select(F.col("row_id").alias("rep"), "n_shingles")

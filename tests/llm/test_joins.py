@@ -99,11 +99,12 @@ def near_rows(seed, n_base=15, copies=12):
     return rows
 
 
-@pytest.mark.parametrize("case", ["awkward", 1, 2])
+@pytest.mark.parametrize("case", ["awkward", 1, 2, 5])
 def test_jaccard_join(spark, monkeypatch, case):
     rows = awkward_texts() if case == "awkward" else near_rows(case)
-    if case == 2:
-        monkeypatch.setattr(jaccard_join, "MOST_DOCS", 4)       # every group in blocks
+    if case in (2, 5):
+        monkeypatch.setattr(jaccard_join, "MOST_DOCS", 4)       # nearly every group in blocks
+        monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
     got = near_duplicates(frame(spark, rows))
     assert table(got.select("doc_id", "n_shingles", "component_id")) == expected_components(rows)
     firsts = [r.component_id for r in got.where("first and n_shingles > 0").collect()]
