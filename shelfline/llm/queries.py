@@ -168,7 +168,25 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@register("op3_substring_dedup")
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM w),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM c WHERE n > 1),
+a AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM d),
+k AS (
+  SELECT a.doc_id, string_agg(word, ' ' ORDER BY a.p) AS kept, count(*) AS n
+  FROM a LEFT JOIN r ON a.doc_id = r.doc_id AND a.p = r.p WHERE r.p IS NULL GROUP BY a.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+@register("op3_substring_dedup", OP3_SQL)
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words under repeated 35-word windows removed from all documents."""
     return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -183,7 +201,33 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
                        ).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-@register("op10_jaccard_join")
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)
+  UNION ALL
+  SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) IN (1, 2)),
+n AS (SELECT d.doc_id, count(s.shingle) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE 100 * k >= 90 * (nx.n + ny.n - k)),
+r AS (
+  SELECT doc_id AS x, doc_id AS root FROM d
+  UNION
+  SELECT l.y, r.root FROM r JOIN (SELECT x, y FROM e UNION ALL SELECT y, x FROM e) l ON r.x = l.x)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.root) AS component_id
+FROM n JOIN r ON n.doc_id = r.x GROUP BY n.doc_id, n.n
+"""
+
+
+@register("op10_jaccard_join", OP10_SQL)
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents that link at a Jaccard similarity of 0.9
     or more on 3-word shingles."""
