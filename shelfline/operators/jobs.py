@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shelfline.functions.columns import ntz_literal
 
 MAX_PAGE_SIZE = 100
+DEEPEST_OFFSET = 100_000
 
 
 def _order(cols: Sequence[str | Column]) -> list[Column]:
@@ -109,15 +110,18 @@ def expired_jobs(df: DataFrame, as_of: dt.datetime, days: int = 30) -> DataFrame
 
 # ---------------------------------------------------------------- H2 / H3
 def page_offset(df: DataFrame, order: Sequence[str | Column], page: int = 1,
-                page_size: int = 20) -> DataFrame:
+                page_size: int = 20, deepest: int = DEEPEST_OFFSET) -> DataFrame:
     """H2: one page by offset plus page info (total, total_pages, has_next,
     has_previous).  The slice is a TakeOrderedAndProject with offset (top
-    offset+size per task); the total is one count.  Deep pages should use
-    `page_cursor` instead."""
+    offset+size per task, merged in one); the total is one count.  Pages that
+    start after `deepest` rows are refused: that merge would hold them all, and
+    `page_cursor` reaches them at the price of one page."""
     if page < 1:
         raise ValueError("page must be >= 1")
     if not 1 <= page_size <= MAX_PAGE_SIZE:
         raise ValueError("page_size must be in 1..100")
+    if (page - 1) * page_size > deepest:
+        raise ValueError(f"page {page} starts after {deepest} rows; go on from a key with page_cursor")
     total = df.count()
     total_pages = math.ceil(total / page_size) if total > 0 else 0
     items = df.orderBy(*_order(order)).offset((page - 1) * page_size).limit(page_size)

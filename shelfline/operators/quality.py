@@ -178,16 +178,17 @@ def schema_checks(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def documented_contract_checks(df: DataFrame, rules: Sequence[Rule],
                                key: Sequence[str] = ("store_id", "sku", "date")) -> DataFrame:
     """per-row format rules plus key uniqueness (rows whose key occurs
-    more than once).  Two aggregates: the rule scan and one grouped count on
-    the key (map-side combined)."""
-    per_row = run_rules(df, rules)
-    dup = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-             .agg(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0))
-                  .cast("bigint").alias("failures")))
-    uniq = dup.select(F.lit(len(rules)).alias("rule_order"), F.lit(",".join(key)).alias("column"),
-                      F.lit("unique").alias("check"), "failures",
-                      (F.col("failures") == 0).alias("passed"))
-    return per_row.unionByName(uniq)
+    more than once), in one pass: the failures are counted per key with the
+    rows of the key (a partial aggregate) and then added up."""
+    from shelfline.functions.rules import rule_aggs, rule_structs
+    per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), *rule_aggs(rules))
+    sums = [F.coalesce(F.sum(f"_r{i}"), F.lit(0)).cast("bigint").alias(f"_r{i}") for i in range(len(rules))]
+    twice = F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).cast("bigint")
+    unique = F.struct(F.lit(len(rules)).alias("rule_order"), F.lit(",".join(key)).alias("column"),
+                      F.lit("unique").alias("check"), F.col("_twice").alias("failures"))
+    return (per_key.agg(*sums, twice.alias("_twice"))
+            .select(F.inline(F.array(*rule_structs(rules), unique)))
+            .withColumn("passed", F.col("failures") == 0))
 
 
 # ---------------------------------------------------------------- F2

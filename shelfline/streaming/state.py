@@ -104,6 +104,8 @@ def stream_rate_limit(requests: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE,
 def stream_endpoint_metrics(requests: DataFrame, window: str = "1 hour",
                             watermark: str = "1 hour") -> DataFrame:
     """Per event-time window and "METHOD path"."""
+    if requests.isStreaming:
+        set_state_store(requests.sparkSession)
     r = (requests.withColumn("ts", F.col("ts").cast("timestamp"))
                  .withColumn("endpoint", F.concat_ws(" ", "method", "path"))
                  .withWatermark("ts", watermark))
@@ -120,6 +122,8 @@ def stream_job_state(updates: DataFrame, key: str = "job_id", ts: str = "updated
     (update mode).  The day is a window under the watermark, so state of
     days that can get no more updates is dropped; readers fold the days of a
     job with L3."""
+    if updates.isStreaming:
+        set_state_store(updates.sparkSession)
     cols = [c for c in updates.columns if c != key]
     ties = [sequence] if sequence in updates.columns else []
     order = F.struct(ts, *ties, *[c for c in cols if c not in (ts, *ties)])
