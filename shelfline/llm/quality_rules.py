@@ -79,7 +79,7 @@ def default_rules() -> list[Rule]:
     capitals = count_chars(c("_text"), r"[^A-Z]+")
     return [
         Rule("symbols", 100 * c("n_symbols") > 10 * c("word_chars")),
-        Rule("repeated_lines", 100 * c("n_dup_lines") > 30 * F.size("_lines")),
+        Rule("repeated_lines", (c("n_dup_lines") >= 3) & (100 * c("n_dup_lines") > 30 * F.size("_lines"))),
         Rule("word_length", (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 20 * c("n_words"))),
         Rule("marks", 100 * marks > 15 * c("word_chars")),
         Rule("capitals", 100 * capitals > 50 * c("word_chars")),

@@ -52,7 +52,7 @@ f AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed
             OR 100 * n_symbols > 10 * word_chars
-            OR 100 * n_dup_lines > 30 * len(lines)
+            OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * len(lines))
             OR word_chars < 2 * n_words OR word_chars > 20 * n_words
             OR 100 * length(regexp_replace(t, '[^!?]+', '', 'g')) > 15 * word_chars
             OR 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 50 * word_chars
