@@ -282,6 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     texts = found.where("text is not null").select("row_id", "text").join(
         groups, F.col("row_id") == F.col("node")).drop("node")
+    texts = materialize(texts, "jaccard-grouped")
     weights = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     blocks = weights.select("root", "n", F.greatest(F.ceil(F.col("n") / MOST_DOCS),
                                                     F.ceil(F.col("bytes") / MOST_BYTES)).alias("blocks"))
