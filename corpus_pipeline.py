@@ -20,6 +20,7 @@ from shelfline.llm.quality_model import scorer, train_on_labels
 from shelfline.session import ensure_checkpoint_dir, materialize, ship_package
 
 LEAST_SCORE = 0.7
+NEAR_WORDS, NEAR_PERCENT = 5, 80     # the stage's own; op10_jaccard_join has 3 and 90
 ORACLE_SQL = None       # the classifier is trained; the tests compare each stage with a plain version
 
 
@@ -49,10 +50,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates."""
+    """One document of each component of near duplicates: texts whose sets of
+    five-word runs have a Jaccard similarity of at least 0.8."""
     _prepared(spark)
     docs = stable(docs)
-    return _only(docs, near_duplicates(docs).where("first"))
+    return _only(docs, near_duplicates(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).where("first"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,6 +106,24 @@ def test_near_stage_keeps_one_of_each_component(spark):
     assert sorted(str(r.doc_id) for r in got) == sorted([str(x[0]) for x in empty] + [str(c) for c in linked])
 
 
+def test_near_stage_links_five_word_runs_at_80_percent(spark):
+    rng = random.Random(8)
+    rows = []
+    for cut in (3, 8, 11, 12, 13, 20) * 4:          # 45 and 44 of 56 runs are on both sides of the limit
+        base = [f"w{rng.randrange(10 ** 6)}" for _ in range(60)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[:60 - cut]))]
+    runs = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(runs[i] & runs[j]) >= 80 * len(runs[i] | runs[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    got = staged(spark, rows, "near_duplicates")
+    assert sorted(r.doc_id for r in got) == sorted(set(root))
+    assert len(rows) - len(set(root)) == 12
+
+
 def test_mix_stage_takes_whole_copies_and_one_cut(spark):
     rows = awkward_texts()
     got = staged(spark, rows, "mix_sources", ("s",))
