@@ -160,12 +160,15 @@ def _large_groups(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame
     A few documents of each group serve as pivots, and all others, in blocks,
     are compared with them.  Documents within the radius of connected pivots
     are connected, so of the links that are left only those with a document
-    outside the group's main component matter: its blocks are joined with each
-    other and with every block of the main component.  A group of copies of
-    one text is thus done after one pass, whatever its size.
+    outside the group's main component matter: its blocks, bounded like the
+    group's by documents and by bytes, are joined with each other and with
+    every block that holds part of the main component.  A group of copies of
+    one text is thus done after one pass, whatever its size.  Pivots of one
+    group stay within `MOST_BYTES` in expectation too.
     """
     texts = texts.withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")))
-    pivots = (texts.where(F.pmod(F.xxhash64("row_id", F.lit(7)), F.col("n")) < PIVOTS)
+    drawn = F.least(F.lit(PIVOTS), F.ceil(MOST_BYTES * F.col("n") / F.col("bytes")))
+    pivots = (texts.where(F.pmod(F.xxhash64("row_id", F.lit(7)), F.col("n")) < drawn)
               .select("root", "row_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
                       .alias("block")))
     pivots = materialize(pivots, "jaccard-large")
@@ -189,21 +192,26 @@ def _large_groups(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame
     found = materialize(texts.select("root", "block", "row_id", "text").groupBy("root", "block").cogroup(
         pivots.groupBy("root", "block")).applyInArrow(near, "u long, v long"), "jaccard-pivots")
     parts = components(found).withColumnRenamed("root", "part")
-    placed = materialize(texts.select("row_id", "root", "blocks").join(
+    placed = materialize(texts.select("row_id", "root", "block", F.octet_length("text").alias("bytes")).join(
         parts, F.col("row_id") == F.col("node"), "left").select(
-        "row_id", "root", F.coalesce("part", "row_id").alias("part")), "jaccard-parts")
-    main = placed.groupBy("root", "part").count().groupBy("root").agg(
-        F.max_by("part", F.struct("count", "part")).alias("main"), F.sum("count").alias("all"),
-        F.max("count").alias("held"))
-    main = materialize(main.select("root", "main", F.ceil((F.col("all") - F.col("held")) / MOST_DOCS).alias("rests")),
-                       "jaccard-main")
-    known = placed.join(main, "root").select("row_id", "rests", (F.col("part") == F.col("main")).alias("core"))
+        "row_id", "root", "block", "bytes", F.coalesce("part", "row_id").alias("part")), "jaccard-parts")
+    main = placed.groupBy("root", "part").agg(F.count(F.lit(1)).alias("count"), F.sum("bytes").alias("bytes"))
+    main = main.groupBy("root").agg(
+        F.max_by("part", F.struct("count", "part")).alias("main"),
+        (F.sum("count") - F.max("count")).alias("docs"),
+        (F.sum("bytes") - F.max_by("bytes", F.struct("count", "part"))).alias("bytes"))
+    main = materialize(main.select("root", "main", F.greatest(
+        F.ceil(F.col("docs") / MOST_DOCS), F.ceil(F.col("bytes") / MOST_BYTES)).alias("rests")), "jaccard-main")
+    cores = placed.join(main, "root").where("part = main").groupBy("root").agg(F.collect_set("block").alias("cores"))
+    main = materialize(main.join(cores, "root"), "jaccard-cores")
+    known = placed.join(main, "root").select("row_id", "rests", "cores", (F.col("part") == F.col("main")).alias("core"))
     rows = texts.select("root", "row_id", "text", "block", "blocks").join(known, "row_id").where("rests > 0")
     rest = F.pmod(F.xxhash64("row_id"), F.col("rests"))
     rows = rows.withColumn("mine", F.when(F.col("core"), F.col("rests") + F.col("block")).otherwise(rest))
     # Blocks 0 to rests - 1 hold the rest, those from `rests` on the core.
     others = F.expr("case when core then sequence(0L, rests - 1) "
-                    "else filter(sequence(0L, rests + blocks - 1), x -> x <> mine) end")
+                    "else filter(concat(sequence(0L, rests - 1), transform(cores, x -> rests + x)), "
+                    "x -> x <> mine) end")
     tasks = rows.withColumn("other", F.explode(others))
     return found, tasks.select("root", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"),
                                "row_id", "text")
@@ -284,7 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         groups, F.col("row_id") == F.col("node")).drop("node")
     texts = materialize(texts, "jaccard-grouped")
     weights = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    blocks = weights.select("root", "n", F.greatest(F.ceil(F.col("n") / MOST_DOCS),
+    blocks = weights.select("root", "n", "bytes", F.greatest(F.ceil(F.col("n") / MOST_DOCS),
                                                     F.ceil(F.col("bytes") / MOST_BYTES)).alias("blocks"))
     blocks = materialize(blocks, "jaccard-blocks")
 

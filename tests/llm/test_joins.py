@@ -13,6 +13,7 @@ from shelfline.llm.jaccard_join import Region, near_duplicates
 from shelfline.llm.mixing import mix_sources, source_targets
 from shelfline.llm.shared_hashes import distinct_counts, find_pairs
 from shelfline.llm.substring_dedup import COVER, PERIOD, remove_repeats
+from shelfline.session import materialize
 
 from .data import awkward_texts, frame, prose, table, words
 
@@ -113,6 +114,32 @@ def test_jaccard_join(spark, monkeypatch, case):
     assert set(firsts) == linked
 
 
+def test_large_groups_of_long_texts_stay_within_a_task(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MOST_BYTES", 20_000)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    rng = random.Random(9)
+    passage = prose(rng, 20, 10 ** 6)
+    rows = [(i, f"{passage} {prose(rng, 230, 10 ** 6)}") for i in range(150)]       # 1.7 KB each, unlinked
+    rows += [(150 + i, rows[i * 40][1] + " end") for i in range(3)]
+    total = sum(len(t) for _, t in rows)
+    texts = spark.createDataFrame(
+        [(0, i, t, len(rows), total, -(-total // 20_000)) for i, t in rows],
+        "root long, row_id long, text string, n long, bytes long, blocks long")
+    near, tasks = jaccard_join._large_groups(materialize(texts, "long-texts"), 3, 90)
+    held = defaultdict(list)
+    for r in tasks.collect():
+        held[r.a, r.b].append(r)
+    # Two blocks of 20 KB each in expectation, against 260 KB in one task.
+    assert max(sum(len(r.text) for r in rs) for rs in held.values()) < 80_000
+    met = {(r.row_id, x.row_id) for rs in held.values() for r in rs for x in rs}
+    met |= {(r.u, r.v) for r in near.collect()} | {(r.v, r.u) for r in near.collect()}
+    assert all((150 + i, i * 40) in met for i in range(3))
+    rests = len({r.row_id for rs in held.values() for r in rs})
+    assert rests == len(rows) and len(held) <= 16 * 17 // 2
+    docs = near_duplicates(frame(spark, rows))
+    assert table(docs.select("doc_id", "n_shingles", "component_id")) == expected_components(rows)
+
+
 def test_jaccard_join_of_an_empty_table(spark):
     assert near_duplicates(frame(spark).limit(0)).count() == 0
 
