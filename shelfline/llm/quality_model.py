@@ -23,7 +23,8 @@ from shelfline.session import materialize
 
 BITS = 18                        # n-grams hash to 2**BITS features
 SLICE_BITS = 6                   # of a feature, that name the array it is counted in
-SAMPLE_ROWS = 3_000              # bound on the labelled rows that the hinge loss is fitted on
+SAMPLE_ROWS = 3_000              # bound on the labelled texts that the hinge loss is fitted on
+MOST_COPIES = 16                 # rows of one text and label that count in the hinge loss
 
 
 def features(text: str | None) -> np.ndarray:
@@ -101,12 +102,13 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality
           sample_rows: int = SAMPLE_ROWS, cost: float = 1.0, smoothing: float = 1.0) -> Model:
     """Fit on all rows of `labelled` with a label of 0 or 1 (others, null
     included, are left out).  The log-count ratios use every row; the hinge
-    loss uses at most `sample_rows` rows, drawn by a hash of the text.
+    loss uses at most `sample_rows` distinct texts, drawn by a hash of the text
+    within each class (half of them, or what the other class leaves).  A text
+    weighs as many rows as it has, up to `MOST_COPIES`, and a class as many as
+    its share of all rows.
     Without rows of both classes the model scores every text the same."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where(
-        F.col("label").isin(0, 1))
-    total = rows.count()
-    share = min(1.0, sample_rows / total) if total else 1.0
+        F.col("label").isin(0, 1)).withColumn("h", F.xxhash64("text", F.lit(11)))
 
     def count(frames):
         counts, docs = np.zeros((2, 1 << BITS), dtype=np.int64), np.zeros(2, dtype=np.int64)
@@ -114,10 +116,12 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality
             for text, label in zip(pdf["text"], pdf["label"]):
                 counts[label, features(text)] += 1
                 docs[label] += 1
+            drawn = pdf[["label", "h"]].drop_duplicates()
+            yield pd.DataFrame({"label": drawn["label"], "feature": -2, "h": drawn["h"], "n": 1})
         for label in (0, 1):
             used = np.flatnonzero(counts[label])
-            yield pd.DataFrame({"label": label, "feature": used, "n": counts[label, used]})
-            yield pd.DataFrame({"label": [label], "feature": [-1], "n": [docs[label]]})
+            yield pd.DataFrame({"label": label, "feature": used, "h": 0, "n": counts[label, used]})
+            yield pd.DataFrame({"label": [label], "feature": [-1], "h": [0], "n": [docs[label]]})
 
     def pack(table: pa.Table) -> pa.Table:
         slice_ = table["slice"][0].as_py()
@@ -126,13 +130,16 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality
         return pa.table({"slice": pa.array([slice_], pa.int64()), "counts": pa.array([held.tobytes()], pa.binary())})
 
     # At most 2 * (2**BITS + 1) sums, however many rows there are; the driver
-    # gets them as a few arrays (4 MB).
-    sums = (rows.mapInPandas(count, "label int, feature long, n long")
-            .groupBy("label", "feature").agg(F.sum("n").alias("n")))
+    # gets them as a few arrays (4 MB).  The hashes of the distinct texts
+    # (feature -2) stay in the table.
+    sums = (rows.mapInPandas(count, "label int, feature long, h long, n long")
+            .groupBy("label", "feature", "h").agg(F.sum("n").alias("n")))
     sums = materialize(sums, "quality-counts")
-    docs = np.zeros(2)
-    for x in sums.where("feature < 0").collect():
+    docs, texts = np.zeros(2), np.zeros(2, dtype=np.int64)
+    for x in sums.where("feature = -1").collect():
         docs[x.label] = x.n
+    for x in sums.where("feature = -2").groupBy("label").count().collect():
+        texts[x.label] = x["count"]
     if not docs.all():
         only = float(np.argmax(docs)) if docs.any() else 0.5
         return Model(np.zeros(1 << BITS), np.ones(1 << BITS), 0.0, 0.0, (only - 0.5) * 20)
@@ -143,7 +150,13 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality
     smooth = counts + smoothing
     ratios = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
 
-    draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 20)) < int(1.5 * share * (1 << 20)) + 1
+    cuts = []
+    for label in (0, 1):
+        most = int(min(texts[label], max(sample_rows // 2, sample_rows - texts[1 - label])))
+        part = min(1.0, (1.5 * most + 100) / texts[label])       # so that few hashes are sorted
+        low = sums.where((F.col("feature") == -2) & (F.col("label") == label) & (
+            F.col("h") <= min((1 << 63) - 1, int(part * (1 << 64)) - (1 << 63))))
+        cuts.append(low.orderBy("h").limit(most).agg(F.max("h")).first()[0])
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
@@ -151,6 +164,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality
 
     def fit(table: pa.Table) -> pa.Table:
         """The model of the bounded sample, fitted in one task."""
+        table = table.sort_by([("h", "ascending"), ("label", "ascending")])
         bias_at = 1 << BITS
         y = np.where(table["label"].to_numpy() == 1, 1.0, -1.0)
         index, values = [], []
@@ -160,32 +174,38 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality
             length = np.sqrt(np.square(v).sum())
             index.append(np.append(f, np.uint32(bias_at)))
             values.append(np.append(v / length if length else v, 1.0).astype(np.float32))
-        share_of = np.bincount((y > 0).astype(int), minlength=2) / len(y)
-        costs = np.where(y > 0, cost / max(2 * share_of[1], 1e-9), cost / max(2 * share_of[0], 1e-9))
+        copies = np.minimum(table["n"].to_numpy(), MOST_COPIES).astype(np.float64)
+        share_of = docs / docs.sum()
+        for side, share in ((y < 0, share_of[0]), (y > 0, share_of[1])):
+            copies[side] *= len(y) * share / copies[side].sum()
+        costs = cost * copies / np.where(y > 0, 2 * share_of[1], 2 * share_of[0])
         w = fit_hinge(index, values, y, costs, bias_at + 1)
         margins = np.array([w[i] @ v for i, v in zip(index, values)])
-        slope, offset = calibrate(margins, y > 0)
+        slope, offset = calibrate(margins, y > 0, copies)
         return pa.table({"w": pa.array([w.tobytes()], pa.binary()), "slope": [slope], "offset": [offset]})
 
-    sample = rows.where(draw).select("label", packed("text").alias("f"), F.xxhash64("text").alias("h"))
-    sample = sample.orderBy("h", "label").limit(sample_rows).withColumn("all", F.lit(0))
+    # Both filters read the text alone or with the label, so they come before the labels' join where they can.
+    sample = (rows.where(F.col("h") <= max(cuts)).where(F.col("h") <= F.when(F.col("label") == 0, cuts[0]).otherwise(cuts[1]))
+              .groupBy("label", "h").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("n"))
+              .select("label", "h", "n", packed("text").alias("f"), F.lit(0).alias("all")))
     found = sample.groupBy("all").applyInArrow(fit, "w binary, slope double, offset double").first()
     w = np.frombuffer(found.w, np.float64)
     return Model(w[:-1] * ratios, ratios, float(w[-1]), found.slope, found.offset)
 
 
-def calibrate(margins: np.ndarray, positive: np.ndarray, steps: int = 200) -> tuple[float, float]:
+def calibrate(margins: np.ndarray, positive: np.ndarray, weights: np.ndarray, steps: int = 200) -> tuple[float, float]:
     """Slope and offset of a logistic score of the margin (Newton steps, with
     a small pull to zero so that separable classes stay finite)."""
     a, b = 1.0, 0.0
     n = len(margins)
-    target = np.where(positive, (positive.sum() + 1) / (positive.sum() + 2), 1 / ((~positive).sum() + 2))
+    ones, zeros = weights[positive].sum(), weights[~positive].sum()
+    target = np.where(positive, (ones + 1) / (ones + 2), 1 / (zeros + 2))
     x = np.column_stack([margins, np.ones(n)])
     theta = np.array([a, b])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        slope = x.T @ (p - target) + 1e-3 * theta
-        curve = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-3 * np.eye(2)
+        slope = x.T @ (weights * (p - target)) + 1e-3 * theta
+        curve = (x * (weights * p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-3 * np.eye(2)
         step = np.linalg.solve(curve, slope)
         theta = theta - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:

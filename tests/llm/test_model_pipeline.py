@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shelfline.llm.quality_model import features, fit_hinge, fold, scorer, train, train_on_labels
@@ -59,6 +60,24 @@ def test_training_without_both_classes(spark, labels):
     assert s == pytest.approx(0.5) if not labels else s > 0.99 if 1 in labels else s < 0.01
 
 
+def test_many_copies_of_a_labelled_text_do_not_crowd_out_the_sample(spark):
+    rng = random.Random(4)
+    good, bad = ([f"{k} " + " ".join(rng.choice(v) for _ in range(12)) for k in range(200)]
+                 for v in (["oak", "elm", "ash", "fir", "yew"], ["zip", "zap", "zop", "zup", "zep"]))
+    # The copied text's hashes are low, so a draw by text takes it first.
+    pool = spark.createDataFrame([(f"copy {k} oak elm ash fir yew",) for k in range(20000)], "text string")
+    copied = pool.where("pmod(xxhash64(text, 11), 1048576) < 150000").orderBy(F.xxhash64("text")).first().text
+    rows = [(t, 1) for t in good] + [(t, 0) for t in bad] + [(copied, 1)] * 200
+    model = train(spark.createDataFrame(rows, "text string, quality int"), sample_rows=60)
+    assert min(model.score(t) for t in good) > 0.7 > 0.3 > max(model.score(t) for t in bad)
+
+
+def test_labels_on_copies_of_few_texts_give_a_model(spark):
+    texts = [("oak elm ash", 1), ("fir yew oak", 1), ("zip zap zop", 0), ("zup zep zip", 0)]
+    model = train(spark.createDataFrame(texts * 300, "text string, quality int"), sample_rows=4)
+    assert all((model.score(t) > 0.5) == (v == 1) for t, v in texts)
+
+
 def test_features_are_sets_of_the_whole_text():
     assert len(features(None)) == len(features("")) == 0
     long = prose(random.Random(1), 5000, 10 ** 6)
