@@ -108,7 +108,16 @@ def materialize(df, name: str):
     survives executor loss."""
     path = scratch_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    written = df.sparkSession.read.parquet(path)
+    written._scratch = path
+    return written
+
+
+def discard(table) -> None:
+    """Delete a table that `materialize` wrote, once nothing will read it."""
+    spark = table.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 _SHIPPED: set[str] = set()
