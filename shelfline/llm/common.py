@@ -29,18 +29,46 @@ def count_words(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
+def _scanned(df: DataFrame) -> bool:
+    """Whether each row of `df` is one row of a Parquet scan: nothing but
+    filters and projections stand above the scan."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    nodes = [line.lstrip(" :+-") for line in lines if line.strip()]
+    return (all(n.startswith(("Project ", "Filter ")) for n in nodes[:-1])
+            and nodes[-1].startswith("Relation ") and nodes[-1].endswith(" parquet"))
+
+
 def stable(df: DataFrame) -> DataFrame:
-    """`df` with rows in an order that every evaluation repeats, whatever
-    columns it needs: a plain scan of files is; anything else is written."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return df if "FileScan" in plan and "Exchange" not in plan else materialize(df, "rows")
+    """`df` with rows that can be told apart by their place in the files they
+    are read from: a plain Parquet scan is; anything else is written."""
+    return df if _scanned(df) else materialize(df, "rows")
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """Add a row identity that is unique even if ids repeat or are null.  It
-    follows the partitions of the files, so a recomputed task gives the same
-    ids, and so does another scan of the same frame."""
-    return stable(df).withColumn(name, F.monotonically_increasing_id())
+    """Add a row identity (a long from 0 up) that is unique even if ids repeat
+    or are null.  It is made of the row's file and its place in that file, so
+    every scan gives the same ids, however the files are cut into tasks and
+    however many cores there are.
+
+    The low bits hold the place, as many as the longest file needs, the others
+    a hash of the file's path; a seed is sought under which no two files share
+    one, so ids never collide.  Only the files' row counts are read for that.
+    """
+    df = stable(df)
+    files = materialize(df.select(df.metadataColumn("_metadata")["file_path"].alias("path"),
+                                  df.metadataColumn("_metadata")["row_index"].alias("place"))
+                        .groupBy("path").agg(F.max("place").alias("last")), "row-files")
+    n, last = files.agg(F.count("path"), F.max("last")).first()
+    low = max(1, int(last or 0).bit_length())
+
+    def number(path: Column, seed: int) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(path, F.lit(seed)), low + 1)
+
+    seed = 0
+    while n > 1 and files.select(number(F.col("path"), seed)).distinct().count() < n:
+        seed += 1
+    where = df.metadataColumn("_metadata")
+    return df.withColumn(name, F.shiftleft(number(where["file_path"], seed), low).bitwiseOR(where["row_index"]))
 
 
 def running_sum(df: DataFrame, order: list[str], value: str, out: str,

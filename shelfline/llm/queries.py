@@ -16,6 +16,7 @@ from shelfline.llm.quality_rules import quality_rules
 from shelfline.llm.substring_dedup import remove_repeats
 from shelfline.llm.token_counts import count_tokens
 from shelfline.llm.token_files import read_tokens, write_tokens
+from shelfline.llm.vector_codes import compress
 from shelfline.llm.warc import read_warc, write_warc
 from shelfline.plans.registry import register
 from shelfline.session import scratch_dir
@@ -238,3 +239,54 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of all documents."""
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _op11_sql(rounds: int = 4) -> str:
+    """Plain Lloyd rounds; distances from inner products of whole numbers."""
+    out = [r"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS x
+  FROM kept CROSS JOIN range(4) t(p)),
+c0 AS MATERIALIZED (
+  SELECT p, entry, x AS c
+  FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS entry FROM parts) WHERE entry < 256)"""]
+    for k in range(rounds + 1):
+        out.append(f"""
+d{k} AS MATERIALIZED (
+  SELECT vec_id, p, min((far, entry)) AS best
+  FROM (SELECT vec_id, p, entry, CAST(list_inner_product(x, x) - 2 * list_inner_product(x, c)
+                                      + list_inner_product(c, c) AS BIGINT) AS far
+        FROM parts JOIN c{k} USING (p)) GROUP BY vec_id, p),
+a{k} AS MATERIALIZED (SELECT vec_id, p, best[1] AS far, best[2] AS entry FROM d{k})""")
+        if k < rounds:
+            out.append(f"""
+m{k} AS (
+  SELECT p, entry, list(mean ORDER BY i) AS c
+  FROM (SELECT p, entry, i, floor(sum(x[i]) / count(*)) AS mean
+        FROM (SELECT p, entry, x, unnest(range(1, len(x) + 1)) AS i FROM a{k} JOIN parts USING (vec_id, p))
+        GROUP BY p, entry, i) GROUP BY p, entry),
+c{k + 1} AS MATERIALIZED (
+  SELECT p, entry, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (p, entry))""")
+    out.append(f"""
+s AS (
+  SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY p, entry, i)) AS sha
+  FROM (SELECT p, entry, unnest(c) AS x, unnest(range(len(c))) AS i FROM c{rounds})),
+r AS (
+  SELECT vec_id, string_agg(lower(printf('%02x', entry)), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       sha AS codebooks_sha256
+FROM r JOIN kept USING (vec_id) CROSS JOIN s
+""")
+    return ",".join(out)
+
+
+@register("op11_vector_codes", _op11_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings after four active-entry Lloyd rounds."""
+    coded, books = compress(_table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
