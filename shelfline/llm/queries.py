@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from shelfline.llm.exact_dedup import exact_dedup
 from shelfline.llm.jaccard_join import near_duplicates
+from shelfline.llm.lsh_forest import forest_duplicates
 from shelfline.llm.mixing import mix_sources
 from shelfline.llm.packing import pack_documents
 from shelfline.llm.quality_model import fold, scorer, train_on_labels
 from shelfline.llm.quality_rules import quality_rules
+from shelfline.llm.spelling import corpus_words, group_variants
 from shelfline.llm.substring_dedup import remove_repeats
 from shelfline.llm.token_counts import count_tokens
 from shelfline.llm.token_files import read_tokens, write_tokens
@@ -228,6 +230,11 @@ FROM n JOIN r ON n.doc_id = r.x GROUP BY n.doc_id, n.n
 """
 
 
+# The same with op13's threshold and its mark of the document that stays.
+OP13_SQL = (OP10_SQL.replace("100 * k >= 90 *", "100 * k >= 85 *")
+            .replace("AS component_id", "AS component_id, min(r.root) = n.doc_id AS kept"))
+
+
 @register("op10_jaccard_join", OP10_SQL)
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents that link at a Jaccard similarity of 0.9
@@ -290,3 +297,63 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all embeddings after four active-entry Lloyd rounds."""
     coded, books = compress(_table(spark, sf_dir, "embeddings"))
     return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(CAST(b AS BIGINT), CAST(range(8) AS BIGINT[])),
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(b))),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                             'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents),
+held AS (SELECT id, run, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY id, run),
+hashed AS (
+  SELECT run, k, xor(list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(id || ':' || run, ''), lambda c:
+        CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)]
+             ELSE [CAST(192 + (ord(c) >> 6) AS BIGINT), CAST(128 + (ord(c) & 63) AS BIGINT)] END))),
+      lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295) AS h
+  FROM held CROSS JOIN tab),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n
+  FROM (SELECT k, CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2)
+                       ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS MATERIALIZED (
+  SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, w.word FROM cut JOIN words w ON cut.rest = w.word
+  UNION SELECT w.word, cut.word FROM cut JOIN words w ON cut.rest = w.word),
+best AS (
+  SELECT near.word, count(*) AS n_near, max(m.n) AS most, arg_min(near.near, (-m.n, near.near)) AS form
+  FROM near JOIN words m ON near.near = m.word GROUP BY near.word),
+forms AS (
+  SELECT word, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
+         CASE WHEN most >= 10 * n THEN form END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL SELECT chain.word, forms.word, forms.form FROM chain JOIN forms ON chain.next = forms.word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN chain USING (word) WHERE next IS NULL
+"""
+
+
+@register("op12_spelling_variants", OP12_SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return group_variants(corpus_words(_table(spark, sf_dir, "documents"))).select(
+        "word", "form", "root", "n", "n_near", "form_n")
+
+
+@register("op13_lsh_forest", OP13_SQL)
+def op13_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents that link at a Jaccard similarity of 0.85
+    or more on 3-word shingles, found by an LSH forest."""
+    return forest_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85).select(
+        "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
