@@ -9,6 +9,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from shelfline.operators import arma as A
+from shelfline.operators import changepoints as C
 from shelfline.operators import forecast as J
 from shelfline.operators import reorder as R
 from shelfline.plans.oracle_views import with_views
@@ -259,6 +261,31 @@ def q_forecast_ar_horizon(spark, sf_dir):
     return r(J.forecast_ar(prepared(spark, sf_dir), KEYS, m=12, periods=PERIODS), ["yhat"])
 
 
+# ------------------------------------------------- J6 order search, J5 sparse
+# Iterated regressions: tests compare them with plain solvers.
+@register("forecast_arma_select")
+def q_forecast_arma_select(spark, sf_dir):
+    """The order that the search chooses for every SKU."""
+    return r(A.arma_models(prepared(spark, sf_dir), KEYS, m=12).drop("ar", "ma", "const"), ["sse", "aicc"])
+
+
+@register("forecast_arma_horizon")
+def q_forecast_arma_horizon(spark, sf_dir):
+    return r(A.forecast_arma(prepared(spark, sf_dir), KEYS, m=12, periods=PERIODS),
+             ["yhat", "yhat_lower", "yhat_upper"])
+
+
+@register("forecast_changepoints")
+def q_forecast_changepoints(spark, sf_dir):
+    return r(C.forecast_changepoints(prepared(spark, sf_dir), KEYS, PERIODS),
+             ["trend", "yhat", "yhat_lower", "yhat_upper"])
+
+
+@register("trend_changes")
+def q_trend_changes(spark, sf_dir):
+    return r(C.trend_changes(prepared(spark, sf_dir), KEYS), ["change"], 6)
+
+
 # ---------------------------------------------------------------- J7
 MODEL_COLS = (["sku", "slope", "holiday_effect", "sigma", "n_obs", "first_ds", "last_ds", "span_days"]
               + [f"a{k}" for k in range(1, 8)] + [f"m{k}" for k in range(1, 13)])
