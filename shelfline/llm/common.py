@@ -29,6 +29,13 @@ def count_words(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have yet."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def _scanned(df: DataFrame) -> bool:
     """Whether each row of `df` is one row of a Parquet scan: nothing but
     filters and projections stand above the scan."""

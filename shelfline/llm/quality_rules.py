@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from shelfline.llm.common import SPACE, let, words_of
 from shelfline.session import materialize
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")
 SYMBOLS = r"[^#*$%&|<>]+"      # everything but the symbols that the base counts
 
 
@@ -56,10 +57,11 @@ def repeat_words(words: Column) -> Column:
 
 
 def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with its text in `_text` (null: empty), the arrays `_words` and
-    `_lines` (lines with a word), and the base counts."""
+    """The columns of `docs` in a struct `_row`, its text in `_text` (null:
+    empty), the arrays `_words` and `_lines` (lines with a word), and the base
+    counts.  In the struct no column clashes with those."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = (docs.withColumn("_text", text)
+    rows = (docs.select(F.struct(*docs.columns).alias("_row"), text.alias("_text"))
             .withColumn("_words", words_of(F.col("_text")))
             .withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
     return (rows.withColumn("n_words", F.size("_words").cast("long"))
@@ -127,17 +129,17 @@ def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, text_col: st
     Null and empty texts have no words, fail the base and are not kept.  All
     rows stay, repeated ones included; an empty table gives an empty result.
     Input columns of the same names as the results are replaced.  Later rules
-    are not evaluated for a row that an earlier one rejects.
+    are not evaluated for a row that an earlier one rejects.  `kept` never
+    depends on the order; `rejected_by` names the first rule of an order that
+    follows measured times, so it may differ between runs for a row that
+    several rules reject.  A text, however long, must fit one task.
     """
     rules = default_rules() if rules is None else rules
-    kept_columns = [c for c in docs.columns if c not in (
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")]
-    docs = docs.select(*kept_columns)
+    docs = docs.select(*(c for c in docs.columns if c not in RESULTS))
     rows = base_statistics(docs, text_col)
     by_name = {r.name: r for r in rules}
     verdict = F.when(F.col("base_failed"), F.lit("base"))
     for name in plan_cascade(docs, rules, text_col, sample_rows):
         verdict = verdict.when(by_name[name].rejects, F.lit(name))
-    return (rows.withColumn("rejected_by", verdict)
-            .withColumn("kept", F.col("rejected_by").isNull())
-            .drop("_text", "_words", "_lines"))
+    rows = rows.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
+    return rows.select("_row.*", *RESULTS)

@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from shelfline.llm.texthash import split_words
 
 START = "▁"                 # fixed by the vocabulary: the mark before a word
-COUNTS_HELD = 700_000            # pre-tokens whose counts a worker process holds
+COUNTS_HELD = 700_000            # pre-tokens whose counts a worker process holds,
+BYTES_HELD = 32 << 20            # their bytes together,
+LONG_WORD = 256                  # and the longest one that is held
+_STOP = object()
 
 
 class UnigramCounter:
@@ -29,35 +32,69 @@ class UnigramCounter:
 
     def __init__(self, log_probs: dict[str, float]):
         self.log_probs = log_probs
+        # A trie of the pieces read backwards: every end of a piece, with the
+        # score of that end where it is a piece itself.
+        self.ends: dict[str, float | None] = {}
+        for piece, score in log_probs.items():
+            for j in range(1, len(piece)):
+                self.ends.setdefault(piece[j:], None)
+            self.ends[piece] = score
         self.longest = max(map(len, log_probs), default=1)
         self.byte_score = min(log_probs.values(), default=0.0) - 10.0
         self.counts: dict[bytes, int] = {}
+        self.held_bytes = 0
         self.path, self.best = "", [(0.0, 0)]        # (score, minus tokens) after each prefix of path
 
-    def _extend(self, text: str) -> int:
-        """Forward scores of `text` beyond the prefix shared with the path."""
-        best, scores = self.best, self.log_probs
+    def _forward(self, text: str, best: list, start: int) -> None:
+        """Extend `best`, the forward scores up to `start`, to the end of
+        `text`; of a long text only the last scores are held."""
+        get, byte_score, base = self.ends.get, self.byte_score, 0
+        for lo in range(start, len(text), LONG_WORD):
+            for i in range(lo + 1, min(lo + LONG_WORD, len(text)) + 1):
+                spelled = len(text[i - 1].encode("utf-8", "surrogatepass"))
+                score, tokens = best[i - 1 - base]
+                top = (score + spelled * byte_score, tokens - spelled)
+                for j in range(i - 1, -1, -1):
+                    p = get(text[j:i], _STOP)
+                    if p is _STOP:                   # no piece ends like this
+                        break
+                    if p is not None:
+                        score, tokens = best[j - base]
+                        if (score + p, tokens - 1) > top:
+                            top = (score + p, tokens - 1)
+                best.append(top)
+            if len(text) > LONG_WORD and len(best) > self.longest + 1:
+                base += len(best) - self.longest - 1
+                del best[:-self.longest - 1]
+
+    def _count(self, text: str) -> int:
+        """Tokens of a word; one that is not long shares the scores of the
+        prefix that it has in common with the word before it."""
+        if len(text) > LONG_WORD:
+            best = [(0.0, 0)]
+            self._forward(text, best, 0)
+            return -best[-1][1]
         shared = len(os.path.commonprefix((self.path, text)))
-        del best[shared + 1:]
-        for i in range(shared + 1, len(text) + 1):
-            spelled = len(text[i - 1].encode("utf-8", "surrogatepass"))
-            score, tokens = best[i - 1]
-            top = (score + spelled * self.byte_score, tokens - spelled)
-            for j in range(max(0, i - self.longest), i):
-                p = scores.get(text[j:i])
-                if p is not None:
-                    score, tokens = best[j]
-                    if (score + p, tokens - 1) > top:
-                        top = (score + p, tokens - 1)
-            best.append(top)
+        del self.best[shared + 1:]
+        self._forward(text, self.best, shared)
         self.path = text
-        return -best[-1][1]
+        return -self.best[-1][1]
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.counts) + len(words) > COUNTS_HELD:
+    def counts_of(self, words: list[list[bytes]]) -> list[int]:
+        """Tokens of several lists of words."""
+        if len(self.counts) > COUNTS_HELD or self.held_bytes > BYTES_HELD:
             self.counts.clear()
-        for w in sorted(words - self.counts.keys()):
-            self.counts[w] = self._extend(START + w.decode())
+            self.held_bytes = 0
+        fresh = sorted(set().union(*words) - self.counts.keys())
+        for w in fresh:
+            self.counts[w] = self._count(START + w.decode())
+        out = [sum(map(self.counts.__getitem__, w)) for w in words]
+        for w in fresh:              # text without spaces makes words as long as itself
+            if len(w) > LONG_WORD:
+                del self.counts[w]
+            else:
+                self.held_bytes += len(w)
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -82,8 +119,7 @@ def token_count(text: Column, model_path: str) -> Column:
         out = []
         for i in range(0, len(texts), 500):
             some = [split_words(t.encode() if t else None) for t in texts.iloc[i:i + 500]]
-            model.learn(set().union(*some))
-            out += [sum(map(model.counts.__getitem__, w)) for w in some]
+            out += model.counts_of(some)
         return pd.Series(out, dtype="int64")
     return count(text)
 

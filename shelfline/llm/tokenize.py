@@ -18,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WORDS_HELD = 1_200_000             # cached words per worker process
+WORDS_HELD = 1_200_000             # cached words per worker process,
+BYTES_HELD = 96 << 20              # their letters and ids together,
+LONG_WORD = 128                    # and the longest word that stays cached
 # Fixed by the pre-tokenizers: ASCII marks after a letter, up to the unit's
 # end, are a pre-token of their own; letters are taken from Latin blocks only.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -75,6 +77,7 @@ class Encoder:
         for i, t in names:
             self.sizes[i], self.ends[i] = len(t), t.endswith(WORD_END)
         self.words: dict[str, bytes] = {}
+        self.held_bytes = 0
 
     def _learn(self, words: list[str]) -> None:
         """Encode words that are not cached, many in one call: words of letters
@@ -109,10 +112,15 @@ class Encoder:
     def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words end to end, and how many each has."""
         held = self.words
-        if len(held) > WORDS_HELD:
+        if len(held) > WORDS_HELD or self.held_bytes > BYTES_HELD:
             held.clear()
-        self._learn([w for w in words if w not in held])
+            self.held_bytes = 0
+        fresh = [w for w in words if w not in held]
+        self._learn(fresh)
         found = [held[w] for w in words]
+        for w in fresh:              # text without spaces makes words as long as itself
+            ids = held[w] if len(w) <= LONG_WORD else held.pop(w)
+            self.held_bytes += (len(w) + len(ids)) * (len(w) <= LONG_WORD)
         return (np.frombuffer(b"".join(found), "<u4"),
                 np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4)
 
@@ -139,10 +147,10 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each text has; a null
-        text has those of an empty one."""
+        text has those of an empty one.  Any Arrow type of strings will do."""
         gc.disable()                 # the cache holds no cycles, and walking it is slow
         try:
-            return self._encode(pc.fill_null(texts, ""))
+            return self._encode(pc.fill_null(texts.cast(pa.string()), ""))
         finally:
             gc.enable()
 
