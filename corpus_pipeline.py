@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import stable, with_row_id, words_of
+from shelfline.llm.common import fresh, stable, with_row_id, words_of
 from shelfline.llm.exact_dedup import exact_dedup
 from shelfline.llm.jaccard_join import near_duplicates
 from shelfline.llm.mixing import mix_sources
@@ -29,9 +29,16 @@ def _prepared(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` as a struct `doc`, in which no column clashes with those that a
+    stage adds, and its row identity `row`."""
+    row = fresh(docs, "row")
+    return with_row_id(docs, row).select(F.struct(*docs.columns).alias("doc"), F.col(row).alias("row"))
+
+
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of `docs` whose row id is in `kept` (column `row_id`)."""
-    return with_row_id(docs, "_row").join(kept.select(F.col("row_id").alias("_row")), "_row", "left_semi").drop("_row")
+    return _numbered(docs).join(kept.select(F.col("row_id").alias("row")), "row", "left_semi").select("doc.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,19 +70,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     space.  Documents without words are not taken."""
     _prepared(spark)
     docs = stable(docs)
-    taken = mix_sources(docs).where("taken > 0").select(F.col("row_id").alias("_row"), "taken", "size")
-    rows = with_row_id(docs, "_row").join(taken.select(
-        "_row", F.col("taken").alias("_taken"), F.col("size").alias("_size")), "_row")
-    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(
-        "(_taken - 1) div _size"))))
-    left = F.least("_size", F.col("_taken") - F.col("_copy") * F.col("_size"))
-    cut = F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col("_left").cast("int")), " ")
-    copies = copies.withColumn("_left", left).withColumn(
-        "text", F.when(F.col("_left") < F.col("_size"), cut).otherwise(F.col("text")))
+    taken = mix_sources(docs).where("taken > 0").select(F.col("row_id").alias("row"), "taken", "size")
+    copies = (_numbered(docs).join(taken, "row")
+              .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(taken - 1) div size"))))
+              .withColumn("left", F.least("size", F.col("taken") - F.col("copy") * F.col("size"))))
+    cut = F.col("left") < F.col("size")
+    first_words = F.array_join(F.slice(words_of(F.col("doc.text")), F.lit(1), F.col("left").cast("int")), " ")
+    text = F.when(cut, first_words).otherwise(F.col("doc.text"))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        copies = copies.withColumn("n_chars", F.when(F.col("_left") < F.col("_size"), F.length("text"))
-                                   .otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return copies.select(*docs.columns)
+        new["n_chars"] = F.when(cut, F.length(text)).otherwise(F.col("doc.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return copies.select(*(new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
