@@ -7,10 +7,11 @@ within the join's radius may lack some of these, but no more than the radius
 allows, so by the triangle inequality it is enough to replicate a document to
 the regions of its first n - ceil(t n) + 1 pivots; every linked pair meets in
 the region of its first common pivot.  Size is the distance to the empty set
-and gives a second window.  Regions that overlap are joined as one; within
-them documents serve as pivots, regions are split again by the nearest pivot
-with windows of twice the radius, and what is left is compared exactly.
-Groups too large for a task are first cut down by pivots over all their blocks.
+and gives a second window.  Regions with the same least document are joined
+together, and no others: overlapping regions never chain.  Within them
+documents serve as pivots, regions are split again by the nearest pivot with
+windows of twice the radius, and what is left is compared exactly.  Groups too
+large for a task are first cut down by pivots over all their blocks.
 
 Documents taken as first pivots do not work on text: nearly all distances are
 close to 1, so windows replicate every document everywhere.
@@ -33,7 +34,7 @@ from shelfline.session import materialize
 
 SAMPLE = np.uint64(3)            # shingles whose low bits are 0 are counted; a quarter
 LEAF = 512                       # documents of a region that are compared at once
-MOST_DOCS, MOST_BYTES = 1024, 64 << 20   # of a group that one task joins
+MOST_DOCS, MOST_BYTES = 512, 32 << 20    # of a group, or of small groups together, that one task joins
 PIVOTS = 32                      # expected documents of a larger group that serve as pivots
 
 
@@ -217,6 +218,50 @@ def _large_groups(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame
                                "row_id", "text")
 
 
+def join_groups(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (`u`, `v`, connecting all that are linked) between the documents
+    of each group, from rows (`root`, `row_id`, `text`) of a written table.
+
+    Small groups are dealt to tasks together, where a document that is in
+    several of them is cut into shingles once; large ones go block by block.
+    """
+    weights = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = materialize(weights.withColumn("blocks", F.greatest(
+        F.ceil(F.col("n") / MOST_DOCS), F.ceil(F.col("bytes") / MOST_BYTES))), "jaccard-blocks")
+    small, large = blocks.where("blocks = 1"), blocks.where("blocks > 1")
+    docs, size = small.agg(F.sum("n"), F.sum("bytes")).first()
+    tasks = max(1, -(-(docs or 0) // (2 * MOST_DOCS)), -(-(size or 0) // (MOST_BYTES // 2)))
+
+    def link(table: pa.Table) -> pa.Table:
+        sets: dict[int, np.ndarray] = {}
+        held: dict[int, list[int]] = {}
+        roots = table["root"].to_pylist() if "root" in table.column_names else [0] * table.num_rows
+        for root, i, text in zip(roots, table["row_id"].to_pylist(), table["text"]):
+            if i not in sets:
+                sets[i] = shingles(text.as_buffer().to_pybytes(), words)
+            held.setdefault(root, []).append(i)
+        u, v = [], []
+        for ids in held.values():
+            if len(ids) == 2:                            # most groups
+                a, b = sets[ids[0]], sets[ids[1]]
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                pairs = [(0, 1)] if 100 * both >= percent * (len(a) + len(b) - both) else []
+            else:
+                pairs = Region([sets[i] for i in ids], percent).links() if len(ids) > 1 else []
+            u += [ids[i] for i, _ in pairs]
+            v += [ids[r] for _, r in pairs]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    links = (texts.join(small.select("root"), "root", "left_semi")
+             .select("root", "row_id", "text", F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"))
+             .groupBy("task").applyInArrow(link, "u long, v long"))
+    if large.head(1):
+        near, more = _large_groups(texts.join(large, "root"), words, percent)
+        blockwise = more.select(F.struct("root", "a", "b").alias("pair"), "row_id", "text").groupBy("pair")
+        links = links.unionByName(near).unionByName(blockwise.applyInArrow(link, "u long, v long"))
+    return links
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
                     percent: int = 90) -> DataFrame:
     """One row per input row: `row_id`, `doc_id`, `n_shingles`, `component_id`
@@ -285,29 +330,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                .select("row_id", "region", F.explode(F.array(band, band + 1)).alias("band")))
     regions = members.groupBy("region", "band").agg(F.min("row_id").alias("head"), F.count(F.lit(1)).alias("n"))
     regions = materialize(regions.where("n > 1").drop("n"), "jaccard-heads")
-    meets = members.join(regions, ["region", "band"]).select(F.col("row_id").alias("u"), F.col("head").alias("v"))
-    groups = materialize(components(meets), "jaccard-groups")
-
-    texts = found.where("text is not null").select("row_id", "text").join(
-        groups, F.col("row_id") == F.col("node")).drop("node")
-    texts = materialize(texts, "jaccard-grouped")
-    weights = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    blocks = weights.select("root", "n", "bytes", F.greatest(F.ceil(F.col("n") / MOST_DOCS),
-                                                    F.ceil(F.col("bytes") / MOST_BYTES)).alias("blocks"))
-    blocks = materialize(blocks, "jaccard-blocks")
-
-    def link(table: pa.Table) -> pa.Table:
-        ids = table["row_id"].to_pylist()
-        sets = [shingles(t.as_buffer().to_pybytes(), words) for t in table["text"]]
-        links = Region(sets, percent).links() if len(sets) > 1 else []
-        return pa.table({"u": pa.array([ids[i] for i, _ in links], pa.int64()),
-                         "v": pa.array([ids[r] for _, r in links], pa.int64())})
-
-    pairs = "u long, v long"
-    links = texts.join(blocks.where("blocks = 1"), "root", "left_semi").groupBy("root").applyInArrow(link, pairs)
-    if blocks.where("blocks > 1").head(1):
-        near, tasks = _large_groups(texts.join(blocks.where("blocks > 1"), "root"), words, percent)
-        links = links.unionByName(near).unionByName(tasks.groupBy("root", "a", "b").applyInArrow(link, pairs))
+    groups = materialize(members.join(regions, ["region", "band"]).select(F.col("head").alias("root"), "row_id")
+                         .distinct(), "jaccard-groups")
+    texts = found.where("text is not null").select("row_id", "text").join(groups.hint("merge"), "row_id")
+    texts = materialize(texts.select("root", "row_id", "text"), "jaccard-grouped")
+    links = join_groups(texts, words, percent)
     parts = materialize(components(links), "jaccard-components")
 
     sizes = found.where("n_shingles is not null").select(F.col("row_id").alias("rep"), "n_shingles")

@@ -26,16 +26,14 @@ from pyspark.sql import functions as F
 
 from shelfline.llm.common import with_row_id
 from shelfline.llm.components import components
-from shelfline.llm.jaccard_join import MOST_BYTES, MOST_DOCS, Region, _large_groups, shingles
+from shelfline.llm.jaccard_join import join_groups, shingles
 from shelfline.llm.texthash import mix
 from shelfline.session import materialize
 
 TREES, SHALLOW, DEPTH = 24, 3, 6
 LEAF = 256               # documents of a region that need no deeper prefix
-BATCH = 2048             # documents, or expected documents of small groups, that a task compares at once
 
 SIGNED = "row_id long, doc_id long, n_shingles long, set_hash binary, signature binary"
-LINKS = "u long, v long"
 
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,13 +96,6 @@ def forest_regions(signed: DataFrame, trees: int, shallow: int, depth: int, leaf
     return materialize(out.union(out.select("head", F.col("head").alias("row_id")).distinct()), "forest-groups")
 
 
-def _linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    if len(sets) == 2:                       # most groups
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(ids[0], ids[1])] if 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both) else []
-    return [(ids[i], ids[r]) for i, r in Region(sets, percent).links()]
-
-
 def forest_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                       percent: int = 80, trees: int = TREES, shallow: int = SHALLOW, depth: int = DEPTH,
                       leaf: int = LEAF) -> DataFrame:
@@ -128,40 +119,14 @@ def forest_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     signed = materialize(_signed(rows.select("row_id", "doc_id", "text"), words, trees, depth), "forest-signatures")
     reps = materialize(signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min("row_id").alias("rep")),
                        "forest-sets")
-    chosen = signed.select("row_id", "signature").join(reps.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
+    chosen = signed.select("row_id", "signature").join(
+        reps.select(F.col("rep").alias("row_id")).hint("merge"), "row_id", "left_semi")
     groups = forest_regions(chosen, trees, shallow, depth, leaf)
 
-    texts = rows.select("row_id", "text").join(groups.select("row_id").distinct(), "row_id", "left_semi")
-    texts = materialize(texts.join(groups, "row_id").select(F.col("head").alias("root"), "row_id", "text"),
-                        "forest-texts")
-    weights = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    blocks = materialize(weights.withColumn("blocks", F.greatest(F.ceil(F.col("n") / MOST_DOCS),
-                                                                 F.ceil(F.col("bytes") / MOST_BYTES))), "forest-blocks")
-    small = blocks.where("blocks = 1")
-    load = small.agg(F.sum("n"), F.sum("bytes")).first()
-    tasks = max(1, -(-(load[0] or 0) // BATCH), -(-(load[1] or 0) * 4 // MOST_BYTES))
-
-    def link_groups(table: pa.Table) -> pa.Table:
-        heads, ids = table["root"].to_pylist(), table["row_id"].to_pylist()
-        sets: dict[int, np.ndarray] = {}
-        held: dict[int, list[int]] = {}
-        for head, i, text in zip(heads, ids, table["text"]):
-            if i not in sets:
-                sets[i] = shingles(text.as_buffer().to_pybytes(), words)
-            held.setdefault(head, []).append(i)
-        found = [p for own in held.values() if len(own) > 1 for p in _linked(own, [sets[i] for i in own], percent)]
-        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()),
-                         "v": pa.array([v for _, v in found], pa.int64())})
-
-    def link_block(table: pa.Table) -> pa.Table:
-        return link_groups(table.select(["row_id", "text"]).append_column(
-            "root", pa.array([0] * table.num_rows, pa.int64())))
-
-    links = (texts.join(small, "root", "left_semi").withColumn("task", F.pmod(F.xxhash64("root"), F.lit(tasks)))
-             .groupBy("task").applyInArrow(link_groups, LINKS))
-    if blocks.where("blocks > 1").head(1):
-        near, more = _large_groups(texts.join(blocks.where("blocks > 1"), "root"), words, percent)
-        links = links.unionByName(near).unionByName(more.groupBy("root", "a", "b").applyInArrow(link_block, LINKS))
+    # The same join at every size: sides that are small here grow with the input.
+    texts = materialize(rows.select("row_id", "text").join(groups.hint("merge"), "row_id").select(
+        F.col("head").alias("root"), "row_id", "text"), "forest-texts")
+    links = join_groups(texts, words, percent)
     parts = materialize(components(links), "forest-components")
 
     placed = materialize(reps.join(parts, F.col("rep") == F.col("node"), "left").select(

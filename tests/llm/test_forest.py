@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfline.llm import jaccard_join, lsh_forest
+from shelfline.llm import jaccard_join
 from shelfline.llm.common import with_row_id
 from shelfline.llm.lsh_forest import _functions, forest_duplicates, forest_regions, signature
 from shelfline.session import materialize
@@ -20,8 +20,7 @@ from .test_joins import expected_components, near_rows
 def test_forest(spark, monkeypatch, case):
     rows = awkward_texts() if case == "awkward" else near_rows(case)
     if case == 2:
-        monkeypatch.setattr(lsh_forest, "MOST_DOCS", 4)          # large groups in blocks
-        monkeypatch.setattr(jaccard_join, "MOST_DOCS", 4)
+        monkeypatch.setattr(jaccard_join, "MOST_DOCS", 4)        # large groups in blocks
         monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
     got = forest_duplicates(frame(spark, rows), words=3, percent=85, leaf=3 if case == 5 else 256)
     assert table(got.select("doc_id", "n_shingles", "component_id")) == expected_components(rows, 85)

@@ -140,6 +140,24 @@ def test_large_groups_of_long_texts_stay_within_a_task(spark, monkeypatch):
     assert table(docs.select("doc_id", "n_shingles", "component_id")) == expected_components(rows)
 
 
+def test_overlapping_regions_do_not_chain(spark, monkeypatch):
+    """5,000 texts, each sharing words with the next one only: no group holds
+    more than a few of them."""
+    rng = random.Random(12)
+    parts = [prose(rng, 12, 10 ** 6) for _ in range(5001)]
+    rows = [(i, f"{parts[i]} {parts[i + 1]}") for i in range(5000)] + [(5000, f"{parts[7]} {parts[8]} end")]
+    largest = []
+    whole = jaccard_join.join_groups
+
+    def watched(texts, *args):
+        largest.append(texts.groupBy("root").count().agg({"count": "max"}).first()[0])
+        return whole(texts, *args)
+    monkeypatch.setattr(jaccard_join, "join_groups", watched)
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows), percent=80).collect()}
+    assert got == {i: 7 if i == 5000 else i for i in range(5001)}
+    assert largest[0] <= 6
+
+
 def test_jaccard_join_of_an_empty_table(spark):
     assert near_duplicates(frame(spark).limit(0)).count() == 0
 
