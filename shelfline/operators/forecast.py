@@ -477,9 +477,11 @@ def forecast_ar(prepared: DataFrame, keys: Sequence[str], m: int = 12,
 # ---------------------------------------------------------------- J7 / J9
 def save_models(models: DataFrame, path: str, model_date: dt.date) -> None:
     """Model table as Parquet partitioned by model_date (one directory
-    per fit), keyed by the series columns."""
+    per fit), keyed by the series columns.  Saving a date again replaces its
+    models, as a key of a store would; other dates stay."""
     (models.withColumn("model_date", F.lit(model_date))
-           .write.mode("append").partitionBy("model_date").parquet(path))
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy("model_date").parquet(path))
 
 
 def load_models(spark: SparkSession, path: str, model_date: dt.date) -> DataFrame:

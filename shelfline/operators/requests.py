@@ -90,6 +90,12 @@ def endpoint_metrics(requests: DataFrame, last_n: int = LAST_N_TIMES) -> DataFra
         F.count(F.lit(1)).alias("request_count"),
         F.sum(F.when(F.col("status_code") >= 400, 1).otherwise(0)).cast("bigint").alias("error_count"))
     last = latest_n(r, ["endpoint"], [F.desc("ts"), F.desc("request_id")], last_n)
+    return counts.join(response_time_stats(last), "endpoint", "left")
+
+
+def response_time_stats(last: DataFrame) -> DataFrame:
+    """Count, mean, extremes and percentiles by index of each endpoint's rows,
+    whose number the caller has bounded."""
     stats = last.groupBy("endpoint").agg(
         F.count("processing_time").alias("count"), F.avg("processing_time").alias("avg"),
         F.min("processing_time").alias("min"), F.max("processing_time").alias("max"),
@@ -98,7 +104,7 @@ def endpoint_metrics(requests: DataFrame, last_n: int = LAST_N_TIMES) -> DataFra
     pick = lambda p: F.element_at("_v", (F.floor(nv * F.lit(p)) + 1).cast("int"))
     stats = stats.select("endpoint", "count", "avg", "min", "max",
                          pick(0.95).alias("p95"), pick(0.99).alias("p99"))
-    return counts.join(stats, "endpoint", "left")
+    return stats
 
 
 # ---------------------------------------------------------------- M2
@@ -183,12 +189,16 @@ def rate_limit_decisions(requests: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE
     Exempt rows never enter the sort.  Of the others, a quiet spell longer
     than the window empties a client's state, so the runs between such
     spells (`quiet_runs`) are decided independently: a client's day is many
-    pieces, and only one that never rests stays whole."""
+    pieces, and only one that never rests stays whole.
+
+    A request without a time lies in no window: it is allowed and not
+    remembered.  Requests without a client are those of one client."""
     cols = ["request_id", "ts", "client_id", "path"]
     r = requests.select(*cols).withColumn("_us", epoch_micros(requests, "ts"))
     is_exempt = F.col("path").isin(list(exempt))
-    free = r.where(is_exempt).drop("_us").withColumn("allowed", F.lit(True))
-    limited = r.where(~is_exempt | F.col("path").isNull())
+    unlimited = F.coalesce(is_exempt, F.lit(False)) | F.col("ts").isNull()
+    free = r.where(unlimited).drop("_us").withColumn("allowed", F.lit(True))
+    limited = r.where(~unlimited)
     schema = T.StructType([f for f in r.schema.fields if f.name != "_us"]
                           + [T.StructField("allowed", T.BooleanType())])
     runs = quiet_runs(limited, seconds * 1_000_000)

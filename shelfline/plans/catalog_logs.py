@@ -129,7 +129,7 @@ def q_latest_n_response_times(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- M1
-@register("endpoint_metrics", rsql("""
+O_ENDPOINT_METRICS = rsql("""
 select c.endpoint, c.request_count, c.error_count, s."count", round(s.avg, 6) as avg, s."min", s."max",
        s.v[cast(floor(len(s.v) * 0.95) as integer) + 1] as p95,
        s.v[cast(floor(len(s.v) * 0.99) as integer) + 1] as p99
@@ -139,7 +139,10 @@ from (select method || ' ' || path as endpoint, count(*) as request_count,
 left join (select endpoint, count(processing_time) as "count", avg(processing_time) as avg,
                   min(processing_time) as "min", max(processing_time) as "max",
                   list_sort(list(processing_time)) as v
-           from last1000 group by endpoint) s on c.endpoint = s.endpoint""", ctes=[("last1000", O_LAST)]))
+           from last1000 group by endpoint) s on c.endpoint = s.endpoint""", ctes=[("last1000", O_LAST)])
+
+
+@register("endpoint_metrics", O_ENDPOINT_METRICS)
 def q_endpoint_metrics(spark, sf_dir):
     out = M.endpoint_metrics(V.request_log(spark, sf_dir))
     return out.withColumn("avg", F.round("avg", 6))
@@ -164,7 +167,7 @@ def limiter_ctes(log: str) -> list[tuple[str, str]]:
     return [
         ("lim_o", f"""
 select request_id, ts, client_id, path, epoch_us(ts) as us,
-       row_number() over (partition by client_id order by ts, request_id) as rn from {log}"""),
+       row_number() over (partition by client_id order by ts, request_id) as rn from {log} where ts is not null"""),
         ("lim_s", f"""
 select o.client_id, o.rn, o.request_id, o.ts, o.path, true as allowed,
        case when {exempt} then cast([] as bigint[]) else [o.us] end as acc
@@ -173,11 +176,15 @@ union all
 select o.client_id, o.rn, o.request_id, o.ts, o.path, {exempt} or len({live}) < {LIMIT_PER_WINDOW},
        case when {exempt} then s.acc when len({live}) < {LIMIT_PER_WINDOW} then list_append({live}, o.us)
             else {live} end
-from lim_s s join lim_o o on o.client_id = s.client_id and o.rn = s.rn + 1"""),
+from lim_s s join lim_o o on o.client_id is not distinct from s.client_id and o.rn = s.rn + 1"""),
     ]
 
 
-O_LIMITED = "select request_id, ts, client_id, path, allowed from lim_s"
+def limited_sql(log: str) -> str:
+    return ("select request_id, ts, client_id, path, allowed from lim_s union all "
+            f"select request_id, ts, client_id, path, true from {log} where ts is null")
+
+
 O_HEALTH_LOG = """
 select * replace (case when request_id % 6 = 0 then '/health' when request_id % 6 = 1 then '/health/readiness'
                        else path end as path) from request_log"""
@@ -187,13 +194,13 @@ def _limited(log):
     return M.rate_limit_decisions(log, limit=LIMIT_PER_WINDOW, seconds=LIMIT_WINDOW_SECONDS)
 
 
-@register("rate_limit_decisions", rsql(O_LIMITED, ctes=limiter_ctes("request_log")))
+@register("rate_limit_decisions", rsql(limited_sql("request_log"), ctes=limiter_ctes("request_log")))
 def q_rate_limit_decisions(spark, sf_dir):
     return _limited(V.request_log(spark, sf_dir))
 
 
 @register("rate_limit_health_paths", rsql(
-    O_LIMITED, ctes=[("health_log", O_HEALTH_LOG), *limiter_ctes("health_log")]))
+    limited_sql("health_log"), ctes=[("health_log", O_HEALTH_LOG), *limiter_ctes("health_log")]))
 def q_rate_limit_health_paths(spark, sf_dir):
     """A third of the requests ask for health paths, which are exempt."""
     k = F.col("request_id") % 6

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.operators import jobs as L
-from shelfline.plans.catalog_logs import LIMIT_PER_WINDOW, LIMIT_WINDOW_SECONDS, O_LIMITED, limiter_ctes
+from shelfline.plans.catalog_logs import O_ENDPOINT_METRICS, LIMIT_PER_WINDOW, LIMIT_WINDOW_SECONDS, limited_sql, limiter_ctes
 from shelfline.plans.catalog_quality import AS_OF, DS_COLS, RAW_RULES_SQL, rules_sql
 from shelfline.plans.oracle_views import with_views
 from shelfline.plans.registry import register
@@ -18,6 +18,7 @@ from shelfline.schemas import DAILY_SALES
 from shelfline.session import scratch_dir
 from shelfline.sources import fixtures as V
 from shelfline.streaming import ingest as S
+from shelfline.streaming import processors as P
 from shelfline.streaming import state as N
 
 CHUNKS = 6
@@ -29,14 +30,16 @@ def stage_in_order(df: DataFrame, ts_col: str, in_dir: str, fmt: str = "parquet"
     """Write `df` as `chunks` consecutive event-time slices, one write per
     slice so file modification times follow event time (the file source
     takes the oldest files first).  The input is scanned for its time span
-    and to be laid out by slice; each slice is then read by itself."""
+    and to be laid out by slice; each slice is then read by itself.  Rows
+    without a time arrive with the first slice."""
     spark = df.sparkSession
     t = F.unix_micros(F.col(ts_col).cast("timestamp"))
     b = df.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
-    step = max(1, -(-(int(b["hi"]) + 1 - int(b["lo"])) // chunks))
+    lo, hi = int(b["lo"] or 0), int(b["hi"] or 0)
+    step = max(1, -(-(hi + 1 - lo) // chunks))
     laid = scratch_dir(spark, "slices")
-    (df.withColumn("slice", F.least(F.floor((t - int(b["lo"])) / step), F.lit(chunks - 1)).cast("int"))
-     .where(F.col("slice").isNotNull()).write.mode("overwrite").partitionBy("slice").parquet(laid))
+    slot = F.coalesce(F.least(F.floor((t - lo) / step), F.lit(chunks - 1)), F.lit(0)).cast("int")
+    df.withColumn("slice", slot).write.mode("overwrite").partitionBy("slice").parquet(laid)
     for i in range(chunks):
         part = spark.read.parquet(laid).where(F.col("slice") == i).drop("slice")
         w = part.repartitionByRange(files_per_chunk, ts_col).write.mode("append").format(fmt)
@@ -90,7 +93,7 @@ union all
 select 'rule', "column" || ':' || "check", cast(failures as double) from (""" + rules_sql("csv", RAW_RULES_SQL) + ")",
     "daily_sales", ctes=[("csv", """
 select date, sales, items, nullif(store_id, '') as store_id, nullif(product_category, '') as product_category
-from daily_sales where date is not null""")]))
+from daily_sales""")]))
 def q_stream_quality(spark, sf_dir):
     in_dir = _stage_sales_csv(spark, sf_dir)
     out_dir = scratch_dir(spark, "stream_quality")
@@ -109,7 +112,7 @@ def _stage_requests(spark, sf_dir) -> str:
 
 # ---------------------------------------------------------------- N1
 @register("stream_rate_limit", with_views(
-    "select *, false as late from (" + O_LIMITED + ")", "request_log",
+    "select *, false as late from (" + limited_sql("request_log") + ")", "request_log",
     ctes=limiter_ctes("request_log")))
 def q_stream_rate_limit(spark, sf_dir):
     """Requests arrive in event-time order, so every decision is M3's."""
@@ -142,6 +145,48 @@ def q_stream_endpoint_metrics(spark, sf_dir):
         "request_count", "error_count", F.round("avg", 6).alias("avg"), "min", "max")
 
 
+# ------------------------------------------- N2 of the last response times
+@register("stream_latest_times", O_ENDPOINT_METRICS)
+def q_stream_latest_times(spark, sf_dir):
+    """M1 from a stream: at its end the folded shares equal the batch result."""
+    in_dir = _stage_requests(spark, sf_dir)
+    src = (spark.readStream.schema(V.request_log(spark, sf_dir).schema)
+                .option("maxFilesPerTrigger", FILES_PER_CHUNK).parquet(in_dir))
+    out_dir = scratch_dir(spark, "latest_times")
+    _run(N.write_batches(P.stream_latest_times(src), out_dir, scratch_dir(spark, "ckpt_latest")))
+    return P.fold_latest_times(N.latest_changes(spark, out_dir, ["endpoint", "share"])).withColumn(
+        "avg", F.round("avg", 6))
+
+
+# ------------------------------------------------- N1 in event-time order
+DELAY, LATENESS_SECONDS = "2 hours", 3600
+
+
+def stage_out_of_order(requests: DataFrame, in_dir: str) -> None:
+    """Requests arrive up to an hour after their time, in an order that
+    follows their arrival; then the log ends."""
+    late = F.pmod(F.xxhash64("request_id"), F.lit(LATENESS_SECONDS)).cast("int")
+    arriving = requests.withColumn("arrival", F.col("ts") + F.make_dt_interval(secs=late))
+    stage_in_order(arriving, "arrival", in_dir)
+    P.closing_row(requests, DELAY).withColumn("arrival", F.col("ts")).coalesce(1).write.mode("append").parquet(in_dir)
+
+
+@register("stream_ordered_limit", with_views(
+    "select *, false as late from (" + limited_sql("request_log") + ")", "request_log",
+    ctes=limiter_ctes("request_log")))
+def q_stream_ordered_limit(spark, sf_dir):
+    """M3's decisions although requests arrive out of order."""
+    requests = V.request_log(spark, sf_dir)
+    in_dir = scratch_dir(spark, "incoming_unordered")
+    stage_out_of_order(requests, in_dir)
+    src = (spark.readStream.schema(requests.schema)
+                .option("maxFilesPerTrigger", FILES_PER_CHUNK).parquet(in_dir))
+    out_dir = scratch_dir(spark, "ordered_limit")
+    _run(N.write_append(P.stream_ordered_limit(src, LIMIT_PER_WINDOW, LIMIT_WINDOW_SECONDS, watermark=DELAY),
+                        out_dir, scratch_dir(spark, "ckpt_ordered")))
+    return spark.read.parquet(out_dir)
+
+
 # ---------------------------------------------------------------- N4
 @register("stream_job_state", with_views(
     "select job_id, user_id, job_type, priority, retry_count, max_retries, created_at, status, updated_at "

@@ -57,10 +57,12 @@ def etl_simple(spark, in_path: str, out_path: str, keys: Sequence[str] = ("store
     filled daily calendar (D1) -> currency rate (C6) -> date parts (C5) ->
     Parquet partitioned by year/month (B1)."""
     from shelfline.operators import transform as X
+    from shelfline.session import materialize
     from shelfline.sources.files import read_sales
     from shelfline.sources.sinks import write_partitioned
     raw = X.coerce_types(read_sales(spark, in_path))
     daily = raw.groupBy(*keys, "date").agg(F.sum("sales").alias("sales"), F.sum("items").alias("items"))
+    daily = materialize(daily, "daily")      # read for the calendar and for the rows without a date
     filled = X.calendar_complete(daily, keys=keys, fill="ffill")
     out = X.calendar_features(X.currency_normalize(filled, rate=rate))
     write_partitioned(out, out_path, by=("year", "month"))
@@ -112,7 +114,8 @@ def etl_validated(spark, in_path: str, settings, as_of, keys: Sequence[str] = ("
     clean = X.drop_incomplete(X.coerce_types(X.require_columns(raw_o, DAILY_SALES_COLUMNS)))
     feat = X.zscore(X.calendar_features(clean)).observe(obs["features"], count)
     grouped = X.daily_group(feat).observe(obs["grouped"], count)
-    completed = X.calendar_complete(grouped, keys=keys, fill="pad", on_duplicate="raise")  # E1 output is unique per key and date
+    # E1 output is unique per key and date, and has no row without a date
+    completed = X.calendar_complete(grouped, keys=keys, fill="pad", on_duplicate="raise", undated="drop")
     stats = save_with_stats(spark, completed, settings.data_path)
     n = {k: int(o.get["rows"]) for k, o in obs.items()}
     n_out = int(stats.first()["rows_saved"])

@@ -54,6 +54,12 @@ def _limiter_state_fn(limit: int, seconds: int, exempt: frozenset, expires: bool
             return
         accepted = deque(state.get[0]) if state.exists else deque()
         pdf = pd.concat(list(pdfs), ignore_index=True)
+        untimed = pdf[pdf["ts"].isna()]
+        if len(untimed):               # in no window: allowed and not remembered, as in M3
+            yield untimed[["request_id", "ts", "client_id", "path"]].assign(allowed=True, late=False)
+            pdf = pdf[pdf["ts"].notna()]
+            if not len(pdf):
+                return
         us = pdf["ts"].astype("datetime64[us]").astype("int64")
         pdf = pdf.assign(_us=us).sort_values(["_us", "request_id"], kind="stable")
         times = pdf["_us"].to_numpy(dtype="int64")
@@ -103,7 +109,9 @@ def stream_rate_limit(requests: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE,
 
 def stream_endpoint_metrics(requests: DataFrame, window: str = "1 hour",
                             watermark: str = "1 hour") -> DataFrame:
-    """Per event-time window and "METHOD path"."""
+    """Per event-time window and "METHOD path".  Requests later than the
+    watermark are dropped and counted (`late_rows`); those without a time lie
+    in no window."""
     if requests.isStreaming:
         set_state_store(requests.sparkSession)
     r = (requests.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -117,21 +125,33 @@ def stream_endpoint_metrics(requests: DataFrame, window: str = "1 hour",
 
 
 def stream_job_state(updates: DataFrame, key: str = "job_id", ts: str = "updated_at",
-                     sequence: str = "update_seq") -> DataFrame:
+                     sequence: str = "update_seq", watermark: str | None = "1 day") -> DataFrame:
     """L3 on a stream: latest update per job and day of the update
     (update mode).  The day is a window under the watermark, so state of
     days that can get no more updates is dropped; readers fold the days of a
-    job with L3."""
+    job with L3.  An update whose day has closed is dropped, and the query's
+    progress counts it (`late_rows`), as is one without a time.  With
+    `watermark` None none is dropped, and every job keeps its state."""
     if updates.isStreaming:
         set_state_store(updates.sparkSession)
     cols = [c for c in updates.columns if c != key]
     ties = [sequence] if sequence in updates.columns else []
     order = F.struct(ts, *ties, *[c for c in cols if c not in (ts, *ties)])
-    timed = updates.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", "1 day")
-    agg = timed.groupBy(key, F.window("_at", "1 day")).agg(F.max_by(F.struct(*cols), order).alias("s"))
+    if watermark is None:
+        agg = updates.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("s"))
+    else:
+        timed = updates.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", watermark)
+        agg = timed.groupBy(key, F.window("_at", "1 day")).agg(F.max_by(F.struct(*cols), order).alias("s"))
     return agg.select(key, *[F.col(f"s.{c}").alias(c) for c in cols])
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the watermark of a query dropped, over the batches that its
+    progress still holds (spark.sql.streaming.numRecentProgressUpdates)."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress
+               for op in p["stateOperators"])
+
+
 def write_batches(df: DataFrame, out_dir: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
     """Sink for update-mode results: every micro-batch of changed rows goes
     to its own batch_id=<n> directory (overwrite, so replays are

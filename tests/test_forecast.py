@@ -178,3 +178,17 @@ def test_piecewise_equals_a_plain_ridge_solve(spark):
     got = {r["ds"]: r["yhat"] for r in J.forecast_piecewise(prep, ["sku"], 10).collect()}
     assert len(got) == len(days)
     assert np.allclose([got[d] for d in days], X @ beta, rtol=1e-5, atol=1e-4)
+
+
+def test_a_rerun_replaces_the_models_of_its_date(spark, tmp_path):
+    from shelfline.plans.flows import auto_forecast
+    rows = [(f"s{k}", "A", "north", dt.date(2024, 1, 1) + dt.timedelta(days=i), 5 + k + i % 7)
+            for k in range(3) for i in range(40)]
+    sales = spark.createDataFrame(rows, "sku string, store_id string, region string, date date, units_sold int")
+    path, day = f"{tmp_path}/models", dt.date(2026, 1, 1)
+    one = sorted(map(tuple, auto_forecast(spark, sales, ["sku"], 5, path, day).collect()), key=str)
+    auto_forecast(spark, sales, ["sku"], 5, path, day + dt.timedelta(days=1))
+    again = sorted(map(tuple, auto_forecast(spark, sales, ["sku"], 5, path, day).collect()), key=str)
+    assert one == again and len(one) == 3 * 45
+    assert J.load_models(spark, path, day).count() == 3
+    assert spark.read.parquet(path).count() == 6
