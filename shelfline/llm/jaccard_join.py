@@ -163,7 +163,8 @@ def _large_groups(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame
     are connected, so of the links that are left only those with a document
     outside the group's main component matter: its blocks, bounded like the
     group's by documents and by bytes, are joined with each other and with
-    every block that holds part of the main component.  A group of copies of
+    every block that holds part of the main component.  A document may lie in
+    several groups.  A group of copies of
     one text is thus done after one pass, whatever its size.  Pivots of one
     group stay within `MOST_BYTES` in expectation too.
     """
@@ -205,8 +206,9 @@ def _large_groups(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame
         F.ceil(F.col("docs") / MOST_DOCS), F.ceil(F.col("bytes") / MOST_BYTES)).alias("rests")), "jaccard-main")
     cores = placed.join(main, "root").where("part = main").groupBy("root").agg(F.collect_set("block").alias("cores"))
     main = materialize(main.join(cores, "root"), "jaccard-cores")
-    known = placed.join(main, "root").select("row_id", "rests", "cores", (F.col("part") == F.col("main")).alias("core"))
-    rows = texts.select("root", "row_id", "text", "block", "blocks").join(known, "row_id").where("rests > 0")
+    known = placed.join(main, "root").select("root", "row_id", "rests", "cores",
+                                             (F.col("part") == F.col("main")).alias("core"))
+    rows = texts.select("root", "row_id", "text", "block", "blocks").join(known, ["root", "row_id"]).where("rests > 0")
     rest = F.pmod(F.xxhash64("row_id"), F.col("rests"))
     rows = rows.withColumn("mine", F.when(F.col("core"), F.col("rests") + F.col("block")).otherwise(rest))
     # Blocks 0 to rests - 1 hold the rest, those from `rests` on the core.

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfline.llm import jaccard_join
 from shelfline.llm.components import components
@@ -140,6 +141,22 @@ def test_large_groups_of_long_texts_stay_within_a_task(spark, monkeypatch):
     assert table(docs.select("doc_id", "n_shingles", "component_id")) == expected_components(rows)
 
 
+def test_a_document_of_several_large_groups_goes_to_each_block_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MOST_DOCS", 8)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    rng = random.Random(31)
+    rows = [(i, prose(rng, 40, 10 ** 6)) for i in range(60)]
+    rows += [(60 + i, rows[i][1] + " end") for i in range(20)]
+    groups = [(root, i, t) for root in (0, 1, 2) for i, t in rows if i % 3 != root]
+    texts = materialize(spark.createDataFrame(groups, "root long, row_id long, text string"), "several")
+    weights = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    _, tasks = jaccard_join._large_groups(texts.join(weights.withColumn("blocks", F.ceil(F.col("n") / 8)), "root"), 3, 90)
+    held = [tuple(r) for r in tasks.select("root", "a", "b", "row_id").collect()]
+    assert len(held) == len(set(held))
+    found = {tuple(sorted((r.u, r.v))) for r in jaccard_join.join_groups(texts, 3, 90).collect()}
+    assert found == {(i, 60 + i) for i in range(20)}
+
+
 def test_overlapping_regions_do_not_chain(spark, monkeypatch):
     """5,000 texts, each sharing words with the next one only: no group holds
     more than a few of them."""
