@@ -86,23 +86,64 @@ def range_profile(df: DataFrame, cols: Sequence[str] = ("date", "price", "units_
 
 
 # ---------------------------------------------------------------- E4 / E5 / E6
-def quality_metrics(df: DataFrame) -> DataFrame:
-    """E4 + E5 + E6 in one scan and one shuffle: row / column counts,
-    per-column null count and ratio, overall null ratio, duplicate rows and
-    ratio, business-rule counts.  Long form (metric, value).
-
-    Duplicates are counted by grouping on all columns (nulls equal), then
-    summing count-1: the partial aggregate collapses repeated rows map-side,
-    so a hot group costs one row per task in the shuffle."""
-    cols = df.columns
-    grouped = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"), *_partial_aggs(df))
-    # Re-aggregate the grouped rows: totals are sums of per-group sums.
+FLAGS_IN_WORD = 62
+PRINT = ["_h1", "_h2"]
+
+
+def _row_flags(df: DataFrame) -> dict[str, Column]:
+    """What is counted of a row besides its duplicates, by metric name."""
+    return {**{f"{c}_null_count": F.col(c).isNull() for c in df.columns}, **_business_preds(df)}
+
+
+def row_fingerprint(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of all columns of a row, nulls and their places
+    included; equal rows (as grouping sees them: 0.0 and -0.0 are one) agree."""
+    def value(f) -> Column:
+        c = F.col(f.name)
+        return F.when(c == 0, F.lit(0).cast(f.dataType)).otherwise(c) if isinstance(
+            f.dataType, (T.DoubleType, T.FloatType)) else c
+    places = F.concat(*(F.when(F.col(c).isNull(), "1").otherwise("0") for c in df.columns))
+    values = [value(f) for f in df.schema.fields]
+    return F.xxhash64(F.lit(1), places, *values), F.xxhash64(F.lit(2), *values[::-1], places)
+
+
+def fingerprint_counts(df: DataFrame) -> DataFrame:
+    """One row per distinct row of `df`: its 128-bit fingerprint (`_h1`,
+    `_h2`), how often it occurs (`_n`) and its flags (`_f0`, ...).
+
+    Rows with one fingerprint have the same flags, so a few words say for the
+    whole group which columns are null and which business rules it breaks:
+    what is shuffled does not widen with the row.  The counts of parts of a
+    table add up (`merge_counts`).  Different rows share a fingerprint with a
+    probability of rows**2 / 2**129: 1e-15 for 10**12 rows."""
+    flags = list(_row_flags(df).values())
+    words = [sum((F.when(f, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, f in enumerate(flags[i:i + FLAGS_IN_WORD])),
+                 F.lit(0).cast("long")) for i in range(0, len(flags), FLAGS_IN_WORD)]
+    h1, h2 = row_fingerprint(df)
+    rows = df.select(h1.alias("_h1"), h2.alias("_h2"), *(w.alias(f"_f{i}") for i, w in enumerate(words)))
+    return rows.groupBy(*PRINT).agg(F.count(F.lit(1)).alias("_n"), *(
+        F.min(f"_f{i}").alias(f"_f{i}") for i in range(len(words))))
+
+
+def merge_counts(counts: DataFrame) -> DataFrame:
+    """The fingerprint counts of several parts as those of the whole."""
+    return counts.groupBy(*PRINT).agg(F.sum("_n").alias("_n"), *(
+        F.min(c).alias(c) for c in counts.columns if c.startswith("_f")))
+
+
+def metrics_of_counts(counts: DataFrame, like: DataFrame, duplicates: DataFrame | None = None) -> DataFrame:
+    """E4 + E5 + E6 in long form (metric, value) from the fingerprint counts of
+    a frame with the columns of `like`; `duplicates`, one row
+    (`duplicate_rows`), replaces the count by fingerprints."""
+    cols, names = like.columns, list(_row_flags(like))
     sums = [F.sum("_n").alias("total_rows"), F.sum(F.col("_n") - 1).alias("duplicate_rows")]
-    for c in cols:
-        sums.append(F.sum(F.when(F.col(c).isNull(), F.col("_n")).otherwise(0)).alias(f"{c}_null_count"))
-    for name in _business_names(df):
-        sums.append(F.sum(f"_{name}").alias(name))
-    row = grouped.agg(*sums)
+    for k, name in enumerate(names):
+        held = F.col(f"_f{k // FLAGS_IN_WORD}").bitwiseAND(F.lit(1 << k % FLAGS_IN_WORD)) != 0
+        sums.append(F.sum(F.when(held, F.col("_n")).otherwise(0)).alias(name))
+    row = counts.agg(*sums)
+    if duplicates is not None:
+        row = row.drop("duplicate_rows").withColumn(
+            "duplicate_rows", F.lit(duplicates.first()["duplicate_rows"]).cast("long"))
     total = F.coalesce(F.col("total_rows"), F.lit(0))
     ncols = len(cols)
     derived = {"total_columns": F.lit(ncols)}
@@ -113,10 +154,52 @@ def quality_metrics(df: DataFrame) -> DataFrame:
     derived["duplicate_ratio"] = F.when(total > 0, F.col("duplicate_rows") / total).otherwise(0.0)
     row = row.withColumns({"total_rows": total, "duplicate_rows": F.coalesce("duplicate_rows", F.lit(0)),
                            **derived})
-    names = (["total_rows", "total_columns"]
-             + [x for c in cols for x in (f"{c}_null_count", f"{c}_null_ratio")]
-             + ["overall_null_ratio", "duplicate_rows", "duplicate_ratio"] + _business_names(df))
-    return _long(row, names)
+    return _long(row, ["total_rows", "total_columns"]
+                 + [x for c in cols for x in (f"{c}_null_count", f"{c}_null_ratio")]
+                 + ["overall_null_ratio", "duplicate_rows", "duplicate_ratio"] + _business_names(like))
+
+
+def quality_metrics(df: DataFrame, compare_rows: bool = False) -> DataFrame:
+    """E4 + E5 + E6 in one scan and one shuffle: row / column counts,
+    per-column null count and ratio, overall null ratio, duplicate rows and
+    ratio, business-rule counts.  Long form (metric, value).
+
+    Rows are counted by fingerprint (`fingerprint_counts`), so the shuffle
+    holds a few words a row whatever its width, and copies of a row meet in
+    the partial aggregate.  `compare_rows` counts the duplicates by the rows
+    themselves, of those whose fingerprint repeats (a second scan)."""
+    counts = fingerprint_counts(df)
+    return metrics_of_counts(counts, df, _compared_duplicates(df, counts) if compare_rows else None)
+
+
+def _compared_duplicates(df: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows equal to an earlier one, counted among those whose fingerprint
+    repeats; the rows of a common fingerprint fold into one per task."""
+    h1, h2 = row_fingerprint(df)
+    cols = df.columns
+    again = counts.where("_n > 1").select(*PRINT)
+    kept = df.withColumns({"_h1": h1, "_h2": h2}).join(again, PRINT, "left_semi")
+    groups = kept.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
+
+
+def moments(df: DataFrame, col: str = "sales") -> DataFrame:
+    """One row (`n`, `mean`, `m2`: squared deviations from the mean) that
+    `merge_moments` puts together with those of other parts."""
+    return df.agg(F.count(col).alias("n"), F.coalesce(F.avg(col), F.lit(0.0)).alias("mean"),
+                  F.coalesce(F.var_pop(col) * F.count(col), F.lit(0.0)).alias("m2"))
+
+
+def merge_moments(parts: DataFrame, col: str = "sales") -> DataFrame:
+    """E7 from the moments of disjoint parts.  Deviations are taken from the
+    common mean, so nothing cancels."""
+    n, mean = F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean")
+    total = parts.agg(n, mean).select(F.col("n").alias("_total"), F.col("mean").alias("_mean"))
+    off = F.col("mean") - F.col("_mean")
+    row = parts.join(F.broadcast(total)).agg(F.max("_total").alias("n"), F.max("_mean").alias("mean"), F.sum(
+        F.col("m2") + F.col("n") * off * off).alias("m2"))
+    return row.select(F.col("mean").alias(f"{col}_mean"), F.when(F.col("n") > 1, F.sqrt(
+        F.col("m2") / (F.col("n") - 1))).alias(f"{col}_stdev"))
 
 
 def _business_names(df: DataFrame) -> list[str]:
@@ -143,14 +226,14 @@ def _business_aggs(df: DataFrame) -> list[Column]:
     return [count_if(c).alias(n) for n, c in _business_preds(df).items()]
 
 
-def _partial_aggs(df: DataFrame) -> list[Column]:
-    return [count_if(c).alias(f"_{n}") for n, c in _business_preds(df).items()]
-
-
-def duplicate_metrics(df: DataFrame) -> DataFrame:
-    """E5: rows equal to an earlier row in all columns, and their ratio."""
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+def duplicate_metrics(df: DataFrame, compare_rows: bool = False) -> DataFrame:
+    """E5: rows equal to an earlier row in all columns, and their ratio;
+    counted by fingerprint as in `quality_metrics`."""
+    h1, h2 = row_fingerprint(df)
+    g = df.select(h1.alias("_h1"), h2.alias("_h2")).groupBy(*PRINT).agg(F.count(F.lit(1)).alias("_n"))
     row = g.agg(F.sum("_n").alias("total_rows"), F.sum(F.col("_n") - 1).alias("duplicate_rows"))
+    if compare_rows:
+        row = row.withColumn("duplicate_rows", F.lit(_compared_duplicates(df, g).first()["duplicate_rows"]))
     total = F.coalesce(F.col("total_rows"), F.lit(0))
     return row.select(
         F.coalesce(F.col("duplicate_rows"), F.lit(0)).cast("bigint").alias("duplicate_rows"),

@@ -9,10 +9,11 @@ requests), so nothing here sorts a whole key in one task:
 * M2 counts a client's trailing 60 s per request inside time buckets; the
   last 60 s of each bucket are copied into the next as context rows, so a
   window partition is one client-bucket, not one client.
-* M3 is recursive in its own output (only accepted requests count), so it
-  runs as an ordered stream per client: rows are hash-partitioned by client,
-  sorted within partitions and scanned by `mapInPandas` with bounded state
-  (at most `limit` accepted timestamps of the current client).
+* M3 is recursive in its own output (only accepted requests count).  What
+  must be seen in order are a client's request times, condensed to packed
+  cells; `mapInPandas` walks them with bounded state (at most `limit`
+  accepted timestamps), and the requests are joined with the accepted times
+  by (client, time).
 """
 
 from __future__ import annotations
@@ -40,21 +41,16 @@ def endpoint_key(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- H1
-def _limit_groups(spark, n: int) -> None:
-    """Let Spark prune each task's window groups to `n` rows before a shuffle
-    also where n is above its default threshold."""
-    name = "spark.sql.optimizer.windowGroupLimitThreshold"
-    if n > int(spark.conf.get(name, "1000")):
-        spark.conf.set(name, str(n))
-
-
 def latest_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = LAST_N_TIMES,
              salts: int | None = None, salt_col: str | None = None) -> DataFrame:
     """H1: the first n rows per key under `order` (a unique order: add a
     tie-break), as a two-level tree merge of per-task top-n lists.
 
     Catalyst's window-group limit keeps at most n rows per window group in
-    every map task before each shuffle, whatever n is.  Level 1 groups by
+    every map task before each shuffle, for n up to the session's
+    spark.sql.optimizer.windowGroupLimitThreshold (1,000 unless set; the
+    session is not changed here).  Beyond it the salted groups are ranked
+    whole, with equal results.  Level 1 groups by
     (keys, salt) with salt = input partition id mod `salts` (by default the
     root of the number of shuffle partitions), so one level-1 task merges
     the top-n lists of about (map tasks / salts) tasks; level 2 merges at
@@ -63,7 +59,6 @@ def latest_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
     instead."""
     keys = list(keys)
     spark = df.sparkSession
-    _limit_groups(spark, n)
     salts = salts or max(4, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     salt = (F.abs(F.xxhash64(F.col(salt_col))) % salts) if salt_col else (F.spark_partition_id() % salts)
     level1 = (df.withColumn("_salt", salt)
@@ -157,25 +152,51 @@ def limit_segment(ts, accepted: deque, limit: int, window_us: int):
     return allowed
 
 
-def _limiter(limit: int, seconds: int):
+def limit_condensed(times, counts, accepted: deque, limit: int, window_us: int):
+    """`limit_segment` for a client's distinct request times (sorted) and how
+    many requests came at each: the number allowed at each time."""
+    import numpy as np
+    n = len(times)
+    allowed = np.zeros(n, dtype=np.int64)
+    i = 0
+    while i < n:
+        t = int(times[i])
+        while accepted and accepted[0] < t - window_us:
+            accepted.popleft()
+        free = min(int(counts[i]), limit - len(accepted))
+        if free > 0:
+            accepted.extend([t] * free)
+            allowed[i] = free
+            i += 1
+        else:
+            i = max(i + 1, int(np.searchsorted(times, accepted[0] + window_us, side="right"))) if accepted else n
+    return allowed
+
+
+CELLS_PER_WINDOW = 64
+
+
+def _decide_cells(limit: int, window_us: int):
     import numpy as np
-    window_us = seconds * 1_000_000
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, accepted = None, deque()
         for pdf in batches:
-            allowed = np.zeros(len(pdf), dtype=bool)
-            # rows arrive sorted by (client, run, time, id): walk the runs
-            clients, runs = pdf["client_id"].to_numpy(), pdf["_run"].to_numpy()
-            us = pdf["_us"].to_numpy(dtype="int64")
-            starts = np.flatnonzero(np.r_[True, (clients[1:] != clients[:-1]) | (runs[1:] != runs[:-1])])
-            for a, b in zip(starts, np.r_[starts[1:], len(pdf)]):
-                if (clients[a], runs[a]) != current:
-                    current, accepted = (clients[a], runs[a]), deque()
-                allowed[a:b] = limit_segment(us[a:b], accepted, limit, window_us)
-            out = pdf.drop(columns=["_us", "_run"])
-            out["allowed"] = allowed
-            yield out
+            client, times, allowed = [], [], []
+            # cells arrive sorted by (client, run, cell)
+            for c, z, r, us, n in zip(pdf["_c"], pdf["_z"], pdf["_run"], pdf["times"], pdf["counts"]):
+                if (c, z, r) != current:
+                    current, accepted = (c, z, r), deque()
+                us = np.asarray(us, dtype="int64")
+                k = limit_condensed(us, np.asarray(n, dtype="int64"), accepted, limit, window_us)
+                on = np.flatnonzero(k)
+                client += [(c, z)] * len(on)
+                times.append(us[on])
+                allowed.append(k[on])
+            yield pd.DataFrame({"_c": pd.Series([c for c, _ in client], dtype=object),
+                                "_z": np.array([z for _, z in client], dtype=bool),
+                                "_us": np.concatenate([np.zeros(0, "int64"), *times]),
+                                "_free": np.concatenate([np.zeros(0, "int64"), *allowed])})
     return run
 
 
@@ -186,43 +207,56 @@ def rate_limit_decisions(requests: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE
     in (ts, request_id) order; only accepted requests are remembered; health
     paths are exempt and not remembered.
 
-    Exempt rows never enter the sort.  Of the others, a quiet spell longer
-    than the window empties a client's state, so the runs between such
-    spells (`quiet_runs`) are decided independently: a client's day is many
-    pieces, and only one that never rests stays whole.
+    What the limiter must see of a client in order are the times of its
+    requests and how many came at each.  These are condensed, by a partial
+    aggregate, to one row per client and cell (a 64th of the window) with the
+    packed times, and decided cell after cell; at most `limit` times a window
+    come out as accepted.  The requests themselves are joined with the accepted
+    times by (client, time), so a client with all requests is spread like any
+    other, and of those at one time the first by id are allowed.
+
+    A quiet spell longer than the window empties a client's state, so the runs
+    between such spells (`quiet_runs`) are decided independently.
 
     A request without a time lies in no window: it is allowed and not
     remembered.  Requests without a client are those of one client."""
+    window_us = seconds * 1_000_000
     cols = ["request_id", "ts", "client_id", "path"]
-    r = requests.select(*cols).withColumn("_us", epoch_micros(requests, "ts"))
-    is_exempt = F.col("path").isin(list(exempt))
-    unlimited = F.coalesce(is_exempt, F.lit(False)) | F.col("ts").isNull()
-    free = r.where(unlimited).drop("_us").withColumn("allowed", F.lit(True))
+    is_exempt = F.coalesce(F.col("path").isin(list(exempt)), F.lit(False))
+    r = requests.select(*cols).withColumns({
+        "_us": epoch_micros(requests, "ts"), "_c": F.coalesce(F.col("client_id").cast("string"), F.lit("")),
+        "_z": F.col("client_id").isNull()})
+    unlimited = is_exempt | F.col("ts").isNull()
     limited = r.where(~unlimited)
-    schema = T.StructType([f for f in r.schema.fields if f.name != "_us"]
-                          + [T.StructField("allowed", T.BooleanType())])
-    runs = quiet_runs(limited, seconds * 1_000_000)
-    ordered = runs.repartition("client_id", "_run").sortWithinPartitions("client_id", "_run", "_us", "request_id")
-    decided = ordered.mapInPandas(_limiter(limit, seconds), schema=schema)
-    return decided.unionByName(free)
-
-
-def quiet_runs(requests: DataFrame, window_us: int) -> DataFrame:
+    cell = max(1, window_us // CELLS_PER_WINDOW)
+    times = limited.groupBy("_c", "_z", "_us").agg(F.count(F.lit(1)).alias("n"))
+    cells = times.groupBy("_c", "_z", F.floor(F.col("_us") / F.lit(cell)).alias("_cell")).agg(
+        F.sort_array(F.collect_list(F.struct("_us", "n"))).alias("_t"))
+    cells = quiet_runs(cells.withColumn("_us", F.col("_t")[0]["_us"]), window_us).select(
+        "_c", "_z", "_run", "_cell", F.col("_t._us").alias("times"), F.col("_t.n").alias("counts"))
+    ordered = cells.repartition("_c", "_z", "_run").sortWithinPartitions("_c", "_z", "_run", "_cell")
+    accepted = ordered.mapInPandas(_decide_cells(limit, window_us), "_c string, _z boolean, _us long, _free long")
+    # One shuffle of the requests, by (client, time): join and rank share it.
+    key = ["_c", "_z", "_us"]
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("request_id"))
+    decided = limited.join(accepted.hint("merge"), key, "left").withColumn(
+        "allowed", F.coalesce(rank <= F.col("_free"), F.lit(False)))
+    return decided.select(*cols, "allowed").unionByName(
+        r.where(unlimited).select(*cols, F.lit(True).alias("allowed")))
+
+
+def quiet_runs(cells: DataFrame, window_us: int) -> DataFrame:
     """Add `_run`, the start of the client's run of active time slots that a
-    request lies in.  Slots are one window long, so between two slots with
-    an empty slot in between lies more than a window.  Only the distinct
-    (client, slot) pairs, at most one per window of time, are ordered."""
-    slot = F.floor(F.col("_us") / F.lit(window_us))
-    slotted = requests.withColumn("_slot", slot)
-    slots = slotted.select("client_id", "_slot").distinct()
-    by_time = Window.partitionBy("client_id").orderBy("_slot")
+    cell lies in.  Slots are one window long, so between two slots with an
+    empty slot in between lies more than a window.  Only the distinct (client,
+    slot) pairs, at most one per window of time, are ordered."""
+    slotted = cells.withColumn("_slot", F.floor(F.col("_us") / F.lit(window_us)))
+    by_time = Window.partitionBy("_c", "_z").orderBy("_slot")
     gap = F.col("_slot") - F.lag("_slot").over(by_time) > 1
     first = F.last(F.when(F.coalesce(gap, F.lit(True)), F.col("_slot")), ignorenulls=True).over(
         by_time.rowsBetween(Window.unboundedPreceding, 0))
-    runs = slots.withColumn("_run", first).withColumnRenamed("client_id", "_client")
-    return slotted.join(runs.withColumnRenamed("_slot", "_at"),
-                        F.col("client_id").eqNullSafe(F.col("_client")) & (F.col("_slot") == F.col("_at"))
-                        ).drop("_client", "_at", "_slot")
+    runs = slotted.select("_c", "_z", "_slot").distinct().withColumn("_run", first)
+    return slotted.join(runs, ["_c", "_z", "_slot"]).drop("_slot")
 
 
 # ---------------------------------------------------------------- M4

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfline.operators import jobs as L
 from shelfline.plans.catalog_logs import O_ENDPOINT_METRICS, LIMIT_PER_WINDOW, LIMIT_WINDOW_SECONDS, limited_sql, limiter_ctes
-from shelfline.plans.catalog_quality import AS_OF, DS_COLS, RAW_RULES_SQL, rules_sql
+from shelfline.plans.catalog_quality import AS_OF, DS_COLS, RAW_RULES_SQL, metrics_sql, rules_sql
 from shelfline.plans.oracle_views import with_views
 from shelfline.plans.registry import register
 from shelfline.schemas import DAILY_SALES
@@ -104,6 +104,21 @@ def q_stream_quality(spark, sf_dir):
     return counts.groupBy("kind", "name").agg(F.sum("value").alias("value"))
 
 
+@register("stream_quality_folded", with_views(
+    metrics_sql("csv", DS_COLS) + """
+union all select 'sales_mean', round(avg(sales), 6) from csv
+union all select 'sales_stdev', round(stddev_samp(sales), 6) from csv""", "daily_sales", ctes=[("csv", """
+select date, sales, items, nullif(store_id, '') as store_id, nullif(product_category, '') as product_category
+from daily_sales""")]))
+def q_stream_quality_folded(spark, sf_dir):
+    """Quality of all batches together, duplicates across batches included."""
+    in_dir = _stage_sales_csv(spark, sf_dir)
+    out_dir = scratch_dir(spark, "quality_state")
+    _run(S.stream_quality_state(spark, in_dir, out_dir, scratch_dir(spark, "ckpt_state"), schema=DAILY_SALES, fmt="csv",
+                                max_files_per_trigger=FILES_PER_CHUNK))
+    return S.fold_quality(spark, out_dir).withColumn("value", F.round("value", 6))
+
+
 def _stage_requests(spark, sf_dir) -> str:
     in_dir = scratch_dir(spark, "incoming_requests")
     stage_in_order(V.request_log(spark, sf_dir), "ts", in_dir)

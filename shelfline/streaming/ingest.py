@@ -76,3 +76,38 @@ def stream_quality(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: s
     return (stream.writeStream.foreachBatch(run_batch)
                   .option("checkpointLocation", checkpoint)
                   .trigger(availableNow=True).start())
+
+
+def stream_quality_state(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
+                         schema: T.StructType = DAILY_SALES, fmt: str = "csv",
+                         max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """N3 over all batches: every batch leaves its part of a mergeable state,
+    the fingerprint counts of its rows and the moments of its sales, in a
+    directory of its own (overwritten by a replay).  `fold_quality` puts the
+    parts together, so rows that repeat across batches are duplicates too."""
+    def run_batch(batch: DataFrame, batch_id: int) -> None:
+        for name, part in (("rows", Q.fingerprint_counts(batch)), ("moments", Q.moments(batch))):
+            part.write.mode("overwrite").parquet(os.path.join(out_dir, name, f"batch_id={batch_id}"))
+
+    stream = sales_stream(spark, in_dir, schema, fmt, max_files_per_trigger)
+    return (stream.writeStream.foreachBatch(run_batch)
+                  .option("checkpointLocation", checkpoint)
+                  .trigger(availableNow=True).start())
+
+
+def fold_quality(spark: SparkSession, out_dir: str, schema: T.StructType = DAILY_SALES) -> DataFrame:
+    """E4-E7 of everything that has arrived, in long form (metric, value)."""
+    like = spark.createDataFrame([], schema)
+    counts = Q.merge_counts(spark.read.parquet(os.path.join(out_dir, "rows")).drop("batch_id"))
+    spread = Q.merge_moments(spark.read.parquet(os.path.join(out_dir, "moments")))
+    return Q.metrics_of_counts(counts, like).unionByName(spread.select(F.inline(F.array(
+        *(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in spread.columns)))))
+
+
+def compact_quality(spark: SparkSession, out_dir: str, into: str) -> None:
+    """Write the folded state as one part of a new state folder, so that a
+    long-running stream's parts stay few.  Point later batches there."""
+    counts = Q.merge_counts(spark.read.parquet(os.path.join(out_dir, "rows")).drop("batch_id"))
+    counts.write.mode("overwrite").parquet(os.path.join(into, "rows", "batch_id=-1"))
+    parts = spark.read.parquet(os.path.join(out_dir, "moments")).drop("batch_id")
+    parts.coalesce(1).write.mode("overwrite").parquet(os.path.join(into, "moments", "batch_id=-1"))
