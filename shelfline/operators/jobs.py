@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import datetime as dt
+import json
 import math
 from typing import Sequence
 
@@ -147,3 +149,60 @@ def page_cursor(df: DataFrame, key: str, cursor=None, limit: int = 20) -> DataFr
     return (kept.withColumns({"has_more": has_more,
                               "next_cursor": F.when(has_more, F.max(key).over(w_all))})
                 .drop("_rn", "_cnt"))
+
+
+def _encoded(order: Sequence[tuple[str, str]], values: Sequence[Column]) -> Column:
+    """The opaque cursor of a row: its order and key values as base64 JSON."""
+    spec = ",".join(f"{c} {way}" for c, way in order)
+    body = F.to_json(F.struct(F.lit(spec).alias("o"), F.array(*(v.cast("string") for v in values)).alias("v")))
+    return F.base64(body.cast("binary"))
+
+
+def _decoded(cursor: str, order: Sequence[tuple[str, str]]) -> list[str | None]:
+    body = json.loads(base64.b64decode(cursor))
+    if body["o"] != ",".join(f"{c} {way}" for c, way in order):
+        raise ValueError(f"the cursor belongs to the order {body['o']}")
+    return body["v"]
+
+
+def after_key(df: DataFrame, order: Sequence[tuple[str, str]], values: Sequence[str | None]) -> Column:
+    """Rows behind a key in an order over several columns, each "asc" (nulls
+    first) or "desc" (nulls last), as one predicate that sources can push."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    out, equal = F.lit(False), F.lit(True)
+    for (name, way), text in zip(order, values):
+        c, v = F.col(name), F.lit(text).cast(types[name])
+        if way == "asc":
+            behind = c.isNotNull() if text is None else c > v
+        else:
+            behind = F.lit(False) if text is None else (c < v) | c.isNull()
+        out = out | (equal & F.coalesce(behind, F.lit(False)))
+        equal = equal & c.eqNullSafe(v)
+    return out
+
+
+def page_keyset(df: DataFrame, order: Sequence[tuple[str, str]], cursor: str | None = None,
+                limit: int = 20) -> DataFrame:
+    """H3 over several columns with directions of their own, such as
+    [("created_at", "desc"), ("job_id", "asc")]; together they must be unique.
+
+    Returns the page after `cursor` with `has_more` and `next_cursor` (null on
+    the last page), an opaque text that holds the last row's key and is refused
+    with another order.  A page costs one top-(limit + 1), however deep it is."""
+    if not 1 <= limit <= MAX_PAGE_SIZE:
+        raise ValueError("limit must be in 1..100")
+    if not order or any(way not in ("asc", "desc") for _, way in order):
+        raise ValueError("order is a list of (column, 'asc' or 'desc')")
+    if cursor is not None:
+        df = df.filter(after_key(df, order, _decoded(cursor, order)))
+    by = [F.col(c).asc_nulls_first() if way == "asc" else F.col(c).desc_nulls_last() for c, way in order]
+    probe = df.orderBy(*by).limit(limit + 1)
+    every = Window.partitionBy()                          # over at most limit+1 rows
+    tagged = probe.withColumns({"_rn": F.row_number().over(Window.orderBy(*by)),
+                                "_cnt": F.count(F.lit(1)).over(every)})
+    has_more = F.col("_cnt") > limit
+    key = _encoded(order, [F.col(c) for c, _ in order])
+    last = F.max(F.when(F.col("_rn") == limit, key)).over(every)
+    return (tagged.filter(F.col("_rn") <= limit)
+            .withColumns({"has_more": has_more, "next_cursor": F.when(has_more, last)})
+            .orderBy("_rn").drop("_rn", "_cnt"))

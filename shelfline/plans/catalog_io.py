@@ -34,6 +34,35 @@ def q_read_sales(spark, sf_dir):
     return A.read_sales(spark, path, schema=DAILY_SALES)
 
 
+# ------------------------------------------------------- A1 into F6: rejects
+BULK_RULES = [RL.not_null("store_id"), RL.ge("items", 3)]
+
+
+def stage_broken_csv(spark, sf_dir) -> str:
+    """daily_sales as a CSV file in which some fields do not parse."""
+    path = os.path.join(scratch_dir(spark, "broken"), "daily_sales.csv")
+    k = F.col("items") % 50
+    rows = V.daily_sales(spark, sf_dir).select(
+        F.when(k == 9, "not a date").otherwise(F.col("date").cast("string")).alias("date"),
+        F.when(k == 7, F.concat(F.coalesce(F.col("sales").cast("string"), F.lit("")), F.lit("x"))).otherwise(
+            F.col("sales").cast("string")).alias("sales"), "items", "store_id", "product_category")
+    B.write_as(rows, path, fmt="csv", compression="none")
+    return path
+
+
+@register("rejected_records", with_views("""
+select reasons, count(*) as records, cast(sum(case when reasons = '' then items end) as bigint) as valid_items
+from (select items, case when items % 50 in (7, 9) then 'malformed'
+                         else concat_ws(',', case when nullif(store_id, '') is null then 'store_id:not_null' end,
+                                        case when items < 3 then 'items:greater_than_or_equal_to(3)' end) end as reasons
+      from daily_sales) group by reasons""", "daily_sales"))
+def q_rejected_records(spark, sf_dir):
+    valid, rejects = A.split_rejects(A.read_tagged(spark, stage_broken_csv(spark, sf_dir), BULK_RULES))
+    both = valid.select(F.lit("").alias("reasons"), "items").unionByName(
+        rejects.select("reasons", F.lit(None).cast("long").alias("items")))
+    return both.groupBy("reasons").agg(F.count(F.lit(1)).alias("records"), F.sum("items").alias("valid_items"))
+
+
 # ---------------------------------------------------------------- A2
 @register("read_remote_sales", """
 select 'lineitem.parquet' as file, count(*) as rows, count(l_orderkey) as orders from lineitem""")

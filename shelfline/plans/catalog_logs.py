@@ -104,6 +104,20 @@ def q_page_cursor(spark, sf_dir):
     return L.page_cursor(V.job_log(spark, sf_dir), "job_id", cursor=1000, limit=20)
 
 
+# ---------------------------------------------------------------- H3, several columns
+NEWEST = [("created_at", "desc"), ("job_id", "asc")]
+
+
+@register("page_keyset", jsql(f"""
+select {JOB_COLS}, true as has_more from job_log order by created_at desc, job_id limit 20 offset 40"""))
+def q_page_keyset(spark, sf_dir):
+    """The third page of the newest jobs, by the cursors of the first two."""
+    jobs, cursor = V.job_log(spark, sf_dir), None
+    for _ in range(2):
+        cursor = L.page_keyset(jobs, NEWEST, cursor).first()["next_cursor"]
+    return L.page_keyset(jobs, NEWEST, cursor).drop("next_cursor")
+
+
 # ---------------------------------------------------------------- H4
 @register("recent_top_k", jsql(f"""
 select {JOB_COLS} from job_log where status = 'completed'

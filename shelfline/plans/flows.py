@@ -70,80 +70,100 @@ def etl_simple(spark, in_path: str, out_path: str, keys: Sequence[str] = ("store
 
 
 def etl_validated(spark, in_path: str, settings, as_of, keys: Sequence[str] = ("store_id", "product_category"),
-                  dataset: str = "daily_sales") -> DataFrame:
-    """Read (A1) -> validate raw (F10 with drift) and stop there if that
-    fails and the settings say so -> required columns, types, drop
-    incomplete, date parts (C1-C5) -> z-score (C7) -> daily group (E1) ->
-    per-series calendar pad (D3) -> save with statistics (B2) -> processed
-    checks (F2) and metrics (E4) of the written data.
-
-    Data goes to `settings.data_path`, everything found to
-    `settings.report_path` (also when the run stops), with one row per
-    result: phase, section, name, column, observed, success.  Row counts of
-    the stages (E8) are Observations filled while the data is written, so
-    they cost no pass.  Returns the stage metrics: stage, input_rows,
-    output_rows, rows_dropped, rows_added, features_added, success, seconds
-    (of the write for the stages that run in it)."""
+                  dataset: str = "daily_sales", run_id: str | None = None) -> DataFrame:
+    """Read (A1) -> validate raw (F10 with drift) -> required columns,
+    types, drop incomplete, date parts (C1-C5) -> z-score (C7) -> daily group
+    (E1) -> per-series calendar pad (D3) -> processed checks (F2) and metrics
+    (E4) -> publish.
+
+    The raw file is parsed once, into a typed table that the validation, the
+    z-score's scalars and the main pass read.  Every stage is a table of the
+    run (`StageRun`): a failed one is tried again `settings.retries` times, and
+    a run started again with its `run_id` goes on after its last finished
+    stage.  If a check fails, of the raw or of the processed data, and the
+    settings say so, the run stops with an error and `settings.data_path` keeps
+    what was published there before.
+
+    Everything found goes to `settings.report_path` (also when the run stops),
+    with one row per result: phase, section, name, column, observed, success.
+    Row counts of the stages (E8) are Observations filled while they are
+    written.  Returns the stage metrics: stage, input_rows, output_rows,
+    rows_dropped, rows_added, features_added, success, seconds (of the write
+    for the stages that run in it)."""
+    import os
     import time
+    import uuid
     from pyspark.sql import Observation
     from shelfline.functions.rules import raw_rules
     from shelfline.operators import quality as Q
     from shelfline.operators import transform as X
+    from shelfline.plans.stages import StageRun, publish
     from shelfline.schemas import DAILY_SALES_COLUMNS, PROCESSED_REFERENCE
-    from shelfline.session import materialize
     from shelfline.sources.files import read_sales
-    from shelfline.sources.sinks import save_with_stats
     result = ["phase", "section", "name", "column", "observed", "success"]
+    run = StageRun(spark, os.path.join(settings.base, settings.environment, "runs", run_id or uuid.uuid4().hex),
+                   settings.retries)
+    count = F.count(F.lit(1)).alias("rows")
+
+    def observed(df: DataFrame, name: str, counts: dict) -> DataFrame:
+        counts[name] = Observation(f"stage_{name}_{uuid.uuid4().hex[:8]}")
+        return df.observe(counts[name], count)
+
+    def staged(name: str, build) -> tuple[DataFrame, dict]:
+        """The stage's table and its record; every attempt has observations of its own."""
+        counts: dict = {}
+        table = run.table(name, lambda: build(counts), counts)
+        return table, run.record(name)
 
     def as_report(phase: str, rows: DataFrame) -> DataFrame:
         return rows.withColumn("phase", F.lit(phase)).select(*result)
 
-    began = time.monotonic()
-    raw = read_sales(spark, in_path)
-    results = materialize(Q.validate_all(raw, raw_rules(as_of), dataset, settings.limits, settings.check_drift), "validation")
+    def stop(phase: str) -> None:
+        raise ValueError(f"{dataset}: validation failed for the {phase} data, see {settings.report_path}")
+
+    raw, _ = staged("raw", lambda counts: read_sales(spark, in_path))
+    results, checked = staged("validation", lambda counts: Q.validate_all(
+        raw, raw_rules(as_of), dataset, settings.limits, settings.check_drift))
     validated = bool(Q.overall_success(results).first()["overall_success"])
-    report = as_report("raw", results)
-    report.write.mode("overwrite").parquet(settings.report_path)
+    as_report("raw", results).write.mode("overwrite").parquet(settings.report_path)
     if settings.stop_on_failure and not validated:
-        raise ValueError(f"{dataset}: validation failed, see {settings.report_path}")
-    checked = time.monotonic()
+        stop("raw")
 
-    obs = {n: Observation(f"stage_{n}") for n in ("raw", "features", "grouped")}
-    count = F.count(F.lit(1)).alias("rows")
-    raw_o = raw.observe(obs["raw"], count)
-    clean = X.drop_incomplete(X.coerce_types(X.require_columns(raw_o, DAILY_SALES_COLUMNS)))
-    feat = X.zscore(X.calendar_features(clean)).observe(obs["features"], count)
-    grouped = X.daily_group(feat).observe(obs["grouped"], count)
+    def group(counts: dict) -> DataFrame:
+        clean = X.drop_incomplete(X.coerce_types(X.require_columns(observed(raw, "raw", counts), DAILY_SALES_COLUMNS)))
+        feat = observed(X.zscore(X.calendar_features(clean)), "features", counts)
+        return observed(X.daily_group(feat), "grouped", counts)
+    grouped, written = staged("group", group)
     # E1 output is unique per key and date, and has no row without a date
-    completed = X.calendar_complete(grouped, keys=keys, fill="pad", on_duplicate="raise", undated="drop")
-    stats = save_with_stats(spark, completed, settings.data_path)
-    n = {k: int(o.get["rows"]) for k, o in obs.items()}
-    n_out = int(stats.first()["rows_saved"])
-    written = time.monotonic()
-
-    data = spark.read.parquet(settings.data_path)
-    checks = materialize(Q.processed_schema_checks(data, PROCESSED_REFERENCE).select(
+    data, completed = staged("complete", lambda counts: observed(X.calendar_complete(
+        grouped, keys=keys, fill="pad", on_duplicate="raise", undated="drop"), "completed", counts))
+
+    began = time.monotonic()
+    checks, _ = staged("checks", lambda counts: Q.processed_schema_checks(data, PROCESSED_REFERENCE).select(
         F.lit("schema").alias("section"), F.concat(F.lit("type "), F.col("expected_type")).alias("name"), "column",
-        F.col("null_count").cast("double").alias("observed"), F.col("passed").alias("success")), "processed_checks")
+        F.col("null_count").cast("double").alias("observed"), F.col("passed").alias("success")))
     metrics = Q.quality_metrics(data).select(
         F.lit("metrics").alias("section"), F.col("metric").alias("name"), F.lit(None).cast("string").alias("column"),
         F.col("value").alias("observed"), F.lit(None).cast("boolean").alias("success"))
     report = as_report("raw", results).unionByName(as_report("processed", checks.unionByName(metrics)))
     report.write.mode("overwrite").parquet(settings.report_path)
     processed_ok = checks.where(~F.col("success")).isEmpty()
+    if settings.stop_on_failure and not processed_ok:
+        stop("processed")
+    publish(spark, settings.data_path, run.path("complete"))
     ended = time.monotonic()
 
     def stage(name, rows_in, rows_out, features, success, seconds):
         return (name, rows_in, rows_out, max(rows_in - rows_out, 0), max(rows_out - rows_in, 0), features, success,
                 round(seconds, 3))
 
-    write = written - checked
+    n, n_out = written["rows"], completed["rows"]["completed"]
     return spark.createDataFrame(
-        [stage("validate", n["raw"], n["raw"], 0, validated, checked - began),
-         stage("transform", n["raw"], n["features"], 5, True, write),
-         stage("group", n["features"], n["grouped"], 0, True, write),
-         stage("complete", n["grouped"], n_out, 0, True, write),
-         stage("check", n_out, n_out, 0, processed_ok, ended - written)],
+        [stage("validate", n["raw"], n["raw"], 0, validated, checked["seconds"]),
+         stage("transform", n["raw"], n["features"], 5, True, written["seconds"]),
+         stage("group", n["features"], n["grouped"], 0, True, written["seconds"]),
+         stage("complete", n["grouped"], n_out, 0, True, completed["seconds"]),
+         stage("check", n_out, n_out, 0, processed_ok, ended - began)],
         "stage string, input_rows bigint, output_rows bigint, rows_dropped bigint, rows_added bigint, "
         "features_added int, success boolean, seconds double")
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfline.functions.rules import Rule, failure_reasons
 from shelfline.schemas import DAILY_SALES
+from shelfline.session import materialize
 
 SUPPORTED_FORMATS = ("csv", "parquet", "json")
 
@@ -35,12 +39,48 @@ def read_sales(spark: SparkSession, path: str, fmt: str | None = None,
     if corrupt_column:
         schema = T.StructType(schema.fields + [T.StructField(corrupt_column, T.StringType())])
         reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", corrupt_column)
-    reader = reader.option("mode", "PERMISSIVE")
+    # Records are judged by all their fields, whichever are selected later.
+    reader = reader.option("mode", "PERMISSIVE").option("columnPruning", not corrupt_column)
     if fmt == "csv":
         return reader.option("header", True).csv(path)
     return reader.json(path)
 
 
+RAW_RECORD = "_record"
+MALFORMED = "malformed"
+
+
+def read_tagged(spark: SparkSession, path: str, rules: Sequence[Rule], fmt: str | None = None,
+                schema: T.StructType = DAILY_SALES) -> DataFrame:
+    """A1 / A2 into F6: every CSV or JSON record under a path or URI with its
+    fields, `is_valid`, `reasons`, `source_file` and `_record`.
+
+    A record that does not parse (a field of the wrong type, too few or too
+    many fields, broken JSON) has the reason "malformed" and its text in
+    `_record`; no rule is applied to what could be read of it.  Any other
+    record has the names of the rules that it breaks.  Every record is in
+    exactly one group; blank lines and CSV headers are no records."""
+    reader_fmt = fmt or format_of(path)
+    if reader_fmt == "parquet":
+        raise ValueError("Parquet files hold no malformed records")
+    rows = read_sales(spark, path, fmt, schema, RAW_RECORD).withColumn("source_file", F.col("_metadata.file_path"))
+    broken = F.col(RAW_RECORD).isNotNull()
+    reasons = F.when(broken, F.array(F.lit(MALFORMED))).otherwise(failure_reasons(rules))
+    return rows.withColumns({"is_valid": ~broken & (F.size(failure_reasons(rules)) == 0),
+                             "reasons": F.concat_ws(",", reasons)})
+
+
+def split_rejects(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, rejects) of `read_tagged`, which is written once, so the
+    files are parsed once.  Rejects are (source_file, record, reasons): the
+    record as it was read or, where only rules broke, its fields as JSON."""
+    tagged = materialize(tagged, "tagged")
+    fields = [c for c in tagged.columns if c not in ("is_valid", "reasons", "source_file", RAW_RECORD)]
+    rejects = tagged.where(~F.col("is_valid")).select(
+        "source_file", F.coalesce(F.col(RAW_RECORD), F.to_json(F.struct(*fields))).alias("record"), "reasons")
+    return tagged.where("is_valid").select(*fields), rejects
+
+
 def read_remote_sales(spark: SparkSession, uri: str, fmt: str | None = None,
                       schema: T.StructType = DAILY_SALES) -> DataFrame:
     """A2: read any Hadoop-compatible URI (s3a://, hdfs://, file://) with
