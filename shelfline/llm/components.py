@@ -18,7 +18,7 @@ def _round(links: DataFrame, large: bool) -> DataFrame:
     if large:       # larger neighbours move to the least neighbour or itself
         pairs = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return _star(pairs.where("v > u"), materialize(least, "least"))
+        return _star(pairs.where("v > u"), least)
     least = links.groupBy("u").agg(F.min("v").alias("m"))
     least = materialize(least, "least")
     return _star(links, least).union(least.select("u", F.col("m").alias("v")))
@@ -41,8 +41,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         links = materialize(_tidy(_round(links, True)), "links")
         links = materialize(_tidy(_round(links, False)), "links")
-        roots = links.select("v").distinct()
-        if (not links.join(roots.select(F.col("v").alias("u")), "u", "left_semi").head(1)
-                and not links.groupBy("u").count().where("count > 1").head(1)):
+        # Stars: a node has one link up, or only links from below.
+        ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(links.select("v", F.lit(0)))
+        if not ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where(
+                "ups > 1 or (ups = 1 and least = 0)").head(1):
+            roots = links.select("v").distinct()
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 roots.select(F.col("v").alias("node"), F.col("v").alias("root")))

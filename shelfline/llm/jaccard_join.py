@@ -186,9 +186,13 @@ def _large_groups(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame
                 inter = region.overlap(every, p)
                 union = region.sizes + region.sizes[p] - inter
                 for i in np.flatnonzero(100 * inter >= percent * union).tolist():
-                    if ids[i] != ids[p]:
-                        u.append(ids[i])
-                        v.append(ids[p])
+                    a, b = region.find(i), region.find(p)
+                    region.root[max(a, b)] = min(a, b)
+            # One link for each document that a pivot reaches connects them all.
+            for i in range(len(sets)):
+                if ids[i] != ids[region.find(i)]:
+                    u.append(ids[i])
+                    v.append(ids[region.find(i)])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     found = materialize(texts.select("root", "block", "row_id", "text").groupBy("root", "block").cogroup(

@@ -86,14 +86,13 @@ def forest_regions(signed: DataFrame, trees: int, shallow: int, depth: int, leaf
         regions = materialize(regions.where("held > 1"), f"forest-regions-{d}")
         placed = members.join(regions, "path")
         ready = placed if d == depth else placed.where(F.col("held") <= leaf)
-        ready = materialize(ready.where("row_id <> head").select("head", "row_id").distinct(), f"forest-members-{d}")
-        out = ready if out is None else out.unionByName(ready)
+        found = materialize(ready.where("row_id <> head").select("head", "row_id"), f"forest-members-{d}")
+        out = found if out is None else out.unionByName(found)
         if d == depth or not regions.where(F.col("held") > leaf).head(1):
             break
-        members = materialize(placed.where(F.col("held") > leaf).select("row_id", "tree", "order"),
-                              f"forest-crowded-{d}")
-    out = out.distinct()
-    return materialize(out.union(out.select("head", F.col("head").alias("row_id")).distinct()), "forest-groups")
+        members = placed.where(F.col("held") > leaf).select("row_id", "tree", "order")
+        members = materialize(members, f"forest-crowded-{d}")
+    return materialize(out.union(out.select("head", F.col("head").alias("row_id"))).distinct(), "forest-groups")
 
 
 def forest_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
