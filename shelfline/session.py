@@ -88,6 +88,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", d) or d
 
 
+_FOLDERS: list[str] = []         # scratch folders of this application that still exist, oldest first
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new, unique folder below the shared checkpoint location for written
     intermediate tables (never a machine-local path on a cluster).  It is
@@ -98,6 +101,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(where)
     fs.deleteOnExit(where)
+    _FOLDERS.append(path)
     return path
 
 
@@ -113,11 +117,28 @@ def materialize(df, name: str):
     return written
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _FOLDERS:
+        _FOLDERS.remove(path)
+
+
 def discard(table) -> None:
     """Delete a table that `materialize` wrote, once nothing will read it."""
-    spark = table.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _delete(table.sparkSession, table._scratch)
+
+
+def scratch_mark() -> int:
+    """A place in the order of scratch folders, for `discard_since`."""
+    return len(_FOLDERS)
+
+
+def discard_since(mark: int, kept) -> None:
+    """Delete the scratch folders made since `mark` but for the written table
+    `kept`, which holds all that is still needed of them."""
+    for path in [p for p in _FOLDERS[mark:] if p != kept._scratch]:
+        _delete(kept.sparkSession, path)
 
 
 _SHIPPED: set[str] = set()
