@@ -17,7 +17,7 @@ from shelfline.llm.jaccard_join import near_duplicates
 from shelfline.llm.mixing import mix_sources
 from shelfline.llm.packing import pack_documents
 from shelfline.llm.quality_model import scorer, train_on_labels
-from shelfline.session import ensure_checkpoint_dir, materialize, ship_package
+from shelfline.session import discard_since, ensure_checkpoint_dir, materialize, scratch_mark, ship_package
 
 LEAST_SCORE = 0.7
 NEAR_WORDS, NEAR_PERCENT = 5, 80     # the stage's own; op10_jaccard_join has 3 and 90
@@ -94,9 +94,12 @@ STAGES = [("quality_classifier", quality), ("exact_dedup", exact), ("near_duplic
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the `documents` table of `sf_dir`."""
+    """All stages over the `documents` table of `sf_dir`.  Of each stage only
+    its result is kept, until the next one is written."""
     _prepared(spark)
+    start = scratch_mark()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard_since(start, docs)
     return docs
