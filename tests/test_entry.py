@@ -60,3 +60,22 @@ print('ROWS', m.queries()['forecast_piecewise'](s, {SF_SMALL!r}).count())
                          capture_output=True, text=True, timeout=600)
     assert "ROWS " in out.stdout, out.stderr[-2000:]
     assert int(out.stdout.split("ROWS ")[1].split()[0]) > 0
+
+
+def test_queries_are_read_without_a_session():
+    """The check and other tools list the queries before they start Spark."""
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = """
+import __spark_entry__ as e
+from pyspark import SparkContext
+names, sql = e.queries(), e.oracle_sql()
+assert SparkContext._active_spark_context is None
+print('NAMES', *(k for k in names if k.startswith('op') and k[2].isdigit()), 'pipeline' in names, set(sql) <= set(names))
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=repo, capture_output=True, text=True, timeout=300)
+    assert "NAMES " in out.stdout, out.stderr[-2000:]
+    *ops, pipeline, covered = out.stdout.split("NAMES ")[1].split()
+    assert {k.split("_")[0] for k in ops} == {f"op{n}" for n in range(1, 14)}
+    assert pipeline == covered == "True"
