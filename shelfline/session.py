@@ -17,6 +17,9 @@ STATE_STORE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
+# Spark 4.1 and later; earlier versions ignore it.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Settings every job relies on: UTC day boundaries, AQE for runtime
 # re-planning (partition coalescing, skew-join splitting, size-checked
 # broadcast), no UI server.
@@ -109,10 +112,23 @@ def materialize(df, name: str):
     """Cut lineage by writing `df` as a Parquet table in the shared scratch
     folder and reading it back: one computation of the plan (a reliable
     `checkpoint()` computes it once more to write the files) and the result
-    survives executor loss."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    written = df.sparkSession.read.parquet(path)
+    survives executor loss.
+
+    The shuffle files of the plan are deleted as soon as the table is written.
+    Spark otherwise keeps them until the driver collects its garbage, so that
+    those of all earlier steps may lie on disk beside the current one."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+    written = spark.read.parquet(path)
     written._scratch = path
     return written
 
